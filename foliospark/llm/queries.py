@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, license_rules, poisson_mix
+from . import exact_dedup, license_rules, packing, poisson_mix, simhash_trie
 from .common import table
 
 WS = r"[\x20\x09-\x0D]+"
@@ -27,10 +29,21 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op10_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_trie.mark(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_poisson_mix": op2_poisson_mix,
     "op5_license_rules": op5_license_rules,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_packing": op7_packing,
+    "op10_simhash_trie": op10_simhash_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
