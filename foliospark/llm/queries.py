@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, license_rules, packing, poisson_mix, simhash_trie
-from .common import table
+from . import ctw, exact_dedup, license_rules, packing, poisson_mix, simhash_trie
+from .common import fold, table
 
 WS = r"[\x20\x09-\x0D]+"
 
 
+def op1_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(table(spark, sf_dir, "documents"), fold("doc_id") == 1)
+
+
 def op2_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, every source to the same share, one epoch."""
     return poisson_mix.mix(table(spark, sf_dir, "documents"))
@@ -39,6 +43,7 @@ def op10_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ctw": op1_ctw,
     "op2_poisson_mix": op2_poisson_mix,
     "op5_license_rules": op5_license_rules,
     "op6_exact_dedup": op6_exact_dedup,
