@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, exact_dedup, license_rules, packing, poisson_mix, simhash_trie
+from . import ctw, exact_dedup, imatch, license_rules, packing, poisson_mix, simhash_trie
 from .common import fold, table
 
 WS = r"[\x20\x09-\x0D]+"
@@ -38,6 +38,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_trie.mark(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_license_rules": op5_license_rules,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_packing": op7_packing,
+    "op9_imatch": op9_imatch,
     "op10_simhash_trie": op10_simhash_trie,
 }
 
