@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, exact_dedup, imatch, license_rules, packing, poisson_mix, simhash_trie
+from . import ctw, exact_dedup, imatch, license_rules, ordinal_toxicity, packing, poisson_mix, ri_quality, simhash_trie
 from .common import fold, table
 
 WS = r"[\x20\x09-\x0D]+"
@@ -23,6 +23,10 @@ def op2_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return poisson_mix.mix(table(spark, sf_dir, "documents"))
 
 
+def op3_ri_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ri_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold("doc_id") == 0)
+
+
 def op5_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_rules.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -38,6 +42,12 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op8_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    graded = ordinal_toxicity.grade(docs, ordinal_toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return graded.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "severity", "grade", "p_toxic", "toxic")
+
+
 def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.compare_with_next(table(spark, sf_dir, "documents"))
 
@@ -49,9 +59,11 @@ def op10_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ctw": op1_ctw,
     "op2_poisson_mix": op2_poisson_mix,
+    "op3_ri_quality": op3_ri_quality,
     "op5_license_rules": op5_license_rules,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_packing": op7_packing,
+    "op8_ordinal_toxicity": op8_ordinal_toxicity,
     "op9_imatch": op9_imatch,
     "op10_simhash_trie": op10_simhash_trie,
 }
