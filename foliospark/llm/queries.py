@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, exact_dedup, imatch, license_rules, ordinal_toxicity, packing, poisson_mix, ri_quality, simhash_trie
+from . import ctw, exact_dedup, imatch, license_rules, ordinal_toxicity, packing, poisson_mix, ri_quality, simhash_trie, url_cascade
 from .common import fold, table
 
 WS = r"[\x20\x09-\x0D]+"
@@ -27,6 +27,17 @@ def op3_ri_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ri_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold("doc_id") == 0)
 
 
+#: What op4 goes by, longest first.
+URL_RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
+
+
+def op4_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list: urls that the rules block and urls with the very content of such a one. The cascade holds it against all urls."""
+    pages = table(spark, sf_dir, "pages")
+    listed = url_cascade.mirrored(pages, URL_RULES)
+    return url_cascade.judge(pages.select("page_id", "url"), URL_RULES, listed).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op5_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_rules.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -60,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ctw": op1_ctw,
     "op2_poisson_mix": op2_poisson_mix,
     "op3_ri_quality": op3_ri_quality,
+    "op4_url_cascade": op4_url_cascade,
     "op5_license_rules": op5_license_rules,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_packing": op7_packing,
@@ -80,6 +92,15 @@ u AS (SELECT *, (CAST('0x' || substr(md5('42|' || i0 || '|' || i1), 1, 13) AS BI
 c AS (SELECT u.*, r.rate, (SELECT count(*) FROM steps t WHERE t.s IS NOT DISTINCT FROM u.source AND t.cdf < u.u) AS copies FROM u JOIN r ON u.source IS NOT DISTINCT FROM r.s)
 SELECT doc_id, text, lang, source, n_chars, rate, CAST(copies AS INT) AS copies, CAST(i AS INT) AS copy, md5('order42|' || i0 || '|' || i1 || '|' || i) AS shuffle_key
 FROM c, unnest(range(copies)) x(i)
+""",
+    "op4_url_cascade": r"""
+WITH p AS (SELECT page_id, html, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+rules(rule, site, start, what) AS (VALUES ('org/', 'org', '/', 'allow'), ('example.org/es/', 'example.org', '/es/', 'block'), ('example.org/en/1', 'example.org', '/en/1', 'block'), ('com/fr/', 'com', '/fr/', 'allow'), ('com/de/', 'com', '/de/', 'block')),
+r AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(what, length(rule)) AS what FROM p JOIN rules ON (host = site OR ends_with(host, '.' || site)) AND starts_with(path, start) GROUP BY page_id),
+j AS (SELECT p.*, rule, what FROM p LEFT JOIN r USING (page_id)),
+listed AS (SELECT DISTINCT host || path AS key FROM j WHERE what = 'block' OR html IN (SELECT html FROM j WHERE what = 'block' AND html IS NOT NULL))
+SELECT page_id, host, path, rule, coalesce(what, CASE WHEN host || path IN (SELECT key FROM listed) THEN 'block' ELSE 'allow' END) AS verdict FROM j
 """,
     "op6_exact_dedup": r"""
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)

@@ -11,6 +11,11 @@ A unit emits a spanning forest of the links it found (at most one row per finger
 the forests' union is resolved by distributed label propagation with shortcuts, on stored tables. The links are
 exact: every pair of distinct fingerprints within the budget meets in exactly one unit.
 
+``mark`` takes 64 bits and links at a few differing ones. ``drop`` judges likeness itself, for a stage that keeps one document of each group of near copies: its
+fingerprints are longer (three 64-bit words), the two halves of each word are keys of their own, a pair that is within the budget in any
+key is looked at, and linked if all bits together differ in at most ``total`` places. A pair whose sets of five-word shingles are
+80 % alike differs in a tenth of the bits, give or take; 27 of 192 leaves a margin.
+
 Edge cases: a null text counts as empty; a text without words has fingerprint zero and is linked like any other; null ids get a
 component like others and never are its smallest id unless all of it are null; an empty table gives an empty table; repeated rows
 get equal results.
@@ -26,29 +31,38 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_of, without
+from .common import stored, text_of
 
-ADDED = ("fingerprint", "component_id")
 #: Distinct fingerprints below one prefix, about; and node pairs or leaf pairs that a step handles at once.
 UNIT, STEP = 1 << 16, 1 << 20
 LEAST_BITS = 5
 
 
-def fingerprint(words: list[bytes], shingle: int) -> int:
+def fingerprint(words: list[bytes], shingle: int, longs: int = 1) -> list[int]:
+    """longs * 64 bits. Beyond the first 64 the hashes are mixed anew."""
     from xxhash import xxh64_intdigest
 
     if not words:
-        return 0
+        return [0] * longs
     text = b" ".join(words)
     if len(words) < shingle:
-        return xxh64_intdigest(text, 42)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    spans = zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)
-    hashes = np.array([xxh64_intdigest(text[s:e], 42) for s, e in spans], "<u8")
-    each = hashes.view(np.uint8).reshape(-1, 8)
-    ones = np.stack([np.bincount(each[:, k], minlength=256) @ BITS for k in range(8)]).reshape(64)  # from the lowest bit on
-    return sum(1 << i for i in np.flatnonzero(2 * ones > len(hashes)).tolist())
+        hashes = np.array([xxh64_intdigest(text, 42)], "<u8")
+    else:
+        ends = np.cumsum([len(w) + 1 for w in words]) - 1
+        starts = np.concatenate(([0], ends[:-1] + 1))
+        spans = zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)
+        hashes = np.array([xxh64_intdigest(text[s:e], 42) for s, e in spans], "<u8")
+    out = []
+    for k in range(longs):
+        own = hashes
+        if k:
+            own = (own ^ (own >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * k)
+            own = (own ^ (own >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            own ^= own >> np.uint64(32)
+        each = own.view(np.uint8).reshape(-1, 8)
+        ones = np.stack([np.bincount(each[:, j], minlength=256) @ BITS for j in range(8)]).reshape(64)  # from the lowest bit on
+        out.append(sum(1 << i for i in np.flatnonzero(2 * ones > len(own)).tolist()))
+    return out
 
 
 BITS = (np.arange(256)[:, None] >> np.arange(8)) & 1
@@ -60,7 +74,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, text_col: str = "text", id_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [fingerprint(t.as_py().encode("utf-8", "replace").lower().split(), shingle) for t in b.column(1)]
+            found = [fingerprint(t.as_py().encode("utf-8", "replace").lower().split(), shingle)[0] for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], ["id", "fp"])
 
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp long")
@@ -88,7 +102,7 @@ class Forest:
 
 
 def trie_join(left: np.ndarray, right: np.ndarray | None, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (in left, in right) of all pairs within the budget; both sorted and distinct. right None: left with itself, each pair once."""
+    """Places (in left, in right) of all pairs within the budget; both sorted. right None: left with itself, each pair once."""
     own = right is None
     right = left if own else right
     if not len(left) or not len(right):
@@ -199,3 +213,65 @@ def mark(docs: DataFrame, shingle: int = 3, budget: int = 3, text_col: str = "te
     prints = stored(fingerprints(docs, shingle, text_col, id_col), "prints")
     found = classes(prints, budget)
     return prints.join(found, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _long_prints(docs: DataFrame, shingle: int, longs: int, text_col: str, id_col: str) -> DataFrame:
+    """id, th (a hash of the text) and fp (longs * 8 bytes) for each row."""
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("text"), F.xxhash64(text_of(text_col)).alias("th"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [np.array(fingerprint(t.as_py().encode("utf-8", "replace").lower().split(), shingle, longs), "<u8").tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, pa.binary())], ["id", "th", "fp"])
+
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, th long, fp binary")
+
+
+def near_links(distinct: DataFrame, longs: int, budget: int, total: int) -> DataFrame:
+    """Spanning links (a, b) between distinct values of fp (longs * 8 bytes): within budget bits in one of their 32-bit keys, and within total bits altogether."""
+    bits = max(2, int(np.ceil(np.log2(max(distinct.count(), 1) / UNIT))))
+    masks = [sum(1 << i for i in c) for k in range(budget + 1) for c in combinations(range(bits), k)]
+    keys = F.array(*[F.struct(F.lit(k).alias("of"), F.conv(F.hex(F.substring("fp", 4 * k + 1, 4)), 16, 10).cast("long").alias("key")) for k in range(2 * longs)])
+    each = distinct.select("fp", F.explode(keys).alias("k")).select("fp", "k.of", "k.key", F.shiftright("k.key", 32 - bits).alias("own"))
+    dealt = each.withColumn("other", F.col("own").bitwiseXOR(F.explode(F.array(*[F.lit(m).cast("long") for m in masks]))))
+    units = dealt.select("of", F.shiftleft(F.least("own", "other"), bits).bitwiseOR(F.greatest("own", "other")).alias("unit"), (F.col("own") > F.col("other")).alias("right"), "fp", "key")
+
+    def run(t: pa.Table) -> pa.Table:
+        key, is_right = t["key"].to_numpy().astype(np.uint64) << np.uint64(32), t["right"].to_numpy()
+        order = np.lexsort((key, is_right))
+        names = t["fp"].take(pa.array(order))
+        fp = np.frombuffer(b"".join(names.to_pylist()), "<u8").reshape(-1, longs)
+        key, n_left = key[order], int((~is_right).sum())
+        own = t["unit"][0].as_py() >> bits == t["unit"][0].as_py() & ((1 << bits) - 1)
+        forest = Forest(len(fp))
+        for a, b in trie_join(key[:n_left], None if own else key[n_left:], budget):
+            b = b if own else b + n_left
+            apart = forest.root[a] != forest.root[b]
+            a, b = a[apart], b[apart]
+            like = np.bitwise_count(fp[a] ^ fp[b]).sum(1) <= total
+            forest.link(a[like], b[like])
+        linked = np.flatnonzero(forest.root != np.arange(len(fp)))
+        return pa.table({"a": names.take(pa.array(linked)), "b": names.take(pa.array(forest.root[linked]))})
+
+    return units.groupBy("of", "unit").applyInArrow(run, "a binary, b binary")
+
+
+def drop(docs: DataFrame, shingle: int = 3, longs: int = 3, budget: int = 3, total: int = 27, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """docs without all but one row of each group of near copies: that of the smallest id stays (a null id only where there is no other)."""
+    prints = stored(_long_prints(docs, shingle, longs, text_col, id_col), "prints")
+    values = stored(prints.select("fp").distinct(), "values")
+    labels = components(near_links(values, longs, budget, total))
+    groups = prints.join(labels, F.col("fp") == F.col("node"), "left").select(F.coalesce("label", "fp").alias("label"), F.struct(F.col("id").isNull().alias("no_id"), "id", "th").alias("row"))
+    one = groups.groupBy("label", "row").agg(F.count("*").alias("n")).groupBy("label").agg(F.min_by("n", "row").alias("n"), F.min("row").alias("stays"), F.sum("n").alias("all")).filter(F.col("all") > 1)
+    one = stored(one, "stays")
+    same = F.struct(F.col("stays.no_id"), "stays.id", "stays.th")
+    gone = stored(groups.join(one, "label").filter(F.col("row") != same).select("row.*").distinct(), "gone")
+    alike = one.filter("n > 1").select("stays.*")
+    rows = docs.select(F.struct("*").alias("doc"), F.col(f"`{id_col}`").isNull().alias("no_id"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(text_of(text_col)).alias("th"))
+
+    def hit(other: DataFrame, how: str) -> DataFrame:
+        o = other.select(*[F.col(c).alias(f"o_{c}") for c in ("no_id", "id", "th")])
+        return rows.join(o, (F.col("th") == F.col("o_th")) & (F.col("no_id") == F.col("o_no_id")) & F.col("id").eqNullSafe(F.col("o_id")), how)
+
+    repeated = hit(alike, "left_semi").groupBy("no_id", "id", "th").agg(F.first("doc").alias("doc")).select("doc.*")
+    return hit(gone.unionByName(alike), "left_anti").select("doc.*").unionByName(repeated)
