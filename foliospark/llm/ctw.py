@@ -31,7 +31,7 @@ from .common import stored, text_of
 
 END = 0xFF
 #: Bytes that are turned into grams at once; cells of a dense table over which a lookup is cheaper than sorting.
-CHUNK, DENSE = 1 << 22, 1 << 24
+CHUNK, DENSE = 1 << 20, 1 << 25
 HALF = float(np.log(0.5))
 
 
@@ -43,20 +43,27 @@ def framed(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def grams(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct codes of depth + 1 consecutive bytes, and for each place from depth on the number of its code. Codes are ranked anew after each byte, which keeps tables dense."""
-    ids, keys = np.zeros(len(data) - depth, np.int64), np.zeros(1, np.int64)
+    """Distinct codes of depth + 1 consecutive bytes, and for each place from depth on the number of its code. Bytes, and codes after each byte, are ranked anew, which keeps tables dense."""
+    alphabet = np.flatnonzero(np.bincount(data, minlength=256))
+    rank = np.zeros(256, np.int32)
+    rank[alphabet] = np.arange(len(alphabet), dtype=np.int32)
+    letters, width = rank[data], len(alphabet)
+    ids, keys = np.zeros(len(data) - depth, np.int32), np.zeros(1, np.int64)
     for k in range(depth + 1):
-        joint = ids * 256 + data[k : len(data) - depth + k]
-        if len(keys) * 256 <= DENSE:
-            seen = np.zeros(len(keys) * 256, bool)
+        cells = len(keys) * width
+        joint = ids * np.int32(width) if cells <= DENSE else ids.astype(np.int64) * width
+        joint += letters[k : len(data) - depth + k]
+        if cells <= DENSE:
+            seen = np.zeros(cells, bool)
             seen[joint] = True
             found = np.flatnonzero(seen)
-            rank = np.zeros(len(seen), np.int32)
+            rank = np.zeros(cells, np.int32)
             rank[found] = np.arange(len(found), dtype=np.int32)
-            ids = rank[joint].astype(np.int64)
+            ids = rank[joint]
         else:
             found, ids = np.unique(joint, return_inverse=True)
-        keys = keys[found // 256] << 8 | found % 256
+            ids = ids.astype(np.int32)
+        keys = keys[found // width] << 8 | alphabet[found % width]
     return keys, ids
 
 
@@ -220,10 +227,9 @@ def block_scores(depth: int, ends: int, total: int, distinct: int):
         texts = [x.as_py().encode("utf-8", "replace").lower() for x in docs["text"]]
         lines = sent.filter(pc.is_valid(sent["word"]))
         names, counts = lines["word"].to_pylist(), lines["value"].to_numpy()
-        known = {w for w, c in zip(names, counts.tolist(), strict=True) if c > 0}
         norm = total + 0.5 * (distinct + 1)
-        base = dict(zip(names, np.log10((counts + 0.5) / norm).tolist(), strict=True))
-        end = float(np.log10((ends + 0.5) / norm))
+        base = dict(zip(names, [unseen if c == 0 else x for c, x in zip(counts.tolist(), np.log10((counts + 0.5) / norm).tolist(), strict=True)], strict=True))
+        end, unseen = float(np.log10((ends + 0.5) / norm)), float(np.log10(0.5 / norm))
         tail = sent.filter(pc.is_valid(sent["code"]))
         code, value = tail["code"].to_numpy(), tail["value"].to_numpy()
         order = np.argsort(code)
@@ -232,8 +238,9 @@ def block_scores(depth: int, ends: int, total: int, distinct: int):
         for x in texts:
             words = x.split()
             n_tokens.append(len(words) + 1)
-            n_known.append(sum([w in known for w in words]) + (ends > 0))
-            base_score.append(sum([base[w] for w in words]) + end)
+            logs = [base[w] for w in words]
+            n_known.append(len(words) - logs.count(unseen) + (ends > 0))
+            base_score.append(sum(logs) + end)
         for c in chunks(texts):
             data, first = framed(texts[c], depth)
             found, ids = grams(data, depth)

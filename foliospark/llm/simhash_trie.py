@@ -233,7 +233,7 @@ def near_links(distinct: DataFrame, longs: int, budget: int, total: int) -> Data
     masks = [sum(1 << i for i in c) for k in range(budget + 1) for c in combinations(range(bits), k)]
     keys = F.array(*[F.struct(F.lit(k).alias("of"), F.conv(F.hex(F.substring("fp", 4 * k + 1, 4)), 16, 10).cast("long").alias("key")) for k in range(2 * longs)])
     each = distinct.select("fp", F.explode(keys).alias("k")).select("fp", "k.of", "k.key", F.shiftright("k.key", 32 - bits).alias("own"))
-    dealt = each.withColumn("other", F.col("own").bitwiseXOR(F.explode(F.array(*[F.lit(m).cast("long") for m in masks]))))
+    dealt = each.withColumn("mask", F.explode(F.array(*[F.lit(m).cast("long") for m in masks]))).withColumn("other", F.col("own").bitwiseXOR(F.col("mask")))
     units = dealt.select("of", F.shiftleft(F.least("own", "other"), bits).bitwiseOR(F.greatest("own", "other")).alias("unit"), (F.col("own") > F.col("other")).alias("right"), "fp", "key")
 
     def run(t: pa.Table) -> pa.Table:
