@@ -7,7 +7,7 @@ fullest ones, and the one window that remains partly filled is split at powers o
 its task, so nothing is shuffled, no key can be hot and a lost task is simply run again.
 
 White space never enters a token of this tokenizer, so texts are split at ASCII white space and each distinct piece is encoded once
-per worker (the memory for that is bounded by ``CACHED`` pieces); the ids are those of the whole text.
+per worker (it remembers at most twice ``CACHED`` pieces); the ids are those of the whole text.
 
 Edge cases: a null text counts as empty (the end id alone); null and repeated ids pass through, each row is packed; an empty table gives
 an empty table; other input columns aren't returned.
@@ -15,6 +15,7 @@ an empty table; other input columns aren't returned.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 from .common import text_of
 
 SCHEMA = "doc_id {id}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-CACHED = 250_000
+CACHED = 500_000
+CLOSING = b".,!?;:%&*#$|"
 Piece = tuple[int, int, int]  #: document's place in its block, start, length
 
 
@@ -35,28 +37,48 @@ def encoder(path: str, end_id: int) -> Callable[[str], bytes]:
     """Text to ids and the end id, as little-endian unsigned 32-bit numbers."""
     import os
 
-    import numpy as np
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    tokenizer, known = Tokenizer.from_file(path), {}
-    end = np.array([end_id], "<u4").tobytes()
+    tokenizer = Tokenizer.from_file(path)
+    young: dict[bytes, bytes] = {}
+    old: dict[bytes, bytes] = {}
+    end = array("I", [end_id]).tobytes()
+
+    def learn(words: set[bytes]) -> None:
+        parts = {w: _parts(w) for w in words}
+        for w in {p for ps in parts.values() for p in ps if p in old}:
+            young[w] = old[w]
+        new = list({p for ps in parts.values() for p in ps if p not in young})
+        for w, e in zip(new, tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
+            young[w] = array("I", e.ids).tobytes()
+        for w, ps in parts.items():
+            young[w] = b"".join([young[p] for p in ps])
 
     def encode(text: str) -> bytes:
+        nonlocal young, old
         words = text.encode("utf-8", "replace").split()
-        new = {w for w in words if w not in known}
-        if new:
-            if len(known) > CACHED:
-                known.clear()
-                new = set(words)
-            batch = list(new)
-            for w, e in zip(batch, tokenizer.encode_batch_fast([w.decode() for w in batch], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([known[w] for w in words]) + end
+        missing = {w for w in words if w not in young}
+        if missing:
+            if len(young) > CACHED:  # words still in use come back from the old half
+                young, old, missing = {}, young, set(words)
+            learn(missing)
+        return b"".join([young[w] for w in words]) + end
 
     return encode
 
 
+def _parts(word: bytes) -> tuple[bytes, ...]:
+    """The word in lower case, its closing punctuation apart where that follows a letter: the tokenizer cuts there in any case."""
+    if b"<|" in word:  # may hold a special token, which is told by case
+        return (word,)
+    low = word.lower()
+    core = low.rstrip(CLOSING)
+    if core != low and core and (core[-1] < 0x80 and 0x61 <= core[-1] <= 0x7A or core[-1] >= 0x80 and core.decode()[-1].isalpha()):
+        return core, low[len(core) :]
+    return (low,)
+
+
 class Capacities:
     """A segment tree whose leaves are remaining capacities; a node counts the open windows below it."""
 
