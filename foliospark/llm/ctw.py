@@ -257,7 +257,7 @@ def block_scores(depth: int, ends: int, total: int, distinct: int):
     return run
 
 
-def score(docs: DataFrame, held_out: Column, depth: int = 4, block_bytes: int = 1 << 24, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def score(docs: DataFrame, held_out: Column, depth: int = 5, block_bytes: int = 1 << 24, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte. Texts that aren't held_out are learnt from."""
     if not 2 <= depth <= 6:
         raise ValueError("depth must be from 2 to 6")
