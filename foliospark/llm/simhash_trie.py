@@ -14,7 +14,7 @@ exact: every pair of distinct fingerprints within the budget meets in exactly on
 ``mark`` takes 64 bits and links at a few differing ones. ``drop`` judges likeness itself, for a stage that keeps one document of each group of near copies: its
 fingerprints are longer (three 64-bit words), the two halves of each word are keys of their own, a pair that is within the budget in any
 key is looked at, and linked if all bits together differ in at most ``total`` places. A pair whose sets of five-word shingles are
-80 % alike differs in a tenth of the bits, give or take; 27 of 192 leaves a margin.
+80 % alike differs in a tenth of the bits, give or take; 32 of 192 leaves a margin.
 
 Edge cases: a null text counts as empty; a text without words has fingerprint zero and is linked like any other; null ids get a
 component like others and never are its smallest id unless all of it are null; an empty table gives an empty table; repeated rows
@@ -256,7 +256,7 @@ def near_links(distinct: DataFrame, longs: int, budget: int, total: int) -> Data
     return units.groupBy("of", "unit").applyInArrow(run, "a binary, b binary")
 
 
-def drop(docs: DataFrame, shingle: int = 3, longs: int = 3, budget: int = 3, total: int = 27, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def drop(docs: DataFrame, shingle: int = 3, longs: int = 3, budget: int = 3, total: int = 32, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """docs without all but one row of each group of near copies: that of the smallest id stays (a null id only where there is no other)."""
     prints = stored(_long_prints(docs, shingle, longs, text_col, id_col), "prints")
     values = stored(prints.select("fp").distinct(), "values")
