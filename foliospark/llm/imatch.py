@@ -62,7 +62,7 @@ def document_frequency(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def lexicon(docs: DataFrame, least: float = 0.001, most: float = 0.2, text_col: str = "text") -> DataFrame:
     """The terms in the band; its size is bounded as said above."""
     n = docs.count()
-    return document_frequency(docs, text_col).filter(F.col("df").between(least * n, most * n)).select("term")
+    return stored(document_frequency(docs, text_col).filter(F.col("df").between(least * n, most * n)).select("term"), "lexicon")
 
 
 def signer(band: frozenset[bytes], seed: int) -> Callable[[str], tuple[int, ...]]:
