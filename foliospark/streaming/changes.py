@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.formats import extension, is_enabled, is_lock_file, is_other_file, kind_of
 from ..functions.paths import parent, with_ancestors
 from ..operators.scope import in_scope
+from ..sources.work import stored
 
 WRITES, RENAMES = ("create", "modify"), ("rename_from", "rename_to", "rename_both")
 
@@ -71,7 +72,7 @@ def follow_renames(rows: DataFrame, renames: DataFrame) -> DataFrame:
         each = at.withColumn("m_from", F.explode(with_ancestors(F.lower("path"))))
         hit = each.join(moves, "m_from").filter("m_seq > since").groupBy("id").agg(F.min_by(F.struct("m_seq", "path", "since", F.length("m_path").alias("cut"), "path_to"), "m_seq").alias("m"))
         moved = hit.select("id", F.concat("m.path_to", F.expr("substring(m.path, m.cut + 1)")).alias("path"), F.col("m.m_seq").alias("since"))
-        moved = moved.checkpoint() if moved.sparkSession.sparkContext.getCheckpointDir() else moved.persist()
+        moved = stored(moved, "moved")
         rest = at.join(moved.select("id"), "id", "left_anti")
         done = rest if done is None else done.unionByName(rest)
         if moved.isEmpty():
@@ -84,9 +85,9 @@ def apply_batch(catalog: DataFrame, ops: DataFrame, listing: DataFrame | None =
 
     ops: of to_ops(), in scope. Writes of folders (paths in listing's folders) bring everything below them, from listing (path, size, modified_at).
     """
+    ops, known = stored(ops, "ops"), stored(catalog.select("id", "path", "name", "size", "modified_at"), "known")
     writes = ops.filter("op = 'upsert'").select("seq", "path", "size", "modified_at")
     renames, removes = ops.filter("op = 'rename'"), ops.filter("op = 'remove'").select("seq", "path")
-    known = catalog.select("id", "path", "name", "size", "modified_at")
     # A rename whose source isn't known is a write of its target.
     sources = known.select(F.explode(with_ancestors(F.lower("path"))).alias("key")).distinct()
     unknown = renames.withColumn("key", F.lower("path")).join(sources, "key", "left_anti").select("seq", F.col("path_to").alias("path"), "size", "modified_at")
