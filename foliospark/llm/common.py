@@ -38,6 +38,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sized(table: DataFrame, most_rows: int = 500_000) -> DataFrame:
+    """A stored table of narrow rows (ids and hashes), to be broadcast if it has at most most_rows; beyond that a join shuffles."""
+    return F.broadcast(table) if table.count() <= most_rows else table
+
+
 def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 

@@ -121,21 +121,18 @@ def block_keys(depth: int):
     return run
 
 
-def log_gamma_half(n: np.ndarray) -> np.ndarray:
-    """log gamma(n + 1/2) for whole n >= 0: by Stirling's series, after five steps up for accuracy."""
-    x = n + 0.5
-    steps = sum(np.log(x + k) for k in range(5))
-    z = x + 5
-    return (z - 0.5) * np.log(z) - z + 0.5 * np.log(2 * np.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - steps
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """For x > 0, by Stirling's series, eight steps up for accuracy."""
+    rise = x
+    for k in range(1, 8):
+        rise = rise * (x + k)
+    z = x + 8
+    return (z - 0.5) * np.log(z) - z + 0.5 * np.log(2 * np.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - np.log(rise)
 
 
 def kt_block(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     """Log of the Krichevsky-Trofimov probability of n0 zeros and n1 ones, in any order: gamma(n0+1/2) gamma(n1+1/2) / (pi (n0+n1)!)."""
-    x = n0 + n1 + 1.0  # gamma(x) by the same series
-    steps = sum(np.log(x + k) for k in range(5))
-    z = x + 5
-    whole = (z - 0.5) * np.log(z) - z + 0.5 * np.log(2 * np.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - steps
-    return log_gamma_half(n0) + log_gamma_half(n1) - np.log(np.pi) - whole
+    return log_gamma(n0 + 0.5) + log_gamma(n1 + 0.5) - np.log(np.pi) - log_gamma(n0 + n1 + 1.0)
 
 
 class Level:

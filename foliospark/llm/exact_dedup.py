@@ -4,7 +4,8 @@ Texts are equal when they are identical after each run of ASCII white space beca
 Only keys travel in the first shuffle (16-byte hash, id); texts are moved for members of groups of two
 or more alone, where they are aggregated by (hash, text), so copies collapse before the shuffle and a
 group that holds a third of all rows is one partial row per task. Two texts that share a 128-bit hash fall into
-different classes there.
+different classes there. The tables of repeated hashes and of groups are broadcast while they are small (their rows are counted), so texts then aren't
+shuffled to be matched with them.
 
 Edge cases: a null text counts as empty; null ids sort after all others, a group of null ids only keeps a null id;
 rows that share the kept id are told apart by a hash of the whole row, and rows alike in every column are all marked
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_of, without
+from .common import sized, stored, text_of, without
 
 ADDED = ("keep_id", "group_size", "kept", "text_sha256")
 
@@ -36,14 +37,14 @@ def _keyed(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
 def classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per distinct text that occurs at least twice: key, sha (of the text), id and row_hash of the row that stays, group_size."""
     keys = _keyed(docs, text_col, id_col).select("key")
-    repeated = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    repeated = sized(stored(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "repeated"))
     members = _keyed(docs, text_col, id_col).select("key", "norm", "id", "row_hash").join(repeated, "key", "left_semi")
     rep = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row_hash"))
     return members.groupBy("key", "norm").agg(rep.alias("rep"), F.count("*").alias("group_size")).select("key", F.sha2("norm", 256).alias("sha"), "rep.id", "rep.row_hash", "group_size")
 
 
 def _joined(docs: DataFrame, text_col: str, id_col: str, found: DataFrame) -> DataFrame:
-    found = found.select("key", "sha", F.struct("id", "row_hash", "group_size").alias("rep"))
+    found = sized(found.select("key", "sha", F.struct("id", "row_hash", "group_size").alias("rep")))
     rows = _keyed(docs, text_col, id_col).withColumn("sha", F.sha2("norm", 256)).drop("norm")
     same = F.col("rep.id").eqNullSafe(F.col("id")) & (F.col("rep.row_hash") == F.col("row_hash"))
     return rows.join(found, ["key", "sha"], "left").withColumn("kept", F.col("rep").isNull() | same)

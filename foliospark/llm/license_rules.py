@@ -26,8 +26,8 @@ ADDED = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels"
 NOT_WORD, WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: The contract's phrases and their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-#: A text that holds none of these (lower-cased) holds no word that a rule is gated by.
-ANCHORS = ("licen", "spdx", "copyright", "copyleft", "public domain", "warranty", "creative commons", "rights reserved")
+#: Every match of a rule holds one of these (or two words of CC), lower-cased; single words, as anything may stand between words.
+ANCHORS = ("licen", "under", "governed", "subject", "warranty", "permission", "redistribut", "endorse", "unencumbered", "waived", "domain", "reserved")
 CC = r"(?i)cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by"
 
 
