@@ -5,8 +5,8 @@ number of copies from a Poisson distribution with that mean: a uniform number se
 distribution function, so reruns and lost executors give the same copies. Copies are exploded and the rows are dealt over the
 cluster in the order of a second hash: random partition, random place in it.
 
-All steps are rows and aggregates by source (partial sums before the shuffle; the rates join as a table with one row per source, whose hot
-side Spark splits). Nothing is collected.
+All steps are rows and aggregates by source (partial sums before the shuffle). The rates, one row per source, are broadcast up to 100,000 sources; beyond
+that they are joined, and Spark splits a hot source's side. Nothing is collected.
 
 Edge cases: a null source is a source of its own; targets None means equal shares for all sources present; a source
 that the targets don't name has weight 0 and gives no copies; repeated rows draw alike, so their copies are told apart by
@@ -20,7 +20,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, without
+from .common import sized, stored, text_of, without
 
 ADDED = ("rate", "copies", "copy", "shuffle_key")
 #: Of a hexadecimal md5, so many digits make the uniform number: 52 bits.
@@ -65,7 +65,7 @@ def rates(docs: DataFrame, targets: Mapping[str | None, float] | None, epochs: f
 def mix(docs: DataFrame, targets: Mapping[str | None, float] | None = None, epochs: float = 1.0, seed: int = 42, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", shuffle: bool = True) -> DataFrame:
     """docs' rows as often as they were drawn, with rate, copies, copy (from 0) and shuffle_key (rising within each partition)."""
     ident = [F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.md5(text_of(text_col).cast("binary"))]
-    by = rates(docs, targets, epochs, source_col)
+    by = sized(stored(rates(docs, targets, epochs, source_col), "rates"), 100_000)
     rows = docs.select(F.struct(*without(docs, *ADDED)).alias("row"), F.col(f"`{source_col}`").cast("string").alias("s"), *[c.alias(f"i{k}") for k, c in enumerate(ident)])
     drawn = rows.join(by, F.col("s").eqNullSafe(F.col("source"))).withColumn("copies", poisson_inverse(uniform(F.lit(str(seed)), F.col("i0"), F.col("i1")), F.col("rate"))).filter("copies > 0")
     copies = drawn.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
