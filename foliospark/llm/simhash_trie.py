@@ -8,7 +8,7 @@ split the corpus, so prefixes are of like size. Inside a unit the traversal is v
 is cut into pieces of bounded size and walked depth first.
 
 A unit emits a spanning forest of the links it found (at most one row per fingerprint), never all pairs of a dense group, and
-the forests' union is resolved by distributed label propagation with shortcuts, on stored tables. The links are
+the forests' union is resolved by distributed contraction of edges, on stored tables. The links are
 exact: every pair of distinct fingerprints within the budget meets in exactly one unit.
 
 ``mark`` takes 64 bits and links at a few differing ones. ``drop`` judges likeness itself, for a stage that keeps one document of each group of near copies: its
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_of
+from .common import sized, stored, text_of
 
 #: Distinct fingerprints below one prefix, about; and node pairs or leaf pairs that a step handles at once.
 UNIT, STEP = 1 << 16, 1 << 20
@@ -186,17 +186,30 @@ def links(distinct: DataFrame, budget: int = 3) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and label (the component's smallest node) for all nodes of the edges (a, b). Each round takes the neighbours' smallest label and then the label's label."""
-    edges = stored(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = stored(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("label")), "labels")
-    while True:
-        seen = edges.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
-        hooked = labels.join(seen, F.col("node") == F.col("a")).select("node", F.col("label").alias("before"), F.least("label", "near").alias("label"))
-        up = labels.select(F.col("node").alias("up"), F.col("label").alias("up_label"))
-        new = stored(hooked.join(up, F.col("label") == F.col("up")).select("node", "before", F.least("label", "up_label").alias("label")), "labels")
-        if new.filter("label <> before").isEmpty():
-            return new.select("node", "label")
-        labels = new.select("node", "label")
+    """node and label (the component's smallest node) for all nodes of the edges (a, b).
+
+    Each round hooks every node that has a smaller neighbour to the smallest one, follows the hooks to their ends, and contracts the edges; the
+    number of nodes with edges at least halves.
+    """
+
+    def ordered(e: DataFrame) -> DataFrame:
+        return e.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+    edges = stored(ordered(edges), "edges")
+    labels = stored(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node")), "labels")
+    while not edges.isEmpty():
+        hooks = stored(edges.groupBy("a").agg(F.min("b").alias("up")), "hooks")
+        while True:
+            further = hooks.select(F.col("a").alias("up"), F.col("up").alias("further"))
+            new = stored(hooks.join(further, "up", "left").select("a", F.coalesce("further", "up").alias("up"), F.col("further").isNotNull().alias("moved")), "hooks")
+            if new.filter("moved").isEmpty():
+                break
+            hooks = new.select("a", "up")
+        to = hooks.select(F.col("a").alias("at"), "up")
+        labels = stored(labels.join(to, F.col("label") == F.col("at"), "left").select("node", F.coalesce("up", "label").alias("label")), "labels")
+        left = edges.join(to, F.col("a") == F.col("at")).select(F.col("up").alias("a"), "b")
+        edges = stored(ordered(left.join(to, F.col("b") == F.col("at"), "left").select("a", F.coalesce("up", "b").alias("b"))), "edges")
+    return labels
 
 
 def classes(prints: DataFrame, budget: int = 3) -> DataFrame:
@@ -266,7 +279,7 @@ def drop(docs: DataFrame, shingle: int = 3, longs: int = 3, budget: int = 3, tot
     one = stored(one, "stays")
     same = F.struct(F.col("stays.no_id"), "stays.id", "stays.th")
     gone = stored(groups.join(one, "label").filter(F.col("row") != same).select("row.*").distinct(), "gone")
-    alike = one.filter("n > 1").select("stays.*")
+    alike = sized(stored(one.filter("n > 1").select("stays.*"), "alike"))
     rows = docs.select(F.struct("*").alias("doc"), F.col(f"`{id_col}`").isNull().alias("no_id"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(text_of(text_col)).alias("th"))
 
     def hit(other: DataFrame, how: str) -> DataFrame:
@@ -274,4 +287,4 @@ def drop(docs: DataFrame, shingle: int = 3, longs: int = 3, budget: int = 3, tot
         return rows.join(o, (F.col("th") == F.col("o_th")) & (F.col("no_id") == F.col("o_no_id")) & F.col("id").eqNullSafe(F.col("o_id")), how)
 
     repeated = hit(alike, "left_semi").groupBy("no_id", "id", "th").agg(F.first("doc").alias("doc")).select("doc.*")
-    return hit(gone.unionByName(alike), "left_anti").select("doc.*").unionByName(repeated)
+    return hit(sized(stored(gone.unionByName(alike), "out")), "left_anti").select("doc.*").unionByName(repeated)

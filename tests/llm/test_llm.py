@@ -180,7 +180,7 @@ def test_license_rules(spark):
     texts = [
         "Released under the MIT License.", "Licensed under the Apache License, Version 2.0. CC-BY-NC cc by nc", "under the KIT license", "x " * 500 + "UNDER\nTHE (MIT) license under the mit license",
         "SPDX-License-Identifier: GPL-3.0", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "ünder the mit license", "cc bync", "NULL", "", LONG,
-        "under the mit\u212aicense license", "CC BY NC-SA 4.0", "Released\nunder MIT", "All\nrights reserved", "governed by (the) ISC",
+        "under the mit\u212aicense license", "licensed under CC BY NC-SA 4.0", "Released\nunder MIT", "All\nrights reserved", "governed by (the) ISC",
     ]
     got = {r["doc_id"]: r for r in license_rules.scan(docs(spark, texts)).collect()}
     phrases = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
