@@ -140,7 +140,7 @@ def _leaves(left: np.ndarray, right: np.ndarray, own: bool, budget: int, al: np.
     ends = np.cumsum(sizes)
     start = 0
     while start < len(sizes):
-        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + 4 * STEP, "right")))
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + STEP, "right")))
         n, of = sizes[start:stop], slice(start, stop)
         at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         width = np.repeat((bh - bl)[of], n)
