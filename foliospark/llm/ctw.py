@@ -31,7 +31,7 @@ from .common import stored, text_of
 
 END = 0xFF
 #: Bytes that are turned into grams at once; cells of a dense table over which a lookup is cheaper than sorting.
-CHUNK, DENSE = 1 << 20, 1 << 25
+CHUNK, DENSE = 1 << 19, 1 << 24
 HALF = float(np.log(0.5))
 
 
