@@ -11,10 +11,11 @@ A unit emits a spanning forest of the links it found (at most one row per finger
 the forests' union is resolved by distributed contraction of edges, on stored tables. The links are
 exact: every pair of distinct fingerprints within the budget meets in exactly one unit.
 
-``mark`` takes 64 bits and links at a few differing ones. ``drop`` judges likeness itself, for a stage that keeps one document of each group of near copies: its
-fingerprints are longer (three 64-bit words), the two halves of each word are keys of their own, a pair that is within the budget in any
-key is looked at, and linked if all bits together differ in at most ``total`` places. A pair whose sets of five-word shingles are
-80 % alike differs in a tenth of the bits, give or take; 32 of 192 leaves a margin.
+``mark`` takes 64 bits and links at a few differing ones. ``drop`` keeps one document of each group of near copies, where two texts are near copies if
+their sets of five-word shingles have a Jaccard likeness of 0.8 or more. Longer fingerprints of these shingles only propose pairs: 16 keys of 32 bits, of which one must
+differ in at most ``budget`` places, and 192 more bits that may differ in at most ``total``. At 0.8 a bit differs with a chance of 0.15, so a key passes with 0.45 (all 16 fail:
+6 in 100,000), and 54 of 192 is five standard deviations above the mean. Each link is then checked on the texts themselves. A unit emits a spanning forest of its proposed pairs
+first; where a check fails, the proposed pairs between groups not joined yet are all looked at, so that no failed pair hides another one.
 
 Edge cases: a null text counts as empty; a text without words has fingerprint zero and is linked like any other; null ids get a
 component like others and never are its smallest id unless all of it are null; an empty table gives an empty table; repeated rows
@@ -36,6 +37,8 @@ from .common import sized, stored, text_of
 #: Distinct fingerprints below one prefix, about; and node pairs or leaf pairs that a step handles at once.
 UNIT, STEP = 1 << 16, 1 << 20
 LEAST_BITS = 5
+#: Of the long fingerprints: 64-bit words that are compared as a whole, and 32-bit keys.
+LONGS, KEYS = 3, 16
 
 
 def fingerprint(words: list[bytes], shingle: int, longs: int = 1) -> list[int]:
@@ -228,63 +231,171 @@ def mark(docs: DataFrame, shingle: int = 3, budget: int = 3, text_col: str = "te
     return prints.join(found, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _long_prints(docs: DataFrame, shingle: int, longs: int, text_col: str, id_col: str) -> DataFrame:
-    """id, th (a hash of the text) and fp (longs * 8 bytes) for each row."""
+def shingles(words: list[bytes], shingle: int) -> set[bytes]:
+    """Of fewer words than a shingle has, the text itself."""
+    if len(words) < shingle:
+        return {b" ".join(words)} if words else set()
+    return {b" ".join(words[k : k + shingle]) for k in range(len(words) - shingle + 1)}
+
+
+def words_of(text: str) -> list[bytes]:
+    return text.encode("utf-8", "replace").lower().split()
+
+
+def jaccard(a: set[bytes], b: set[bytes]) -> float:
+    both = len(a & b)
+    return both / (len(a) + len(b) - both) if a or b else 1.0
+
+
+def long_print(words: list[bytes], shingle: int, longs: int) -> np.ndarray:
+    """longs * 64 bits of the distinct shingles, as 64-bit words."""
+    from xxhash import xxh64_intdigest
+
+    if not words:
+        return np.zeros(longs, "<u8")
+    hashes = np.unique(np.array([xxh64_intdigest(x, 42) for x in shingles(words, shingle)], "<u8"))
+    out = []
+    for k in range(longs):
+        own = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * k)
+        own = (own ^ (own >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        own ^= own >> np.uint64(32)
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(own), 1 << 14):
+            ones += np.unpackbits(own[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.uint16)
+        out.append(np.packbits(2 * ones > len(own), bitorder="little").view("<u8")[0])
+    return np.array(out, "<u8")
+
+
+def _long_prints(docs: DataFrame, shingle: int, text_col: str, id_col: str) -> DataFrame:
+    """id, th (a hash of the text), node (a hash of its words), keys (16 of 4 bytes) and fp (LONGS * 8 bytes) for each row."""
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("text"), F.xxhash64(text_of(text_col)).alias("th"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
         for b in batches:
-            found = [np.array(fingerprint(t.as_py().encode("utf-8", "replace").lower().split(), shingle, longs), "<u8").tobytes() for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, pa.binary())], ["id", "th", "fp"])
+            nodes, keys, fps = [], [], []
+            for t in b.column(1):
+                words = words_of(t.as_py())
+                nodes.append(xxh64_intdigest(b" ".join(words), 7))
+                found = long_print(words, shingle, LONGS + KEYS // 2)
+                fps.append(found[:LONGS].tobytes())
+                keys.append(found[LONGS:].tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(keys, pa.binary()), pa.array(fps, pa.binary())], ["id", "th", "node", "keys", "fp"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, th long, fp binary")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, th long, node long, keys binary, fp binary")
 
 
-def near_links(distinct: DataFrame, longs: int, budget: int, total: int) -> DataFrame:
-    """Spanning links (a, b) between distinct values of fp (longs * 8 bytes): within budget bits in one of their 32-bit keys, and within total bits altogether."""
-    bits = max(2, int(np.ceil(np.log2(max(distinct.count(), 1) / UNIT))))
+def near_pairs(nodes: DataFrame, budget: int, total: int, every: bool) -> DataFrame:
+    """Proposed pairs (a, b) of nodes (node, label, keys, fp) of different labels: within budget bits in a key and within total bits of fp.
+
+    Not every: per unit a spanning forest of them, of pairs as near as possible.
+    """
+    bits = max(2, int(np.ceil(np.log2(max(nodes.count(), 1) / UNIT))))
     masks = [sum(1 << i for i in c) for k in range(budget + 1) for c in combinations(range(bits), k)]
-    keys = F.array(*[F.struct(F.lit(k).alias("of"), F.conv(F.hex(F.substring("fp", 4 * k + 1, 4)), 16, 10).cast("long").alias("key")) for k in range(2 * longs)])
-    each = distinct.select("fp", F.explode(keys).alias("k")).select("fp", "k.of", "k.key", F.shiftright("k.key", 32 - bits).alias("own"))
+    keys = F.array(*[F.struct(F.lit(k).alias("of"), F.conv(F.hex(F.substring("keys", 4 * k + 1, 4)), 16, 10).cast("long").alias("key")) for k in range(KEYS)])
+    each = nodes.select("node", "label", "fp", F.explode(keys).alias("k")).select("node", "label", "fp", "k.of", "k.key", F.shiftright("k.key", 32 - bits).alias("own"))
     dealt = each.withColumn("mask", F.explode(F.array(*[F.lit(m).cast("long") for m in masks]))).withColumn("other", F.col("own").bitwiseXOR(F.col("mask")))
-    units = dealt.select("of", F.shiftleft(F.least("own", "other"), bits).bitwiseOR(F.greatest("own", "other")).alias("unit"), (F.col("own") > F.col("other")).alias("right"), "fp", "key")
+    units = dealt.select("of", F.shiftleft(F.least("own", "other"), bits).bitwiseOR(F.greatest("own", "other")).alias("unit"), (F.col("own") > F.col("other")).alias("right"), "node", "label", "key", "fp")
 
     def run(t: pa.Table) -> pa.Table:
         key, is_right = t["key"].to_numpy().astype(np.uint64) << np.uint64(32), t["right"].to_numpy()
         order = np.lexsort((key, is_right))
-        names = t["fp"].take(pa.array(order))
-        fp = np.frombuffer(b"".join(names.to_pylist()), "<u8").reshape(-1, longs)
-        key, n_left = key[order], int((~is_right).sum())
+        fp = np.frombuffer(b"".join(t["fp"].to_pylist()), "<u8").reshape(-1, LONGS)[order]
+        node, label, key, n_left = t["node"].to_numpy()[order], t["label"].to_numpy()[order], key[order], int((~is_right).sum())
         own = t["unit"][0].as_py() >> bits == t["unit"][0].as_py() & ((1 << bits) - 1)
         forest = Forest(len(fp))
+        firsts, at = np.unique(label, return_index=True)
+        forest.link(np.arange(len(fp)), at[np.searchsorted(firsts, label)])
+        out = []
         for a, b in trie_join(key[:n_left], None if own else key[n_left:], budget):
             b = b if own else b + n_left
             apart = forest.root[a] != forest.root[b]
             a, b = a[apart], b[apart]
-            like = np.bitwise_count(fp[a] ^ fp[b]).sum(1) <= total
-            forest.link(a[like], b[like])
-        linked = np.flatnonzero(forest.root != np.arange(len(fp)))
-        return pa.table({"a": names.take(pa.array(linked)), "b": names.take(pa.array(forest.root[linked]))})
-
-    return units.groupBy("of", "unit").applyInArrow(run, "a binary, b binary")
-
+            differ = np.bitwise_count(fp[a] ^ fp[b]).sum(1)
+            near = differ <= total
+            a, b, differ = a[near], b[near], differ[near]
+            if every:
+                out.append((a, b, differ))
+                continue
+            nearest = np.argsort(differ, kind="stable")
+            a, b, differ = a[nearest], b[nearest], differ[nearest]
+            while len(a):
+                _, first = np.unique(np.maximum(forest.root[a], forest.root[b]), return_index=True)  # each hooks onto a smaller one: no rings
+                out.append((a[first], b[first], differ[first]))
+                forest.link(a[first], b[first])
+                apart = forest.root[a] != forest.root[b]
+                a, b, differ = a[apart], b[apart], differ[apart]
+        a, b, differ = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+        a, b = node[a], node[b]
+        return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b), "differ": differ.astype(np.int32)})
+
+    return units.groupBy("of", "unit").applyInArrow(run, "a long, b long, differ int").distinct()
+
+
+def alike(pairs: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, least: float, text_col: str) -> DataFrame:
+    """Those of the pairs (a, b; stored) whose texts' shingle sets have a likeness of least or more."""
+    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(reps.select("node", "rep"), "node")
+    named = sized(stored(named, "named"))
+    texts = docs.select(F.xxhash64(text_of(text_col)).alias("rep"), text_of(text_col).alias("text")).join(named, "rep").groupBy("node").agg(F.first("text").alias("text"))
+    texts = stored(texts, "texts")
+    left = texts.join(sized(pairs.select("a", "b")), F.col("node") == F.col("a")).select("a", "b", F.col("text").alias("one"))
+    both = left.join(texts, F.col("node") == F.col("b")).select("a", "b", "one", F.col("text").alias("other"))
 
-def drop(docs: DataFrame, shingle: int = 3, longs: int = 3, budget: int = 3, total: int = 32, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            like = [jaccard(shingles(words_of(x.as_py()), shingle), shingles(words_of(y.as_py()), shingle)) >= least for x, y in zip(b.column(2), b.column(3), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(like, pa.bool_()))
+
+    return stored(both.mapInArrow(run, "a long, b long"), "alike")
+
+
+def near_copies(nodes: DataFrame, docs: DataFrame, shingle: int, least: float, budget: int, total: int, text_col: str) -> DataFrame:
+    """node and label (the smallest node of its group) for the nodes (node, rep, keys, fp; stored) that have near copies."""
+    proposed = stored(near_pairs(nodes.withColumn("label", F.col("node")), budget, total, False), "proposed")
+    nearest = stored(proposed.groupBy("a").agg(F.min_by("b", F.struct("differ", "b")).alias("b")), "nearest")
+    sure = alike(nearest, nodes, docs, shingle, least, text_col)
+    labels = components(sure)
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        """Without those within one group."""
+        of = [labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "ab"]
+        joined = pairs.join(of[0], "a", "left").join(of[1], "b", "left")
+        return joined.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+
+    rest = stored(apart(proposed.join(nearest, ["a", "b"], "left_anti")), "rest")
+    tried = nearest.select("a", "b").unionByName(rest)
+    if not rest.isEmpty():
+        sure = sure.unionByName(alike(rest, nodes, docs, shingle, least, text_col))
+        labels = components(sure)
+    failed = stored(apart(tried).distinct(), "failed")
+    if failed.isEmpty():
+        return labels
+    # All nodes of a group of proposed pairs within which a check failed; others are joined as far as they can be.
+    groups = components(proposed.select("a", "b"))
+    open_ = groups.join(failed.select(F.col("a").alias("node")), "node", "left_semi").select("label").distinct()
+    mixed = groups.join(open_, "label", "left_semi").select("node")
+    again = stored(nodes.join(mixed, "node", "left_semi").join(labels, "node", "left").select("node", "rep", "keys", "fp", F.coalesce("label", "node").alias("label")), "again")
+    more = stored(near_pairs(again, budget, total, True).select("a", "b").join(tried, ["a", "b"], "left_anti"), "more")
+    return components(sure.unionByName(alike(more, nodes, docs, shingle, least, text_col))) if not more.isEmpty() else labels
+
+
+def drop(docs: DataFrame, shingle: int = 5, least: float = 0.8, budget: int = 4, total: int = 54, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """docs without all but one row of each group of near copies: that of the smallest id stays (a null id only where there is no other)."""
-    prints = stored(_long_prints(docs, shingle, longs, text_col, id_col), "prints")
-    values = stored(prints.select("fp").distinct(), "values")
-    labels = components(near_links(values, longs, budget, total))
-    groups = prints.join(labels, F.col("fp") == F.col("node"), "left").select(F.coalesce("label", "fp").alias("label"), F.struct(F.col("id").isNull().alias("no_id"), "id", "th").alias("row"))
+    prints = stored(_long_prints(docs, shingle, text_col, id_col), "prints")
+    nodes = stored(prints.groupBy("node").agg(F.min_by(F.struct("th", "keys", "fp"), "th").alias("x")).select("node", F.col("x.th").alias("rep"), "x.keys", "x.fp"), "nodes")
+    labels = near_copies(nodes, docs, shingle, least, budget, total, text_col)
+    groups = prints.join(labels, "node", "left").select(F.coalesce("label", "node").alias("label"), F.struct(F.col("id").isNull().alias("no_id"), "id", "th").alias("row"))
     one = groups.groupBy("label", "row").agg(F.count("*").alias("n")).groupBy("label").agg(F.min_by("n", "row").alias("n"), F.min("row").alias("stays"), F.sum("n").alias("all")).filter(F.col("all") > 1)
     one = stored(one, "stays")
     same = F.struct(F.col("stays.no_id"), "stays.id", "stays.th")
     gone = stored(groups.join(one, "label").filter(F.col("row") != same).select("row.*").distinct(), "gone")
-    alike = sized(stored(one.filter("n > 1").select("stays.*"), "alike"))
+    again = sized(stored(one.filter("n > 1").select("stays.*"), "again"))
     rows = docs.select(F.struct("*").alias("doc"), F.col(f"`{id_col}`").isNull().alias("no_id"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(text_of(text_col)).alias("th"))
 
     def hit(other: DataFrame, how: str) -> DataFrame:
         o = other.select(*[F.col(c).alias(f"o_{c}") for c in ("no_id", "id", "th")])
         return rows.join(o, (F.col("th") == F.col("o_th")) & (F.col("no_id") == F.col("o_no_id")) & F.col("id").eqNullSafe(F.col("o_id")), how)
 
-    repeated = hit(alike, "left_semi").groupBy("no_id", "id", "th").agg(F.first("doc").alias("doc")).select("doc.*")
-    return hit(sized(stored(gone.unionByName(alike), "out")), "left_anti").select("doc.*").unionByName(repeated)
+    repeated = hit(again, "left_semi").groupBy("no_id", "id", "th").agg(F.first("doc").alias("doc")).select("doc.*")
+    return hit(sized(stored(gone.unionByName(again), "out")), "left_anti").select("doc.*").unionByName(repeated)

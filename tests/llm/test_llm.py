@@ -342,6 +342,46 @@ def test_near_copies_are_dropped(spark):
     assert simhash_trie.drop(docs(spark, [])).count() == 0
 
 
+def changed(draw, words, how, likeness):
+    """A copy with one passage changed, of about that five-word Jaccard likeness."""
+    n, fresh = len(words), lambda k: [f"n{draw.randrange(10**6)}" for _ in range(k)]
+    at = draw.randrange(n // 2)
+    if how == "appended":
+        return words + fresh(int(n * (1 / likeness - 1)))
+    if how == "cut":
+        return words[: int(n * likeness) + 3]
+    k = int(n * (1 - likeness) / (1 + likeness)) - 4
+    return words[:at] + fresh(k) + words[at + k :]
+
+
+def test_near_copies_by_likeness(spark):
+    draw = random.Random(9)
+    texts, pairs = [], []
+    for how in ("appended", "cut", "replaced"):
+        for k in range(200):
+            base = [f"w{draw.randrange(3000)}" for _ in range(draw.randrange(150, 600))]
+            texts += [" ".join(base), " ".join(changed(draw, base, how, (0.74, 0.805, 0.83)[k % 3]))]
+            pairs.append((len(texts) - 2, how))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    kept = {r["doc_id"] for r in simhash_trie.drop(docs(spark, texts)).select("doc_id").collect()}
+    found = Counter()
+    for i, how in pairs:
+        near = len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) >= 0.8
+        found[how, near, i + 1 not in kept] += 1
+        assert i in kept and (near or i + 1 in kept)
+    for how in ("appended", "cut", "replaced"):
+        assert found[how, True, True] >= 100 and found[how, True, False] == 0 and found[how, False, False] >= 50, found
+
+
+def test_failed_pair_hides_no_other(spark):
+    draw = random.Random(10)
+    base = [f"w{draw.randrange(3000)}" for _ in range(400)]
+    halves = [base[:200] + [f"x{k}_{draw.randrange(9**9)}" for _ in range(60)] + base[260:] for k in range(12)]  # 0.74 to base, less to each other
+    texts = [" ".join(x) for h in halves for x in (h, h[:390])]
+    kept = {r["doc_id"] for r in simhash_trie.drop(docs(spark, [" ".join(base), *texts])).select("doc_id").collect()}
+    assert kept == {0, *range(1, 25, 2)}
+
+
 # --- pipeline
 
 
