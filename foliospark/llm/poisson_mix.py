@@ -2,7 +2,7 @@
 
 The mean repetition rate of a source is (its target share) / (its share of the corpus) times ``epochs``. Each document draws its
 number of copies from a Poisson distribution with that mean: a uniform number seeded by md5(seed, id, text hash) is put through the inverse
-distribution function, so reruns and lost executors give the same copies. Copies are exploded and the rows are dealt over the
+distribution function, so reruns and lost executors give the same copies; a mean over 700 is drawn in parts, as a sum of Poisson numbers is one. Copies are exploded and the rows are dealt over the
 cluster in the order of a second hash: random partition, random place in it.
 
 All steps are rows and aggregates by source (partial sums before the shuffle). The rates, one row per source, are broadcast up to 100,000 sources; beyond
@@ -25,8 +25,8 @@ from .common import sized, stored, text_of, without
 ADDED = ("rate", "copies", "copy", "shuffle_key")
 #: Of a hexadecimal md5, so many digits make the uniform number: 52 bits.
 DIGITS = 13
-#: exp(-rate) must be a normal double. A larger rate is an error, not a smaller number of copies.
-MOST_RATE = 700.0
+#: exp(-rate) must be a normal double. A larger rate is drawn as a sum of independent draws of equal rates up to PIECE.
+MOST_RATE, PIECE = 700.0, 500.0
 
 
 def uniform(*parts: Column) -> Column:
@@ -36,8 +36,7 @@ def uniform(*parts: Column) -> Column:
 
 
 def poisson_inverse(u: Column, rate: Column) -> Column:
-    """The smallest k with P(X <= k) >= u for X of mean rate. The walk ends at mean + 12 sigma + 30, past which no double below 1 reaches."""
-    rate = F.when(rate > MOST_RATE, F.raise_error(F.lit(f"a repetition rate over {MOST_RATE} isn't supported"))).otherwise(rate)
+    """The smallest k with P(X <= k) >= u for X of mean rate, up to MOST_RATE. The walk ends at mean + 12 sigma + 30, past which no double below 1 reaches."""
     most = (rate + 12 * F.sqrt(rate) + 30).cast("int")
     start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("cdf"), F.lit(0).alias("k"))
 
@@ -48,6 +47,14 @@ def poisson_inverse(u: Column, rate: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), most), start, step, lambda a: a["k"])
 
 
+def drawn(rate: Column, *parts: Column) -> Column:
+    """A Poisson number of mean rate, seeded by the parts; beyond MOST_RATE a sum of such numbers, each with a seed of its own."""
+    pieces = F.ceil(rate / PIECE)
+    several = F.transform(F.sequence(F.lit(1).cast("long"), pieces), lambda j: poisson_inverse(uniform(*parts, F.concat(F.lit("part"), j.cast("string"))), rate / pieces))
+    total = F.aggregate(several, F.lit(0).cast("long"), lambda a, k: a + k)
+    return F.when(rate > MOST_RATE, total).otherwise(poisson_inverse(uniform(*parts), rate).cast("long"))
+
+
 def rates(docs: DataFrame, targets: Mapping[str | None, float] | None, epochs: float, source_col: str = "source") -> DataFrame:
     """One row per source: source, n, rate."""
     by = docs.groupBy(F.col(f"`{source_col}`").cast("string").alias("source")).agg(F.count("*").alias("n"))
@@ -67,8 +74,8 @@ def mix(docs: DataFrame, targets: Mapping[str | None, float] | None = None, epoc
     ident = [F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.md5(text_of(text_col).cast("binary"))]
     by = sized(stored(rates(docs, targets, epochs, source_col), "rates"), 100_000)
     rows = docs.select(F.struct(*without(docs, *ADDED)).alias("row"), F.col(f"`{source_col}`").cast("string").alias("s"), *[c.alias(f"i{k}") for k, c in enumerate(ident)])
-    drawn = rows.join(by, F.col("s").eqNullSafe(F.col("source"))).withColumn("copies", poisson_inverse(uniform(F.lit(str(seed)), F.col("i0"), F.col("i1")), F.col("rate"))).filter("copies > 0")
-    copies = drawn.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    rated = rows.join(by, F.col("s").eqNullSafe(F.col("source"))).withColumn("copies", drawn(F.col("rate"), F.lit(str(seed)), F.col("i0"), F.col("i1")).cast("int")).filter("copies > 0")
+    copies = rated.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(f"order{seed}"), "i0", "i1", F.col("copy").cast("string"))))
     out = keyed.select("row.*", "rate", "copies", "copy", "shuffle_key")
     return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key") if shuffle else out

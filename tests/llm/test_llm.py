@@ -122,6 +122,17 @@ def test_poisson_inverse_and_mix(spark):
     assert poisson_mix.mix(docs(spark, [])).count() == 0 and poisson_mix.mix(docs(spark, ODD), epochs=3.0).count() >= 0
 
 
+def test_a_small_source_beside_many_rows(spark):
+    many = spark.range(30_000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"), F.when(F.col("id") == 7, "rare").when(F.col("id").between(10, 12), "few").otherwise("big").alias("source"))
+    out = poisson_mix.mix(many).select("doc_id", "source", "rate", "copies", "copy", "shuffle_key")
+    by = {r["source"]: r["n"] for r in out.groupBy("source").agg(F.count("*").alias("n")).collect()}
+    assert all(abs(by[s] - 10_000) < 600 for s in ("rare", "few", "big"))
+    rare = out.filter("source = 'rare'")
+    assert rare.first()["rate"] == 10_000 and {r["copy"] for r in rare.collect()} == set(range(by["rare"])) and rare.select("shuffle_key").distinct().count() == by["rare"] == rare.first()["copies"]
+    ids = spark.range(2000).select(poisson_mix.drawn(F.lit(1300.0), F.col("id").cast("string")).alias("k")).agg(F.avg("k").alias("m"), F.variance("k").alias("v")).first()
+    assert abs(ids["m"] - 1300) < 5 and abs(ids["v"] / 1300 - 1) < 0.15
+
+
 # --- 3, 8
 
 
