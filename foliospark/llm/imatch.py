@@ -1,10 +1,11 @@
 """I-Match fingerprints: distinct terms of a text within a band of document frequency, sorted, hashed over randomised subsets of the lexicon.
 
-The lexicon holds the corpus's terms with document frequency from ``least`` to ``most`` of all documents (so inverse document frequency from
--ln(most) to -ln(least)). All documents have at most (number of documents) * (mean number of distinct terms) term places, so at most
+The lexicon holds the corpus's terms with document frequency, over distinct texts, from ``least`` to ``most`` of these (so inverse document frequency from
+-ln(most) to -ln(least)). All texts have at most (number of texts) * (mean number of distinct terms) term places, so at most
 (mean distinct terms) / least terms can be in the band, whatever the size of the corpus: that bound is what lets it be broadcast. Each of the random
 sublexicons keeps a term with its own probability, halving from one half down, so that texts of any length keep a few terms in some
-of them. A sublexicon's signature is a hash of the kept terms in sorted order, 0 if none; equal texts have equal signatures. Likeness of two
+of them. A sublexicon's signature is a hash of the kept terms in sorted order, 0 if none; equal texts have equal signatures. A text of which no sublexicon keeps a term
+gets signatures of all its own terms in sorted order (of the text itself if it has none). Likeness of two
 fingerprints: equal signatures over those that aren't 0 in both; 1 if all are.
 
 Edge cases: a null text counts as empty (all signatures 0); an empty table gives an empty table; other input columns aren't used.
@@ -14,15 +15,14 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, text_of
+from .common import sized, stored, text_of
 
 TERM = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Sublexicons of each keeping probability 1/2, 1/4, ... 1/2**HALVINGS; terms of which a task remembers the sublexicons.
@@ -36,33 +36,51 @@ def terms(text: str) -> set[bytes]:
     return set(TERM.findall(text.encode("utf-8", "replace").lower()))
 
 
-def document_frequency(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """term (binary) and df (documents that hold it)."""
+def document_frequency(docs: DataFrame, text_col: str = "text", contents: DataFrame | None = None) -> DataFrame:
+    """term (binary) and df (distinct texts that hold it). contents: the stored ``contents_of`` docs.
+
+    Each of n copies counts 1/n; these add up to whole numbers, which rounding restores.
+    """
+    contents = contents_of(docs, text_col) if contents is None else contents
+    repeated = sized(stored(contents.filter("n > 1"), "repeated"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count: Counter[bytes] = Counter()
+        count: dict[bytes, float] = {}
 
         def flush() -> Iterator[pa.RecordBatch]:
             names = list(count)
             for k in range(0, len(names), 100_000):
                 part = names[k : k + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([count[t] for t in part], pa.int64())], ["term", "df"])
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([count[t] for t in part], pa.float64())], ["term", "df"])
             count.clear()
 
         for b in batches:
-            for t in b.column(0):
-                count.update(terms(t.as_py()))
+            for t, n in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                share = 1.0 / n
+                for term in terms(t.as_py()):
+                    count[term] = count.get(term, 0.0) + share
                 if len(count) > HELD:
                     yield from flush()
         yield from flush()
 
-    return docs.select(text_of(text_col).alias("text")).mapInArrow(run, "term binary, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    rows = docs.select(text_of(text_col).alias("text")).join(repeated, _content("text") == F.col("content"), "left").select("text", F.coalesce("n", F.lit(1).cast("long")).alias("n"))
+    return rows.mapInArrow(run, "term binary, df double").groupBy("term").agg(F.round(F.sum("df")).cast("long").alias("df"))
+
+
+def _content(text_col: str) -> Column:
+    return F.unhex(F.md5(text_of(text_col).cast("binary")))
+
+
+def contents_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """content (a hash) and n (rows) of each distinct text."""
+    return stored(docs.select(_content(text_col).alias("content")).groupBy("content").agg(F.count("*").alias("n")), "contents")
 
 
 def lexicon(docs: DataFrame, least: float = 0.001, most: float = 0.2, text_col: str = "text") -> DataFrame:
     """The terms in the band; its size is bounded as said above."""
-    n = docs.count()
-    return stored(document_frequency(docs, text_col).filter(F.col("df").between(least * n, most * n)).select("term"), "lexicon")
+    contents = contents_of(docs, text_col)
+    n = contents.count()
+    return stored(document_frequency(docs, text_col, contents).filter(F.col("df").between(least * n, most * n)).select("term"), "lexicon")
 
 
 def signer(band: frozenset[bytes], seed: int) -> Callable[[str], tuple[int, ...]]:
@@ -80,7 +98,8 @@ def signer(band: frozenset[bytes], seed: int) -> Callable[[str], tuple[int, ...]
 
     def sign(text: str) -> tuple[int, ...]:
         kept: list[list[bytes]] = [[] for _ in range(SIZE)]
-        for t in sorted(terms(text) & band):
+        every = terms(text)
+        for t in sorted(every & band):
             own = of.get(t)
             if own is None:
                 if len(of) > REMEMBERED:
@@ -88,6 +107,9 @@ def signer(band: frozenset[bytes], seed: int) -> Callable[[str], tuple[int, ...]
                 own = of[t] = subsets(t)
             for k in own:
                 kept[k].append(t)
+        if text and not any(kept):
+            own_terms = b"\0" + (b" ".join(sorted(every)) or b"\0" + text.encode("utf-8", "replace"))
+            return tuple([xxh64_intdigest(own_terms, seed + k) % 65535 + 1 for k in range(SIZE)])
         return tuple([xxh64_intdigest(b" ".join(ts), seed) % 65535 + 1 if ts else 0 for ts in kept])
 
     return sign

@@ -284,6 +284,18 @@ def test_imatch(spark):
     assert imatch.compare_with_next(docs(spark, [])).count() == 0 and imatch.compare_with_next(docs(spark, ["NOID"])).count() == 1
 
 
+def test_imatch_band_with_a_hot_text(spark):
+    draw = random.Random(12)
+    texts = [" ".join(draw.choice([f"w{k}" for k in range(1500)]) for _ in range(80)) for _ in range(600)]
+    short = ["A.", "De.", "This.", "!", "?", "A.", "NULL", ""]
+    alone = {bytes(r["term"]) for r in imatch.lexicon(docs(spark, texts + short)).collect()}
+    many = docs(spark, texts + short + [texts[3]] * 400)
+    assert {bytes(r["term"]) for r in imatch.lexicon(many).collect()} == alone and len(alone) > 1000
+    got = {r["doc_id"]: r["fingerprint"] for r in imatch.fingerprints(many).collect()}
+    assert got[600] == got[605] and len({got[k] for k in range(600, 605)} | {got[3]}) == 6 and got[3] == got[700]
+    assert {got[606], got[607]} == {"0000" * imatch.SIZE} and "0000" * imatch.SIZE not in {v for k, v in got.items() if k not in (606, 607)}
+
+
 # --- 10
 
 
