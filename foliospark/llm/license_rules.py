@@ -1,7 +1,7 @@
 """License scans by ordered signature rules, in DataFrame functions only.
 
 A rule is a regular expression over a text's words (letters, digits and all beyond ASCII, A-Z lower-cased, one space between
-words), gated by a keyword that the text must hold. Rules are generated from a table of license names and a table of
+words), gated by keywords of which every match of it holds one. Rules are generated from a table of license names and a table of
 phrasings around a name, besides hand-written ones. Detections are intervals of words. Of two detections, the one whose interval lies within the
 other's is suppressed; of equal intervals the rule of higher priority stays, then the earlier rule. Three base phrases are
 always reported.
@@ -33,7 +33,7 @@ CC = r"(?i)cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by"
 
 class Rule(NamedTuple):
     label: str
-    keyword: str
+    keyword: str  # or several, with | between them
     regex: str
     priority: int
     weight: float
@@ -67,11 +67,17 @@ NAMES = (
     ("sleepycat", "sleepycat", "sleepycat"), ("postgresql", "postgresql", "postgresql"), ("ncsa", "(?:ncsa|university of illinois ncsa open source)", "ncsa"), ("ofl-1.1", "(?:sil )?(?:open font license|ofl)(?: version)?(?: 1 1)?", "o"), ("odbl-1.0", "(?:open database license|odbl)(?: v?1 0)?", "od"), ("odc-by-1.0", "(?:odc by|open data commons attribution)(?: license)?(?: v?1 0)?", "od"), ("pddl-1.0", "(?:pddl|public domain dedication and license)(?: 1 0)?", "p"),
     ("afl-3.0", "(?:academic free license|afl)(?: v| version)?(?: 3 0)?", "a"), ("osl-3.0", "(?:open software license|osl)(?: v| version)?(?: 3 0)?", "o"), ("ms-pl", "(?:microsoft public license|ms pl)", "m"), ("ms-rl", "(?:microsoft reciprocal license|ms rl)", "m"), ("sspl-1.0", "(?:server side public license|sspl)(?: v?1)?", "s"), ("elastic-2.0", "elastic license(?: 2 0)?", "elastic"), ("upl-1.0", "(?:universal permissive license|upl)(?: v?1 0)?", "u"), ("vim", "vim", "vim"), ("beerware", "beer ?ware", "beer"),
 )
-#: Pattern around a name ({}), priority, weight, the gate where the name's keyword isn't selective.
+#: For names whose keyword isn't selective: of these, every match of the name holds one (a space stands before each name).
+HOLDS = {
+    "gpl": " gpl|general public license", "lgpl": " lgpl|general public license", "agpl": " agpl|affero", "mpl": " mpl|mozilla public", "epl": " epl|eclipse public", "cddl": " cddl|common development", "eupl": " eupl|european union",
+    "cc0": " cc0|creative commons| cc zero", "cc": " cc by|creative commons", "wtfpl": " wtfpl|what the fuck", "bsl": " bsl|boost software", "psf": " psf|python software", "ofl": " ofl|open font", "odbl": " odbl|open database", "odc": " odc by|open data commons",
+    "pddl": " pddl|public domain dedication", "afl": " afl|academic free", "osl": " osl|open software", "ms": " ms pl| ms rl|microsoft", "sspl": " sspl|server side", "upl": " upl|universal permissive",
+}
+#: Pattern around a name ({}), priority, weight, the gate where the name's keyword isn't selective (None: what the name holds).
 PHRASINGS = (
     (" (?:spdx )?license identifier {}(?: only| or later)?", 50, 1.0, "identifier"),
     (" (?:(?:is |are )?(?:re)?licensed|(?:re)?released|distributed|published|available|provided|covered|made available) under (?:the )?(?:terms of (?:the )?)?{}(?: licen[cs]e)?(?: or (?:any )?later(?: version)?)?", 40, 0.9, "under"),
-    (" (?:under|subject to|governed by) (?:the )?(?:terms (?:and conditions )?of (?:the )?)?{}(?: licen[cs]e)?", 30, 0.7, "licen"),
+    (" (?:under|subject to|governed by) (?:the )?(?:terms (?:and conditions )?of (?:the )?)?{}(?: licen[cs]e)?", 30, 0.7, None),
     (" licen[cs]e {}", 20, 0.6, "licen"),
     (" {} licen[cs]e", 20, 0.6, "licen"),
 )
@@ -87,7 +93,7 @@ HAND_WRITTEN = (
     Rule("agpl", "redistribute", " you can redistribute it and or modify it under the terms of the gnu affero general public license", 60, 1.0),
     Rule("mpl-2.0", "source", " this source code form is subject to the terms of the mozilla public license", 60, 1.0),
     Rule("unlicense", "public domain", " this is free and unencumbered software released into the public domain", 60, 1.0),
-    Rule("cc0-1.0", "public domain", " (?:has )?waived all copyright and related or neighboring rights", 60, 1.0),
+    Rule("cc0-1.0", "waived", " (?:has )?waived all copyright and related or neighboring rights", 60, 1.0),
     Rule("public-domain", "public domain", " (?:placed in|released into|dedicated to|released to) the public domain", 40, 0.8),
     Rule("proprietary", "rights reserved", " all rights reserved", 10, 0.3), Rule("proprietary", "licen", " proprietary (?:and confidential )?licen[cs]e", 20, 0.5),
     Rule("warranty-disclaimer", "warranty", " without warranty of any kind", 10, 0.2),
@@ -97,7 +103,7 @@ BASE_RULES = tuple(Rule(label, phrase.split()[-1 if label == "cc-by-nc" else 0],
 
 
 def rules() -> list[Rule]:
-    made = [Rule(label, gate if len(key) < 3 else key, around.format(name), priority, weight) for label, name, key in NAMES for around, priority, weight, gate in PHRASINGS]
+    made = [Rule(label, (gate or HOLDS[label.partition("-")[0]]) if len(key) < 3 else key, around.format(name), priority, weight) for label, name, key in NAMES for around, priority, weight, gate in PHRASINGS]
     return [*BASE_RULES, *HAND_WRITTEN, *made]
 
 
@@ -119,12 +125,12 @@ def places(words: Column, regex: Column) -> Column:
 
 
 def _rule_array(these: list[Rule]) -> Column:
-    return F.array(*[F.struct(F.lit(k).alias("rule"), F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(f"{r.regex}(?= )").alias("regex"), F.lit(r.priority).alias("priority"), F.lit(r.weight).alias("weight"), F.lit(r in BASE_RULES).alias("base")) for k, r in enumerate(these)])
+    return F.array(*[F.struct(F.lit(k).alias("rule"), F.lit(r.label).alias("label"), F.array(*[F.lit(w) for w in r.keyword.split("|")]).alias("keywords"), F.lit(f"{r.regex}(?= )").alias("regex"), F.lit(r.priority).alias("priority"), F.lit(r.weight).alias("weight"), F.lit(r in BASE_RULES).alias("base")) for k, r in enumerate(these)])
 
 
 def detections(words: Column, these: list[Rule]) -> Column:
     """All detections of the rules, before suppression."""
-    gated = F.filter(_rule_array(these), lambda r: F.contains(words, r["keyword"]))
+    gated = F.filter(_rule_array(these), lambda r: F.exists(r["keywords"], lambda w: F.contains(words, w)))
     hits = F.transform(gated, lambda r: F.transform(places(words, r["regex"]), lambda p: F.struct(p["first"].alias("first"), p["last"].alias("last"), r["rule"].alias("rule"), r["label"].alias("label"), r["priority"].alias("priority"), r["weight"].alias("weight"), r["base"].alias("base"))))
     return F.flatten(hits)
 

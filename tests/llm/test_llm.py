@@ -206,6 +206,41 @@ def test_license_rules(spark):
     assert len(license_rules.rules()) > 300 and license_rules.scan(docs(spark, [])).count() == 0
 
 
+def sample(draw, parsed) -> str:
+    """A text that a rule's regular expression matches."""
+    out = []
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            out.append(chr(arg))
+        elif op in ("NOT_LITERAL", "ANY"):
+            out.append("q")
+        elif op == "IN":
+            kind, x = draw.choice(arg)
+            out.append("q" if str(kind) == "NEGATE" or str(arg[0][0]) == "NEGATE" else chr(draw.randint(*x) if str(kind) == "RANGE" else x))
+        elif op == "BRANCH":
+            out.append(sample(draw, draw.choice(arg[1])))
+        elif op == "SUBPATTERN":
+            out.append(sample(draw, arg[3]))
+        elif op == "MAX_REPEAT":
+            out += [sample(draw, arg[2]) for _ in range(draw.randint(arg[0], min(arg[1], arg[0] + 1)))]
+        else:
+            raise ValueError(op)
+    return "".join(out)
+
+
+def test_gates_drop_no_match(spark):
+    draw = random.Random(11)
+    for rule in license_rules.rules():
+        for _ in range(60):
+            text = sample(draw, re._parser.parse(rule.regex))
+            assert re.fullmatch(rule.regex, text) and any(w in text for w in rule.keyword.split("|")), (rule, text)
+            assert any(a in text for a in license_rules.ANCHORS) or re.search(license_rules.CC, text), (rule, text)
+    texts = ["To the extent possible under law, X has waived all copyright and related or neighboring rights to Y", "subject to the terms of the MPL 2.0", "this work is under CC BY-SA 4.0", "governed by the GNU GPL v3", "a simple example under review"]
+    got = {r["doc_id"]: r["labels"] for r in license_rules.scan(docs(spark, texts)).collect()}
+    assert got == {0: "cc0-1.0", 1: "mpl-2.0", 2: "cc-by-sa", 3: "gpl-3", 4: ""}
+
+
 # --- 6
 
 
