@@ -190,7 +190,7 @@ def _(s, d):
 
 @query("txt1_normalized", r"SELECT doc_id AS id, rtrim(substr(trim(regexp_replace(text, '[\s\p{Z}\p{Cc}]+', ' ', 'g')), 1, 300)) AS body FROM documents")
 def _(s, d):
-    return texts(s, d).select("id", t.normalized(F.col("body"), 300).alias("body"))
+    return texts(s, d).select("id", t.normalized(F.col("body")).alias("body"))
 
 
 @query("txt3_txt6_extraction", r"SELECT doc_id AS id, CASE WHEN doc_id % 3 = 2 THEN 3 WHEN doc_id % 3 = 1 THEN 2 ELSE 1 END AS status, CASE WHEN doc_id % 3 = 0 THEN trim(regexp_replace(text, '[\s\p{Z}\p{Cc}]+', ' ', 'g')) END AS text FROM documents")

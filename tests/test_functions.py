@@ -77,3 +77,12 @@ def test_paths(spark):
     assert values(spark, [("/a/b/c",)], "p string", a=paths.ancestors(F.col("p")), w=paths.below(F.lit("/a"), F.col("p"))) == [(["/a", "/a/b"], ["b"])]
     low, high = paths.prefix_bounds("/A/b/")
     assert low <= "/a/b/x" < high and not low <= "/a/bc" < high and not low <= "/a/b" < high
+
+
+def test_normalized_query_keeps_whole_texts(spark, tmp_path):
+    from foliospark.plans import search_queries
+
+    rows = [(1, "word  " * 400), (2, "x" * 200_001)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["id"]: r["body"] for r in search_queries.Q["txt1_normalized"](spark, str(tmp_path)).collect()}
+    assert got == {1: ("word " * 400).strip(), 2: "x" * 200_000}
