@@ -163,12 +163,12 @@ def mirrored(pages: DataFrame, rules: dict[str, str], url_col: str = "url", cont
     rows = with_rules(pages, rules, url_col).select(F.concat("host", "path").alias("key"), "verdict", F.sha2(F.col(f"`{content_col}`").cast("binary"), 256).alias("content"))
     blocked = rows.filter("verdict = 'block'")
     same = rows.join(blocked.filter("content IS NOT NULL").select("content").distinct(), "content", "left_semi")
-    return blocked.select("key").unionByName(same.select("key")).distinct()
+    return blocked.select("key").unionByName(same.select("key")).filter("key <> ''").distinct()  # pages without a url share the empty key
 
 
 def judge(pages: DataFrame, rules: dict[str, str], listed: DataFrame, url_col: str = "url", max_bytes: int = 1 << 26) -> DataFrame:
     """pages with host, path, rule and verdict: the rule's, else block for keys (host and path) that are listed, else allow. listed: column key."""
     rows = with_rules(pages, rules, url_col).withColumn("key", F.concat("host", "path"))
     found = mark_listed(rows, listed, "key", "_is_listed", max_bytes)
-    verdict = F.coalesce("verdict", F.when(F.col("_is_listed"), F.lit("block")).otherwise(F.lit("allow")))
+    verdict = F.coalesce("verdict", F.when(F.col("_is_listed") & (F.col("key") != ""), F.lit("block")).otherwise(F.lit("allow")))
     return found.select(*[c for c in found.columns if c not in ("key", "_is_listed", "verdict")], verdict.alias("verdict"))

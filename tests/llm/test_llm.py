@@ -179,6 +179,15 @@ def test_url_rules(spark):
     assert got[4] == ("c.net", "/copy", None, "block") and got[5] == ("c.net", "", None, "allow") and got[6] == got[7] == ("", "", None, "allow") and got[8][1:] == ("", None, "allow") and got[9][:2] == ("h.com", "")
 
 
+def test_pages_without_url_share_no_verdict(spark):
+    rules = {"com/de/": "block"}
+    pages = spark.createDataFrame([(1, "https://b.com/de/1", "m"), (2, None, "m"), (3, None, "q"), (4, "no url", "r")], "page_id long, url string, html string")
+    listed = url_cascade.mirrored(pages, rules)
+    assert {r["key"] for r in listed.collect()} == {"b.com/de/1"}
+    for some in (listed, listed.unionByName(spark.createDataFrame([("",)], "key string"))):
+        assert {r["page_id"]: r["verdict"] for r in url_cascade.judge(pages, rules, some).collect()} == {1: "block", 2: "allow", 3: "allow", 4: "allow"}
+
+
 # --- 5
 
 
