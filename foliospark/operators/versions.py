@@ -8,15 +8,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.work import file_system
+
 
 def _versions(spark: SparkSession, path: str) -> list[str]:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    folder = hadoop.Path(path)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, folder, make = file_system(spark, path)
     if not fs.exists(folder):
         return []
     names = sorted(s.getPath().getName() for s in fs.listStatus(folder) if s.isDirectory())
-    return [n for n in names if fs.exists(hadoop.Path(f"{path}/{n}/_SUCCESS"))]
+    return [n for n in names if fs.exists(make(f"{path}/{n}/_SUCCESS"))]
 
 
 def current(spark: SparkSession, path: str) -> DataFrame | None:
