@@ -6,14 +6,18 @@ deeper nodes are mixed with the weights of context-tree weighting (one half for
 well each coded the training texts). A text's score is the log10 probability of its bytes, A-Z lower-cased, and an end symbol, 0xFF, which UTF-8
 never has; before its first byte a text has a context of such symbols.
 
-How it runs. Documents are dealt to blocks of a bounded number of bytes by a hash. A block gives its distinct words and byte
+How it runs. Texts, long ones in pieces, are dealt to blocks of a bounded number of bytes by a hash. A block gives its distinct words and byte
 grams (context and byte) with training counts. These are summed over the corpus by key; the counts of shorter contexts follow from the
-longest ones'. The tree is cut by the last two context bytes: each such subtree is computed in one vectorised call and the nodes above
-(depth 0 and 1: at most 257 * 255, a bound of the method) are shared by all. Every gram of the corpus so gets its code length once, and
-only the keys that a block has travel back to it. Nothing that grows with the corpus is broadcast or collected.
+longest ones'. The tree is cut at depth 3: subtrees below it are dealt to buckets, which are computed in one vectorised call each, their roots likewise by the
+last two context bytes, and the nodes above (depth 0 and 1: at most 257 * 255, a bound of the method) are shared by all. Every gram of the corpus so gets its
+code length once, and only the keys that a block has travel back to it. What is broadcast is counted first, and joined where it is too large.
+
+Memory. A block has at most ``block_bytes`` of text and ``block_grams`` distinct grams: where texts are so varied that a block has more, blocks are made
+smaller and counted again. A subtree below depth 3 has at most 2**24 grams, a bound of the method.
 
 Edge cases: a null text counts as empty (the end alone); a null id's fold is that of the empty text; repeated rows are scored and counted each;
-without training texts all counts are zero; an empty table gives an empty table; other input columns aren't used.
+very long texts are scored in pieces that see the bytes before them, and words that run over a piece's end are counted whole; without training texts all counts are zero;
+an empty table gives an empty table; other input columns aren't used.
 """
 
 from __future__ import annotations
@@ -24,99 +28,139 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_of
+from .common import discard, sized, stored, text_of
 
-END = 0xFF
-#: Bytes that are turned into grams at once; cells of a dense table over which a lookup is cheaper than sorting.
-CHUNK, DENSE = 1 << 19, 1 << 24
+END = b"\xff"
+#: Bytes that are turned into grams at once, in counting and in scoring; a long text's pieces; words longer than this go by a digest.
+COUNTED, SCORED, PIECE, LONG_WORD = 1 << 22, 1 << 19, 1 << 20, 64
 HALF = float(np.log(0.5))
+#: White space at which tokens end, as bytes.split() has it.
+SPACE = b" \t\n\v\f\r"
+
+
+def word_key(word: bytes) -> bytes:
+    """The word itself, or a space (which no word has) and its digest."""
+    from xxhash import xxh3_128_digest
+
+    return word if len(word) <= LONG_WORD else b" " + xxh3_128_digest(word)
+
+
+def pieces(text: bytes, depth: int, size: int) -> Iterator[tuple[bytes, bytes, int, bytes | None]]:
+    """Of a text: the bytes before a piece, its bytes, how its words are cut (1: the first began before, 2: the last runs on, 3: both), and the key of a word that begins here and runs on."""
+    start, into = 0, False
+    while True:
+        stop = min(start + size, len(text))
+        if stop < len(text):
+            gap = max(text.rfind(c, start + size // 2, stop) for c in [bytes([x]) for x in SPACE])
+            stop = gap + 1 if gap >= 0 else stop
+        on = 0 < stop < len(text) and text[stop - 1] not in SPACE and text[stop] not in SPACE
+        own = None
+        if on:
+            begin = max(text.rfind(bytes([x]), start, stop) for x in SPACE) + 1 or start
+            if not (into and begin == start):
+                ends = [k for k in (text.find(bytes([x]), stop) for x in SPACE) if k >= 0]
+                own = word_key(text[begin : min(ends, default=len(text))])
+        yield (END * depth + text[max(0, start - depth) : start])[-depth:], text[start:stop], into + 2 * on, own
+        if stop == len(text):
+            return
+        start, into = stop, on
+
+
+def words_of(data: bytes, cut: int, own: bytes | None) -> list[bytes]:
+    """Keys of the words that begin in a piece."""
+    words = data.split()
+    if cut & 1:
+        del words[:1]
+    if cut & 2 and words:
+        del words[-1:]
+    if own is not None:
+        words.append(own)
+    return [w if len(w) <= LONG_WORD else word_key(w) for w in words] if len(data) > LONG_WORD else words
+
+
+def framed(befores: list[bytes], parts: list[bytes], lasts: list[bool], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of depth + 1 consecutive bytes of the parts after one another, each behind the bytes before it and, if last, before an end; and for each part the place and number of its codes. Between two parts there are depth codes of none."""
+    data = np.frombuffer(b"".join(x for b, t, end in zip(befores, parts, lasts, strict=True) for x in (b, t, END if end else b"")), np.uint8)
+    size = np.array([len(t) for t in parts], np.int64) + np.array(lasts, np.int64)
+    codes = np.zeros(max(0, len(data) - depth), np.int64)
+    for j in range(depth + 1):
+        codes <<= 8
+        codes |= data[j : len(data) - depth + j]
+    return codes, np.cumsum(size + depth) - size - depth, size
+
+
+def lumps(sizes: list[int], most: int) -> Iterator[slice]:
+    start = total = 0
+    for k, n in enumerate(sizes):
+        total += n + 1
+        if total >= most or k + 1 == len(sizes):
+            yield slice(start, k + 1)
+            start, total = k + 1, 0
 
 
-def framed(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The texts after one another, each behind depth end symbols and before one; and the place of each text's first scored byte."""
-    pad = bytes([END]) * depth
-    ends = np.cumsum([depth + len(t) + 1 for t in texts])
-    return np.frombuffer(b"".join(x for t in texts for x in (pad, t, pad[:1] or bytes([END]))), np.uint8), np.concatenate(([0], ends[:-1])) + depth
-
-
-def grams(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct codes of depth + 1 consecutive bytes, and for each place from depth on the number of its code. Bytes, and codes after each byte, are ranked anew, which keeps tables dense."""
-    alphabet = np.flatnonzero(np.bincount(data, minlength=256))
-    rank = np.zeros(256, np.int32)
-    rank[alphabet] = np.arange(len(alphabet), dtype=np.int32)
-    letters, width = rank[data], len(alphabet)
-    ids, keys = np.zeros(len(data) - depth, np.int32), np.zeros(1, np.int64)
-    for k in range(depth + 1):
-        cells = len(keys) * width
-        joint = ids * np.int32(width) if cells <= DENSE else ids.astype(np.int64) * width
-        joint += letters[k : len(data) - depth + k]
-        if cells <= DENSE:
-            seen = np.zeros(cells, bool)
-            seen[joint] = True
-            found = np.flatnonzero(seen)
-            rank = np.zeros(cells, np.int32)
-            rank[found] = np.arange(len(found), dtype=np.int32)
-            ids = rank[joint]
-        else:
-            found, ids = np.unique(joint, return_inverse=True)
-            ids = ids.astype(np.int32)
-        keys = keys[found // width] << 8 | alphabet[found % width]
-    return keys, ids
-
-
-def chunks(texts: list[bytes]) -> Iterator[slice]:
-    start = size = 0
-    for k, t in enumerate(texts):
-        size += len(t) + 1
-        if size >= CHUNK or k + 1 == len(texts):
-            yield slice(start, k + 1)
-            start, size = k + 1, 0
+def summed(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in order, with sums."""
+    order = np.argsort(codes)
+    codes, n = codes[order], n[order]
+    starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(codes)), bool), codes[1:] != codes[:-1])))
+    return codes[starts], np.add.reduceat(n, starts) if len(starts) else n[:0]
 
 
-def block_keys(depth: int):
-    """Of a block's texts: its distinct words and grams, each with its count in training texts."""
+def grams_of(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    codes = np.sort(codes)
+    starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(codes)), bool), codes[1:] != codes[:-1])))
+    return codes[starts], np.diff(np.append(starts, len(codes)))
 
-    def run(t: pa.Table) -> pa.Table:
-        block = t["block"][0].as_py()
-        texts = [x.as_py().encode("utf-8", "replace").lower() for x in t["text"]]
-        train = ~t["held_out"].to_numpy()
+
+KEYS = "block long, word binary, code long, n long"
+
+
+def block_keys(depth: int, held_most: int = 1 << 21):
+    """Of a block's pieces: its distinct words and grams, each with its count in training texts. More than held_most are handed on in parts."""
+
+    def rows(block: int, words: list[bytes] | None, codes: np.ndarray | None, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(n), 1 << 17):
+            some, size = slice(k, k + (1 << 17)), len(n[k : k + (1 << 17)])
+            word = pa.nulls(size, pa.binary()) if words is None else pa.array(words[some], pa.binary())
+            code = pa.nulls(size, pa.int64()) if codes is None else pa.array(codes[some])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(size, block, np.int64)), word, code, pa.array(n[some].astype(np.int64))], ["block", "word", "code", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter[bytes] = Counter()
-        rest: set[bytes] = set()
-        for x, used in zip(texts, train.tolist(), strict=True):
-            if used:
-                words.update(x.split())
-            else:
-                rest.update(x.split())
-        rest.difference_update(words)
-        codes, counts = [], []
-        for c in chunks(texts):
-            data, first = framed(texts[c], depth)
-            found, ids = grams(data, depth)
-            weight = np.zeros(len(data) + 1, np.int32)
-            ends = np.array([len(x) + 1 for x in texts[c]])
-            used = train[c].astype(np.int32)
-            np.add.at(weight, first, used)
-            np.add.at(weight, first + ends, -used)
-            scored = np.zeros(len(data) + 1, np.int32)
-            np.add.at(scored, first, 1)
-            np.add.at(scored, first + ends, -1)
-            inside = np.cumsum(scored)[depth:-1] > 0
-            n = np.bincount(ids[inside], np.cumsum(weight)[depth:-1][inside], len(found))
-            has = np.bincount(ids[inside], minlength=len(found)) > 0
-            codes.append(found[has])
-            counts.append(n[has])
-        code, of = np.unique(np.concatenate(codes), return_inverse=True)
-        n = np.bincount(of, np.concatenate(counts)).astype(np.int64)
-        held = list(words) + list(rest)
-        return pa.table({  # the last row has the number of training texts
-            "block": pa.array(np.full(len(held) + len(code) + 1, block, np.int64)),
-            "word": pa.array([*held, *[None] * (len(code) + 1)], pa.binary()),
-            "code": pa.concat_arrays([pa.nulls(len(held), pa.int64()), pa.array(code, pa.int64()), pa.nulls(1, pa.int64())]),
-            "n": pa.array(np.concatenate([np.array([*words.values(), *[0] * len(rest)], np.int64), n, [int(train.sum())]])),
-        })
+        codes, n, texts, block = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, 0
+        for b in batches:
+            block = b["block"][0].as_py() if len(b) else block
+            sizes = pc.binary_length(b["data"]).to_pylist()
+            for of in lumps(sizes, COUNTED):
+                c = b.slice(of.start, of.stop - of.start)
+                before, data, last, cut, own, used = (c[x].to_pylist() for x in ("before", "data", "last", "cut", "own", "used"))
+                texts += sum(x and y for x, y in zip(used, last, strict=True))
+                for t, k, w, u in zip(data, cut, own, used, strict=True):
+                    found = words_of(t.lower(), k, w)
+                    if u:
+                        words.update(found)
+                    else:
+                        words.update(dict.fromkeys(found, 0))
+                if len(words) > held_most:
+                    yield from rows(block, list(words), None, np.fromiter(words.values(), np.int64, len(words)))
+                    words.clear()
+                every, at, size = framed([x.lower() for x in before], [x.lower() for x in data], last, depth)
+                for some in (True, False):
+                    inside = np.zeros(len(every) + 1, np.int8)
+                    mine = np.array(used) == some
+                    np.add.at(inside, at[mine], 1)
+                    np.add.at(inside, (at + size)[mine], -1)
+                    new, count = grams_of(every[np.cumsum(inside, dtype=np.int8)[:-1] > 0])
+                    codes, n = summed(np.concatenate((codes, new)), np.concatenate((n, count * some)))
+                if len(codes) > held_most:
+                    yield from rows(block, None, codes, n)
+                    codes, n = codes[:0], n[:0]
+        yield from rows(block, list(words), None, np.fromiter(words.values(), np.int64, len(words)))
+        yield from rows(block, None, codes, n)
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([texts], pa.int64())], ["block", "word", "code", "n"])  # the number of training texts
 
     return run
 
@@ -170,18 +214,34 @@ def levels(code: np.ndarray, n: np.ndarray, bit: int, depth: int, least: int) ->
     return out
 
 
-def subtree_roots(depth: int):
-    """Of the grams with like last two context bytes: the nodes at depth 2."""
+def subtree_roots(depth: int, cut: int):
+    """Of grams in whole subtrees: the subtrees' roots, at depth cut."""
 
     def run(t: pa.Table) -> pa.Table:
         code, n = t["code"].to_numpy(), t["n"].to_numpy()
-        tops = [levels(code, n, bit, depth, 2)[-1] for bit in range(8)]
-        return pa.table({k: np.concatenate([getattr(x, k) for x in tops]) for k in ("keys", "n0", "n1", "weighted")})
+        roots = [levels(code, n, bit, depth, cut)[-1] for bit in range(8)]
+        return pa.table({k: np.concatenate([getattr(x, k) for x in roots]) for k in ("keys", "n0", "n1", "weighted")})
 
     return run
 
 
-def top_nodes(roots: list[tuple[int, float, float, float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def second(t: pa.Table) -> tuple[Level, np.ndarray]:
+    """From nodes at depth 3: those at depth 2."""
+    keys = t["keys"].to_numpy()
+    level = Level(keys & 0xFFFFFF, t["n0"].to_numpy(), t["n1"].to_numpy())
+    level.weighted = np.logaddexp(HALF + level.own, HALF + np.bincount(level.of, t["weighted"].to_numpy(), len(level.keys)))
+    return level, keys
+
+
+def second_roots(t: pa.Table) -> pa.Table:
+    level, _ = second(t)
+    return pa.table({k: getattr(level, k) for k in ("keys", "n0", "n1", "weighted")})
+
+
+Top = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def top_nodes(roots: list[tuple[int, float, float, float]]) -> Top:
     """From the sums over depth-1 nodes (key, n0, n1, children's weighted): for each key at depth 1 (context byte, bits) the probability of a one when coding stops at depth 0 or 1, and the weight of what is deeper."""
     keys, n0, n1, below = (np.array(x) for x in zip(*roots, strict=True)) if roots else (np.zeros(0, np.int64),) * 4
     one = Level(keys, n0, n1)
@@ -193,93 +253,166 @@ def top_nodes(roots: list[tuple[int, float, float, float]]) -> tuple[np.ndarray,
     return one.keys, base, (1 - stop0) * (1 - stop1)
 
 
-def gram_scores(depth: int, top: tuple[np.ndarray, np.ndarray, np.ndarray]):
-    """log10 probability of each gram's byte after its context."""
+def above(top: Top, cut: int):
+    """For nodes at depth cut (2 or 3): the probability of a one when coding stops above them, and the weight of the rest."""
 
     def run(t: pa.Table) -> pa.Table:
-        code, n = t["code"].to_numpy(), t["n"].to_numpy()
-        bits = [_bit_probability(code, bit, levels(code, n, bit, depth, 2), *top) for bit in range(8)]
-        return pa.table({"code": code, "value": sum(np.log10(p) for p in bits)})
+        keys = t["keys"].to_numpy()
+        at = np.searchsorted(top[0], keys & 0xFFFF)
+        base, rest = top[1][at], top[2][at]
+        if cut == 3:
+            level, _ = second(t)
+            stop = level.stop()[level.of]
+            base, rest = base + rest * stop * level.ones()[level.of], rest * (1 - stop)
+        return pa.table({"keys": keys, "base": base, "rest": rest})
 
     return run
 
 
-def _bit_probability(code: np.ndarray, bit: int, deep: list[Level], keys: np.ndarray, base: np.ndarray, deeper: np.ndarray) -> np.ndarray:
-    one = (code >> (7 - bit)) & 1
-    node = deep[0].of  # each gram's node, from the deepest level up
-    p = deep[0].ones()[node]
-    for level in deep[1:]:
-        node = level.of[node]
-        q = level.stop()[node]
-        p = q * level.ones()[node] + (1 - q) * p
-    at = np.searchsorted(keys, ((code >> 8) & 255) << 8 | (1 << bit) | ((code & 255) >> (8 - bit)))
-    p = base[at] + deeper[at] * p
-    return np.where(one == 1, p, 1 - p)
+def gram_scores(depth: int, cut: int):
+    """log10 probability of each gram's byte after its context, from whole subtrees and what is above their roots."""
+
+    def run(grams: pa.Table, over: pa.Table) -> pa.Table:
+        code, n = grams["code"].to_numpy(), grams["n"].to_numpy()
+        order = np.argsort(over["keys"].to_numpy())
+        keys, base, rest = (over[c].to_numpy()[order] for c in ("keys", "base", "rest"))
+        value = np.zeros(len(code))
+        for bit in range(8):
+            deep = levels(code, n, bit, depth, cut)
+            node = deep[0].of  # each gram's node, from the deepest level up
+            p = deep[0].ones()[node]
+            for level in deep[1:]:
+                node = level.of[node]
+                q = level.stop()[node]
+                p = q * level.ones()[node] + (1 - q) * p
+            at = np.searchsorted(keys, deep[-1].keys)[node]
+            p = base[at] + rest[at] * p
+            value += np.log10(np.where((code >> (7 - bit)) & 1 == 1, p, 1 - p))
+        return pa.table({"code": code, "value": value})
+
+    return run
 
 
 def block_scores(depth: int, ends: int, total: int, distinct: int):
-    """A block's documents scored with the words and grams that were sent back to it. ends, total, distinct: training texts, tokens, distinct tokens."""
+    """A block's pieces scored with the words and grams that were sent back to it. ends, total, distinct: training texts, tokens, distinct tokens."""
 
     def run(docs: pa.Table, sent: pa.Table) -> pa.Table:
-        texts = [x.as_py().encode("utf-8", "replace").lower() for x in docs["text"]]
         lines = sent.filter(pc.is_valid(sent["word"]))
         names, counts = lines["word"].to_pylist(), lines["value"].to_numpy()
         norm = total + 0.5 * (distinct + 1)
         end, unseen = float(np.log10((ends + 0.5) / norm)), float(np.log10(0.5 / norm))
         base = dict(zip(names, [unseen if c == 0 else x for c, x in zip(counts.tolist(), np.log10((counts + 0.5) / norm).tolist(), strict=True)], strict=True))
-        tail = sent.filter(pc.is_valid(sent["code"]))
+        tail = sent.filter(pc.is_valid(sent["code"])).select(["code", "value"])
         code, value = tail["code"].to_numpy(), tail["value"].to_numpy()
         order = np.argsort(code)
         code, value = code[order], value[order]
         n_tokens, n_known, base_score, score = [], [], [], []
-        for x in texts:
-            words = x.split()
-            n_tokens.append(len(words) + 1)
-            logs = [base[w] for w in words]
-            n_known.append(len(words) - logs.count(unseen) + (ends > 0))
-            base_score.append(sum(logs) + end)
-        for c in chunks(texts):
-            data, first = framed(texts[c], depth)
-            found, ids = grams(data, depth)
-            at = np.minimum(np.searchsorted(code, found), len(code) - 1)
-            per = np.where(code[at] == found, value[at], 0.0)  # grams that begin in one text and end in the next have no value and aren't summed
-            sums = np.concatenate(([0.0], np.cumsum(per[ids])))
-            begin = first - depth
-            score += (sums[begin + np.array([len(x) + 1 for x in texts[c]])] - sums[begin]).tolist()
+        for of in lumps(pc.binary_length(docs["data"]).to_pylist(), SCORED):
+            c = docs.slice(of.start, of.stop - of.start)
+            before, data, last, cut, own = (c[x].to_pylist() for x in ("before", "data", "last", "cut", "own"))
+            data = [x.lower() for x in data]
+            for x, k, w, done in zip(data, cut, own, last, strict=True):
+                logs = [base[w] for w in words_of(x, k, w)]
+                n_tokens.append(len(logs) + done)
+                n_known.append(len(logs) - logs.count(unseen) + (done and ends > 0))
+                base_score.append(sum(logs) + (end if done else 0.0))
+            every, at, size = framed([x.lower() for x in before], data, last, depth)
+            mixed = np.argsort(every)
+            every = every[mixed]
+            starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(every)), bool), every[1:] != every[:-1])))
+            found = every[starts]
+            place = np.minimum(np.searchsorted(code, found), max(0, len(code) - 1))
+            own_value = np.where(code[place] == found, value[place], 0.0) if len(code) else np.zeros(len(found))  # codes between two pieces have none and aren't summed
+            per = np.empty(len(every))
+            per[mixed] = np.repeat(own_value, np.diff(np.append(starts, len(every))))
+            sums = np.concatenate(([0.0], np.cumsum(per)))
+            score += (sums[at + size] - sums[at]).tolist()
         return pa.table({
-            "doc_id": docs["doc_id"], "held_out": docs["held_out"], "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()),
-            "train_tokens": pa.array([total] * len(texts), pa.int64()), "base_score": pa.array(base_score, pa.float64()), "score": pa.array(score, pa.float64()), "n_bytes": pa.array([len(x) for x in texts], pa.int64()),
+            "doc_id": docs["doc_id"], "th": docs["th"], "part": docs["part"], "long": docs["long"], "held_out": docs["held_out"], "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()),
+            "base_score": pa.array(base_score, pa.float64()), "score": pa.array(score, pa.float64()), "n_bytes": pc.binary_length(docs["data"]).cast(pa.int64()),
         })
 
     return run
 
 
-def score(docs: DataFrame, held_out: Column, depth: int = 5, block_bytes: int = 1 << 24, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def piece_rows(docs: DataFrame, held_out: Column, depth: int, size: int, text_col: str, id_col: str) -> DataFrame:
+    """Each text, those longer than size in pieces: doc_id, th (a hash of the text), part, long, held_out, used (for training), before, data, last, cut, own."""
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_of(text_col).cast("binary").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    rows = rows.select("doc_id", F.xxhash64("text").alias("th"), "held_out", "text")
+    whole = rows.filter(F.octet_length("text") <= size).select("doc_id", "th", "held_out", F.lit(0).alias("part"), F.lit(False).alias("long"), F.unhex(F.lit("FF" * depth)).alias("before"), F.col("text").alias("data"), F.lit(True).alias("last"), F.lit(0).alias("cut"), F.lit(None).cast("binary").alias("own"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "th", "held_out", "part", "long", "before", "data", "last", "cut", "own"]
+        for b in batches:
+            for k in range(len(b)):
+                text, start = b.column(3)[k].as_py(), 0
+                for part, (before, data, cut, own) in enumerate(pieces(text, depth, size)):
+                    start += len(data)
+                    own_row = [pa.array([part], pa.int32()), pa.array([True]), pa.array([before], pa.binary()), pa.array([data], pa.binary()), pa.array([start == len(text)]), pa.array([cut], pa.int32()), pa.array([own], pa.binary())]
+                    yield pa.RecordBatch.from_arrays([*[b.column(j).slice(k, 1) for j in range(3)], *own_row], names)
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    cut = rows.filter(F.octet_length("text") > size).mapInArrow(run, f"doc_id {kind}, th long, held_out boolean, part int, long boolean, before binary, data binary, last boolean, cut int, own binary")
+    return whole.unionByName(cut).withColumn("used", ~F.col("held_out"))
+
+
+def score(docs: DataFrame, held_out: Column, depth: int = 5, block_bytes: int = 1 << 25, least_blocks: int = 16, block_grams: int = 1 << 22, piece_bytes: int = PIECE, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte. Texts that aren't held_out are learnt from."""
     if not 2 <= depth <= 6:
         raise ValueError("depth must be from 2 to 6")
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_of(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    size = rows.agg(F.sum(F.octet_length("text").cast("long") + 1)).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("long"))
-    keys = stored(rows.groupBy("block").applyInArrow(block_keys(depth), "block long, word binary, code long, n long"), "keys")
-
-    per_word = Window.partitionBy("word")
-    words = keys.filter(F.col("word").isNotNull()).select("block", "word", F.sum("n").over(per_word).alias("n"), (F.row_number().over(per_word.orderBy("block")) == 1).alias("first"))
-    words = stored(words, "words")
-    sums = words.filter("first").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
+    rows = piece_rows(docs, held_out, depth, piece_bytes, text_col, id_col)
+    size = docs.agg(F.sum(F.octet_length(text_of(text_col)).cast("long") + 1)).first()[0] or 0
+    blocks = max(1, -(-size // block_bytes), min(least_blocks, -(-size // (1 << 21))))
+    while True:
+        dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "th", "part"), F.lit(blocks)).cast("long"))
+        keys = stored(dealt.groupBy("block").applyInArrow(block_keys(depth), KEYS), "keys")
+        most = keys.filter("code IS NOT NULL").groupBy("block").count().agg(F.max("count")).first()[0] or 0
+        if most <= block_grams or size // blocks < 1 << 16:
+            break
+        discard(keys)
+        blocks *= 2
+
+    totals = keys.filter("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("total"))
+    totals = stored(totals, "words")
+    sums = totals.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.count_if(F.col("total") > 0).alias("v")).first()
     ends = keys.filter("word IS NULL AND code IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
     codes = stored(keys.filter(F.col("code").isNotNull()).groupBy("code").agg(F.sum("n").alias("n")), "grams")
-    suffix = codes.withColumn("suffix", F.shiftright("code", 8).bitwiseAND(F.lit(0xFFFF).cast("long")))
-    roots = suffix.groupBy("suffix").applyInArrow(subtree_roots(depth), "keys long, n0 double, n1 double, weighted double")
+    values = stored(code_values(codes, depth), "values")
+    discard(codes)
+    sent_words = keys.filter("word IS NOT NULL").select("block", "word").join(sized(totals, 300_000), "word").select("block", "word", F.lit(None).cast("long").alias("code"), F.col("total").cast("double").alias("value"))
+    sent_codes = keys.filter("code IS NOT NULL").select("block", "code").join(sized(values, 1_500_000), "code").select("block", F.lit(None).cast("binary").alias("word"), "code", "value")
+    sent = stored(sent_words.unionByName(sent_codes), "sent")
+    discard(keys, totals, values)
+
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, th long, part int, long boolean, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long"
+    found = dealt.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(block_scores(depth, ends, sums["n"] + ends, sums["v"] + (ends > 0)), schema)
+    found = stored(found, "scored")
+    discard(sent)
+    numbers = ("n_tokens", "n_known", "base_score", "score", "n_bytes")
+    # Equal rows' pieces meet here; their number is that of their first pieces.
+    joined = found.filter("long").groupBy("doc_id", "th", "held_out").agg(F.count_if(F.col("part") == 0).alias("rows"), *[F.sum(c).alias(c) for c in numbers])
+    joined = joined.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "rows"))).select("doc_id", "held_out", *[(F.col(c) / F.col("rows")).cast(found.schema[c].dataType).alias(c) for c in numbers])
+    out = found.filter("NOT long").select("doc_id", "held_out", *numbers).unionByName(joined)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(sums["n"] + ends).cast("long").alias("train_tokens"), "base_score", "score", "n_bytes", (-F.col("score") * float(np.log2(10)) / (F.col("n_bytes") + 1)).alias("bits_per_byte"))
+
+
+def code_values(codes: DataFrame, depth: int, bucket_rows: int = 1 << 21) -> DataFrame:
+    """code and value (log10 probability of its byte) for each of the corpus's grams (code, n; stored)."""
+    cut = min(3, depth)
+
+    def bucket(context: Column, rows: DataFrame) -> Column:
+        return F.pmod(F.xxhash64(context), F.lit(max(1, -(-rows.count() // bucket_rows)))).cast("int").alias("bucket")
+
+    context = F.shiftright("code", 8).bitwiseAND(F.lit((1 << 8 * cut) - 1).cast("long"))
+    of = bucket(context, codes)
+    nodes_schema = "keys long, n0 double, n1 double, weighted double"
+    grams = codes.select("code", "n", of)
+    roots = stored(grams.groupBy("bucket").applyInArrow(subtree_roots(depth, cut), nodes_schema), "roots")
+    dealt = roots.select("*", bucket(F.shiftright("keys", 8).bitwiseAND(F.lit(0xFFFF).cast("long")), roots))
+    upper = dealt.groupBy("bucket").applyInArrow(second_roots, nodes_schema) if cut == 3 else roots
     nearest = F.col("keys").bitwiseAND(F.lit(0xFFFF).cast("long")).alias("key")
-    top = top_nodes(roots.groupBy(nearest).agg(F.sum("n0"), F.sum("n1"), F.sum("weighted")).collect())
-    values = suffix.groupBy("suffix").applyInArrow(gram_scores(depth, top), "code long, value double")
-
-    sent_words = words.select("block", "word", F.lit(None).cast("long").alias("code"), F.col("n").cast("double").alias("value"))
-    sent_codes = keys.filter(F.col("code").isNotNull()).select("block", "code").join(values, "code").select("block", F.lit(None).cast("binary").alias("word"), "code", "value")
-    sent = sent_words.unionByName(sent_codes)
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
-    found = rows.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(block_scores(depth, ends, sums["n"] + ends, sums["v"] + (ends > 0)), schema)
-    return found.withColumn("bits_per_byte", -F.col("score") * float(np.log2(10)) / (F.col("n_bytes") + 1))
+    top = top_nodes(upper.groupBy(nearest).agg(F.sum("n0"), F.sum("n1"), F.sum("weighted")).collect())  # at most 256 * 255 rows
+    over = dealt.groupBy("bucket").applyInArrow(above(top, cut), "keys long, base double, rest double")
+    over = over.select("*", F.pmod(F.xxhash64(F.shiftright("keys", 8)), F.lit(max(1, -(-codes.count() // bucket_rows)))).cast("int").alias("bucket"))
+    return grams.groupBy("bucket").cogroup(over.groupBy("bucket")).applyInArrow(gram_scores(depth, cut), "code long, value double")

@@ -99,6 +99,25 @@ def test_ctw_against_brute_force(spark):
         assert r["score"] == pytest.approx(brute_ctw(train, t, 3), rel=1e-8)
 
 
+def test_ctw_pieces_equal_whole_texts(spark):
+    draw = random.Random(1)
+    texts = ["".join(draw.choice("abé \n") for _ in range(draw.randrange(60))) for _ in range(25)] + ["x" * 500 + " y " + "z" * 300, "NULL", "NOID", "NOID", "a" * 99]
+    d = docs(spark, texts).unionByName(docs(spark, texts[:3]))
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["n_bytes"])
+    whole, cut = (sorted(ctw.score(d, fold("doc_id") == 1, depth=3, piece_bytes=size).collect(), key=key) for size in (1 << 20, 7))
+    assert len(whole) == len(cut) == len(texts) + 3
+    for a, b in zip(whole, cut, strict=True):
+        assert a[:5] == b[:5] and a["n_bytes"] == b["n_bytes"] and a["score"] == pytest.approx(b["score"]) and a["base_score"] == pytest.approx(b["base_score"])
+
+
+def test_ctw_random_letters_in_one_row(spark):
+    rng = np.random.default_rng(0)
+    text = rng.integers(97, 123, 5_000_000, np.uint8).tobytes().decode()
+    d = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string").unionByName(spark.createDataFrame([(7, text)], "doc_id long, text string"))
+    got = {r["doc_id"]: r for r in ctw.score(d, F.lit(False), block_grams=1 << 19).collect()}  # blocks are made smaller
+    assert got[7]["n_tokens"] == 2 and got[7]["n_bytes"] == len(text) and got[7]["bits_per_byte"] < math.log2(26) + 0.2 and got[7]["train_tokens"] == 6
+
+
 def test_ctw_edges(spark):
     assert ctw.score(docs(spark, []), F.lit(False)).count() == 0
     rows = ctw.score(docs(spark, ODD), F.lit(True), depth=2).collect()  # nothing to learn from
