@@ -174,9 +174,22 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (z - 0.5) * np.log(z) - z + 0.5 * np.log(2 * np.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - np.log(rise)
 
 
+#: log gamma(n + 1/2) and log n! of the counts that most nodes have.
+SMALL = 1 << 12
+HALVES, FACTORIALS = log_gamma(np.arange(SMALL) + 0.5), log_gamma(np.arange(SMALL) + 1.0)
+
+
+def looked_up(table: np.ndarray, n: np.ndarray, more: float) -> np.ndarray:
+    """log gamma(n + more) of whole numbers n."""
+    out = table[np.minimum(n, SMALL - 1).astype(np.int64)]
+    large = np.flatnonzero(n >= SMALL)
+    out[large] = log_gamma(n[large] + more)
+    return out
+
+
 def kt_block(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     """Log of the Krichevsky-Trofimov probability of n0 zeros and n1 ones, in any order: gamma(n0+1/2) gamma(n1+1/2) / (pi (n0+n1)!)."""
-    return log_gamma(n0 + 0.5) + log_gamma(n1 + 0.5) - np.log(np.pi) - log_gamma(n0 + n1 + 1.0)
+    return looked_up(HALVES, n0, 0.5) + looked_up(HALVES, n1, 0.5) - np.log(np.pi) - looked_up(FACTORIALS, n0 + n1, 1.0)
 
 
 class Level:

@@ -112,9 +112,9 @@ def test_ctw_pieces_equal_whole_texts(spark):
 
 def test_ctw_random_letters_in_one_row(spark):
     rng = np.random.default_rng(0)
-    text = rng.integers(97, 123, 5_000_000, np.uint8).tobytes().decode()
+    text = rng.integers(97, 123, 3_000_000, np.uint8).tobytes().decode()
     d = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string").unionByName(spark.createDataFrame([(7, text)], "doc_id long, text string"))
-    got = {r["doc_id"]: r for r in ctw.score(d, F.lit(False), block_grams=1 << 19).collect()}  # blocks are made smaller
+    got = {r["doc_id"]: r for r in ctw.score(d, F.lit(False), block_grams=1 << 20).collect()}  # blocks are made smaller
     assert got[7]["n_tokens"] == 2 and got[7]["n_bytes"] == len(text) and got[7]["bits_per_byte"] < math.log2(26) + 0.2 and got[7]["train_tokens"] == 6
 
 
