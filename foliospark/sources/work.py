@@ -9,6 +9,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH_BYTES, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Python workers get whole texts in batches of 8 MB, unless the session asks for fewer bytes: an executor holds several at once."""
+    if int(str(spark.conf.get(BATCH_BYTES)).rstrip("b")) > BATCH:
+        spark.conf.set(BATCH_BYTES, str(BATCH))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,6 +38,7 @@ def file_system(spark: SparkSession, path: str):
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder and read back: later jobs start from these files, whatever executors are lost. Its shuffle files go once it is written."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
