@@ -35,7 +35,7 @@ from .common import discard, sized, stored, text_of
 
 END = b"\xff"
 #: Bytes that are turned into grams at once, in counting and in scoring; a long text's pieces; words longer than this go by a digest.
-COUNTED, SCORED, PIECE, LONG_WORD = 1 << 22, 1 << 19, 1 << 20, 64
+COUNTED, SCORED, PIECE, LONG_WORD = 1 << 21, 1 << 19, 1 << 20, 64
 HALF = float(np.log(0.5))
 #: White space at which tokens end, as bytes.split() has it.
 SPACE = b" \t\n\v\f\r"
@@ -118,8 +118,8 @@ def grams_of(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 KEYS = "block long, word binary, code long, n long"
 
 
-def block_keys(depth: int, held_most: int = 1 << 21):
-    """Of a block's pieces: its distinct words and grams, each with its count in training texts. More than held_most are handed on in parts."""
+def block_keys(depth: int, held_codes: int = 1 << 21, held_words: int = 400_000):
+    """Of a block's pieces: its distinct words and grams, each with its count in training texts. What is more than may be held is handed on in parts."""
 
     def rows(block: int, words: list[bytes] | None, codes: np.ndarray | None, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         for k in range(0, len(n), 1 << 17):
@@ -144,7 +144,7 @@ def block_keys(depth: int, held_most: int = 1 << 21):
                         words.update(found)
                     else:
                         words.update(dict.fromkeys(found, 0))
-                if len(words) > held_most:
+                if len(words) > held_words:
                     yield from rows(block, list(words), None, np.fromiter(words.values(), np.int64, len(words)))
                     words.clear()
                 every, at, size = framed([x.lower() for x in before], [x.lower() for x in data], last, depth)
@@ -155,7 +155,7 @@ def block_keys(depth: int, held_most: int = 1 << 21):
                     np.add.at(inside, (at + size)[mine], -1)
                     new, count = grams_of(every[np.cumsum(inside, dtype=np.int8)[:-1] > 0])
                     codes, n = summed(np.concatenate((codes, new)), np.concatenate((n, count * some)))
-                if len(codes) > held_most:
+                if len(codes) > held_codes:
                     yield from rows(block, None, codes, n)
                     codes, n = codes[:0], n[:0]
         yield from rows(block, list(words), None, np.fromiter(words.values(), np.int64, len(words)))
@@ -369,7 +369,7 @@ def piece_rows(docs: DataFrame, held_out: Column, depth: int, size: int, text_co
     return whole.unionByName(cut).withColumn("used", ~F.col("held_out"))
 
 
-def score(docs: DataFrame, held_out: Column, depth: int = 5, block_bytes: int = 1 << 25, least_blocks: int = 16, block_grams: int = 1 << 22, piece_bytes: int = PIECE, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def score(docs: DataFrame, held_out: Column, depth: int = 5, block_bytes: int = 24 << 20, least_blocks: int = 16, block_grams: int = 1 << 22, piece_bytes: int = PIECE, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte. Texts that aren't held_out are learnt from."""
     if not 2 <= depth <= 6:
         raise ValueError("depth must be from 2 to 6")
