@@ -1,83 +1,89 @@
 """SimHash near-duplicates by a self-join of a binary trie.
 
-Fingerprints (64 bits: a bit is 1 if over half of a text's shingle hashes have it) are made distinct, and the trie over them is
+Fingerprints (a bit is 1 if over half of a text's shingle hashes have it) are made distinct, and the trie over them is
 joined with itself: two nodes of equal depth are looked at together, the bits in which their paths differ are added up, and the
-pair is dropped once they exceed the error budget. The first levels of the trie are dealt out: a work unit is a pair of prefixes
-that differ within the budget, and goes to one task with the fingerprints under both. Bits are put in the order of how evenly they
-split the corpus, so prefixes are of like size. Inside a unit the traversal is vectorised over the frontier of node pairs, which
+pair is dropped once they exceed the error budget. A traversal is vectorised over the frontier of node pairs, which
 is cut into pieces of bounded size and walked depth first.
 
-A unit emits a spanning forest of the links it found (at most one row per fingerprint), never all pairs of a dense group, and
-the forests' union is resolved by distributed contraction of edges, on stored tables. The links are
-exact: every pair of distinct fingerprints within the budget meets in exactly one unit.
+``mark`` takes 64 bits and links at a few differing ones. The trie is dealt out by the first levels: of ``budget`` + 1 blocks of bits, two fingerprints within
+the budget agree in one, so each fingerprint goes, once for each block, to the subtrie of those with like bits there: a fixed number of copies at any
+size of the corpus, and links are exact. A subtrie that holds too many is dealt again by blocks of its remaining bits. Small subtries share a task.
 
-``mark`` takes 64 bits and links at a few differing ones. ``drop`` keeps one document of each group of near copies, where two texts are near copies if
-their sets of five-word shingles have a Jaccard likeness of 0.8 or more. Longer fingerprints of these shingles only propose pairs: 16 keys of 32 bits, of which one must
-differ in at most ``budget`` places, and 192 more bits that may differ in at most ``total``. At 0.8 a bit differs with a chance of 0.15, so a key passes with 0.45 (all 16 fail:
-6 in 100,000), and 54 of 192 is five standard deviations above the mean. Each link is then checked on the texts themselves. A unit emits a spanning forest of its proposed pairs
+``drop`` keeps one document of each group of near copies, where two texts are near copies if
+their sets of five-word shingles have a Jaccard likeness of 0.8 or more. Fingerprints of many words of 64 bits only propose pairs. Each word is a trie of its own, dealt by its first bits;
+two texts meet in it if these are equal, and are proposed if they differ in at most a budget of the word's other bits and of 192 more. At a likeness of 0.8 a bit differs with a chance
+of 0.15 to 0.16 (few shingles: up to 0.18); the number of words follows from the number of rows, so that a pair at 0.8 meets nowhere with a chance of ``MISSED`` at most. Budgets are 4.2 standard deviations above the mean.
+Each proposed link is then checked, first on all bits and then on the texts themselves. A unit emits a spanning forest of its proposed pairs
 first; where a check fails, the proposed pairs between groups not joined yet are all looked at, so that no failed pair hides another one.
+A subtrie with over ``HOT`` rows is cut into parts, and each pair of parts is a unit: no task holds more than two parts.
+
+A unit emits at most one row per fingerprint, never all pairs of a dense group, and
+the forests' union is resolved by distributed contraction of edges, on stored tables.
 
 Edge cases: a null text counts as empty; a text without words has fingerprint zero and is linked like any other; null ids get a
-component like others and never are its smallest id unless all of it are null; an empty table gives an empty table; repeated rows
+component like others and never are its smallest id unless all of it are null; very long texts are hashed whole, in lumps; an empty table gives an empty table; repeated rows
 get equal results.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sized, stored, text_of
+from .common import discard, sized, stored, text_of
+
+#: Fingerprints of a group of small subtries, about; rows of a subtrie that is dealt again; node pairs or leaf pairs that a step handles at once.
+UNIT, HOT, STEP = 1 << 13, 1 << 14, 1 << 20
+#: Of long fingerprints: words that are compared wherever two texts meet; rows below the first bits of a word, about; the chance that a bit differs at a likeness of 0.8, and that such a pair meets nowhere.
+LONGS, BELOW, DIFFERS, MISSED = 3, 1 << 11, 0.16, 1e-4
+
 
-#: Distinct fingerprints below one prefix, about; and node pairs or leaf pairs that a step handles at once.
-UNIT, STEP = 1 << 16, 1 << 20
-LEAST_BITS = 5
-#: Of the long fingerprints: 64-bit words that are compared as a whole, and 32-bit keys.
-LONGS, KEYS = 3, 16
+def words_of(text: str) -> list[bytes]:
+    return text.encode("utf-8", "replace").lower().split()
 
 
-def fingerprint(words: list[bytes], shingle: int, longs: int = 1) -> list[int]:
-    """longs * 64 bits. Beyond the first 64 the hashes are mixed anew."""
+def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """XXH64 of each run of words, or of all words if they are fewer; none without words."""
     from xxhash import xxh64_intdigest
 
     if not words:
-        return [0] * longs
+        return np.zeros(0, "<u8")
     text = b" ".join(words)
     if len(words) < shingle:
-        hashes = np.array([xxh64_intdigest(text, 42)], "<u8")
-    else:
-        ends = np.cumsum([len(w) + 1 for w in words]) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        spans = zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)
-        hashes = np.array([xxh64_intdigest(text[s:e], 42) for s, e in spans], "<u8")
-    out = []
+        return np.array([xxh64_intdigest(text, 42)], "<u8")
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    spans = zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)
+    return np.array([xxh64_intdigest(text[s:e], 42) for s, e in spans], "<u8")
+
+
+def print_of(hashes: np.ndarray, longs: int = 1) -> np.ndarray:
+    """longs words of 64 bits, each 1 where over half of the hashes have it. Beyond the first word the hashes are mixed anew."""
+    out = np.zeros(longs, "<u8")
     for k in range(longs):
         own = hashes
         if k:
             own = (own ^ (own >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * k)
             own = (own ^ (own >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            own ^= own >> np.uint64(32)
-        each = own.view(np.uint8).reshape(-1, 8)
-        ones = np.stack([np.bincount(each[:, j], minlength=256) @ BITS for j in range(8)]).reshape(64)  # from the lowest bit on
-        out.append(sum(1 << i for i in np.flatnonzero(2 * ones > len(own)).tolist()))
+            own = own ^ (own >> np.uint64(32))
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(own), 1 << 14):
+            ones += np.unpackbits(own[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.uint16)
+        out[k] = np.packbits(2 * ones > len(own), bitorder="little").view("<u8")[0]
     return out
 
 
-BITS = (np.arange(256)[:, None] >> np.arange(8)) & 1
-
-
 def fingerprints(docs: DataFrame, shingle: int = 3, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """id and fp (the fingerprint's 64 bits as a long) for each row."""
+    """id and fp (the fingerprint's 64 bits as a long) for each row; repeated shingles count each time."""
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [fingerprint(t.as_py().encode("utf-8", "replace").lower().split(), shingle)[0] for t in b.column(1)]
+            found = [print_of(shingle_hashes(words_of(t.as_py()), shingle))[0] for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], ["id", "fp"])
 
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp long")
@@ -104,14 +110,22 @@ class Forest:
                 self.root = up
 
 
-def trie_join(left: np.ndarray, right: np.ndarray | None, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (in left, in right) of all pairs within the budget; both sorted. right None: left with itself, each pair once."""
+def trie_join(left: np.ndarray, right: np.ndarray | None, budget: int, depth: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (in left, in right) of all pairs within the budget; both sorted. right None: left with itself, each pair once. depth: as many first bits must be equal."""
     own = right is None
     right = left if own else right
     if not len(left) or not len(right):
         return
-    zero = np.zeros(1, np.int64)
-    stack = [(0, zero, zero + len(left), zero, zero + len(right), zero)]
+    if depth:
+        tops = np.unique(left >> np.uint64(64 - depth))
+        low, high = tops << np.uint64(64 - depth), (tops << np.uint64(64 - depth)) | np.uint64((1 << (64 - depth)) - 1)
+        al, ah, bl, bh = (np.searchsorted(x, y, side) for x in (left, right) for y, side in ((low, "left"), (high, "right")))
+        some = (bh > bl) & ((ah - al > 1) | (not own))
+        al, ah, bl, bh = al[some], ah[some], bl[some], bh[some]
+    else:
+        al = bl = np.zeros(1, np.int64)
+        ah, bh = al + len(left), bl + len(right)
+    stack = [(depth, *(x[k : k + STEP] for x in (al, ah, bl, bh, np.zeros(len(al), np.int64)))) for k in range(0, len(al), STEP)]
     while stack:
         depth, al, ah, bl, bh, diff = stack.pop()
         leaf = ((ah - al) * (bh - bl) <= 64) | (depth == 64)
@@ -155,37 +169,50 @@ def _leaves(left: np.ndarray, right: np.ndarray, own: bool, budget: int, al: np.
         start = stop
 
 
-def permuted(fp: Column, order: list[int]) -> Column:
-    """The bits of fp, order's first one (a place from the lowest bit on) highest."""
-    out = F.lit(0).cast("long")
-    for k, place in enumerate(order):
-        out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(fp, place).bitwiseAND(F.lit(1).cast("long")), 63 - k))
-    return out
+def _again(rows: DataFrame, depth: int, blocks: int) -> tuple[DataFrame, int]:
+    """rows (fp, kind, key) once for each of the blocks of the bits from depth on: key has that block's bits moved to the front of them. And the new depth."""
+    rest = 64 - depth
+    size = rest // blocks
+    mask = (1 << rest) - 1
+    low, top = F.col("key").bitwiseAND(F.lit(mask if rest < 64 else -1).cast("long")), F.col("key").bitwiseAND(F.lit(~mask if rest < 64 else 0).cast("long"))
+    turned = [low if not j else F.shiftleft(low, j * size).bitwiseAND(F.lit(mask if rest < 64 else -1).cast("long")).bitwiseOR(F.shiftrightunsigned(low, rest - j * size)) for j in range(blocks)]
+    each = F.explode(F.array(*[F.struct((F.col("kind") * blocks + j).alias("kind"), top.bitwiseOR(t).alias("key")) for j, t in enumerate(turned)])).alias("x")
+    return rows.select("fp", each).select("fp", "x.kind", "x.key"), depth + size
 
 
 def links(distinct: DataFrame, budget: int = 3) -> DataFrame:
     """Spanning links (a, b) between the distinct values of column fp that differ in at most budget bits."""
-    ones = distinct.agg(F.count("*").alias("n"), *[F.sum(F.shiftrightunsigned("fp", k).bitwiseAND(F.lit(1).cast("long"))).alias(f"b{k}") for k in range(64)]).first()
-    n = ones["n"]
-    order = sorted(range(64), key=lambda k: (abs((ones[f"b{k}"] or 0) * 2 - n), k))
-    bits = max(LEAST_BITS, int(np.ceil(np.log2(max(n, 1) / UNIT))))
-    masks = [sum(1 << i for i in c) for k in range(budget + 1) for c in combinations(range(bits), k)]
-    mixed = distinct.select("fp", permuted(F.col("fp"), order).alias("key"))
-    dealt = mixed.select("fp", "key", F.shiftrightunsigned("key", 64 - bits).alias("own"), F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("mask")).withColumn("other", F.col("own").bitwiseXOR(F.col("mask")))
-    units = dealt.select(F.shiftleft(F.least("own", "other"), bits).bitwiseOR(F.greatest("own", "other")).alias("unit"), (F.col("own") > F.col("other")).alias("right"), "fp", "key")
+    rows, depth = _again(distinct.select("fp", F.lit(0).cast("long").alias("kind"), F.col("fp").alias("key")), 0, budget + 1)
+    dealt = None
+    while True:
+        subtrie = F.shiftrightunsigned("key", 64 - depth).alias("subtrie")
+        n = rows.select("kind", subtrie).groupBy("kind", "subtrie").count()
+        hot = stored(n.filter(F.col("count") > HOT).select("kind", "subtrie"), "hot") if 64 - depth > 4 * (budget + 1) else None
+        full = hot is not None and not hot.isEmpty()
+        rows = rows.withColumn("subtrie", subtrie)
+        small = rows.join(sized(hot), ["kind", "subtrie"], "left_anti") if full else rows
+        part = small.select("fp", "kind", "key", F.lit(depth).alias("depth"), F.xxhash64("kind", "subtrie").alias("of"))
+        dealt = part if dealt is None else dealt.unionByName(part)
+        if not full:
+            break
+        rows, depth = _again(rows.join(sized(hot), ["kind", "subtrie"], "left_semi").drop("subtrie"), depth, budget + 1)
+    units = max(1, -(-distinct.count() * (budget + 1) // UNIT))
 
     def run(t: pa.Table) -> pa.Table:
-        fp, key, is_right = t["fp"].to_numpy(), t["key"].to_numpy().view(np.uint64), t["right"].to_numpy()
-        of = np.lexsort((key, is_right))
-        fp, key, n_left = fp[of], key[of], int((~is_right).sum())
-        own = t["unit"][0].as_py() >> bits == t["unit"][0].as_py() & ((1 << bits) - 1)
-        forest = Forest(len(fp))
-        for a, b in trie_join(key[:n_left], None if own else key[n_left:], budget):
-            forest.link(a, b if own else b + n_left)
-        linked = np.flatnonzero(forest.root != np.arange(len(fp)))
-        return pa.table({"a": fp[linked], "b": fp[forest.root[linked]]})
-
-    return units.groupBy("unit").applyInArrow(run, "a long, b long")
+        fp, kind, key, deep = t["fp"].to_numpy(), t["kind"].to_numpy(), t["key"].to_numpy().view(np.uint64), t["depth"].to_numpy()
+        nodes, at = np.unique(fp, return_inverse=True)
+        forest = Forest(len(nodes))
+        for k in np.unique(kind):
+            of = np.flatnonzero(kind == k)
+            of = of[np.argsort(key[of])]
+            for d in np.unique(deep[of]):
+                own = of[deep[of] == d]
+                for a, b in trie_join(key[own], None, budget, int(d)):
+                    forest.link(at[own[a]], at[own[b]])
+        linked = np.flatnonzero(forest.root != np.arange(len(nodes)))
+        return pa.table({"a": nodes[linked], "b": nodes[forest.root[linked]]})
+
+    return dealt.groupBy(F.pmod("of", F.lit(units)).alias("unit")).applyInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -238,36 +265,24 @@ def shingles(words: list[bytes], shingle: int) -> set[bytes]:
     return {b" ".join(words[k : k + shingle]) for k in range(len(words) - shingle + 1)}
 
 
-def words_of(text: str) -> list[bytes]:
-    return text.encode("utf-8", "replace").lower().split()
-
-
 def jaccard(a: set[bytes], b: set[bytes]) -> float:
     both = len(a & b)
     return both / (len(a) + len(b) - both) if a or b else 1.0
 
 
-def long_print(words: list[bytes], shingle: int, longs: int) -> np.ndarray:
-    """longs * 64 bits of the distinct shingles, as 64-bit words."""
-    from xxhash import xxh64_intdigest
+def over_mean(bits: int, deviations: float = 4.2) -> int:
+    """So many of the bits differ at most, at a likeness of 0.8."""
+    return int(np.ceil(bits * DIFFERS + deviations * np.sqrt(bits * DIFFERS * (1 - DIFFERS))))
 
-    if not words:
-        return np.zeros(longs, "<u8")
-    hashes = np.unique(np.array([xxh64_intdigest(x, 42) for x in shingles(words, shingle)], "<u8"))
-    out = []
-    for k in range(longs):
-        own = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * k)
-        own = (own ^ (own >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        own ^= own >> np.uint64(32)
-        ones = np.zeros(64, np.int64)
-        for at in range(0, len(own), 1 << 14):
-            ones += np.unpackbits(own[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.uint16)
-        out.append(np.packbits(2 * ones > len(own), bitorder="little").view("<u8")[0])
-    return np.array(out, "<u8")
 
+def tries_for(n: int) -> tuple[int, int]:
+    """For n rows: the bits by which each trie is dealt out, and the number of tries."""
+    bits = max(4, int(np.ceil(np.log2(max(n, 1) / BELOW))))
+    return bits, int(np.ceil(np.log(MISSED) / np.log1p(-((1 - DIFFERS) ** bits))))
 
-def _long_prints(docs: DataFrame, shingle: int, text_col: str, id_col: str) -> DataFrame:
-    """id, th (a hash of the text), node (a hash of its words), keys (16 of 4 bytes) and fp (LONGS * 8 bytes) for each row."""
+
+def _long_prints(docs: DataFrame, shingle: int, tries: int, text_col: str, id_col: str) -> DataFrame:
+    """id, th (a hash of the text), node (a hash of its words), keys (a long for each trie) and fp (LONGS * 8 bytes), of distinct shingles, for each row."""
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("text"), F.xxhash64(text_of(text_col)).alias("th"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,41 +293,44 @@ def _long_prints(docs: DataFrame, shingle: int, text_col: str, id_col: str) -> D
             for t in b.column(1):
                 words = words_of(t.as_py())
                 nodes.append(xxh64_intdigest(b" ".join(words), 7))
-                found = long_print(words, shingle, LONGS + KEYS // 2)
+                found = print_of(np.unique(shingle_hashes(words, shingle)), LONGS + tries)
                 fps.append(found[:LONGS].tobytes())
-                keys.append(found[LONGS:].tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(keys, pa.binary()), pa.array(fps, pa.binary())], ["id", "th", "node", "keys", "fp"])
+                keys.append(found[LONGS:].view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(fps, pa.binary())], ["id", "th", "node", "keys", "fp"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, th long, node long, keys binary, fp binary")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, th long, node long, keys array<long>, fp binary")
 
 
-def near_pairs(nodes: DataFrame, budget: int, total: int, every: bool) -> DataFrame:
-    """Proposed pairs (a, b) of nodes (node, label, keys, fp) of different labels: within budget bits in a key and within total bits of fp.
+def near_pairs(nodes: DataFrame, bits: int, tries: int, every: bool) -> DataFrame:
+    """Proposed pairs (a, b) of nodes (node, label, keys, fp) of different labels.
 
     Not every: per unit a spanning forest of them, of pairs as near as possible.
     """
-    bits = max(2, int(np.ceil(np.log2(max(nodes.count(), 1) / UNIT))))
-    masks = [sum(1 << i for i in c) for k in range(budget + 1) for c in combinations(range(bits), k)]
-    keys = F.array(*[F.struct(F.lit(k).alias("of"), F.conv(F.hex(F.substring("keys", 4 * k + 1, 4)), 16, 10).cast("long").alias("key")) for k in range(KEYS)])
-    each = nodes.select("node", "label", "fp", F.explode(keys).alias("k")).select("node", "label", "fp", "k.of", "k.key", F.shiftright("k.key", 32 - bits).alias("own"))
-    dealt = each.withColumn("mask", F.explode(F.array(*[F.lit(m).cast("long") for m in masks]))).withColumn("other", F.col("own").bitwiseXOR(F.col("mask")))
-    units = dealt.select("of", F.shiftleft(F.least("own", "other"), bits).bitwiseOR(F.greatest("own", "other")).alias("unit"), (F.col("own") > F.col("other")).alias("right"), "node", "label", "key", "fp")
+    budget, total = over_mean(64 - bits), over_mean(64 - bits + 64 * LONGS)
+    each = nodes.select("node", "label", "fp", F.posexplode("keys").alias("of", "key")).withColumn("subtrie", F.shiftrightunsigned("key", 64 - bits))
+    hot = stored(each.groupBy("of", "subtrie").count().filter(F.col("count") > HOT).select("of", "subtrie", F.ceil(F.col("count") / HOT).cast("int").alias("parts")), "hot")
+    if hot.isEmpty():
+        dealt = each.withColumn("lo", F.lit(0)).withColumn("hi", F.lit(0)).withColumn("right", F.lit(False))
+    else:
+        cut = each.join(sized(hot), ["of", "subtrie"], "left").withColumn("part", F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))).cast("int"))
+        dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+        dealt = dealt.select("node", "label", "fp", "of", "key", "subtrie", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), (F.col("part") > F.col("other")).alias("right"))
 
     def run(t: pa.Table) -> pa.Table:
-        key, is_right = t["key"].to_numpy().astype(np.uint64) << np.uint64(32), t["right"].to_numpy()
+        key, is_right = t["key"].to_numpy().view(np.uint64), t["right"].to_numpy()
         order = np.lexsort((key, is_right))
         fp = np.frombuffer(b"".join(t["fp"].to_pylist()), "<u8").reshape(-1, LONGS)[order]
         node, label, key, n_left = t["node"].to_numpy()[order], t["label"].to_numpy()[order], key[order], int((~is_right).sum())
-        own = t["unit"][0].as_py() >> bits == t["unit"][0].as_py() & ((1 << bits) - 1)
+        own = t["lo"][0].as_py() == t["hi"][0].as_py()
         forest = Forest(len(fp))
         firsts, at = np.unique(label, return_index=True)
         forest.link(np.arange(len(fp)), at[np.searchsorted(firsts, label)])
         out = []
-        for a, b in trie_join(key[:n_left], None if own else key[n_left:], budget):
+        for a, b in trie_join(key[:n_left], None if own else key[n_left:], budget, bits):
             b = b if own else b + n_left
             apart = forest.root[a] != forest.root[b]
             a, b = a[apart], b[apart]
-            differ = np.bitwise_count(fp[a] ^ fp[b]).sum(1)
+            differ = np.bitwise_count(fp[a] ^ fp[b]).sum(1) + np.bitwise_count(key[a] ^ key[b])
             near = differ <= total
             a, b, differ = a[near], b[near], differ[near]
             if every:
@@ -330,12 +348,22 @@ def near_pairs(nodes: DataFrame, budget: int, total: int, every: bool) -> DataFr
         a, b = node[a], node[b]
         return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b), "differ": differ.astype(np.int32)})
 
-    return units.groupBy("of", "unit").applyInArrow(run, "a long, b long, differ int").distinct()
+    return dealt.groupBy("of", "subtrie", "lo", "hi").applyInArrow(run, "a long, b long, differ int").groupBy("a", "b").agg(F.min("differ").alias("differ"))
 
 
-def alike(pairs: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, least: float, text_col: str) -> DataFrame:
+def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, least: float, text_col: str) -> DataFrame:
     """Those of the pairs (a, b; stored) whose texts' shingle sets have a likeness of least or more."""
-    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(reps.select("node", "rep"), "node")
+    sides = [nodes.select(F.col("node").alias(c), F.col("keys").alias(f"keys_{c}"), F.col("fp").alias(f"fp_{c}")) for c in "ab"]
+    both = pairs.select("a", "b").join(sides[0], "a").join(sides[1], "b").select("a", "b", "keys_a", "keys_b", "fp_a", "fp_b")
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if len(b):
+                x, y = (np.hstack([b.column(k).flatten().to_numpy().view(np.uint64).reshape(len(b), -1), np.frombuffer(b"".join(b.column(k + 2).to_pylist()), "<u8").reshape(len(b), -1)]) for k in (2, 3))
+                yield b.select(["a", "b"]).filter(pa.array(np.bitwise_count(x ^ y).sum(1) <= over_mean(64 * x.shape[1], 5.0)))
+
+    pairs = stored(both.mapInArrow(likely, "a long, b long"), "likely")
+    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rep"), "node")
     named = sized(stored(named, "named"))
     texts = docs.select(F.xxhash64(text_of(text_col)).alias("rep"), text_of(text_col).alias("text")).join(named, "rep").groupBy("node").agg(F.first("text").alias("text"))
     texts = stored(texts, "texts")
@@ -347,12 +375,14 @@ def alike(pairs: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, leas
             like = [jaccard(shingles(words_of(x.as_py()), shingle), shingles(words_of(y.as_py()), shingle)) >= least for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(like, pa.bool_()))
 
-    return stored(both.mapInArrow(run, "a long, b long"), "alike")
+    out = stored(both.mapInArrow(run, "a long, b long"), "alike")
+    discard(texts)
+    return out
 
 
-def near_copies(nodes: DataFrame, docs: DataFrame, shingle: int, least: float, budget: int, total: int, text_col: str) -> DataFrame:
+def near_copies(nodes: DataFrame, docs: DataFrame, shingle: int, least: float, bits: int, tries: int, text_col: str) -> DataFrame:
     """node and label (the smallest node of its group) for the nodes (node, rep, keys, fp; stored) that have near copies."""
-    proposed = stored(near_pairs(nodes.withColumn("label", F.col("node")), budget, total, False), "proposed")
+    proposed = stored(near_pairs(nodes.withColumn("label", F.col("node")), bits, tries, False), "proposed")
     nearest = stored(proposed.groupBy("a").agg(F.min_by("b", F.struct("differ", "b")).alias("b")), "nearest")
     sure = alike(nearest, nodes, docs, shingle, least, text_col)
     labels = components(sure)
@@ -376,15 +406,16 @@ def near_copies(nodes: DataFrame, docs: DataFrame, shingle: int, least: float, b
     open_ = groups.join(failed.select(F.col("a").alias("node")), "node", "left_semi").select("label").distinct()
     mixed = groups.join(open_, "label", "left_semi").select("node")
     again = stored(nodes.join(mixed, "node", "left_semi").join(labels, "node", "left").select("node", "rep", "keys", "fp", F.coalesce("label", "node").alias("label")), "again")
-    more = stored(near_pairs(again, budget, total, True).select("a", "b").join(tried, ["a", "b"], "left_anti"), "more")
+    more = stored(near_pairs(again, bits, tries, True).select("a", "b").join(tried, ["a", "b"], "left_anti"), "more")
     return components(sure.unionByName(alike(more, nodes, docs, shingle, least, text_col))) if not more.isEmpty() else labels
 
 
-def drop(docs: DataFrame, shingle: int = 5, least: float = 0.8, budget: int = 4, total: int = 54, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def drop(docs: DataFrame, shingle: int = 5, least: float = 0.8, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """docs without all but one row of each group of near copies: that of the smallest id stays (a null id only where there is no other)."""
-    prints = stored(_long_prints(docs, shingle, text_col, id_col), "prints")
+    bits, tries = tries_for(docs.count())
+    prints = stored(_long_prints(docs, shingle, tries, text_col, id_col), "prints")
     nodes = stored(prints.groupBy("node").agg(F.min_by(F.struct("th", "keys", "fp"), "th").alias("x")).select("node", F.col("x.th").alias("rep"), "x.keys", "x.fp"), "nodes")
-    labels = near_copies(nodes, docs, shingle, least, budget, total, text_col)
+    labels = near_copies(nodes, docs, shingle, least, bits, tries, text_col)
     groups = prints.join(labels, "node", "left").select(F.coalesce("label", "node").alias("label"), F.struct(F.col("id").isNull().alias("no_id"), "id", "th").alias("row"))
     one = groups.groupBy("label", "row").agg(F.count("*").alias("n")).groupBy("label").agg(F.min_by("n", "row").alias("n"), F.min("row").alias("stays"), F.sum("n").alias("all")).filter(F.col("all") > 1)
     one = stored(one, "stays")

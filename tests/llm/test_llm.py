@@ -409,9 +409,34 @@ def test_trie_join_finds_all_pairs():
         got = {p for x, y in simhash_trie.trie_join(a, right, 3) for p in zip(x.tolist(), y.tolist(), strict=True)}
         other = a if right is None else b
         near = np.bitwise_count(a[:, None] ^ other[None, :]) <= 3
+        deep = {p for x, y in simhash_trie.trie_join(a, right, 3, 7) for p in zip(x.tolist(), y.tolist(), strict=True)}
+        assert deep == {(i, j) for i, j in got if a[i] >> np.uint64(57) == other[j] >> np.uint64(57)}
         assert got == {(i, j) for i, j in zip(*(x.tolist() for x in np.nonzero(near)), strict=True) if right is not None or i < j}
 
 
+def test_full_subtries_are_dealt_again(spark, monkeypatch):
+    monkeypatch.setattr(simhash_trie, "HOT", 20)
+    rng = np.random.default_rng(5)
+    near = [int(x) for x in np.unique(np.concatenate([rng.integers(0, 1 << 12, 120), (np.int64(1) << 40) + rng.integers(0, 1 << 10, 60), rng.integers(0, 1 << 62, 60)]))]
+    got = {r["node"]: r["label"] for r in simhash_trie.components(simhash_trie.links(spark.createDataFrame([(x,) for x in near], "fp long"))).collect()}
+    root = list(range(len(near)))
+    for i in range(len(near)):
+        for j in range(i):
+            if bin(near[i] ^ near[j]).count("1") <= 3:
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    assert got == {near[i]: near[r] for i, r in enumerate(root) if root.count(r) > 1}
+
+
+def test_near_copies_in_full_subtries(spark, monkeypatch):
+    monkeypatch.setattr(simhash_trie, "HOT", 12)
+    draw = random.Random(21)
+    base = [f"w{draw.randrange(3000)}" for _ in range(300)]
+    family = [" ".join([*base[:k], f"z{k}", *base[k + 1 :]]) for k in range(40)]
+    other = [" ".join(f"w{draw.randrange(3000)}" for _ in range(200)) for _ in range(30)]
+    assert {r["doc_id"] for r in simhash_trie.drop(docs(spark, family + other + ["NULL", LONG])).select("doc_id").collect()} == {0, *range(40, 72)}
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(60)] + [(100, 200), (200, 150), (7, 7000)]
     got = {r["node"]: r["label"] for r in simhash_trie.components(spark.createDataFrame(edges, "a long, b long")).collect()}
