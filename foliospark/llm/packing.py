@@ -15,6 +15,7 @@ an empty table; other input columns aren't returned.
 
 from __future__ import annotations
 
+import unicodedata
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -74,11 +75,18 @@ def _parts(word: bytes) -> tuple[bytes, ...]:
         return (word,)
     low = word.lower()
     core = low.rstrip(CLOSING)
-    if core != low and core and (core[-1] < 0x80 and 0x61 <= core[-1] <= 0x7A or core[-1] >= 0x80 and core.decode()[-1].isalpha()):
+    if core != low and core and (core[-1] < 0x80 and 0x61 <= core[-1] <= 0x7A or core[-1] >= 0x80 and _ends_as_letter(core.decode()[-1])):
         return core, low[len(core) :]
     return (low,)
 
 
+@lru_cache(maxsize=1 << 16)
+def _ends_as_letter(c: str) -> bool:
+    """Whether the tokenizer's normalisation (NFC, lower case) leaves one letter of this character: a mark at the end would join the punctuation."""
+    out = unicodedata.normalize("NFC", unicodedata.normalize("NFC", c).lower())
+    return len(out) == 1 and out.isalpha()
+
+
 class Capacities:
     """A segment tree whose leaves are remaining capacities; a node counts the open windows below it."""
 

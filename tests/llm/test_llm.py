@@ -312,6 +312,14 @@ def test_packing(spark):
     assert packing.pack(docs(spark, []), path).count() == 0
 
 
+def test_every_letter_before_punctuation():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, encode = Tokenizer.from_file(path), packing.encoder(path, 2)
+    words = [f"{before}{chr(c)}{closing}" for c in range(0x80, 0x30000) if chr(c).isalpha() and not 0x4E00 < c < 0x9F00 and not 0x20000 < c < 0x2A000 for before, closing in (("a", "."), ("e\u0301", "?!"))]
+    differ = [w for w, e in zip(words, tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True) if np.frombuffer(encode(w), "<u4").tolist() != [*e.ids, 2]]
+    assert not differ, differ[:20]
+
+
 def test_best_fit_takes_the_tightest_window():
     draw = random.Random(1)
     lengths = [draw.choice([1, 7, 500, 4096, 9000, draw.randint(1, 4000)]) for _ in range(400)]
