@@ -9,7 +9,7 @@ network (numpy, one hidden layer) is fitted on at most ``sample`` labelled docum
 temperature fitted on a part of them that training doesn't see turns logits into probabilities.
 
 Edge cases: a null text counts as empty, whose features are zero, and gets a score like others; labels that are null or whose id is null are left out,
-an id labelled more than once counts once, with its largest label; without any usable label all scores are 0.5; an empty table gives an empty table; repeated rows are scored
+an id labelled more than once counts once, with its largest label, and of texts with one id that of the smallest features is learnt from; without any usable label all scores are 0.5; an empty table gives an empty table; repeated rows are scored
 each; input columns besides id and text aren't used.
 """
 
@@ -196,7 +196,7 @@ def sampled(labels: DataFrame, held_out: Column, label_col: str, sample: int, id
 def classify(docs: DataFrame, labels: DataFrame, held_out: Column, label_col: str = "quality", sample: int = 20_000, threshold: float = 0.3, seed: int = 42, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, held_out, score (probability of label 1), predicted for each row. held_out: of the column doc_id; such rows' labels aren't learnt from."""
     found = stored(features(docs, word_vectors(docs, seed, text_col), text_col, id_col), "features")
-    known = found.join(sampled(labels, held_out, label_col, sample), "doc_id").groupBy("doc_id").agg(F.first("features").alias("features"), F.first("label").alias("label"))
+    known = found.join(sampled(labels, held_out, label_col, sample), "doc_id").groupBy("doc_id").agg(F.min("features").alias("features"), F.max("label").alias("label"))
     rows = sorted(known.collect(), key=lambda r: r["doc_id"])
     x = np.array([np.frombuffer(r["features"], np.float32) for r in rows]).reshape(-1, 2 * DIM)
     network = fit(x, np.array([float(r["label"] > 0) for r in rows]), seed=seed)
