@@ -5,9 +5,9 @@ for each word of the text and for each beginning of a word of 4 to 6 bytes (infl
 documents are divided into ``grades`` - 1 severities of like number by how much they hold of what is over-represented in toxic documents. The output is the
 expected severity, the sum of P(grade >= k), the likeliest grade, and whether P(grade >= 1) is at least one half.
 
-The model is fitted on at most ``sample`` labelled documents, chosen by a hash of their ids, on the features that tell toxic from clean ones there
-(z score over ``least_z``), by proximal gradient steps with an L1 penalty, in numpy on the driver; at most ``most_words`` features have a weight, so the
-model is bounded. Scoring is one pass without a shuffle.
+The model is fitted on at most ``sample`` labelled documents with at most ``sample_bytes`` of text, in the order of a hash of their ids, on all features that tell toxic from clean ones there
+(in five documents or more, z score over ``least_z``), by proximal gradient steps with an L1 penalty, in numpy on the driver. The sample's bounds also bound the number of features,
+so the model doesn't grow with the corpus. Scoring is one pass without a shuffle.
 
 Edge cases: a null text counts as empty (no features); labels that are null or whose id is null are left out, an id labelled
 twice counts once, with its largest label; without a toxic and a clean label nothing is toxic (severity 0); an empty table gives an empty
@@ -24,11 +24,12 @@ from typing import NamedTuple
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold, text_of, without
+from .common import fold, stored, text_of, without
 from .ri_quality import sampled
 
 WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
@@ -109,10 +110,14 @@ def fit(words: np.ndarray, over: np.ndarray, docs: list[tuple[np.ndarray, np.nda
     return Model(words[some], (w / size)[some], t)
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: int = 20_000, folds: int = 5, held: int = 0, least_z: float = 4.0, most_words: int = 20_000, text_col: str = "text", id_col: str = "doc_id", **how) -> Model:
-    """From labelled documents, but those whose fold is held. The features are counted and chosen by Spark; the driver gets the chosen ones of at most sample documents."""
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: int = 20_000, folds: int = 5, held: int = 0, sample_bytes: int = 1 << 28, least_z: float = 4.0, text_col: str = "text", id_col: str = "doc_id", **how) -> Model:
+    """From labelled documents, but those whose fold is held. The features are counted and chosen by Spark; the driver gets the chosen ones of the sample's documents."""
     ids = F.broadcast(sampled(labels, fold("doc_id", folds) == held, label_col, sample))  # at most sample rows
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_of(text_col).alias("text")).join(ids, "doc_id").select("doc_id", "text", (F.col("label") > 0).alias("toxic"))
+    every = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_of(text_col).alias("text"))
+    sizes = every.select("doc_id", F.octet_length("text").alias("size")).join(ids, "doc_id").groupBy("doc_id").agg(F.sum("size").alias("size"), F.count("*").alias("rows"), (F.max("label") > 0).alias("toxic"))
+    so_far = F.sum("size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over at most sample rows
+    taken = stored(sizes.withColumn("so_far", so_far).filter(F.col("so_far") <= sample_bytes).select("doc_id", "toxic", "rows"), "taken")
+    rows = every.join(F.broadcast(taken.select("doc_id", "toxic")), "doc_id")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
@@ -123,11 +128,11 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample:
             of = np.bincount(at, toxic.astype(float), len(words)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(words.astype(np.int64)), pa.array(np.bincount(at, minlength=len(words)) - of), pa.array(of)], ["word", "d0", "d1"])
 
-    n0, n1 = rows.agg(F.count_if(~F.col("toxic")), F.count_if("toxic")).first()
+    n0, n1 = (n or 0 for n in taken.agg(F.sum(F.when(~F.col("toxic"), F.col("rows"))), F.sum(F.when(F.col("toxic"), F.col("rows")))).first())
     share = (F.col("d0") + F.col("d1")) / (n0 + n1)
     z = (F.col("d1") / max(n1, 1) - F.col("d0") / max(n0, 1)) / F.sqrt(share * (1 - share) * (1 / max(n1, 1) + 1 / max(n0, 1)) + 1e-12)
     by = rows.mapInArrow(counted, "word long, d0 long, d1 long").groupBy("word").agg(F.sum("d0").alias("d0"), F.sum("d1").alias("d1")).filter("d0 + d1 >= 5")
-    chosen = by.select("word", z.alias("z")).filter(F.abs("z") >= least_z).orderBy(F.desc(F.abs("z")), "word").limit(most_words).collect()
+    chosen = by.select("word", z.alias("z")).filter(F.abs("z") >= least_z).collect()
     order = np.argsort([r["word"] for r in chosen]) if chosen else np.zeros(0, int)
     words, over = np.array([chosen[k]["word"] for k in order], np.uint32), np.array([chosen[k]["z"] > 0 for k in order], bool)
 
@@ -152,15 +157,13 @@ def grade(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with severity (expected grade), grade (the likeliest), p_toxic (P(grade >= 1)), toxic."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def evidence(batches: Iterator) -> Iterator:
-        import pandas as pd
-
+    @F.pandas_udf("double")
+    def evidence(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         hashes = Hashes()
         for texts in batches:
             yield pd.Series([sent.value.evidence(*hashed(t, hashes)) for t in texts], dtype="float64")
 
-    score = F.pandas_udf(evidence, "double", F.PandasUDFType.SCALAR_ITER)
-    rows = docs.select(*without(docs, *ADDED), score(text_of(text_col)).alias("_evidence"))
+    rows = docs.select(*without(docs, *ADDED), evidence(text_of(text_col)).alias("_evidence"))
     p = [1 / (1 + F.exp(F.lit(float(t)) - F.col("_evidence"))) for t in model.thresholds]
     exactly = [1 - p[0], *[a - b for a, b in zip(p, p[1:], strict=False)], p[-1]]
     likeliest = F.array_position(F.array(*exactly), F.array_max(F.array(*exactly))) - 1
