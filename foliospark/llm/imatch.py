@@ -2,13 +2,14 @@
 
 The lexicon holds the corpus's terms with document frequency, over distinct texts, from ``least`` to ``most`` of these (so inverse document frequency from
 -ln(most) to -ln(least)). All texts have at most (number of texts) * (mean number of distinct terms) term places, so at most
-(mean distinct terms) / least terms can be in the band, whatever the size of the corpus: that bound is what lets it be broadcast. Each of the random
+(mean distinct terms) / least terms can be in the band, whatever the size of the corpus: that bound is what lets it be broadcast. It is counted first: beyond
+``MOST_TERMS`` it is sent as sorted 64-bit hashes, 8 bytes a term. Each of the random
 sublexicons keeps a term with its own probability, halving from one half down, so that texts of any length keep a few terms in some
-of them. A sublexicon's signature is a hash of the kept terms in sorted order, 0 if none; equal texts have equal signatures. A text of which no sublexicon keeps a term
+of them. A sublexicon's signature is a 64-bit hash of the kept terms in sorted order, 0 if none; equal texts have equal signatures. A text of which no sublexicon keeps a term
 gets signatures of all its own terms in sorted order (of the text itself if it has none). Likeness of two
 fingerprints: equal signatures over those that aren't 0 in both; 1 if all are.
 
-Edge cases: a null text counts as empty (all signatures 0); an empty table gives an empty table; other input columns aren't used.
+Edge cases: a null text counts as empty (all signatures 0); rows of one id, null ids among them, are ordered by a hash of their text; an empty table gives an empty table; other input columns aren't used.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
@@ -26,10 +28,12 @@ from .common import sized, stored, text_of
 
 TERM = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Sublexicons of each keeping probability 1/2, 1/4, ... 1/2**HALVINGS; terms of which a task remembers the sublexicons.
-EACH, HALVINGS, REMEMBERED = 8, 9, 200_000
+EACH, HALVINGS, REMEMBERED = 4, 9, 200_000
 SIZE = EACH * HALVINGS
-#: Distinct terms that a task counts before it hands its sums on.
-HELD = 500_000
+#: A signature is from 1 to this, or 0.
+LARGEST = 2**64 - 1
+#: Distinct terms that a task counts before it hands its sums on, and terms of the lexicon that are sent as they are.
+HELD, MOST_TERMS = 500_000, 2_000_000
 
 
 def terms(text: str) -> set[bytes]:
@@ -83,12 +87,33 @@ def lexicon(docs: DataFrame, least: float = 0.001, most: float = 0.2, text_col:
     return stored(document_frequency(docs, text_col, contents).filter(F.col("df").between(least * n, most * n)).select("term"), "lexicon")
 
 
-def signer(band: frozenset[bytes], seed: int) -> Callable[[str], tuple[int, ...]]:
+class Hashed:
+    """A large lexicon as sorted hashes of its terms; ``&`` gives those of a set's terms that are in it."""
+
+    def __init__(self, terms_: Iterator[bytes]):
+        from xxhash import xxh64_intdigest
+
+        self.hashes = np.sort(np.fromiter((xxh64_intdigest(t) for t in terms_), np.uint64))
+
+    def __rand__(self, some: set[bytes]) -> set[bytes]:
+        from xxhash import xxh64_intdigest
+
+        own = list(some)
+        hashes = np.fromiter((xxh64_intdigest(t) for t in own), np.uint64, len(own))
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return {own[k] for k in np.flatnonzero(self.hashes[at] == hashes).tolist()}
+
+
+def band_of(found: DataFrame) -> frozenset[bytes] | Hashed:
+    """The lexicon (stored) for the driver to send."""
+    each = (bytes(r[0]) for r in found.toLocalIterator())
+    return frozenset(each) if found.count() <= MOST_TERMS else Hashed(each)
+
+
+def signer(band: frozenset[bytes] | Hashed, seed: int) -> Callable[[str], tuple[int, ...]]:
     """Text to signatures."""
     from xxhash import xxh64_digest, xxh64_intdigest
 
-    import numpy as np
-
     of: dict[bytes, list[int]] = {}
 
     def subsets(term: bytes) -> list[int]:
@@ -109,8 +134,8 @@ def signer(band: frozenset[bytes], seed: int) -> Callable[[str], tuple[int, ...]
                 kept[k].append(t)
         if text and not any(kept):
             own_terms = b"\0" + (b" ".join(sorted(every)) or b"\0" + text.encode("utf-8", "replace"))
-            return tuple([xxh64_intdigest(own_terms, seed + k) % 65535 + 1 for k in range(SIZE)])
-        return tuple([xxh64_intdigest(b" ".join(ts), seed) % 65535 + 1 if ts else 0 for ts in kept])
+            return tuple([xxh64_intdigest(own_terms, seed + k) % LARGEST + 1 for k in range(SIZE)])
+        return tuple([xxh64_intdigest(b" ".join(ts), seed) % LARGEST + 1 if ts else 0 for ts in kept])
 
     return sign
 
@@ -121,13 +146,13 @@ def likeness(a: tuple[int, ...], b: tuple[int, ...]) -> float:
 
 
 def shown(a: tuple[int, ...]) -> str:
-    return "".join(f"{x:04x}" for x in a)
+    return "".join(f"{x:016x}" for x in a)
 
 
 def fingerprints(docs: DataFrame, least: float = 0.001, most: float = 0.2, seed: int = 42, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """id and fingerprint (4 hexadecimal digits for each sublexicon) of each row."""
+    """id and fingerprint (16 hexadecimal digits for each sublexicon) of each row."""
     spark = docs.sparkSession
-    band = spark.sparkContext.broadcast(frozenset(bytes(r[0]) for r in lexicon(docs, least, most, text_col).collect()))
+    band = spark.sparkContext.broadcast(band_of(lexicon(docs, least, most, text_col)))
     rows = docs.select(F.col(f"`{id_col}`").alias(id_col), text_of(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,10 +179,10 @@ def compare_with_next(docs: DataFrame, least: float = 0.001, most: float = 0.2,
     the following one (as many as there are ranges) are joined afterwards. Null ids come last; rows with one id in the order of a hash of their text.
     """
     spark = docs.sparkSession
-    band = spark.sparkContext.broadcast(frozenset(bytes(r[0]) for r in lexicon(docs, least, most, text_col).collect()))
+    band = spark.sparkContext.broadcast(band_of(lexicon(docs, least, most, text_col)))
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_of(text_col).alias("text"))
-    ordered = rows.repartitionByRange(F.desc_nulls_last("doc_id")).sortWithinPartitions(F.desc_nulls_last("doc_id"), F.xxhash64("text"))
+    ordered = rows.repartitionByRange(F.desc_nulls_last("doc_id"), F.xxhash64("text")).sortWithinPartitions(F.desc_nulls_last("doc_id"), F.xxhash64("text"))
     schema = f"doc_id {id_type}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
