@@ -176,6 +176,73 @@ def test_classifiers_learn(spark):
     assert ri_quality.classify(docs(spark, []), labels, held).count() == 0 and ordinal_toxicity.grade(docs(spark, []), model).count() == 0
 
 
+def brute_vectors(texts: list[str]) -> dict[int, np.ndarray]:
+    """Word vectors by slot, one token and neighbour at a time."""
+    place, sign = ri_quality.index_vectors(42)
+    out: dict[int, np.ndarray] = defaultdict(lambda: np.zeros(ri_quality.DIM))
+    for t in texts:
+        line = [zlib.crc32(w) % ri_quality.SLOTS for w in re.findall(rb"[a-z\x80-\xff]+|[^a-z\x80-\xff\x20\x09-\x0d]+", t.encode().lower())]
+        for i, own in enumerate(line):
+            for j in range(max(0, i - 2), min(len(line), i + 3)):
+                if j != i:
+                    for at, s in zip(place[line[j]], sign[line[j]], strict=True):
+                        out[own][at] += s
+    return {k: v / (np.linalg.norm(v) or 1) for k, v in out.items()}
+
+
+def test_quality_vectors_and_features_against_brute_force(spark):
+    texts = ["The old house, the OLD tree", "é© é x", "", "one", "NULL", "a b %% c a", "a b %% c a"]
+    d = docs(spark, texts)
+    vectors = ri_quality.word_vectors(d)
+    want = brute_vectors(["" if t == "NULL" else t for t in texts])
+    assert set(np.flatnonzero(np.abs(vectors).sum(1))) == {k for k, v in want.items() if v.any()}
+    for k, v in want.items():
+        assert vectors[k] == pytest.approx(v, abs=1e-6)
+    got = {r["doc_id"]: np.frombuffer(r["features"], np.float32) for r in ri_quality.features(d, vectors).collect()}
+    for k, t in enumerate(texts):
+        line = [zlib.crc32(w) % ri_quality.SLOTS for w in re.findall(rb"[a-z\x80-\xff]+|[^a-z\x80-\xff\x20\x09-\x0d]+", ("" if t == "NULL" else t).encode().lower())]
+        own = np.array([vectors[x] for x in line]).reshape(-1, ri_quality.DIM)
+        assert got[k] == pytest.approx(np.concatenate([own.mean(0), own.std(0)]) if len(own) else np.zeros(2 * ri_quality.DIM), abs=1e-5)
+    x, y = np.random.default_rng(1).normal(size=(300, 2 * ri_quality.DIM)), np.arange(300) % 2
+    net = ri_quality.fit(x, y.astype(float), epochs=3)
+    one = [1 / (1 + math.exp(-(sum(math.tanh(sum((row[i] - net.centre[i]) / net.scale[i] * net.w1[i, h] for i in range(len(row))) + net.b1[h]) * net.w2[h] for h in range(len(net.b1))) + net.b2) / net.temperature)) for row in x[:3]]
+    assert net.probability(x[:3]) == pytest.approx(one)
+
+
+def test_quality_repeated_ids_with_other_texts(spark):
+    d = docs(spark, [f"word{k} the tree {'%% ' * (k % 2) * 9}" for k in range(40)])
+    twice = d.unionByName(d.withColumn("text", F.reverse("text")))
+    labels = spark.createDataFrame([(k, 1 - k % 2) for k in range(40)], "doc_id long, quality int")
+    runs = [sorted((r["doc_id"], round(r["score"], 9)) for r in ri_quality.classify(x, labels, F.lit(False)).collect()) for x in (twice, twice.orderBy(F.desc("text")))]
+    assert runs[0] == runs[1] and len(runs[0]) == 80
+
+
+def test_toxicity_against_brute_force(spark):
+    words = np.array(sorted(zlib.crc32(w) for w in (b"vile", b"vile-", b"tree")), np.uint32)
+    weights = {zlib.crc32(b"vile"): 1.5, zlib.crc32(b"vile-"): 0.25, zlib.crc32(b"tree"): -0.5}
+    model = ordinal_toxicity.Model(words, np.array([weights[int(w)] for w in words]), np.array([0.5, 1.0, 2.5]))
+    texts = ["vile Vile tree", "vileness", "a tree", "", "NULL", "vile " * 50]
+    got = {r["doc_id"]: r for r in ordinal_toxicity.grade(docs(spark, texts), model).collect()}
+    for k, t in enumerate(texts):
+        n = Counter(re.findall("[a-z0-9]+", "" if t == "NULL" else t.lower()))
+        beginnings = Counter()
+        for w, c in n.items():
+            for size in (4, 5, 6):
+                if len(w) >= size:
+                    beginnings[w[:size] + "-"] += c
+        x = sum(weights.get(zlib.crc32(w.encode()), 0) * (1 + math.log(c)) for w, c in (n + beginnings).items())
+        p = [1 / (1 + math.exp(t_ - x)) for t_ in (0.5, 1.0, 2.5)]
+        each = [1 - p[0], p[0] - p[1], p[1] - p[2], p[2]]
+        r = got[k]
+        assert r["severity"] == pytest.approx(sum(i * q for i, q in enumerate(each))) and r["grade"] == int(np.argmax(each)) and r["p_toxic"] == pytest.approx(p[0]) and r["toxic"] == (p[0] >= 0.5)
+
+
+def test_toxicity_sample_is_bounded_in_bytes(spark):
+    d = docs(spark, [("vile " if k % 2 else "tree ") * 200 for k in range(60)])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int")
+    assert len(ordinal_toxicity.train(d, labels, sample_bytes=10).words) == 0 and len(ordinal_toxicity.train(d, labels, sample_bytes=1 << 20).words) > 0
+
+
 # --- 4
 
 
@@ -364,7 +431,40 @@ def test_imatch_band_with_a_hot_text(spark):
     assert {bytes(r["term"]) for r in imatch.lexicon(many).collect()} == alone and len(alone) > 1000
     got = {r["doc_id"]: r["fingerprint"] for r in imatch.fingerprints(many).collect()}
     assert got[600] == got[605] and len({got[k] for k in range(600, 605)} | {got[3]}) == 6 and got[3] == got[700]
-    assert {got[606], got[607]} == {"0000" * imatch.SIZE} and "0000" * imatch.SIZE not in {v for k, v in got.items() if k not in (606, 607)}
+    none = f"{0:016x}" * imatch.SIZE
+    assert {got[606], got[607]} == {none} and none not in {v for k, v in got.items() if k not in (606, 607)}
+
+
+def test_imatch_signatures_against_brute_force(spark, monkeypatch):
+    draw = random.Random(31)
+    texts = [" ".join(draw.choice([f"w{k}" for k in range(40)]) for _ in range(draw.randrange(1, 40))) for _ in range(30)] + ["", "NULL", "zz zz", LONG, "NOID", "NOID"]
+    plain = ["" if t == "NULL" else t for t in texts]
+    df = Counter(w for t in set(plain) for w in set(re.findall("[a-z0-9]+", t.lower())))
+    band = {w for w, n in df.items() if 0.1 * len(set(plain)) <= n <= 0.9 * len(set(plain))}
+
+    def kept(word: str, k: int) -> bool:
+        digest = b"".join(xxhash.xxh64_digest(word.encode(), 42 + i) for i in range(-(-2 * imatch.SIZE // 8)))
+        return int.from_bytes(digest[2 * k : 2 * k + 2], "little") < 65536 >> (k // imatch.EACH + 1)
+
+    def signatures(t: str) -> list[int]:
+        own = sorted(set(re.findall("[a-z0-9]+", t.lower())))
+        lists = [[w for w in own if w in band and kept(w, k)] for k in range(imatch.SIZE)]
+        if t and not any(lists):
+            line = b"\0" + (" ".join(own).encode() or b"\0" + t.encode())
+            return [xxhash.xxh64_intdigest(line, 42 + k) % (2**64 - 1) + 1 for k in range(imatch.SIZE)]
+        return [xxhash.xxh64_intdigest(" ".join(x).encode(), 42) % (2**64 - 1) + 1 if x else 0 for x in lists]
+
+    for most in (imatch.MOST_TERMS, 0):  # the lexicon as it is, and hashed
+        monkeypatch.setattr(imatch, "MOST_TERMS", most)
+        got = imatch.compare_with_next(docs(spark, texts), 0.1, 0.9).collect()
+        by = {r["doc_id"]: r for r in got}
+        assert len(got) == len(texts)
+        for k, t in enumerate(plain[:-2]):
+            own, other = signatures(t), signatures(plain[k - 1]) if k else None
+            assert by[k]["fingerprint"] == "".join(f"{x:016x}" for x in own)
+            if other is not None:
+                some = [(x, y) for x, y in zip(own, other, strict=True) if x or y]
+                assert by[k]["near_next"] == pytest.approx(sum(x == y for x, y in some) / len(some) if some else 1.0)
 
 
 # --- 10
