@@ -1,25 +1,28 @@
 """License scans by ordered signature rules, in DataFrame functions only.
 
 A rule is a regular expression over a text's words (letters, digits and all beyond ASCII, A-Z lower-cased, one space between
-words), gated by keywords of which every match of it holds one. Rules are generated from a table of license names and a table of
-phrasings around a name, besides hand-written ones. Detections are intervals of words. Of two detections, the one whose interval lies within the
-other's is suppressed; of equal intervals the rule of higher priority stays, then the earlier rule. Three base phrases are
+words), gated by keywords of which every match of it holds one. Over two hundred signatures of texts, headers and notices are written by hand (``license_signatures``); references to a license by
+its name come from a table of names and a few phrasings, in which a name that is an ordinary word needs a verb of licensing, "terms of" or "license" beside it. Detections are intervals of words. Of two detections, the one whose interval lies within the
+other's is suppressed; of equal intervals the rule of higher priority stays, then the earlier rule: detections are sorted by start, and swept with the largest end so far. Three base phrases are
 always reported.
 
-Everything for one document happens within its row: no shuffle, join or Python. Documents without any anchor word skip the rules.
+Everything for one document happens within its row: no shuffle, join or Python. Documents without any anchor word skip the rules, and rules are tried by groups of one keyword.
 
-Edge cases: a null text counts as empty (no words, no labels, score 0); places of one rule don't overlap each other, and phrases
+Edge cases: a null text counts as empty (no words, no labels, score 0); very long texts are scanned whole, and their detections are handled in lumps of 256; places of one rule don't overlap each other, and phrases
 may not overlap themselves either; input columns named like an output column are replaced; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, text_of, without
+from .license_signatures import FAINT, TEXTS
 
 ADDED = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections")
 #: Word characters: 0-9, A-Z, a-z and all beyond ASCII. The first is for texts in either case.
@@ -27,7 +30,10 @@ NOT_WORD, WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[^\x00-\x2F\x3A-\
 #: The contract's phrases and their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 #: Every match of a rule holds one of these (or two words of CC), lower-cased; single words, as anything may stand between words.
-ANCHORS = ("licen", "under", "governed", "subject", "warranty", "permission", "redistribut", "endorse", "unencumbered", "waived", "domain", "reserved")
+ANCHORS = (
+    "licen", "under", "governed", "covered", "terms", "permission", "warrant", "redistribut", "copyright", "domain", "reserved", "identifier", "creative", "software", "advertising", "endorse", "liable", "acknowledg",
+    "exception", "invariant", "mozilla", "eclipse", "cc0", "fuck", "beer", "altered", "remotely", "propagate", "bzip2", "illinois", "etalab", "cecill", "mulan", "confidential", "unauthorized", "png", "policies", "postgresql",
+)
 CC = r"(?i)cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by"
 
 
@@ -76,74 +82,91 @@ HOLDS = {
 #: Pattern around a name ({}), priority, weight, the gate where the name's keyword isn't selective (None: what the name holds).
 PHRASINGS = (
     (" (?:spdx )?license identifier {}(?: only| or later)?", 50, 1.0, "identifier"),
-    (" (?:(?:is |are )?(?:re)?licensed|(?:re)?released|distributed|published|available|provided|covered|made available) under (?:the )?(?:terms of (?:the )?)?{}(?: licen[cs]e)?(?: or (?:any )?later(?: version)?)?", 40, 0.9, "under"),
-    (" (?:under|subject to|governed by) (?:the )?(?:terms (?:and conditions )?of (?:the )?)?{}(?: licen[cs]e)?", 30, 0.7, None),
-    (" licen[cs]e {}", 20, 0.6, "licen"),
+    (" (?:(?:is |are )?(?:re)?licensed under|(?:re)?released under|distributed under|published under|available under|provided under|covered (?:under|by)|governed by) (?:the )?(?:terms (?:and conditions )?of (?:the )?)?{}(?: licen[cs]e)?(?: or (?:any )?later(?: version)?)?", 40, 0.9, None),
+    (" (?:under|subject to) (?:the )?terms (?:and conditions )?of (?:the )?{}(?: licen[cs]e)?", 30, 0.7, None),
     (" {} licen[cs]e", 20, 0.6, "licen"),
 )
-#: Hand-written signatures of license texts and notices.
-HAND_WRITTEN = (
-    Rule("mit", "permission", " permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", 60, 1.0),
-    Rule("isc", "permission", " permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", 60, 1.0),
-    Rule("bsd", "redistribution", " redistribution and use in source and binary forms with or without modification are permitted provided that", 60, 1.0),
-    Rule("bsd-3-clause", "neither", " neither the name of [^ ]+(?: [^ ]+){0,8} nor the names of its contributors may be used to endorse", 60, 1.0),
-    Rule("zlib", "warranty", " this software is provided as is without any express or implied warranty in no event will the authors be held liable", 60, 1.0),
-    Rule("gpl", "redistribute", " you can redistribute it and or modify it under the terms of the gnu general public license", 60, 1.0),
-    Rule("lgpl", "redistribute", " you can redistribute it and or modify it under the terms of the gnu lesser general public license", 60, 1.0),
-    Rule("agpl", "redistribute", " you can redistribute it and or modify it under the terms of the gnu affero general public license", 60, 1.0),
-    Rule("mpl-2.0", "source", " this source code form is subject to the terms of the mozilla public license", 60, 1.0),
-    Rule("unlicense", "public domain", " this is free and unencumbered software released into the public domain", 60, 1.0),
-    Rule("cc0-1.0", "waived", " (?:has )?waived all copyright and related or neighboring rights", 60, 1.0),
-    Rule("public-domain", "public domain", " (?:placed in|released into|dedicated to|released to) the public domain", 40, 0.8),
-    Rule("proprietary", "rights reserved", " all rights reserved", 10, 0.3), Rule("proprietary", "licen", " proprietary (?:and confidential )?licen[cs]e", 20, 0.5),
-    Rule("warranty-disclaimer", "warranty", " without warranty of any kind", 10, 0.2),
-)
+#: Names that are no ordinary words nor short for anything else: these may follow "under" or "license" alone.
+PLAIN = ("gpl", "lgpl", "agpl", "gfdl", "mpl-", "cddl", "eupl", "cc0", "cc-by", "ofl", "odbl", "mit-0", "0bsd", "unlicense", "wtfpl", "sspl")
+PLAIN_PHRASINGS = ((" under (?:the |an? )?{}(?: licen[cs]e)?", 30, 0.7, None), (" licen[cs]e {}", 20, 0.6, "licen"))
 #: The base phrases are rules too; they outrank the others.
 BASE_RULES = tuple(Rule(label, phrase.split()[-1 if label == "cc-by-nc" else 0], f" {phrase}", 100, 1.0) for phrase, label in BASE)
 
 
+def named(label: str, name: str, key: str) -> list[Rule]:
+    """The rules for references to a license by its name."""
+    every = PHRASINGS + PLAIN_PHRASINGS * label.startswith(PLAIN)
+    return [Rule(label, (gate or HOLDS[label.partition("-")[0]]) if len(key) < 3 else key, around.format(name), priority, weight) for around, priority, weight, gate in every]
+
+
 def rules() -> list[Rule]:
-    made = [Rule(label, (gate or HOLDS[label.partition("-")[0]]) if len(key) < 3 else key, around.format(name), priority, weight) for label, name, key in NAMES for around, priority, weight, gate in PHRASINGS]
-    return [*BASE_RULES, *HAND_WRITTEN, *made]
+    texts = [Rule(label, key, regex, *FAINT.get(label, (60, 1.0))) for label, key, regex in TEXTS]
+    return [*BASE_RULES, *texts, *(r for x in NAMES for r in named(*x))]
 
 
 def _spaces(c: Column) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body has it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+LUMP = 256
+
+
+def running(values: Column, of: Callable[[Column, Column], Column]) -> Column:
+    """Running aggregates of an int array, in lumps: a lump's own, then joined with what all lumps before it come to."""
+
+    def along(lump: Column) -> Column:
+        empty = F.array().cast("array<int>")
+        return F.aggregate(lump, empty, lambda a, x: F.array_append(a, F.when(F.size(a) == 0, x).otherwise(of(F.element_at(a, -1), x))))
+
+    lumps = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / LUMP).cast("int")), lambda k: along(F.slice(values, k * LUMP + 1, LUMP)))
+
+    def joined(parts: Column) -> Column:
+        before = along(F.transform(parts, lambda p: F.element_at(p, -1)))
+        return _let(before, lambda b: F.flatten(F.transform(parts, lambda p, k: F.when(k == 0, p).otherwise(F.transform(p, lambda x: of(F.get(b, k - 1), x))))))
+
+    return F.when(F.size(values) == 0, F.array().cast("array<int>")).otherwise(_let(lumps, joined))
+
+
 def places(words: Column, regex: Column) -> Column:
     """Each match of a rule in the spaced words: struct(first, last), numbers of words. A match begins with the space before its first word."""
-    found, between = F.regexp_extract_all(words, regex, F.lit(0)), F.split(words, regex, -1)
-    gaps = F.transform(found, lambda _, k: F.struct(_spaces(F.get(between, k)).alias("gap"), _spaces(F.get(found, k)).alias("n")))
-    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<first:int,last:int>>").alias("out"))
 
-    def step(a: Column, g: Column) -> Column:
-        first = a["at"] + g["gap"]
-        return F.struct((first + g["n"]).alias("at"), F.array_append(a["out"], F.struct(first.alias("first"), (first + g["n"] - 1).alias("last"))).alias("out"))
+    def counted(found: Column) -> Column:
+        between = F.slice(F.split(words, regex, -1), 1, F.size(found))
+        sizes = F.zip_with(between, found, lambda gap, hit: F.struct(_spaces(gap).alias("gap"), _spaces(hit).alias("n")))
+        return _let(sizes, lambda s: _let(running(F.transform(s, lambda x: x["gap"] + x["n"]), lambda a, x: a + x), lambda ends: F.zip_with(ends, s, lambda end, x: F.struct((end - x["n"]).alias("first"), (end - 1).alias("last")))))
 
-    return F.aggregate(gaps, none, step, lambda a: a["out"])
+    return _let(F.regexp_extract_all(words, regex, F.lit(0)), counted)
 
 
-def _rule_array(these: list[Rule]) -> Column:
-    return F.array(*[F.struct(F.lit(k).alias("rule"), F.lit(r.label).alias("label"), F.array(*[F.lit(w) for w in r.keyword.split("|")]).alias("keywords"), F.lit(f"{r.regex}(?= )").alias("regex"), F.lit(r.priority).alias("priority"), F.lit(r.weight).alias("weight"), F.lit(r in BASE_RULES).alias("base")) for k, r in enumerate(these)])
+def _groups(these: list[Rule]) -> Column:
+    """The rules by their keywords, as a constant array."""
+    by: dict[str, list[tuple[int, Rule]]] = {}
+    for k, r in enumerate(these):
+        by.setdefault(r.keyword, []).append((k, r))
+    groups = [{"keywords": key.split("|"), "rules": [{**r._asdict(), "regex": f"(?:{r.regex})(?= )", "rule": k, "base": r in BASE_RULES} for k, r in own]} for key, own in by.items()]
+    return F.from_json(F.lit(json.dumps(groups)), "array<struct<keywords:array<string>,rules:array<struct<rule:int,label:string,regex:string,priority:int,weight:double,base:boolean>>>>")
 
 
 def detections(words: Column, these: list[Rule]) -> Column:
     """All detections of the rules, before suppression."""
-    gated = F.filter(_rule_array(these), lambda r: F.exists(r["keywords"], lambda w: F.contains(words, w)))
+    gated = F.flatten(F.transform(F.filter(_groups(these), lambda g: F.exists(g["keywords"], lambda w: F.contains(words, w))), lambda g: g["rules"]))
     hits = F.transform(gated, lambda r: F.transform(places(words, r["regex"]), lambda p: F.struct(p["first"].alias("first"), p["last"].alias("last"), r["rule"].alias("rule"), r["label"].alias("label"), r["priority"].alias("priority"), r["weight"].alias("weight"), r["base"].alias("base"))))
     return F.flatten(hits)
 
 
 def suppressed(hits: Column) -> Column:
-    """Without those that lie within another's interval; of equal intervals the higher priority stays, then the earlier rule."""
-
-    def beats(g: Column, h: Column) -> Column:
-        covers = (g["first"] <= h["first"]) & (g["last"] >= h["last"])
-        same = (g["first"] == h["first"]) & (g["last"] == h["last"])
-        return covers & (~same | (g["priority"] > h["priority"]) | ((g["priority"] == h["priority"]) & (g["rule"] < h["rule"])))
+    """Without those that lie within another's interval; of equal intervals the higher priority stays, then the earlier rule.
 
-    return F.filter(hits, lambda h: ~F.exists(hits, lambda g: beats(g, h)))
+    In the order of start, later end, higher priority and earlier rule, a detection lies within an earlier one if that ends no earlier.
+    """
+    keyed = F.transform(hits, lambda h: F.struct(h["first"].alias("first"), (-h["last"]).alias("end"), (-h["priority"]).alias("rank"), h["rule"].alias("rule"), h.alias("hit")))
+    swept = lambda s: _let(running(F.transform(s, lambda x: -x["end"]), F.greatest), lambda ends: F.filter(s, lambda x, k: (k == 0) | (F.get(ends, k - 1) < -x["end"])))
+    return F.transform(_let(F.array_sort(keyed), swept), lambda x: x["hit"])
 
 
 def scan(docs: DataFrame, text_col: str = "text", these: list[Rule] | None = None) -> DataFrame:

@@ -336,6 +336,30 @@ def test_gates_drop_no_match(spark):
     assert got == {0: "cc0-1.0", 1: "mpl-2.0", 2: "cc-by-sa", 3: "gpl-3", 4: ""}
 
 
+def brute_detections(text: str) -> list[tuple[int, int, int]]:
+    """first and last word and number of the rule, for every rule's places in reading order."""
+    line = " " + " ".join(brute_words(text)) + " "
+    return [(line[: m.start()].count(" "), line[: m.end()].count(" ") - 1, k) for k, r in enumerate(license_rules.rules()) for m in re.finditer(f"(?:{r.regex})(?= )", line)]
+
+
+def test_license_rules_against_brute_force(spark):
+    these, draw = license_rules.rules(), random.Random(17)
+    texts = []
+    for _ in range(40):  # matches of rules, within other words and within each other
+        parts = [sample(draw, re._parser.parse(draw.choice(these).regex)) for _ in range(draw.randrange(1, 5))]
+        texts.append(draw.choice([" ", " and the ", ". Then, "]).join(parts).replace(" ", draw.choice([" ", "-", ", "])).title())
+    texts += ["under the mit license " * 700, "licensed under the apache license version 2 0 " * 300 + "x", "they met under the ruby sky", "under vim and under the artistic roof", "subject to postgresql limits"]
+    got = {r["doc_id"]: r for r in license_rules.scan(docs(spark, texts).withColumn("labels", F.lit("clash")).withColumn("N_Words", F.lit(1))).collect()}
+    for k, t in enumerate(texts):
+        hits = brute_detections(t)
+        beats = lambda g, h: g[0] <= h[0] and g[1] >= h[1] and (g[:2] != h[:2] or (-these[g[2]].priority, g[2]) < (-these[h[2]].priority, h[2]))
+        kept = [h for h in hits if not any(beats(g, h) for g in hits)] if len(hits) < 1000 else None
+        if kept is not None:
+            assert sorted((d["first"], d["last"], d["label"]) for d in got[k]["detections"]) == sorted((a, b, these[r].label) for a, b, r in kept), t
+        assert got[k]["n_base"] == sum(these[r] in license_rules.BASE_RULES for _, _, r in hits)
+    assert got[40]["n_base"] == 700 and got[40]["last_word"] == 4 * 699 and [got[k]["labels"] for k in (42, 43, 44)] == ["", "", ""]
+
+
 # --- 6
 
 
