@@ -13,8 +13,8 @@ size of the corpus, and links are exact. A subtrie that holds too many is dealt
 their sets of five-word shingles have a Jaccard likeness of 0.8 or more. Fingerprints of many words of 64 bits only propose pairs. Each word is a trie of its own, dealt by its first bits;
 two texts meet in it if these are equal, and are proposed if they differ in at most a budget of the word's other bits and of 192 more. At a likeness of 0.8 a bit differs with a chance
 of 0.15 to 0.16 (few shingles: up to 0.18); the number of words follows from the number of rows, so that a pair at 0.8 meets nowhere with a chance of ``MISSED`` at most. Budgets are 4.2 standard deviations above the mean.
-Each proposed link is then checked, first on all bits and then on the texts themselves. A unit emits a spanning forest of its proposed pairs
-first; where a check fails, the proposed pairs between groups not joined yet are all looked at, so that no failed pair hides another one.
+A unit emits a spanning forest of its proposed pairs. Each document's nearest one is checked, first on all bits and then on the texts themselves. Where a group of proposed pairs is not joined by these links,
+its documents meet again in the same units with the hashes of their shingles, and all pairs not joined yet are checked there, exactly: no failed pair hides another one, and only links leave a unit.
 A subtrie with over ``HOT`` rows is cut into parts, and each pair of parts is a unit: no task holds more than two parts.
 
 A unit emits at most one row per fingerprint, never all pairs of a dense group, and
@@ -38,6 +38,8 @@ from .common import discard, sized, stored, text_of
 
 #: Fingerprints of a group of small subtries, about; rows of a subtrie that is dealt again; node pairs or leaf pairs that a step handles at once.
 UNIT, HOT, STEP = 1 << 13, 1 << 14, 1 << 20
+#: Of shingles' hashes in one part.
+HOT_BYTES = 1 << 26
 #: Of long fingerprints: words that are compared wherever two texts meet; rows below the first bits of a word, about; the chance that a bit differs at a likeness of 0.8, and that such a pair meets nowhere.
 LONGS, BELOW, DIFFERS, MISSED = 3, 1 << 11, 0.16, 1e-4
 
@@ -301,20 +303,22 @@ def _long_prints(docs: DataFrame, shingle: int, tries: int, text_col: str, id_co
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, th long, node long, keys array<long>, fp binary")
 
 
-def near_pairs(nodes: DataFrame, bits: int, tries: int, every: bool) -> DataFrame:
-    """Proposed pairs (a, b) of nodes (node, label, keys, fp) of different labels.
+def near_pairs(nodes: DataFrame, bits: int, tries: int, least: float | None = None) -> DataFrame:
+    """Proposed pairs (a, b) of nodes (node, label, keys, fp) of different labels: per unit a spanning forest of them, of pairs as near as possible.
 
-    Not every: per unit a spanning forest of them, of pairs as near as possible.
+    With least, nodes also have sets (their shingles' hashes), and the pairs are a spanning forest of those with a likeness of least or more.
     """
     budget, total = over_mean(64 - bits), over_mean(64 - bits + 64 * LONGS)
-    each = nodes.select("node", "label", "fp", F.posexplode("keys").alias("of", "key")).withColumn("subtrie", F.shiftrightunsigned("key", 64 - bits))
-    hot = stored(each.groupBy("of", "subtrie").count().filter(F.col("count") > HOT).select("of", "subtrie", F.ceil(F.col("count") / HOT).cast("int").alias("parts")), "hot")
+    kept = ["node", "label", "fp", *(["sets"] if least else [])]
+    each = nodes.select(*kept, F.posexplode("keys").alias("of", "key")).withColumn("subtrie", F.shiftrightunsigned("key", 64 - bits))
+    weight = F.count("*") / HOT if not least else F.greatest(F.count("*") / HOT, F.sum(F.octet_length("sets")) / HOT_BYTES)
+    hot = stored(each.groupBy("of", "subtrie").agg(F.ceil(weight).cast("int").alias("parts")).filter("parts > 1"), "hot")
     if hot.isEmpty():
         dealt = each.withColumn("lo", F.lit(0)).withColumn("hi", F.lit(0)).withColumn("right", F.lit(False))
     else:
         cut = each.join(sized(hot), ["of", "subtrie"], "left").withColumn("part", F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))).cast("int"))
         dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
-        dealt = dealt.select("node", "label", "fp", "of", "key", "subtrie", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), (F.col("part") > F.col("other")).alias("right"))
+        dealt = dealt.select(*kept, "of", "key", "subtrie", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), (F.col("part") > F.col("other")).alias("right"))
 
     def run(t: pa.Table) -> pa.Table:
         key, is_right = t["key"].to_numpy().view(np.uint64), t["right"].to_numpy()
@@ -325,6 +329,7 @@ def near_pairs(nodes: DataFrame, bits: int, tries: int, every: bool) -> DataFram
         forest = Forest(len(fp))
         firsts, at = np.unique(label, return_index=True)
         forest.link(np.arange(len(fp)), at[np.searchsorted(firsts, label)])
+        exact = Likeness([t["sets"][int(k)].as_py() for k in order]) if least else None
         out = []
         for a, b in trie_join(key[:n_left], None if own else key[n_left:], budget, bits):
             b = b if own else b + n_left
@@ -333,8 +338,8 @@ def near_pairs(nodes: DataFrame, bits: int, tries: int, every: bool) -> DataFram
             differ = np.bitwise_count(fp[a] ^ fp[b]).sum(1) + np.bitwise_count(key[a] ^ key[b])
             near = differ <= total
             a, b, differ = a[near], b[near], differ[near]
-            if every:
-                out.append((a, b, differ))
+            if exact is not None:
+                out += exact.links(a, b, differ, forest, least)
                 continue
             nearest = np.argsort(differ, kind="stable")
             a, b, differ = a[nearest], b[nearest], differ[nearest]
@@ -351,6 +356,44 @@ def near_pairs(nodes: DataFrame, bits: int, tries: int, every: bool) -> DataFram
     return dealt.groupBy("of", "subtrie", "lo", "hi").applyInArrow(run, "a long, b long, differ int").groupBy("a", "b").agg(F.min("differ").alias("differ"))
 
 
+class Likeness:
+    """Exact Jaccard likenesses of a unit's sets of hashes: one set is marked, and many others are counted on it at once."""
+
+    def __init__(self, sets: list[bytes]):
+        each = [np.frombuffer(x, np.int64) for x in sets]
+        self.size = np.array([len(x) for x in each])
+        _, self.ids = np.unique(np.concatenate(each), return_inverse=True)
+        self.start = np.cumsum(self.size) - self.size
+        self.marked = np.zeros(len(self.ids), bool)
+
+    def links(self, a: np.ndarray, b: np.ndarray, differ: np.ndarray, forest: Forest, least: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        out = []
+        order = np.argsort(a, kind="stable")
+        a, b, differ = a[order], b[order], differ[order]
+        for one, at, n in zip(*np.unique(a, return_index=True, return_counts=True), strict=True):
+            others, bits = b[at : at + n], differ[at : at + n]
+            apart = forest.root[others] != forest.root[one]
+            others, bits = others[apart], bits[apart]
+            own = self.ids[self.start[one] : self.start[one] + self.size[one]]
+            self.marked[own] = True
+            for k in range(0, len(others), 4096):
+                some, size = others[k : k + 4096], self.size[others[k : k + 4096]]
+                places = np.repeat(self.start[some] - np.cumsum(size) + size, size) + np.arange(size.sum())
+                hits = np.concatenate(([0], np.cumsum(self.marked[self.ids[places]])))
+                both = hits[np.cumsum(size)] - hits[np.cumsum(size) - size]
+                union = self.size[one] + size - both
+                like = both >= least * union
+                some, near = some[like], bits[k : k + 4096][like]
+                _, first = np.unique(forest.root[some], return_index=True)  # one link to each group
+                ones = np.full(len(first), one)
+                if len(first):
+                    joins = forest.root[some[first]] != forest.root[one]
+                    out.append((ones[joins], some[first][joins], near[first][joins]))
+                    forest.link(ones, some[first])
+            self.marked[own] = False
+        return out
+
+
 def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, least: float, text_col: str) -> DataFrame:
     """Those of the pairs (a, b; stored) whose texts' shingle sets have a likeness of least or more."""
     sides = [nodes.select(F.col("node").alias(c), F.col("keys").alias(f"keys_{c}"), F.col("fp").alias(f"fp_{c}")) for c in "ab"]
@@ -380,34 +423,39 @@ def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, lea
     return out
 
 
+def with_sets(nodes: DataFrame, docs: DataFrame, shingle: int, text_col: str) -> DataFrame:
+    """nodes (with rep; stored) and the hashes of their shingles, as binary."""
+    wanted = sized(nodes.select("rep"))
+    rows = docs.select(F.xxhash64(text_of(text_col)).alias("rep"), text_of(text_col).alias("text")).join(wanted, "rep", "left_semi").select("rep", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(shingle_hashes(words_of(x.as_py()), shingle)).tobytes() for x in b.column(1)], pa.binary())], ["rep", "sets"])
+
+    sets = rows.mapInArrow(run, "rep long, sets binary").groupBy("rep").agg(F.min("sets").alias("sets"))
+    return nodes.join(sets, "rep")
+
+
 def near_copies(nodes: DataFrame, docs: DataFrame, shingle: int, least: float, bits: int, tries: int, text_col: str) -> DataFrame:
     """node and label (the smallest node of its group) for the nodes (node, rep, keys, fp; stored) that have near copies."""
-    proposed = stored(near_pairs(nodes.withColumn("label", F.col("node")), bits, tries, False), "proposed")
+    proposed = stored(near_pairs(nodes.withColumn("label", F.col("node")), bits, tries), "proposed")
     nearest = stored(proposed.groupBy("a").agg(F.min_by("b", F.struct("differ", "b")).alias("b")), "nearest")
     sure = alike(nearest, nodes, docs, shingle, least, text_col)
     labels = components(sure)
-
-    def apart(pairs: DataFrame) -> DataFrame:
-        """Without those within one group."""
-        of = [labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "ab"]
-        joined = pairs.join(of[0], "a", "left").join(of[1], "b", "left")
-        return joined.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-
-    rest = stored(apart(proposed.join(nearest, ["a", "b"], "left_anti")), "rest")
-    tried = nearest.select("a", "b").unionByName(rest)
-    if not rest.isEmpty():
-        sure = sure.unionByName(alike(rest, nodes, docs, shingle, least, text_col))
-        labels = components(sure)
-    failed = stored(apart(tried).distinct(), "failed")
-    if failed.isEmpty():
+    of = [labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "ab"]
+    apart = proposed.join(of[0], "a", "left").join(of[1], "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b"))
+    apart = stored(apart.select(F.col("a").alias("node")).distinct(), "apart")
+    if apart.isEmpty():
         return labels
-    # All nodes of a group of proposed pairs within which a check failed; others are joined as far as they can be.
+    # All nodes of the groups of proposed pairs that aren't joined yet.
     groups = components(proposed.select("a", "b"))
-    open_ = groups.join(failed.select(F.col("a").alias("node")), "node", "left_semi").select("label").distinct()
-    mixed = groups.join(open_, "label", "left_semi").select("node")
+    unjoined = groups.join(apart, "node", "left_semi").select("label").distinct()
+    mixed = groups.join(unjoined, "label", "left_semi").select("node")
     again = stored(nodes.join(mixed, "node", "left_semi").join(labels, "node", "left").select("node", "rep", "keys", "fp", F.coalesce("label", "node").alias("label")), "again")
-    more = stored(near_pairs(again, bits, tries, True).select("a", "b").join(tried, ["a", "b"], "left_anti"), "more")
-    return components(sure.unionByName(alike(more, nodes, docs, shingle, least, text_col))) if not more.isEmpty() else labels
+    again = stored(with_sets(again, docs, shingle, text_col), "again")
+    more = stored(near_pairs(again, bits, tries, least).select("a", "b"), "more")
+    discard(again)
+    return components(sure.unionByName(more)) if not more.isEmpty() else labels
 
 
 def drop(docs: DataFrame, shingle: int = 5, least: float = 0.8, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
