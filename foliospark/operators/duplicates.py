@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.work import stored
+
 HEAD = 64 * 1024
 
 
@@ -39,10 +41,14 @@ def with_hashes(rows: DataFrame, contents: DataFrame, cache: DataFrame | None =
 
 
 def groups(hashed: DataFrame) -> DataFrame:
-    """id, size, hash, modified_at, n, group_id: sets of two or more, numbered by size (largest first) and hash. Group ids are dealt over the groups, not the documents."""
+    """id, size, hash, modified_at, n, group_id: sets of two or more, numbered by size (largest first) and hash. Sets are sorted by ranges; a range's numbers go on from those before it."""
+    order = (F.desc("size"), F.asc("hash"))
     sets = hashed.groupBy("hash", "size").agg(F.count("*").alias("n")).filter("n > 1")
-    numbered = sets.withColumn("group_id", F.row_number().over(Window.orderBy(F.desc("size"), "hash")))
-    return hashed.join(numbered, ["hash", "size"])
+    ranged = stored(sets.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "sets")
+    before = F.coalesce(F.sum("of").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row per range
+    starts = ranged.groupBy("range").agg(F.count("*").alias("of")).select("range", before.alias("before"))
+    numbered = ranged.join(F.broadcast(starts), "range").withColumn("group_id", (F.col("before") + F.row_number().over(Window.partitionBy("range").orderBy(*order))).cast("int"))
+    return hashed.join(numbered.select("hash", "size", "n", "group_id"), ["hash", "size"])
 
 
 def summary(grouped: DataFrame) -> DataFrame:

@@ -1,12 +1,9 @@
-"""Text extraction as a job over documents' bytes, and what surrounds it: queue, quarantine, publishing."""
+"""Text extraction as a job over documents' bytes, and what surrounds it: queue, quarantine, publishing.
 
-from __future__ import annotations
+Plain formats are decoded by DataFrame functions. Office, OpenDocument, PDF and RTF files have no reader here and are skipped (status 2), so no text is lost silently.
+"""
 
-import io
-import re
-import zipfile
-from collections.abc import Iterator
-from xml.etree import ElementTree
+from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,66 +12,15 @@ from ..functions.formats import extension, reads_text
 from ..functions.text import MAX_TEXT_CHARS, normalized
 
 WAITING, READ, SKIPPED, FAILED = 0, 1, 2, 3
-MAX_BYTES, MAX_PART_BYTES, MAX_UNPACKED_BYTES = 40 << 20, 16 << 20, 512 << 20
+MAX_BYTES = 40 << 20
 PLAIN = ("txt", "md", "csv")
-#: Members of an archive that hold text.
-PARTS = {
-    "docx": r"word/document\.xml", "docm": r"word/document\.xml", "dotx": r"word/document\.xml",
-    "pptx": r"ppt/slides/slide(\d+)\.xml", "pptm": r"ppt/slides/slide(\d+)\.xml", "ppsx": r"ppt/slides/slide(\d+)\.xml",
-    "xlsx": r"xl/(?:sharedStrings|worksheets/sheet(\d+))\.xml", "xlsm": r"xl/(?:sharedStrings|worksheets/sheet(\d+))\.xml",
-    "odt": r"content\.xml", "odp": r"content\.xml", "ods": r"content\.xml",
-}
-ENDS_WITH_SPACE, IS_SPACE = {"p", "h", "tr", "tc", "br", "row", "c", "si"}, {"tab", "s", "line-break"}
-
-
-def _markup_text(xml: bytes) -> str:
-    out: list[str] = []
-    for event, node in ElementTree.iterparse(io.BytesIO(xml), ("start", "end")):
-        tag = node.tag.rpartition("}")[2]
-        if event == "start":
-            out.append(node.text or "")
-        else:
-            out.append((" " if tag in ENDS_WITH_SPACE | IS_SPACE else "") + (node.tail or ""))
-    return "".join(out)
-
-
-def _read(ext: str, content: bytes) -> str:
-    if ext in PLAIN:
-        return content.decode("utf-8", "replace")
-    with zipfile.ZipFile(io.BytesIO(content)) as archive:
-        found = [(int(m[1]) if m.lastindex and m[1] else 0, i) for i in archive.infolist() if (m := re.fullmatch(PARTS[ext], i.filename))]
-        out, unpacked = [], 0
-        for _, info in sorted(found, key=lambda x: x[0]):
-            unpacked += info.file_size
-            if info.file_size > MAX_PART_BYTES or unpacked > MAX_UNPACKED_BYTES:
-                break
-            out.append(_markup_text(archive.read(info)))
-    return " ".join(out)
 
 
 def extract(files: DataFrame) -> DataFrame:
-    """id, status, text of files (id, ext, content): read, or skipped (no reader for the format, or more than 40 MiB), or failed (null text). An unreadable file fails alone. Large contents never leave the scan."""
-    small = F.length("content") <= MAX_BYTES
-    readable = F.col("ext").isin(*PLAIN, *PARTS) & small
-    rows = files.select("id", F.when(readable, F.col("ext")).alias("ext"), F.when(readable, F.col("content")).alias("content"))
-    kind = rows.schema["id"].dataType.simpleString()
-
-    def run(batches: Iterator) -> Iterator:
-        import pandas as pd
-
-        for b in batches:
-            status, text = [], []
-            for ext, content in zip(b["ext"], b["content"], strict=True):
-                try:
-                    body = None if ext is None or content is None else _read(ext, bytes(content))
-                    status.append(SKIPPED if body is None else READ)
-                except Exception:  # whatever is wrong with one file must not stop the others
-                    body = None
-                    status.append(FAILED)
-                text.append(body)
-            yield pd.DataFrame({"id": b["id"], "status": status, "raw": text})
-
-    return rows.mapInPandas(run, f"id {kind}, status int, raw string").select("id", "status", normalized(F.col("raw")).alias("text"))
+    """id, status, text of files (id, ext, content): read, or skipped (no reader for the format, no content, or more than 40 MiB; null text). Bytes that aren't UTF-8 become U+FFFD."""
+    readable = F.coalesce(F.col("ext").isin(*PLAIN) & (F.length("content") <= MAX_BYTES), F.lit(False))
+    text = F.make_valid_utf8(F.col("content").cast("string"))
+    return files.select("id", F.when(readable, READ).otherwise(SKIPPED).alias("status"), F.when(readable, normalized(text)).alias("text"))
 
 
 def from_folder(spark, folder: str) -> DataFrame:
@@ -83,13 +29,31 @@ def from_folder(spark, folder: str) -> DataFrame:
     return files.filter(F.col("length") <= MAX_BYTES).select("path", extension(F.col("path")).alias("ext"), "content")
 
 
+#: A reference to a character by its number, decimal or hexadecimal.
+NUMBERED = "&#([0-9]+|[xX][0-9a-fA-F]+);"
+
+
+def numbered_decoded(text: Column) -> Column:
+    """References by number as characters; those that name none (0, surrogates, beyond U+10FFFF) stay as they are."""
+
+    def char(ref: Column) -> Column:
+        digits = F.when(F.rlike(ref, F.lit("^[xX]")), F.conv(F.regexp_replace(ref, "^[xX]0*", ""), 16, 10)).otherwise(F.regexp_replace(ref, "^0+", ""))
+        code = F.when(F.length(digits) <= 7, F.try_to_number(digits, F.lit("9999999")).cast("long"))
+        known = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        return F.when(known, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.concat(F.lit("&#"), ref, F.lit(";")))
+
+    chars = F.transform(F.regexp_extract_all(text, F.lit(NUMBERED), F.lit(1)), char)
+    joined = F.zip_with(F.split(text, NUMBERED, -1), chars, lambda part, c: F.concat(part, F.coalesce(c, F.lit(""))))
+    return F.when(F.rlike(text, F.lit(NUMBERED)), F.array_join(joined, "")).otherwise(text)
+
+
 def markup_to_text(html: Column, cap: int = MAX_TEXT_CHARS) -> Column:
-    """Tags dropped, a space at the end of p, h, tr, tc, br and at br, tab, s, line-break, the five named and numeric (decimal, ASCII) entities decoded, then normalised."""
+    """Tags dropped, a space at the end of p, h, tr, tc, br and at br, tab, s, line-break, the five named entities and references by number decoded, then normalised."""
     spaced = F.regexp_replace(html, r"(?i)</(?:[a-z0-9]+:)?(?:p|h|tr|tc|br)\s*>|<(?:[a-z0-9]+:)?(?:br|tab|s|line-break)\b[^>]*/>", " ")
     bare = F.regexp_replace(spaced, r"(?s)<!--.*?-->|<[^>]*>", "")
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&amp;", "&")):
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'")):
         bare = F.replace(bare, F.lit(name), F.lit(char))
-    return normalized(bare, cap)
+    return normalized(F.replace(numbered_decoded(bare), F.lit("&amp;"), F.lit("&")), cap)
 
 
 def queue(catalog: DataFrame, most: int | None = None) -> DataFrame:

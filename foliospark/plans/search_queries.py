@@ -156,7 +156,7 @@ def _(s, d):
     return search.with_snippets(page, q, texts(s, d)).select("query_id", "rank", "id", "snippet")
 
 
-@query("sea19_scoped_search", STAGES.replace("opened_days FROM cat))", "opened_days FROM cat WHERE kind = 'word'))") + "SELECT query_id, rank, total, id, score FROM ranked WHERE rank > 5 AND rank <= 15")
+@query("sea19_scoped_search", STAGES.replace("opened_days FROM cat))", "opened_days FROM cat WHERE kind = 'word'))").replace("JOIN lens USING (id), corpus GROUP BY", "JOIN lens USING (id), corpus WHERE id IN (SELECT id FROM sc) GROUP BY") + "SELECT query_id, rank, total, id, score FROM ranked WHERE rank > 5 AND rank <= 15")
 def _(s, d):
     cat, post, stats = tables(s, d)
     cat = cat.filter("kind = 'word'")
@@ -188,25 +188,33 @@ def _(s, d):
 # --- texts
 
 
-@query("txt1_normalized", r"SELECT doc_id AS id, rtrim(substr(trim(regexp_replace(text, '[\s\p{Z}\p{Cc}]+', ' ', 'g')), 1, 300)) AS body FROM documents")
+@query("txt1_normalized", r"SELECT doc_id AS id, rtrim(substr(trim(regexp_replace(text, '[\s\p{Z}\p{Cc}]+', ' ', 'g')), 1, 200000)) AS body FROM documents")
 def _(s, d):
     return texts(s, d).select("id", t.normalized(F.col("body")).alias("body"))
 
 
-@query("txt3_txt6_extraction", r"SELECT doc_id AS id, CASE WHEN doc_id % 3 = 2 THEN 3 WHEN doc_id % 3 = 1 THEN 2 ELSE 1 END AS status, CASE WHEN doc_id % 3 = 0 THEN trim(regexp_replace(text, '[\s\p{Z}\p{Cc}]+', ' ', 'g')) END AS text FROM documents")
+@query("txt3_txt6_extraction", r"SELECT doc_id AS id, CASE WHEN doc_id % 5 = 4 THEN 2 ELSE 1 END AS status, CASE WHEN doc_id % 5 < 4 THEN rtrim(substr(trim(regexp_replace(text, '[\s\p{Z}\p{Cc}]+', ' ', 'g')), 1, 200000)) END AS text FROM documents")
 def _(s, d):
-    ext = F.when(F.col("doc_id") % 3 == 0, "txt").when(F.col("doc_id") % 3 == 1, "pdf").otherwise("docx")  # plain text, no reader, not an archive
+    ext = F.element_at(F.array(*[F.lit(x) for x in ("txt", "md", "csv", "txt", "docx")]), (F.col("doc_id") % 5 + 1).cast("int"))  # the last has no reader
     return extraction.extract(c.table(s, d, "documents").select(F.col("doc_id").alias("id"), ext.alias("ext"), F.col("text").cast("binary").alias("content")))
 
 
-MARKUP = r"regexp_replace(regexp_replace(html, '(?i)</(?:[a-z0-9]+:)?(?:p|h|tr|tc|br)\s*>|<(?:[a-z0-9]+:)?(?:br|tab|s|line-break)\b[^>]*/>', ' ', 'g'), '(?s)<!--.*?-->|<[^>]*>', '', 'g')"
-for _name, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "''"), ("&#39;", "''"), ("&amp;", "&")):
+#: Pages with references to characters by number, decimal and hexadecimal, at their ends.
+REFERENCES = "&#39;&#233;&#x4E2D;&#x1F600; &amp;#65; &#0;"
+MARKUP = rf"regexp_replace(regexp_replace(html || '{REFERENCES}', '(?i)</(?:[a-z0-9]+:)?(?:p|h|tr|tc|br)\s*>|<(?:[a-z0-9]+:)?(?:br|tab|s|line-break)\b[^>]*/>', ' ', 'g'), '(?s)<!--.*?-->|<[^>]*>', '', 'g')"
+for _name, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "''")):
     MARKUP = f"replace({MARKUP}, '{_name}', '{_char}')"
 
 
-@query("txt4_markup", rf"SELECT page_id, rtrim(substr(trim(regexp_replace({MARKUP}, '[\s\p{{Z}}\p{{Cc}}]+', ' ', 'g')), 1, 200000)) AS body FROM pages")
+@query(
+    "txt4_markup",
+    rf""", b AS (SELECT page_id, {MARKUP} AS bare FROM pages), r AS (SELECT page_id, string_split_regex(bare, '&#(?:[0-9]+|[xX][0-9a-fA-F]+);') AS parts, regexp_extract_all(bare, '&#((?:[0-9]+|[xX][0-9a-fA-F]+));', 1) AS refs FROM b),
+n AS (SELECT page_id, parts, refs, list_transform(refs, lambda x: CASE WHEN lower(x[1]) = 'x' THEN TRY_CAST('0x' || x[2:] AS BIGINT) ELSE TRY_CAST(x AS BIGINT) END) AS codes FROM r),
+t AS (SELECT page_id, replace(array_to_string(list_transform(range(1, len(parts) + 1), lambda i: parts[i] || CASE WHEN i > len(refs) THEN '' WHEN codes[i] BETWEEN 1 AND 55295 OR codes[i] BETWEEN 57344 AND 1114111 THEN chr(CAST(codes[i] AS INT)) ELSE '&#' || refs[i] || ';' END), ''), '&amp;', '&') AS body FROM n)
+SELECT page_id, rtrim(substr(trim(regexp_replace(body, '[\s\p{{Z}}\p{{Cc}}]+', ' ', 'g')), 1, 200000)) AS body FROM t""",
+)
 def _(s, d):
-    return c.table(s, d, "pages").select("page_id", extraction.markup_to_text(F.col("html")).alias("body"))
+    return c.table(s, d, "pages").select("page_id", extraction.markup_to_text(F.concat("html", F.lit(REFERENCES))).alias("body"))
 
 
 @query("txt5_queue", "SELECT id, modified_at, (SELECT count(*) FROM cat WHERE content_status = 0 AND ext NOT IN ('doc', 'dot', 'ppt', 'pps')) AS pending FROM cat WHERE content_status = 0 AND ext NOT IN ('doc', 'dot', 'ppt', 'pps') ORDER BY modified_at DESC, id LIMIT 50")
