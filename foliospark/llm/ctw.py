@@ -160,6 +160,8 @@ def block_keys(depth: int, held_codes: int = 1 << 21, held_words: int = 400_000)
                     codes, n = codes[:0], n[:0]
         yield from rows(block, list(words), None, np.fromiter(words.values(), np.int64, len(words)))
         yield from rows(block, None, codes, n)
+        del words, codes, n
+        pa.default_memory_pool().release_unused()
         yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([texts], pa.int64())], ["block", "word", "code", "n"])  # the number of training texts
 
     return run
@@ -310,26 +312,35 @@ def block_scores(depth: int, ends: int, total: int, distinct: int):
     """A block's pieces scored with the words and grams that were sent back to it. ends, total, distinct: training texts, tokens, distinct tokens."""
 
     def run(docs: pa.Table, sent: pa.Table) -> pa.Table:
-        lines = sent.filter(pc.is_valid(sent["word"]))
-        names, counts = lines["word"].to_pylist(), lines["value"].to_numpy()
+        lines = sent.filter(pc.is_valid(sent["word"])).select(["word", "value"]).combine_chunks()
+        names, counts = lines["word"], lines["value"].to_numpy()
         norm = total + 0.5 * (distinct + 1)
-        end, unseen = float(np.log10((ends + 0.5) / norm)), float(np.log10(0.5 / norm))
-        base = dict(zip(names, [unseen if c == 0 else x for c, x in zip(counts.tolist(), np.log10((counts + 0.5) / norm).tolist(), strict=True)], strict=True))
+        end = float(np.log10((ends + 0.5) / norm))
+        logs = np.log10((counts + 0.5) / norm)
+        n_tokens, n_known, base_score, score = [], [], [], []
+        sizes = pc.binary_length(docs["data"]).to_pylist()
+        for of in lumps(sizes, COUNTED):
+            c = docs.slice(of.start, of.stop - of.start)
+            each, flat = [], []
+            for x, k, w in zip(*(c[x].to_pylist() for x in ("data", "cut", "own")), strict=True):
+                own = words_of(x.lower(), k, w)
+                each.append(len(own))
+                flat += own
+            at = pc.index_in(pa.array(flat, pa.binary()), value_set=names).to_numpy()
+            stops, done = np.cumsum([0, *each]), c["last"].to_numpy()
+            for out, per, more in ((n_tokens, np.ones(len(at), np.int64), 1), (n_known, (counts[at] > 0).astype(np.int64), int(ends > 0)), (base_score, logs[at], end)):
+                sums = np.concatenate((np.zeros(1, per.dtype), np.cumsum(per)))
+                out += (sums[stops[1:]] - sums[stops[:-1]] + np.where(done, more, 0)).tolist()
+        del lines, names
         tail = sent.filter(pc.is_valid(sent["code"])).select(["code", "value"])
         code, value = tail["code"].to_numpy(), tail["value"].to_numpy()
+        del tail
         order = np.argsort(code)
         code, value = code[order], value[order]
-        n_tokens, n_known, base_score, score = [], [], [], []
-        for of in lumps(pc.binary_length(docs["data"]).to_pylist(), SCORED):
+        for of in lumps(sizes, SCORED):
             c = docs.slice(of.start, of.stop - of.start)
-            before, data, last, cut, own = (c[x].to_pylist() for x in ("before", "data", "last", "cut", "own"))
-            data = [x.lower() for x in data]
-            for x, k, w, done in zip(data, cut, own, last, strict=True):
-                logs = [base[w] for w in words_of(x, k, w)]
-                n_tokens.append(len(logs) + done)
-                n_known.append(len(logs) - logs.count(unseen) + (done and ends > 0))
-                base_score.append(sum(logs) + (end if done else 0.0))
-            every, at, size = framed([x.lower() for x in before], data, last, depth)
+            before, data, last = (c[x].to_pylist() for x in ("before", "data", "last"))
+            every, at, size = framed([x.lower() for x in before], [x.lower() for x in data], last, depth)
             mixed = np.argsort(every)
             every = every[mixed]
             starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(every)), bool), every[1:] != every[:-1])))
@@ -340,6 +351,7 @@ def block_scores(depth: int, ends: int, total: int, distinct: int):
             per[mixed] = np.repeat(own_value, np.diff(np.append(starts, len(every))))
             sums = np.concatenate(([0.0], np.cumsum(per)))
             score += (sums[at + size] - sums[at]).tolist()
+        pa.default_memory_pool().release_unused()
         return pa.table({
             "doc_id": docs["doc_id"], "th": docs["th"], "part": docs["part"], "long": docs["long"], "held_out": docs["held_out"], "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()),
             "base_score": pa.array(base_score, pa.float64()), "score": pa.array(score, pa.float64()), "n_bytes": pc.binary_length(docs["data"]).cast(pa.int64()),
@@ -378,7 +390,7 @@ def score(docs: DataFrame, held_out: Column, depth: int = 5, block_bytes: int =
     blocks = max(1, -(-size // block_bytes), min(least_blocks, -(-size // (1 << 21))))
     while True:
         dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "th", "part"), F.lit(blocks)).cast("long"))
-        keys = stored(dealt.groupBy("block").applyInArrow(block_keys(depth), KEYS), "keys")
+        keys = stored(dealt.repartition(2 * blocks, "block").groupBy("block").applyInArrow(block_keys(depth), KEYS), "keys")
         most = keys.filter("code IS NOT NULL").groupBy("block").count().agg(F.max("count")).first()[0] or 0
         if most <= block_grams or size // blocks < 1 << 16:
             break
@@ -399,7 +411,9 @@ def score(docs: DataFrame, held_out: Column, depth: int = 5, block_bytes: int =
     discard(keys, totals, values)
 
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, th long, part int, long boolean, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long"
-    found = dealt.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(block_scores(depth, ends, sums["n"] + ends, sums["v"] + (ends > 0)), schema)
+    # Few blocks to a partition: a task sorts its partition's rows by block.
+    docs_by, sent_by = (x.repartition(2 * blocks, "block").groupBy("block") for x in (dealt, sent))
+    found = docs_by.cogroup(sent_by).applyInArrow(block_scores(depth, ends, sums["n"] + ends, sums["v"] + (ends > 0)), schema)
     found = stored(found, "scored")
     discard(sent)
     numbers = ("n_tokens", "n_known", "base_score", "score", "n_bytes")
