@@ -14,7 +14,8 @@ BATCH_BYTES, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 def small_batches(spark: SparkSession) -> None:
     """Python workers get whole texts in batches of 8 MB, unless the session asks for fewer bytes: an executor holds several at once."""
-    if int(str(spark.conf.get(BATCH_BYTES)).rstrip("b")) > BATCH:
+    asked = str(spark.conf.get(BATCH_BYTES)).rstrip("b")
+    if not asked.isdigit() or not 0 < int(asked) <= BATCH:  # in another unit, unbounded, or more
         spark.conf.set(BATCH_BYTES, str(BATCH))
 
 
