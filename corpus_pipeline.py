@@ -1,4 +1,8 @@
-"""The corpus pipeline: five stages over ``documents``, each written and read again before the next one."""
+"""The corpus pipeline: five stages over ``documents``, each written and read again before the next one.
+
+Edge cases, as the operators define them: null texts count as empty; null ids, repeated rows and very long texts pass through; empty tables give empty tables; other columns
+stay as they are, and ones named like an operator's own columns keep their input values.
+"""
 
 from __future__ import annotations
 
@@ -16,28 +20,28 @@ def _columns(docs: DataFrame, out: DataFrame) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the ordinal model, fitted on the labelled ones among them, doesn't reject."""
+    """Documents that the ordinal model, fitted on the labelled ones among them, doesn't reject. An empty text has no evidence and stays; without labels of both kinds nothing is rejected."""
     model = ordinal_toxicity.train(docs, table(spark, sf_dir, "labels"))
     return _columns(docs, ordinal_toxicity.grade(docs, model).filter("NOT toxic"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal text, that of the smallest id."""
+    """Of documents with equal text, that of the smallest id; null ids after all others, one row of those alike in every column. Null and empty texts are equal."""
     return _columns(docs, exact_dedup.drop(docs))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies, that of the smallest id."""
+    """Of near copies (five-word shingles, likeness 0.8 or more), that of the smallest id; a null id only where there is no other. Texts without words are copies of each other."""
     return _columns(docs, simhash_trie.drop(docs))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated so that all sources have equal shares, in global random order."""
+    """Documents repeated so that all sources have equal shares, in global random order. A null source is one of its own; a document may be drawn zero times; repeated rows draw alike."""
     return _columns(docs, poisson_mix.mix(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in windows of 4096 tokens."""
+    """Pieces of documents in windows of 4096 tokens; a null or empty text is its end token alone."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -45,6 +49,7 @@ STAGES = [("toxicity", toxicity), ("exact dedup", exact), ("near-dedup", near),
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's pieces, from the documents that all stages before kept."""
     ship(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
