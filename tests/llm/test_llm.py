@@ -634,7 +634,7 @@ def test_pipeline_stages(spark):
     draw = random.Random(8)
     texts = [" ".join(draw.choice([f"w{k}" for k in range(2000)]) for _ in range(120)) for _ in range(60)]
     toxic = [t.replace("w1", "idiot w1", 3) for t in texts[:15]]
-    d = docs(spark, texts + toxic + texts[:5] + ["NULL"])
+    d = docs(spark, texts + toxic + texts[:5] + ["NULL"]).withColumn("kept", F.lit("mine")).withColumn("toxic", F.lit(7)).withColumn("copy", F.lit(None).cast("int"))
     folder = stored(spark.createDataFrame([(k, 1, int(60 <= k < 75)) for k in range(81)], "doc_id long, quality int, toxic int"), "labels")
     path = folder.inputFiles()[0].rpartition("/")[0]
     where = path.rpartition("/")[0] + "/sf"
@@ -644,6 +644,6 @@ def test_pipeline_stages(spark):
     for name, stage in corpus_pipeline.STAGES:
         d = stored(stage(spark, d, where), name.replace(" ", "-"))
         seen.append({r["doc_id"] for r in d.select("doc_id").collect()})
-        assert name == "packing" or d.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        assert name == "packing" or d.columns == ["doc_id", "text", "lang", "source", "n_chars", "kept", "toxic", "copy"] and d.filter("kept <> 'mine' OR toxic <> 7 OR copy IS NOT NULL").isEmpty()
     assert not seen[0] & set(range(60, 75)) and set(range(60)) <= seen[0]  # toxic ones go, clean ones stay
     assert seen[1] == seen[0] - set(range(75, 80)) and seen[2] == seen[1] and seen[4] == seen[3] <= seen[2]
