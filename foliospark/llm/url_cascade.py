@@ -5,8 +5,10 @@ takes for listed ones go into a second filter, the listed keys that this one tak
 false positive. A key of the universe is listed if the first level that doesn't hold it is of odd number (from 0), so membership is exact, and judging
 a table of keys needs no join: the cascade is broadcast.
 
-Its size is checked: one level has ``BITS`` bits for each key it holds, the first the listed keys; where that would be more than ``max_bytes``, membership is
-found by a join with the list instead. Levels are built by Spark: keys are hashed natively, tasks set bits in partial bitmaps, which are merged
+Only listed keys and the first level's false positives are ever shuffled; the other keys of the universe are probed where they are. A level has ``BITS`` bits for each
+key it holds, so a cascade's size follows from the number of listed keys. Keys are dealt by hash into as many shards as keep a shard's first level within
+``max_bytes``; a shard is a cascade of its own, and each row is held against its key's shard. With more than one, shards are built and applied one after another, so that
+driver and executors hold one at a time. Levels are built by Spark: keys are hashed natively, tasks set bits in partial bitmaps, which are merged
 by pieces.
 
 Rules on hosts and paths come before the list: the longest rule that fits decides.
@@ -18,6 +20,7 @@ column are replaced.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stored, without
+from .common import ascii_lower, discard, stored, without
 
 BITS, PROBES, PIECE = 8, 5, 1 << 16
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -48,7 +51,8 @@ def probes(h1: np.ndarray, h2: np.ndarray, size: int) -> np.ndarray:
 
 
 def _hashes(key: Column, level: int) -> list[Column]:
-    return [F.xxhash64(key, F.lit(2 * level)).alias("h1"), F.xxhash64(key, F.lit(2 * level + 1)).alias("h2")]
+    """Two hashes of a level. The number comes first: it seeds the key's hash, so keys that are alike in one level's bits are not so in the next one's."""
+    return [F.xxhash64(F.lit(2 * level), key).alias("h1"), F.xxhash64(F.lit(2 * level + 1), key).alias("h2")]
 
 
 def _bitmap(keys: DataFrame, size: int) -> np.ndarray:
@@ -95,39 +99,43 @@ def _held_by(levels: list[Level], first: int, columns: list[tuple[Column, Column
     return count(*[h for pair in columns for h in pair])
 
 
-def cascade(universe: DataFrame, listed: DataFrame, key: str = "key", max_bytes: int = 1 << 26) -> list[Level] | None:
-    """The levels for the listed keys among the universe's; None where the first would be larger than max_bytes."""
-    keys = universe.select(F.col(key).alias("key")).filter(F.col(key).isNotNull()).distinct()
-    flags = keys.join(listed.select(F.col(key).alias("key"), F.lit(True).alias("is_listed")).distinct(), "key", "left").select("key", F.coalesce("is_listed", F.lit(False)).alias("is_listed"))
-    flags = stored(flags, "keys")
-    inside, outside = flags.filter("is_listed").select("key"), flags.filter("NOT is_listed").select("key")
-    levels: list[Level] = []
+def cascade(universe: DataFrame, listed: DataFrame, key: str = "key") -> list[Level]:
+    """The levels for the listed keys against the universe's (repeated and null keys are allowed in both)."""
+    names = listed.select(F.col(key).alias("key")).filter("key IS NOT NULL").distinct()
+    keys = universe.select(F.col(key).alias("key")).filter("key IS NOT NULL")
+    inside = kept = stored(names, "listed")
+    outside: DataFrame | None = None
+    used, levels = [kept], []
     while n := inside.count():
-        size = max(64, n * BITS)
-        if size // 8 > max_bytes:
-            return None
-        hashes = _hashes(F.col("key"), len(levels))
+        hashes, size = _hashes(F.col("key"), len(levels)), max(64, n * BITS)
         level = Level(size, _bitmap(inside.select(*hashes), size))
-        wrong = stored(outside.filter(_held_by([level], len(levels), [tuple(hashes)]) == 1), f"level{len(levels)}")
+        held = _held_by([level], len(levels), [tuple(hashes)]) == 1
+        wrong = stored(keys.filter(held).distinct().join(kept, "key", "left_anti") if outside is None else outside.filter(held), f"level{len(levels)}")
         levels.append(level)
+        used.append(wrong)
         inside, outside = wrong, inside
+    discard(*used)
     return levels
 
 
 def is_listed(levels: list[Level], key: Column) -> Column:
     if not levels:
         return F.lit(False)
-    return F.coalesce(_held_by(levels, 0, [tuple(_hashes(key, k)) for k in range(len(levels))]) % 2 == 1, F.lit(False))
+    return key.isNotNull() & (_held_by(levels, 0, [tuple(_hashes(key, k)) for k in range(len(levels))]) % 2 == 1)
 
 
 def mark_listed(rows: DataFrame, listed: DataFrame, key: str, out: str, max_bytes: int = 1 << 26) -> DataFrame:
     """rows (whose keys are the universe) with a boolean column out."""
-    levels = cascade(rows, listed, key, max_bytes)
-    if levels is None:  # a list too large to broadcast
-        found = listed.select(F.col(key).alias("_listed_key")).distinct().withColumn(out, F.lit(True))
-        joined = rows.join(found, F.col(key) == F.col("_listed_key"), "left").drop("_listed_key")
-        return joined.withColumn(out, F.coalesce(out, F.lit(False)))
-    return rows.withColumn(out, is_listed(levels, F.col(key)))
+    names = stored(listed.select(F.col(key).alias(key)).filter(F.col(key).isNotNull()).distinct(), "names")
+    shards = max(1, -(-names.count() * BITS // (8 * max_bytes)))
+    if shards == 1:
+        marked = rows.withColumn(out, is_listed(cascade(rows, names, key), F.col(key)))
+    else:
+        shard = F.pmod(F.xxhash64(F.lit(-1), F.col(key)), F.lit(shards))
+        parts = [rows.filter(shard == k) for k in range(shards)]
+        marked = functools.reduce(DataFrame.unionByName, [stored(part.withColumn(out, is_listed(cascade(part, names.filter(shard == k), key), F.col(key))), f"shard{k}") for k, part in enumerate(parts)])
+    discard(names)
+    return marked
 
 
 def host(url: Column) -> Column:

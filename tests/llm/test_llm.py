@@ -250,10 +250,14 @@ def test_cascade_is_exact(spark):
     universe = spark.range(20_000).select(F.concat(F.lit("k"), "id").alias("key")).unionByName(spark.createDataFrame([(None,), ("",)], "key string"))
     listed = universe.filter("key IS NOT NULL").filter(F.xxhash64("key") % 7 == 0)
     want = {r["key"] for r in listed.collect()}
-    for most in (1 << 26, 8):  # by the cascade, and by a join where it would be too large
+    for most in (1 << 26, 1000):  # one cascade, and several shards
         got = {r["key"] for r in url_cascade.mark_listed(universe, listed.unionByName(listed), "key", "hit", most).filter("hit").collect()}
         assert got == want
     assert len(url_cascade.cascade(universe, listed)) > 1 and url_cascade.cascade(universe, listed.limit(0)) == []
+    empty = url_cascade.mark_listed(universe.limit(0), listed, "key", "hit", 1000)
+    assert empty.columns == ["key", "hit"] and empty.count() == 0
+    outside = listed.unionByName(spark.createDataFrame([("not in the universe",), (None,)], "key string"))
+    assert {r["key"] for r in url_cascade.mark_listed(universe, outside, "key", "hit").filter("hit").collect()} == want
 
 
 def test_url_rules(spark):
