@@ -29,6 +29,13 @@ def name_grams(catalog: DataFrame, text: Column) -> DataFrame:
     return catalog.select("id", F.explode(trigrams(text)).alias("gram"))
 
 
+def short_grams(catalog: DataFrame, text: Column) -> DataFrame:
+    """gram, id: each document's distinct runs of one and of two characters of text."""
+    ends = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
+    both = F.concat(F.transform(ends, lambda i: F.substring(text, i, F.lit(1))), F.transform(ends, lambda i: F.substring(text, i, F.lit(2))))
+    return catalog.select("id", F.explode(F.array_distinct(both)).alias("gram"))
+
+
 def refreshed(old: DataFrame, changed: DataFrame) -> DataFrame:
     """Postings after some documents' texts changed: theirs are replaced (or cleared, where body is null), the others are carried over. changed: id, body."""
     kept = old.join(changed.select("id").distinct(), "id", "left_anti")

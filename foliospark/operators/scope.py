@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.formats import is_enabled
-from ..functions.paths import SEP, ancestors, is_within, normalize_root, with_ancestors
+from ..functions.paths import SEP, is_within, normalize_root, parent, with_ancestors
 
 
 def compile_exclusions(patterns: DataFrame) -> DataFrame:
@@ -19,20 +19,26 @@ def compile_exclusions(patterns: DataFrame) -> DataFrame:
     return patterns.select(rule.alias("rule"), F.contains(rule, F.lit(SEP)).alias("is_path")).filter("rule <> ''").distinct()
 
 
-def folders(paths: DataFrame, root_col: str = "root", path_col: str = "path") -> DataFrame:
-    """paths' distinct (path, root) with each folder strictly between: folder, folder_name. Folders from the root up, and the last part, are left out."""
-    each = paths.select(F.col(path_col).alias("path"), F.col(root_col).alias("root")).distinct().withColumn("folder", F.explode(ancestors(F.col("path"))))
+def folders(dirs: DataFrame) -> DataFrame:
+    """dirs (dir, root) with each folder strictly below the root, down to dir itself: folder, folder_name."""
+    each = dirs.withColumn("folder", F.explode(with_ancestors(F.col("dir"))))
     inside = is_within(F.col("folder"), F.col("root")) & (F.length("folder") > F.length(F.regexp_replace("root", "/+$", "")))
     return each.filter(inside).withColumn("folder_name", F.regexp_extract("folder", "([^/]*)$", 1))
 
 
+def excluded_dirs(dirs: DataFrame, rules: DataFrame) -> DataFrame:
+    """Distinct dir, root of those in an excluded folder below their root. A path rule that covers the root itself doesn't count there: a rule equal to a folder below the root can't cover the root."""
+    key = lambda is_path, c: F.struct(F.lit(is_path).alias("is_path"), F.lower(c).alias("rule"))
+    each = folders(dirs.select("dir", "root").distinct()).withColumn("is_hidden", F.startswith("folder_name", F.lit("$")) | F.startswith("folder_name", F.lit(".")))
+    keyed = each.select("dir", "root", "is_hidden", F.inline(F.array(key(True, "folder"), key(False, "folder_name"))))
+    hit = keyed.join(rules.select("is_path", "rule", F.lit(True).alias("is_ruled")), ["is_path", "rule"], "left")
+    return hit.filter("is_hidden OR is_ruled").select("dir", "root").distinct()
+
+
 def excluded(paths: DataFrame, rules: DataFrame, root_col: str = "root", path_col: str = "path") -> DataFrame:
-    """Distinct path of those with an excluded folder below their root. A path rule that covers the root itself doesn't count there."""
-    f = folders(paths, root_col, path_col).withColumns({"key": F.lower("folder"), "name_key": F.lower("folder_name")})
-    hidden = f.filter(F.startswith("folder_name", F.lit("$")) | F.startswith("folder_name", F.lit("."))).select("path")
-    named = f.join(rules.filter("NOT is_path").select(F.col("rule").alias("name_key")), "name_key", "left_semi").select("path")
-    by_path = f.join(rules.filter("is_path").select(F.col("rule").alias("key")), "key", "left_semi").select("path")  # a rule equal to a folder below the root can't cover the root
-    return hidden.unionByName(named).unionByName(by_path).distinct()
+    """Distinct path of those with an excluded folder between their root and their last part. Rules meet the distinct folders, not the paths."""
+    each = paths.select(F.col(path_col).alias("path"), F.col(root_col).alias("root"), parent(F.col(path_col)).alias("dir"))
+    return each.join(excluded_dirs(each, rules), ["dir", "root"], "left_semi").select("path").distinct()
 
 
 def owning_root(paths: DataFrame, roots: DataFrame, path_col: str = "path") -> DataFrame:
@@ -46,8 +52,8 @@ def owning_root(paths: DataFrame, roots: DataFrame, path_col: str = "path") -> D
 def in_scope(paths: DataFrame, roots: DataFrame, rules: DataFrame, path_col: str = "path") -> DataFrame:
     """Rows of paths that have a root and no excluded folder below it, with root_id and root."""
     owned = owning_root(paths, roots, path_col).filter("root_id IS NOT NULL")
-    out = excluded(owned, rules, "root", path_col).withColumnRenamed("path", "_gone")
-    return owned.join(out, F.col(path_col) == F.col("_gone"), "left_anti")
+    gone = excluded_dirs(owned.select(parent(F.col(path_col)).alias("dir"), "root"), rules).select(F.col("dir").alias("_dir"), F.col("root").alias("_root"))
+    return owned.join(gone, (parent(F.col(path_col)) == F.col("_dir")) & (F.col("root") == F.col("_root")), "left_anti")
 
 
 def admit_roots(roots: DataFrame, new: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """Ranked search for a table of queries at once: names and folders, contents, and names with typos.
 
-Every stage is keyed by query_id. Names are met by trigram: a query is joined with the catalog on the rarest of its terms' trigrams and verified, so that no query
-is held against all rows unless none of its terms has three characters. Contents are met through postings: terms are expanded over the vocabulary
-(joined on their first two characters), then joined by token. User input is never read as a pattern.
+Every stage is keyed by query_id. Names are met by trigram: a query is joined with the catalog on the rarest of its terms' trigrams and verified; a query none of whose
+terms has three characters is joined on its longest term, of one or two. Contents are met through postings: whole words are joined by token, prefixes are expanded over the vocabulary
+first (joined on their first three characters). Positions are looked at for phrases only. User input is never read as a pattern.
 """
 
 from __future__ import annotations
@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from ..functions.formats import stem
 from ..functions.text import DAY_MS, edit_match, folded, similarity, terms, trigrams, words
-from .index import corpus_stats, name_grams
+from ..sources.work import stored
+from .index import corpus_stats, name_grams, short_grams
 
 EXACT_BASE, CONTENT_BASE, BOTH_BONUS = 50.0, 25.0, 10.0
 MAX_CONTENT, FUZZY_BELOW, FUZZY_CHARS, MIN_SIMILARITY = 300, 5, 4, 0.75
 K1, B = 1.2, 0.75
-SNIPPET_TOKENS = 14
+SNIPPET_TOKENS, HEAD = 14, 3
 
 
 def parsed(queries: DataFrame) -> DataFrame:
@@ -59,7 +60,8 @@ def candidates(queries: DataFrame, catalog: DataFrame) -> DataFrame:
     rarest = wanted.join(counts, "gram", "left").groupBy("query_id").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
     every = F.forall("terms", lambda t: F.contains(F.col("lname"), t) | F.contains(F.col("ldir"), t))
     by_gram = queries.join(rarest, "query_id").join(grams, "gram").join(rows, "id").filter(every)
-    short = queries.filter(F.size(long) == 0).join(rows, every)  # a stated set of queries against all rows
+    longest = F.array_max(F.transform("terms", lambda t: F.struct(F.length(t).alias("n"), t.alias("gram"))))["gram"]
+    short = queries.filter(F.size(long) == 0).withColumn("gram", longest).join(short_grams(catalog, both), "gram").join(rows, "id").filter(every)
     return by_gram.select("query_id", "id").unionByName(short.select("query_id", "id"))
 
 
@@ -81,12 +83,14 @@ def content_matches(queries: DataFrame, post: DataFrame) -> DataFrame:
     usable = queries.filter(F.forall("terms", lambda t: F.length(t) >= 2))
     each = usable.select("query_id", F.posexplode("terms").alias("term", "text")).withColumn("tokens", words(folded(F.col("text")))).filter(F.size("tokens") > 0)
     slots = each.select("query_id", "term", F.size("tokens").alias("length"), F.posexplode("tokens").alias("slot", "wanted")).withColumn("is_prefix", F.col("slot") == F.col("length") - 1)
-    vocabulary = post.select("token").distinct().withColumn("start", F.substring("token", 1, 1))
-    hit = F.when(F.col("is_prefix"), F.startswith("token", F.col("wanted"))).otherwise(F.col("token") == F.col("wanted"))
-    expanded = slots.withColumn("start", F.substring("wanted", 1, 1)).join(vocabulary, "start").filter(hit).select("query_id", "term", "length", "slot", "token")
-    places = post.join(expanded, "token").select("query_id", "term", "id", "length", "slot", F.explode("positions").alias("pos"))
+    whole = slots.filter("NOT is_prefix").select("query_id", "term", "length", "slot", F.col("wanted").alias("token"))
+    heads = lambda c: F.array_distinct(F.array(*[F.substring(c, 1, k) for k in range(1, HEAD + 1)]))
+    vocabulary = post.select("token").distinct().select("token", F.explode(heads("token")).alias("head"))
+    begun = slots.filter("is_prefix").withColumn("head", F.substring("wanted", 1, HEAD)).join(vocabulary, "head").filter(F.startswith("token", F.col("wanted"))).select(*whole.columns)
+    single = post.select("token", "id", "tf").join(begun.filter("length = 1"), "token").groupBy("query_id", "term", "id").agg(F.sum("tf").alias("tf"))
+    places = post.join(whole.unionByName(begun.filter("length > 1")), "token").select("query_id", "term", "id", "length", "slot", F.explode("positions").alias("pos"))
     starts = places.groupBy("query_id", "term", "id", "length", (F.col("pos") - F.col("slot")).alias("at")).agg(F.count_distinct("slot").alias("n")).filter("n = length")
-    return starts.groupBy("query_id", "term", "id").agg(F.count("*").alias("tf"))
+    return single.unionByName(starts.groupBy("query_id", "term", "id").agg(F.count("*").alias("tf")))
 
 
 def bm25(matches: DataFrame, stats: DataFrame) -> DataFrame:
@@ -132,8 +136,8 @@ def fuzzy_hits(queries: DataFrame, catalog: DataFrame, now_ms: int) -> DataFrame
 
 
 def all_hits(queries: DataFrame, catalog: DataFrame, post: DataFrame, stats: DataFrame, now_ms: int) -> DataFrame:
-    """query_id, id, score, in_text of all three stages. queries: of parsed()."""
-    found = merged(exact_hits(queries, catalog, now_ms), content_hits(queries, post, stats, catalog), catalog, now_ms)
+    """query_id, id, score, in_text of all three stages; the first two are stored, as the third depends on their number. queries: of parsed()."""
+    found = stored(merged(exact_hits(queries, catalog, now_ms), content_hits(queries, post, stats, catalog), catalog, now_ms), "found")
     more = fuzzy_hits(needy(queries, found), catalog, now_ms).join(found.select("query_id", "id"), ["query_id", "id"], "left_anti")
     return found.unionByName(more.withColumn("in_text", F.lit(False)))
 
