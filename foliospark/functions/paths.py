@@ -43,6 +43,6 @@ def below(root: Column, path: Column) -> Column:
 
 
 def prefix_bounds(folder: str) -> tuple[str, str]:
-    """low <= key < high holds for exactly the lower-case paths inside the folder; both can be pushed to the scan."""
+    """low <= key < high holds for exactly the lower-case paths inside the folder; a stored lower-case path column lets the scan skip by them."""
     low = folder.lower().rstrip(SEP) + SEP
     return low, low[:-1] + chr(ord(SEP) + 1)

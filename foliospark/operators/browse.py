@@ -53,8 +53,15 @@ def by_path(catalog: DataFrame, path: str) -> DataFrame:
 
 
 def under(catalog: DataFrame, folder: str) -> DataFrame:
+    """Documents inside a folder. Where the catalog has a path_key (of keyed()), the bounds reach the scan."""
     low, high = prefix_bounds(folder)
-    return catalog.filter((F.lower("path") >= low) & (F.lower("path") < high))
+    key = F.col("path_key") if "path_key" in catalog.columns else F.lower("path")
+    return catalog.filter((key >= low) & (key < high))
+
+
+def keyed(catalog: DataFrame) -> DataFrame:
+    """With path_key, the lower-case path, in its order, to be written: files and row groups then cover few folders each."""
+    return catalog.withColumn("path_key", F.lower("path")).repartitionByRange("path_key").sortWithinPartitions("path_key")
 
 
 def details(catalog: DataFrame, texts: DataFrame, file_tags: DataFrame, excerpt: int = 1400) -> DataFrame:

@@ -19,6 +19,7 @@ EXACT_BASE, CONTENT_BASE, BOTH_BONUS = 50.0, 25.0, 10.0
 MAX_CONTENT, FUZZY_BELOW, FUZZY_CHARS, MIN_SIMILARITY = 300, 5, 4, 0.75
 K1, B = 1.2, 0.75
 SNIPPET_TOKENS, HEAD = 14, 3
+NAME_WEIGHT = 10
 
 
 def parsed(queries: DataFrame) -> DataFrame:
@@ -78,6 +79,28 @@ def capped(hits: DataFrame, catalog: DataFrame, most: int = 2000) -> DataFrame:
     return hits.join(catalog.select("id", "modified_at"), "id").withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most).select("query_id", "id")
 
 
+def name_bm25(queries: DataFrame, catalog: DataFrame) -> DataFrame:
+    """query_id, id, bm25 of names and folders that hold all of a query's terms, for queries whose terms all have three characters or more: an occurrence in a name weighs NAME_WEIGHT times one in a
+    folder, lengths are numbers of trigrams. A term's frequency is counted over all documents that hold it."""
+    each = queries.filter(F.forall("terms", lambda t: F.length(t) >= 3)).select("query_id", F.size("terms").alias("wanted"), F.posexplode("terms").alias("term", "word"))
+    words_ = each.select("word").distinct().select(F.col("word").alias("query_id"), F.array("word").alias("terms"))  # each distinct word is looked for once
+    places = lambda text, t: F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.substring(text, i, F.length(t)) == t))
+    grams = lambda text: F.greatest(F.length(text) - 2, F.lit(0))
+    rows = catalog.select("id", F.lower("name").alias("lname"), F.lower("dir").alias("ldir"))
+    tf = NAME_WEIGHT * places(F.col("lname"), F.col("word")) + places(F.col("ldir"), F.col("word"))
+    hits = candidates(words_, catalog).withColumnRenamed("query_id", "word").join(rows, "id").select("word", "id", tf.alias("tf"))
+    lengths = rows.select("id", (grams(F.col("lname")) + grams(F.col("ldir"))).alias("n_tokens"))
+    found = bm25(each.join(hits, "word").select("query_id", "term", "id", "tf"), lengths)
+    return found.join(each.select("query_id", "wanted").distinct(), "query_id").filter("n_terms = wanted").select("query_id", "id", "bm25")
+
+
+def capped_by_weight(queries: DataFrame, hits: DataFrame, catalog: DataFrame, most: int = 2000) -> DataFrame:
+    """Optional: query_id, id, bm25, n (from 1) of the best candidates of each query by name_bm25(), ties newest first; where a term is shorter than three characters all are ties (bm25 null)."""
+    weighed = hits.join(name_bm25(queries, catalog), ["query_id", "id"], "left").join(catalog.select("id", "modified_at"), "id")
+    w = Window.partitionBy("query_id").orderBy(F.round("bm25", 9).desc_nulls_last(), F.col("modified_at").desc_nulls_last(), "id")
+    return weighed.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= most).select("query_id", "id", "bm25", "n")
+
+
 def content_matches(queries: DataFrame, post: DataFrame) -> DataFrame:
     """query_id, term, id, tf: where each term occurs; a term of several tokens is a phrase, its last token a prefix. Queries with a term of one character are left out."""
     usable = queries.filter(F.forall("terms", lambda t: F.length(t) >= 2))

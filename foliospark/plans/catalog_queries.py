@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import formats, paths, text
 from ..operators import aggregates, annotations, browse, duplicates, scope, sync, versions
 from ..sources import catalog as c
+from ..sources.work import shared_dir, stored
 from .sql import sql
 
 Q: dict = {}
@@ -124,7 +125,6 @@ def _(s, d):
 
 @query("snk1_versioned_catalog", "SELECT id, path, size FROM cat WHERE id % 2 = 0")
 def _(s, d):
-    from ..sources.work import shared_dir
 
     rows, path = c.derived(s, d).select("id", "path", "size"), f"{shared_dir(s)}/catalog-{uuid.uuid4().hex}"
     versions.commit(rows, path, 1)
@@ -234,7 +234,7 @@ def _(s, d):
 
 @query("lst5_lst6_lookup", "SELECT id, path FROM cat WHERE starts_with(lower(path), '/data/es/src1/') UNION ALL SELECT id, path FROM cat WHERE lower(path) = (SELECT lower(path) FROM cat WHERE id = 7)")
 def _(s, d):
-    cat = c.derived(s, d, annotated=False)
+    cat = stored(browse.keyed(c.derived(s, d, annotated=False)), "keyed")
     path = cat.filter("id = 7").select("path").first()
     return browse.under(cat, "/data/ES/src1/").select("id", "path").unionByName(browse.by_path(cat, path["path"].upper()).select("id", "path"))
 

@@ -93,6 +93,23 @@ def _(s, d):
     return search.capped(search.candidates(queries(s, d), cat), cat, 20)
 
 
+@query(
+    "sea4_weighted",
+    STAGES
+    + """, wt AS (SELECT query_id, len(terms) AS wanted, unnest(range(len(terms))) AS term, unnest(terms) AS word FROM qp WHERE list_bool_and(list_transform(terms, lambda w: length(w) >= 3))),
+grams AS (SELECT id, lname, ldir, greatest(length(lname) - 2, 0) + greatest(length(ldir) - 2, 0) AS n_grams FROM sc), gm AS (SELECT count(*) AS n_docs, avg(n_grams) AS mean_grams FROM grams),
+occ AS (SELECT query_id, wanted, term, id, n_grams, 10 * len(list_filter(range(1, length(lname) + 1), lambda i: substr(lname, i, length(word)) = word)) + len(list_filter(range(1, length(ldir) + 1), lambda i: substr(ldir, i, length(word)) = word)) AS tf
+  FROM wt JOIN grams ON contains(lname, word) OR contains(ldir, word)),
+odf AS (SELECT query_id, term, count(*) AS df FROM occ GROUP BY ALL),
+ow AS (SELECT query_id, id, sum(greatest(ln((n_docs - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n_grams / mean_grams))) AS bm25 FROM occ JOIN odf USING (query_id, term), gm GROUP BY query_id, id, wanted HAVING count(*) = wanted),
+oc AS (SELECT ex.query_id, ex.id, bm25, row_number() OVER (PARTITION BY ex.query_id ORDER BY round(bm25, 9) DESC NULLS LAST, modified_at DESC NULLS LAST, ex.id) AS n FROM ex JOIN sc USING (id) LEFT JOIN ow ON ow.query_id = ex.query_id AND ow.id = ex.id)
+SELECT query_id, id, round(bm25, 6) AS bm25, n FROM oc WHERE n <= 20""",
+)
+def _(s, d):
+    cat, q = c.derived(s, d), queries(s, d)
+    return search.capped_by_weight(q, search.candidates(q, cat), cat, 20).withColumn("bm25", F.round("bm25", 6))
+
+
 @query("sea5_sea6_exact", STAGES + "SELECT query_id, id, round(score, 6) AS score FROM ex")
 def _(s, d):
     return rounded(search.exact_hits(queries(s, d), c.derived(s, d), NOW))
@@ -298,6 +315,29 @@ def _(s, d):
     return changes.apply_batch(c.derived(s, d, annotated=False), one_folder_ops(s, d))[1]
 
 
+def folder_batch(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Events of whole folders, by their number: removed, arrived with what the later listing has below them, or renamed."""
+    n = F.regexp_extract("dir", "([0-9]+)$", 1).cast("int") % 3
+    e = c.derived(s, d, annotated=False).select("dir").distinct().select(F.xxhash64("dir").alias("seq"), F.when(n == 0, "remove").when(n == 1, "create").otherwise("rename_both").alias("kind"), F.col("dir").alias("path"), F.when(n == 2, F.concat("dir", F.lit(" moved"))).alias("path_to"))
+    e = e.withColumns({"seq": F.abs("seq"), "size": F.lit(None).cast("long"), "modified_at": F.lit(None).cast("long")})
+    return changes.apply_batch(c.derived(s, d, annotated=False), changes.to_ops(e), c.observed(s, d).select("path", "size", "modified_at"))
+
+
+FOLDER_CHANGES = """, dirs AS (SELECT DISTINCT dir, CAST(regexp_extract(dir, '([0-9]+)$', 1) AS INT) % 3 AS n FROM cat), old AS (SELECT cat.*, n FROM cat JOIN dirs USING (dir)), listed AS (SELECT seen.* FROM seen JOIN dirs USING (dir) WHERE n = 1),
+done AS (SELECT id, path, NULL AS size, 'removed' AS change FROM old WHERE n = 0 UNION ALL SELECT id, dir || ' moved/' || name, size, 'moved' FROM old WHERE n = 2
+UNION ALL SELECT old.id, l.path, l.size, CASE WHEN old.path IS NULL THEN 'added' WHEN old.path <> l.path THEN 'moved' ELSE 'updated' END FROM listed l LEFT JOIN old ON lower(old.path) = lower(l.path) WHERE old.path IS NULL OR old.path <> l.path OR old.size <> l.size)"""
+
+
+@query("str4_str5_str10_folder_events", FOLDER_CHANGES + " SELECT id, path, size, change FROM done")
+def _(s, d):
+    return folder_batch(s, d)[0].select("id", "path", "size", "change")
+
+
+@query("str12_folder_counts", FOLDER_CHANGES + " SELECT count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'updated') AS updated, count(*) FILTER (change = 'moved') AS moved, count(*) FILTER (change = 'removed') AS removed FROM done")
+def _(s, d):
+    return folder_batch(s, d)[1]
+
+
 @query("str7_move_prefix", "SELECT id, CASE WHEN starts_with(lower(path), '/data/en/') THEN '/data/english' || substr(path, 9) ELSE path END AS path, CASE WHEN starts_with(lower(path), '/data/en/') THEN '/data/english' || substr(dir, 9) ELSE dir END AS dir FROM cat")
 def _(s, d):
     return changes.move_prefix(c.derived(s, d, annotated=False), "/DATA/en", "/data/english").select("id", "path", "dir")

@@ -59,6 +59,26 @@ def test_one_query_equals_many(spark):
     assert run(q) == run(q.filter("query_id = 1")) | run(q.filter("query_id = 2"))
 
 
+def test_candidates_by_weight(spark):
+    cat = catalog(spark, "/x/barley/one.pdf", "/x/y/barley two.pdf", "/x/y/barley barley.pdf", "/x/y/rye.pdf", "/x/y/oat.pdf", "/x/y/hay.pdf", "/x/y/hop.pdf")
+    q = search.parsed(spark.createDataFrame([(1, "barley"), (2, "ba"), (3, "bar zz"), (4, "barley absent")], "query_id long, text string"))
+    got = search.capped_by_weight(q, search.candidates(q, cat), cat, 3).collect()
+    best = {(r["query_id"], r["n"]): r["id"] for r in got}
+    assert [best[1, n] for n in (1, 2, 3)] == [3, 2, 1] and {k[0] for k in best} == {1, 2}  # in a name twice, once, in a folder
+    assert all((r["bm25"] is None) == (r["query_id"] == 2) for r in got)
+    few = search.capped_by_weight(q, search.candidates(q, cat), cat, 1).collect()
+    assert {(r["query_id"], r["id"]) for r in few if r["query_id"] == 1} == {(1, 3)}
+    assert search.capped_by_weight(q, search.candidates(q, cat.limit(0)), cat.limit(0)).count() == 0
+
+
+def test_folder_bounds_reach_the_scan(spark):
+    cat = catalog(spark, "/a/B/x.pdf", "/a/b/c/y.pdf", "/a/b.pdf", "/a/bc/z.pdf", "/a/B")
+    kept = stored(browse.keyed(cat), "keyed")
+    for table in (cat, kept):
+        assert {r["id"] for r in browse.under(table, "/A/b/").collect()} == {1, 2}
+    assert "GreaterThanOrEqual(path_key" in browse.under(kept, "/A/b/")._jdf.queryExecution().toString()
+
+
 def test_sync(spark):
     listing = lambda *rows: c.to_records(spark.createDataFrame(list(rows), "path string, size long, modified_at long"))
     first = listing(("/r/Lease.pdf", 1, 1), ("/r/Ships/Ada/Manifest.docx", 2, 1), ("/r/Ledger.XLSX", 3, 1), ("/r/~$Ledger.xlsx", 1, 1), ("/r/setup.bin", 1, 1))
