@@ -231,6 +231,8 @@ def _block(docs: DataFrame, pairs: DataFrame, k: int, text_col: str, id_col: str
     by_item: dict = {}
     for item, term in pairs.collect():  # a block's, of bounded size
         by_item.setdefault(item, []).append(bytes(term))
+    if not by_item:
+        return spark.createDataFrame([], T.StructType([pairs.schema["item_id"]]).add("rank", "integer").add("doc_id", docs.schema[id_col].dataType).add("score", "long"))
     terms = sorted({t for ts in by_item.values() for t in ts})
     number = {t: j for j, t in enumerate(terms)}
     vecs = stored(vectors(docs, terms, text_col, id_col), "vectors")
