@@ -8,12 +8,13 @@ T = ceil(percent * (|a| + |b|) / (100 + percent)) shingles or more, and either l
    partner: most nodes end here, and no node's shingles were moved whole for it.
 3. For the others all shingles are counted, and a node keeps the lists of its m + 1 - (lone ones) rarest shared shingles: by the pigeonhole principle two linked nodes have one of these lists in common
    (ties of frequency are broken by hash, so the order is the same for all).
-4. A list is a unit: its nodes' sets meet in one task, which builds inverted lists over them and runs the T-occurrence search: for each node the short lists of its shingles
+4. Nodes that meet are a unit: their sets go to one task, which builds inverted lists over them and runs the T-occurrence search: for each node the short lists of its shingles
    are merged by a heap that skips ahead (an id must occur T - L times in them), and the L longest lists are only probed by bisection for the ids that are left (DivideSkip). A unit emits links
    that join what belongs together, not all pairs, and passes over nodes that are joined already.
-5. The first two rounds send each node to one of its lists only; that joins families of near copies at the cost of one copy of each set. Then only the lists that still hold nodes of several
-   components are searched, each whole, so that no link between them is lost. Lists with the same nodes are searched once. A list of more than ``HOT`` nodes (or bytes) is cut
-   into parts, and each pair of parts is a unit.
+5. First each node meets the center of most of its lists, the node with the fewest lone shingles: that joins families of near copies at the cost of one copy of each set.
+6. Then only the lists that still hold nodes of several components are searched, so that no link between them is lost. They are cut into bands of the smaller partner's size, as two linked nodes together
+   have at most (100 + percent) / percent times as many shingles as either shares with others; units with the same nodes are searched once, and a pair is looked at in the first list that it has
+   in common. A unit of more than ``HOT`` nodes (or bytes) is cut into parts, and each pair of parts is a unit.
 
 Components are resolved on stored tables. Shingles are compared by 64-bit hashes of theirs.
 
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +41,8 @@ from .simhash_trie import components, words_of
 SAMPLE = 0.34
 #: Nodes, and bytes of their sets, in a part of a unit; bytes of units that share a task, about.
 HOT, HOT_BYTES, BUCKET = 1 << 9, 1 << 24, 1 << 23
+#: A band of sizes reaches to so many times its smallest.
+BAND = 1.12
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
@@ -123,8 +126,8 @@ def may_pair(nodes: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return nodes.join(lone, "node", "left").filter(F.coalesce("lone", F.lit(0)) <= spare).select(nodes["*"])
 
 
-def short_lists(sets: DataFrame, percent: int) -> DataFrame:
-    """node, token, n: for each node (node, tokens) its rarest shared shingles, as many as two linked nodes need to have one in common; n nodes have it."""
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """node, size, shared, prefix: for each node (node, tokens) its rarest shared shingles in order, as many as two linked nodes need to have one in common; shared of its size shingles aren't lone. prefix: struct(n, token), n nodes have the token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -139,27 +142,59 @@ def short_lists(sets: DataFrame, percent: int) -> DataFrame:
     often = rows.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
     shared = rows.join(often, "token").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("lists"))  # one document's
     spare = F.col("size") - F.ceil(F.col("size") * percent / 100) - (F.col("size") - F.size("lists"))
-    kept = shared.select("node", F.explode(F.slice("lists", 1, F.greatest(spare + 1, F.lit(0)).cast("int"))).alias("x")).select("node", "x.token", "x.n")
-    return kept
+    kept = F.slice("lists", 1, F.greatest(spare + 1, F.lit(0)).cast("int"))
+    return shared.select("node", "size", F.size("lists").cast("long").alias("shared"), kept.alias("prefix")).filter(F.size("prefix") > 0)
+
+
+def largest(size: Column, shared: Column, percent: int) -> Column:
+    """The largest partner of a node: both sizes together are at most (100 + percent) / percent of what either shares."""
+    return F.floor(shared * (100 + percent) / percent).cast("long") - size
+
+
+def banded(lists: DataFrame, percent: int) -> DataFrame:
+    """Units of lists by the smaller partner's size: node, label, n, token, band, home. A node is at home in the band of its own size, if it can be the smaller one, and visits those that smaller partners of its may be in."""
+    band = lambda c: F.floor(F.log(c.cast("double")) / np.log(BAND) + 1e-9).cast("int")
+    most = largest(F.col("size"), F.col("shared"), percent)
+    low, high = F.ceil(F.col("size") * percent / 100), F.least("size", most)
+    rows = lists.filter(high >= low).withColumn("band", F.explode(F.sequence(band(low), band(high))))
+    return rows.select("node", "label", "n", "token", "band", ((F.col("band") == band(F.col("size"))) & (most >= F.col("size"))).alias("home"))
 
 
 class Unit:
-    """Inverted lists over the sets of a unit, and the T-occurrence search in them."""
+    """Inverted lists over the sets of a unit, and the T-occurrence search in them. Sets that can't have a partner here, by their sizes and the shingles that they share here, are in no list."""
 
-    def __init__(self, sets: list[np.ndarray], percent: int):
-        self.percent, self.size = percent, [len(s) for s in sets]
+    def __init__(self, sets: list[np.ndarray], percent: int, apart: np.ndarray | None = None):
+        """apart: a symmetric matrix of the pairs that are asked for (all, if None)."""
+        size = np.array([len(s) for s in sets])
         tokens, at = np.unique(np.concatenate(sets), return_inverse=True)
-        owner = np.repeat(np.arange(len(sets)), self.size)
+        owner = np.repeat(np.arange(len(sets)), size)
+        need = -(-percent * size // 100)
+        apart = ~np.eye(len(sets), dtype=bool) if apart is None else apart
+        alive = np.ones(len(sets), bool)
+        for _ in range(3):
+            n = np.bincount(at[alive[owner]], minlength=len(tokens))
+            shared = np.bincount(owner, weights=(n > 1)[at], minlength=len(sets)).astype(np.int64)
+            most = shared * (100 + percent) // percent - size
+            self.may = apart & (size[None, :] >= need[:, None]) & (size[None, :] <= most[:, None]) & alive[None, :] & alive[:, None]
+            self.may &= self.may.T
+            before, alive = alive.sum(), self.may.any(1)
+            if alive.sum() == before:
+                break
+        self.percent, self.size, self.alive = percent, size.tolist(), alive.tolist()
+        some = alive[owner]
+        owner, at = owner[some], at[some]
         order = np.lexsort((owner, at))
         ends = np.cumsum(np.bincount(at, minlength=len(tokens)))
         ordered = owner[order].tolist()
         self.lists = [ordered[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-        starts = np.cumsum([0, *self.size])
+        starts = np.cumsum([0, *np.where(alive, size, 0)])
         self.of = [at[a:b].tolist() for a, b in zip(starts[:-1], starts[1:], strict=True)]
 
     def partners(self, one: int) -> Iterator[int]:
         """Ids of the other sets that are linked with this one."""
-        size, p = self.size[one], self.percent
+        if not self.alive[one]:
+            return
+        size, p, may = self.size[one], self.percent, self.may[one]
         least = -(-p * size // 100)  # a smaller partner has this many in all
         floor = -(-p * (size + least) // (100 + p))  # T of the smallest partner
         lists = sorted((self.lists[t] for t in self.of[one]), key=len)
@@ -176,7 +211,7 @@ class Unit:
             while heap and heap[0][0] == first:
                 popped.append(heapq.heappop(heap))
             if len(popped) >= wanted:
-                if first != one and least <= self.size[first] and 100 * size >= p * self.size[first]:
+                if may[first]:
                     total = -(-p * (size + self.size[first]) // (100 + p))
                     both, left = len(popped), len(long)
                     for x in long:
@@ -197,8 +232,8 @@ class Unit:
                 if at < len(short[k]):
                     heapq.heappush(heap, (short[k][at], k, at))
 
-    def links(self, labels: list[int]) -> list[tuple[int, int]]:
-        """Links that join all sets of this unit which linked ones connect, beyond what equal labels say."""
+    def links(self, labels: list[int], center: int | None = None) -> list[tuple[int, int]]:
+        """Links that join all sets of this unit which linked ones connect, beyond what equal labels say. center: the set that is searched first."""
         root = list(range(len(labels)))
 
         def top(k: int) -> int:
@@ -221,38 +256,82 @@ class Unit:
             link(first.setdefault(label, k), k)
         out = []
         # A pair that isn't joined has a member outside the anchor's component, which only grows, so that one's search finds it.
-        anchor = max(first.values(), key=lambda k: count[top(k)])
+        anchor = max(first.values(), key=lambda k: count[top(k)]) if center is None else center
         for k in [anchor, *(k for k in range(len(labels)) if k != anchor)]:
             if k == anchor or top(k) != top(anchor):
                 out += [(k, other) for other in self.partners(k) if link(k, other)]
         return out
 
 
-def searched(dealt: DataFrame, sets: DataFrame, percent: int, whole: bool) -> DataFrame:
-    """Links (a, b) found in units. dealt: unit, node, label. With whole, all nodes of a unit meet (parts of a hot unit in pairs); else parts are searched each for itself."""
+def _cut(dealt: DataFrame, sets: DataFrame) -> tuple[DataFrame, int]:
+    """dealt with parts and part (of a node in its unit), and how many buckets of units there are."""
     rows = dealt.join(sets.select("node", F.octet_length("tokens").alias("bytes")), "node")
-    weight = F.greatest(F.count("*") / HOT, F.sum("bytes") / HOT_BYTES)
-    sizes = rows.groupBy("unit").agg(F.ceil(weight).cast("int").alias("parts"), F.sum("bytes").alias("all"))
-    hot = stored(sizes.filter("parts > 1").select("unit", "parts"), "hot")
-    buckets = max(1, int(-(-(sizes.agg(F.sum("all")).first()[0] or 0) // BUCKET)))
-    cut = dealt.join(sized(hot), "unit", "left").withColumn("part", F.pmod(F.xxhash64("node", "unit"), F.coalesce("parts", F.lit(1))).cast("int"))
-    if whole:
-        cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
-        # Within one part only where there is no other: its nodes meet in any pair that it is in.
-        cut = cut.filter("part <> other OR coalesce(parts, 1) = 1").withColumn("unit", F.xxhash64("unit", F.least("part", "other"), F.greatest("part", "other")))
-    else:
-        cut = cut.withColumn("unit", F.xxhash64("unit", "part"))
-    met = cut.select("unit", "node", "label").join(sets, "node").withColumn("bucket", F.pmod(F.xxhash64("unit"), F.lit(buckets)))
+    sizes = stored(rows.groupBy("unit").agg(F.ceil(F.greatest(F.count("*") / HOT, F.sum("bytes") / HOT_BYTES)).cast("int").alias("parts"), F.sum("bytes").alias("bytes")), "sizes")
+    total = sizes.agg(F.sum(F.col("bytes") * F.col("parts"))).first()[0] or 0
+    cut = dealt.join(sized(stored(sizes.filter("parts > 1").select("unit", "parts"), "hot")), "unit", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    return cut.withColumn("part", F.pmod(F.xxhash64("node", "unit"), F.col("parts")).cast("int")), max(1, -(-total // BUCKET))
+
+
+def _groups(t: pa.Table, *by: str) -> Iterator[np.ndarray]:
+    """Rows of each group of two or more, by node."""
+    keys = [t["node"].to_numpy(), *(t[c].to_numpy() for c in by)]
+    order = np.lexsort(keys)
+    differ = np.zeros(len(order), bool)
+    for k in keys[1:]:
+        differ[1:] |= k[order][1:] != k[order][:-1]
+    starts = np.flatnonzero(differ)
+    for own in np.split(order, starts):
+        if len(own) > 1:
+            yield own
+
+
+def _tokens(t: pa.Table, own: np.ndarray) -> list[np.ndarray]:
+    return [np.frombuffer(t["tokens"][int(k)].as_py(), np.int64) for k in own]
+
+
+def star_links(chosen: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) in the units of centers. chosen: node, unit (its center). Parts of a hot unit have the center each."""
+    both = chosen.unionByName(chosen.select(F.col("unit").alias("node"), "unit")).distinct()
+    cut, buckets = _cut(both, sets)
+    every = F.when(F.col("node") == F.col("unit"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part"))
+    met = cut.withColumn("part", F.explode(every)).select("unit", "part", "node").join(sets.select("node", "tokens"), "node").withColumn("bucket", F.pmod(F.xxhash64("unit", "part"), F.lit(buckets)))
+
+    def run(t: pa.Table) -> pa.Table:
+        unit, node, a, b = t["unit"].to_numpy(), t["node"].to_numpy(), [], []
+        for own in _groups(t, "part", "unit"):
+            center = np.flatnonzero(node[own] == unit[own])
+            for x, y in Unit(_tokens(t, own), percent).links(list(range(len(own))), int(center[0]) if len(center) else None):
+                a.append(node[own[x]])
+                b.append(node[own[y]])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return met.groupBy("bucket").applyInArrow(run, "a long, b long")
+
+
+def list_links(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between nodes of different labels in units of lists. dealt: unit, token (the list's), node, label. A pair is looked at in the unit of the first list that it has in common, and in one pair of parts."""
+    cut, buckets = _cut(dealt, sets)
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")})
+    met = cut.select("unit", "lo", "hi", "part", "token", "node", "label").join(sets, "node").withColumn("bucket", F.pmod(F.xxhash64("unit", "lo", "hi"), F.lit(buckets)))
 
     def run(t: pa.Table) -> pa.Table:
-        unit, node, label = t["unit"].to_numpy(), t["node"].to_numpy(), t["label"].to_numpy()
-        order = np.lexsort((node, unit))
-        starts = np.flatnonzero(np.concatenate(([True], unit[order][1:] != unit[order][:-1])))
-        a, b = [], []
-        for low, high in zip(starts, [*starts[1:], len(order)], strict=True):
-            own = order[low:high]
-            if len(own) > 1:
-                for x, y in Unit([np.frombuffer(t["tokens"][int(k)].as_py(), np.int64) for k in own], percent).links(label[own].tolist()):
+        node, label, part, token, prefix = t["node"].to_numpy(), t["label"].to_numpy(), t["part"].to_numpy(), t["token"].to_numpy(), t["prefix"]
+        lo, hi, a, b = t["lo"].to_numpy(), t["hi"].to_numpy(), [], []
+        for own in _groups(t, "hi", "lo", "unit"):
+            apart = np.not_equal.outer(label[own], label[own])
+            if lo[own[0]] != hi[own[0]]:
+                apart &= np.not_equal.outer(part[own], part[own])
+            before = []
+            for k in own:
+                x = prefix[int(k)].values.to_numpy()
+                before.append(x[: np.flatnonzero(x == token[k])[0]])
+            seen, at = np.unique(np.concatenate(before), return_inverse=True)
+            if len(seen):
+                has = np.zeros((len(own), len(seen)), np.float32)
+                has[np.repeat(np.arange(len(own)), [len(x) for x in before]), at] = 1
+                apart &= has @ has.T == 0
+            if apart.any():
+                for x, y in Unit(_tokens(t, own), percent, apart).links(label[own].tolist()):
                     a.append(node[own[x]])
                     b.append(node[own[y]])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -261,27 +340,24 @@ def searched(dealt: DataFrame, sets: DataFrame, percent: int, whole: bool) -> Da
 
 
 def linked(sets: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
-    """node and label (the smallest node of its component) for the nodes (node, tokens; stored) that have links. lists: of short_lists(), stored."""
-    spark = sets.sparkSession
-    edges = spark.createDataFrame([], "a long, b long")
-    labels = spark.createDataFrame([], "node long, label long")
-
-    def mixed() -> DataFrame:
-        """Lists whose nodes are of several components yet: node, token, n, label."""
-        named = lists.join(labels, "node", "left").select("node", "token", "n", F.coalesce("label", "node").alias("label"))
-        several = named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token")
-        return named.join(several, "token", "left_semi")
-
-    for by in (F.struct(-F.col("n"), "token"), F.struct(F.xxhash64("token"))):
-        one = mixed().groupBy("node", "label").agg(F.min_by("token", by).alias("unit"))
-        edges = stored(edges.unionByName(searched(one, sets, percent, whole=False)), "links")
-        labels = components(edges)
-    left = stored(mixed(), "mixed")
-    same = left.groupBy("token").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s1"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(38,0)")).alias("s2"))
-    once = same.groupBy("n", "s1", "s2").agg(F.min("token").alias("token")).select("token")  # lists with the same nodes
-    rest = left.join(once, "token", "left_semi").select(F.col("token").alias("unit"), "node", "label")
-    edges = stored(edges.unionByName(searched(rest, sets, percent, whole=True)), "links")
-    return components(edges)
+    """node and label (the smallest node of its component) for the nodes (node, tokens; stored) that have links. lists: of prefixes(), stored."""
+    each = lists.select("node", "size", "shared", F.explode("prefix").alias("x")).select("node", "size", "shared", "x.n", "x.token")
+    centers = each.groupBy("token").agg(F.max_by("node", F.struct(F.col("shared") - F.col("size"), "node")).alias("unit"))
+    often = each.join(centers, "token").groupBy("node", "unit").agg(F.count("*").alias("k"))
+    chosen = stored(often.groupBy("node").agg(F.max_by("unit", F.struct("k", "unit")).alias("unit")), "chosen")
+    edges = stored(star_links(chosen, sets, percent), "links")
+    labels = components(edges)
+    named = stored(each.join(labels, "node", "left").select(*each.columns, F.coalesce("label", "node").alias("label")), "named")
+    several = named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token")
+    left = stored(banded(named.join(several, "token", "left_semi"), percent), "mixed")
+    marks = [F.sum(F.xxhash64("node", F.lit(k)).cast("decimal(38,0)")).alias(f"s{k}") for k in (1, 2)]
+    same = left.groupBy("n", "token", "band").agg(F.count("*").alias("all"), *marks, F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("home").alias("home")).filter("home AND lo < hi")
+    once = same.groupBy("all", "s1", "s2").agg(F.min(F.struct("n", "token", "band")).alias("x")).select("x.token", "x.band")  # of units with the same nodes the first
+    rest = left.join(once, ["token", "band"], "left_semi").select(F.xxhash64("token", "band").alias("unit"), "token", "node", "label")
+    full = sets.join(lists.select("node", F.col("prefix.token").alias("prefix")), "node")
+    more = stored(list_links(rest, full, percent), "links")
+    discard(named, left, chosen)
+    return components(edges.unionByName(more))
 
 
 def mark(docs: DataFrame, shingle: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -292,7 +368,7 @@ def mark(docs: DataFrame, shingle: int = 5, percent: int = 80, text_col: str = "
     nodes = stored(nodes.select("h1", "h2", "size", "x.id", "x.th", F.monotonically_increasing_id().alias("node")), "nodes")
     few = stored(may_pair(nodes, _texts(docs, nodes, text_col, id_col), shingle, percent).select("node", "id", "th"), "few")
     sets = stored(_sets(_texts(docs, few, text_col, id_col), shingle), "sets")
-    lists = stored(short_lists(sets, percent), "lists")
+    lists = stored(prefixes(sets, percent), "lists")
     labels = linked(sets, lists, percent)
     named = nodes.join(labels, "node", "left").select("h1", "h2", "id", F.coalesce("label", "node").alias("label"))
     found = named.join(named.groupBy("label").agg(F.min("id").alias("component_id")), "label").select("h1", "h2", "component_id")
