@@ -1,5 +1,11 @@
 from __future__ import annotations
 
+import math
+import random
+import re
+from collections import Counter, defaultdict
+
+import pytest
 from pyspark.sql import functions as F
 
 from foliospark.operators import aggregates, annotations, browse, duplicates, extraction, index, scope, search, sync, versions
@@ -18,45 +24,129 @@ def catalog(spark, *names, size=10):
     return spark.createDataFrame(rows, ROW)
 
 
-NAMES = ("/S/Garden/Maple/Harvest Plan Autumn.pdf", "/S/Garden/Maple/Seedlist r7.docx", "/S/Home/Recipes.pdf", "/S/Home/Boat/KX registration.pdf", "/S/Garden/harvest.pdf", "/S/Notes/ROV qz sketch.pdf")
-
-
-def found(spark, texts, cat=None, bodies=()):
-    """For each query the names found, in order, and the passages."""
-    cat = cat if cat is not None else catalog(spark, *NAMES)
-    body = spark.createDataFrame(list(bodies), "id long, body string")
-    q = spark.createDataFrame(list(enumerate(texts)), "query_id long, text string")
+SOME = ("/x/y/a.pdf", "/x/z/b.docx")
+SYLLABLES = ("ka", "lo", "mi", "ter", "ven", "os", "pru", "di", "gan", "sel")
+
+
+def coined(draw, most=3):
+    return "".join(draw.choice(SYLLABLES) for _ in range(draw.randint(1, most)))
+
+
+def tree(draw, n):
+    """n paths of coined folders and names; half of the words come from a small stock, so that names share some."""
+    stock = [coined(draw) for _ in range(12)]
+    word = lambda: draw.choice(stock) if draw.random() < 0.5 else coined(draw)
+    return [f"/{word()}/{word()}/{draw.choice((' ', '-', '')).join(word() for _ in range(draw.randint(1, 3)))}{k if draw.random() < 0.3 else ''}.pdf" for k in range(n)]
+
+
+def asked(draw, paths, n):
+    """Queries made of pieces of names: prefixes, inner parts, two terms, and words with a swapped, dropped or doubled letter."""
+    out = []
+    for _ in range(n):
+        words_ = draw.choice(paths).rpartition("/")[2][:-4].replace("-", " ").split()
+        w = draw.choice(words_)
+        how, at = draw.randrange(5), draw.randrange(max(1, len(w) - 1))
+        out.append((w[: draw.randint(1, len(w))], w[at:], w[:at] + w[at + 1 : at + 2] + w[at : at + 1] + w[at + 2 :], w[:at] + w[at:at + 1] + w[at:], " ".join(x[: draw.randint(2, 6)] for x in words_))[how])
+    return sorted({q for q in out if q.strip()}) + ['"^', "50%", "%_", "   "]
+
+
+def osa(a, b):
+    d = {(i, j): i + j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i * j}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
+
+
+def name_score(terms, path):
+    """The relevance of a name and its folder, or None."""
+    folder, _, name = path.lower().rpartition("/")
+    total = 0.0
+    for t in terms:
+        at = name.find(t)
+        if at < 0 and t not in folder:
+            return None
+        total += 3 if at < 0 else 13 if at == 0 or not re.match("[0-9A-Za-z]", name[at - 1]) else 8
+    phrase, base = " ".join(terms), name.rpartition(".")[0]
+    whole = 100 if base == phrase else 60 if base.startswith(phrase) else 40 if phrase in name else 25 if all(t in name for t in terms) else 0
+    return 50 + total + whole - min(len(name) / 20, 5)
+
+
+def typo_score(terms, path):
+    """The relevance of a name with typos, or None."""
+    name = path.lower().rpartition("/")[2]
+    grams = lambda x: {x[k : k + 3] for k in range(len(x) - 2)}
+    flat = grams("".join(terms))
+    shared = len(flat & grams(name))
+    if not shared:
+        return None
+    allowed = lambda t: 0 if len(t) <= 4 else 1 if len(t) <= 8 else 2
+    typos = [0 if t in name else min((d for w in re.findall("[a-z0-9]+", name) if (d := osa(t, w)) <= allowed(t)), default=None) for t in terms]
+    return 15 - 4 * sum(typos) if None not in typos else 12 * shared / len(flat) if shared / len(flat) >= 0.75 else None
+
+
+def text_ranks(terms, texts):
+    """Documents whose text has a word that begins with each term, best first."""
+    words_ = {i: re.findall(r"\w+", t.lower()) for i, t in texts}
+    mean = sum(map(len, words_.values())) / max(1, len(words_))
+    if any(len(t) < 2 for t in terms):
+        return []
+    tf = {t: {i: n for i, ws in words_.items() if (n := sum(w.startswith(t) for w in ws))} for t in terms}
+    idf = {t: max(math.log((len(words_) - len(tf[t]) + 0.5) / (len(tf[t]) + 0.5)), 1e-6) for t in terms}
+    part = lambda t, i: idf[t] * tf[t][i] * 2.2 / (tf[t][i] + 1.2 * (0.25 + 0.75 * len(words_[i]) / mean))
+    both = [i for i in words_ if all(i in tf[t] for t in terms)]
+    return sorted(both, key=lambda i: (-round(sum(part(t, i) for t in terms), 9), i))[:300]
+
+
+def brute_search(query, paths, texts):
+    """(id, score) of a query's hits, for a catalog without times, favourites and opens."""
+    terms = query.lower().split()
+    if not terms:
+        return set()
+    hits = {k: x for k, p in enumerate(paths, 1) if (x := name_score(terms, p)) is not None}
+    ranks = text_ranks(terms, texts) if all(re.fullmatch("[a-z0-9]+", t) for t in terms) else []
+    for n, i in enumerate(ranks):
+        hits[i] = hits[i] + 10 if i in hits else 25 + 10 * (1 - n / len(ranks))
+    if len(hits) < 5 and len(" ".join(terms)) >= 4:
+        hits |= {k: x for k, p in enumerate(paths, 1) if k not in hits and (x := typo_score(terms, p)) is not None}
+    return {(k, round(x, 6)) for k, x in hits.items()}
+
+
+@pytest.mark.parametrize("seed", [11, 12])
+def test_search_against_brute_force(spark, seed):
+    """Names, folders, texts and typos of coined words: hits, scores, order and totals of many queries at once."""
+    draw = random.Random(seed)
+    paths = tree(draw, 90)
+    texts = [(k, " ".join(coined(draw) for _ in range(draw.randrange(1, 30)))) for k in range(1, 91, 3)]
+    queries_ = asked(draw, paths, 45)
+    cat, body = catalog(spark, *paths), spark.createDataFrame(texts, "id long, body string")
+    q = spark.createDataFrame(list(enumerate(queries_)), "query_id long, text string")
+    rows = search.search(q, cat, index.postings(body), index.doc_stats(body), 10**12, 1000).collect()
+    for k, text in enumerate(queries_):
+        own = [r for r in rows if r["query_id"] == k]
+        want = brute_search(text, paths, texts)
+        assert {(r["id"], round(r["score"], 6)) for r in own} == want, text
+        assert [r["id"] for r in sorted(own, key=lambda r: r["rank"])] == [r["id"] for r in sorted(own, key=lambda r: (-r["score"], r["id"]))]
+        assert {r["total"] for r in own} <= {len(want)}
+
+
+def test_typo_hits_exist_in_the_random_trees():
+    """The seeds above do reach the third stage, by edits and by shared trigrams."""
+    draw = random.Random(11)
+    paths = tree(draw, 90)
+    found = [typo_score(q.split(), p) for q in asked(draw, paths, 45) if q.split() for p in paths]
+    assert any(x in (7, 11) for x in found) and any(x is not None and x < 12 and x not in (7, 11) for x in found)
+
+
+def test_phrases_and_passages(spark):
+    body = spark.createDataFrame([(1, "the upper-lockgate leaks"), (2, "lockgate upper"), (3, "upper locks")], "id long, body string")
+    cat = catalog(spark, "/p/one.pdf", "/p/two.pdf", "/p/three.pdf")
+    q = spark.createDataFrame([(1, "upper-lock")], "query_id long, text string")
     page = search.search(q, cat, index.postings(body), index.doc_stats(body), 10**12)
-    rows = search.with_snippets(page, search.parsed(q), body).join(cat.select("id", F.col("path").alias("p")), "id").collect()
-    out = {t: ([], []) for t in texts}
-    for r in sorted(rows, key=lambda r: (r["query_id"], r["rank"])):
-        out[texts[r["query_id"]]][0].append(r["p"].rpartition("/")[2])
-        out[texts[r["query_id"]]][1].append(r["snippet"])
-    return out
-
-
-def test_search(spark):
-    got = found(spark, ["harvest", "arves aut", "maple", "boat", "qz", "r7", "havrest", "recipess", "tidal turbin", '"AND* NOT(', "50%", "%%", "   "], bodies=[(3, "Winter notes. We rated four tidal turbines.")])
-    names = {k: v[0] for k, v in got.items()}
-    assert names["harvest"] == ["harvest.pdf", "Harvest Plan Autumn.pdf"] and names["arves aut"] == ["Harvest Plan Autumn.pdf"]
-    assert len(names["maple"]) == 2 and names["boat"] == ["KX registration.pdf"] and names["qz"] == ["ROV qz sketch.pdf"] and names["r7"] == ["Seedlist r7.docx"]
-    assert "harvest.pdf" in names["havrest"] and "Recipes.pdf" in names["recipess"]
-    assert names["tidal turbin"] == ["Recipes.pdf"] and "\u0002tidal\u0003 \u0002turbines\u0003" in got["tidal turbin"][1][0]
-    assert [names[k] for k in ('"AND* NOT(', "50%", "%%", "   ")] == [[], [], [], []]
-
-
-def test_search_is_not_too_loose_and_phrases(spark):
-    few = catalog(spark, "/d/Choir practice dates.pdf", "/d/Board minutes.pdf", "/d/Recipes.pdf")
-    got = found(spark, ["choral", "half-tim"], few, bodies=[(1, "a half-timbered barn"), (2, "timbered half"), (3, "half timbers")])
-    assert got["choral"][0] == [] and sorted(got["half-tim"][0]) == ["Choir practice dates.pdf", "Recipes.pdf"]
-
-
-def test_one_query_equals_many(spark):
-    cat = catalog(spark, *NAMES)
-    body = spark.createDataFrame([(3, "boat and harvest")], "id long, body string")
-    q = spark.createDataFrame([(1, "harvest"), (2, "recipess")], "query_id long, text string")
-    run = lambda d: {tuple(r) for r in search.search(d, cat, index.postings(body), index.doc_stats(body), 10**12).select("query_id", "id", "score", "rank").collect()}
-    assert run(q) == run(q.filter("query_id = 1")) | run(q.filter("query_id = 2"))
+    got = {r["id"]: r["snippet"] for r in search.with_snippets(page, search.parsed(q), body).collect()}
+    assert set(got) == {1, 3} and got[3] == "\u0002upper\u0003 \u0002locks\u0003"
 
 
 def test_candidates_by_weight(spark):
@@ -79,15 +169,27 @@ def test_folder_bounds_reach_the_scan(spark):
     assert "GreaterThanOrEqual(path_key" in browse.under(kept, "/A/b/")._jdf.queryExecution().toString()
 
 
-def test_sync(spark):
-    listing = lambda *rows: c.to_records(spark.createDataFrame(list(rows), "path string, size long, modified_at long"))
-    first = listing(("/r/Lease.pdf", 1, 1), ("/r/Ships/Ada/Manifest.docx", 2, 1), ("/r/Ledger.XLSX", 3, 1), ("/r/~$Ledger.xlsx", 1, 1), ("/r/setup.bin", 1, 1))
-    empty = spark.createDataFrame([], "path string, id long, name string, size long, modified_at long")
-    assert tuple(sync.summary(sync.diff(sync.snapshot(empty), first)).first()) == (3, 3, 0, 0)
-    known = first.withColumn("id", F.xxhash64("path"))
-    assert tuple(sync.summary(sync.diff(sync.snapshot(known), first)).first()) == (3, 0, 0, 0)
-    second = listing(("/r/Lease.pdf", 9, 1), ("/r/Ships/Ada/Manifest.docx", 2, 1), ("/r/Fresh one.pdf", 1, 1), ("/r/Fresh two.pdf", 1, 1))
-    assert tuple(sync.summary(sync.diff(sync.snapshot(known), second)).first()) == (4, 2, 1, 1)
+@pytest.mark.parametrize("seed", [1, 2])
+def test_sync_of_random_listings(spark, seed):
+    """Each file of the second listing is as before, grown, touched, renamed in case, new, or no document at all; some files are missing."""
+    draw = random.Random(seed)
+    first = {f"/v/{coined(draw)}/{coined(draw)}{k}.{draw.choice(('pdf', 'docx', 'xlsx'))}": (draw.randrange(99), draw.randrange(9)) for k in range(120)}
+    second, want = {}, Counter()
+    for path, (size, at) in first.items():
+        what = draw.choice(("same", "same", "updated", "updated", "gone"))
+        want[what] += 1
+        if what != "gone":
+            folder, _, name = path.rpartition("/")
+            second[path if what == "same" else draw.choice((path, path, f"{folder}/{name.upper()}"))] = (size, at) if what == "same" else (size + 1, at + draw.randrange(2))
+    for k in range(40):
+        kind = draw.choice(("added", "lock", "other"))
+        want[kind] += 1
+        second[{"added": f"/v/{coined(draw)}/n{k}.pdf", "lock": f"/v/~$n{k}.docx", "other": f"/v/n{k}.bin"}[kind]] = (1, 1)
+    listing = lambda rows: c.to_records(spark.createDataFrame([(p, *x) for p, x in rows.items()], "path string, size long, modified_at long"))
+    known = listing(first).withColumn("id", F.xxhash64("path"))
+    count = lambda rows: tuple(sync.summary(sync.diff(sync.snapshot(known), listing(rows))).first())
+    assert count(first) == (120, 0, 0, 0)
+    assert count(second) == (want["same"] + want["updated"] + want["added"], want["added"], want["updated"], want["gone"])
 
 
 def test_exclusions(spark):
@@ -130,18 +232,26 @@ def test_change_events(spark):
     assert set(after) == {1, 2, 3, 4, 5, 6, 8, 10, 11, 12} and after[3] == "/r/3/Safe.xlsx" and applied.columns == ["added", "updated", "moved", "removed"]
 
 
-def test_duplicates(spark):
-    big = b"q" * 150_000
-    data = [(1, b"twin one"), (2, b"twin one"), (3, b"odd size"), (4, b"lone"), (5, big), (6, big), (7, b"q" * 90_000 + b"r" * 60_000)]
-    rows = spark.createDataFrame([(i, len(x), 1) for i, x in data], "id long, size long, modified_at long")
-    content = spark.createDataFrame([(i, bytearray(x)) for i, x in data], "id long, content binary")
-    hashed = duplicates.with_hashes(rows, content)
-    assert {r["id"] for r in hashed.collect()} == {1, 2, 3, 5, 6, 7}
-    sets = duplicates.groups(hashed)
-    assert {(r["group_id"], r["id"]) for r in sets.collect()} == {(1, 5), (1, 6), (2, 1), (2, 2)}
-    assert tuple(duplicates.summary(sets).first()) == (2, 150_008)
-    other = spark.createDataFrame([(5, big), (7, b"z" + big[1:])], "id long, content binary")
-    assert duplicates.with_hashes(rows.filter("id in (5, 7)"), other).count() == 0  # another head is never hashed in full
+@pytest.mark.parametrize("head", [4, 64])
+def test_duplicates_of_random_contents(spark, head):
+    """Contents of two letters and few lengths, so that sizes, heads and whole contents coincide often; sets and spare bytes against a dictionary."""
+    draw = random.Random(head)
+    data = [(k, bytes(draw.choice(b"ab") for _ in range(draw.choice((0, 1, 4, 5, 6, 9))))) for k in range(200)] + [(500, b"alone in its size")]
+    rows = spark.createDataFrame([(k, len(x), 1) for k, x in data], "id long, size long, modified_at long")
+    content = spark.createDataFrame([(k, bytearray(x)) for k, x in data], "id long, content binary")
+    alike = defaultdict(set)
+    for k, x in data:
+        alike[x].add(k)
+    want = {frozenset(ids) for x, ids in alike.items() if len(ids) > 1 and x}
+    hashed = duplicates.with_hashes(rows, content, head=head)
+    sets = defaultdict(set)
+    for r in duplicates.groups(hashed).collect():
+        sets[r["group_id"]].add(r["id"])
+    assert {frozenset(x) for x in sets.values()} == want
+    assert tuple(duplicates.summary(duplicates.groups(hashed)).first()) == (len(want), sum(len(x) * (len(ids) - 1) for x, ids in alike.items() if len(ids) > 1))
+    heads = Counter((len(x), x[:head]) for _, x in data)
+    sizes = Counter(len(x) for _, x in data)
+    assert {r["id"] for r in hashed.collect()} == {k for k, x in data if x and sizes[len(x)] > 1 and (len(x) <= head or heads[len(x), x[:head]] > 1)}
 
 
 def test_many_duplicate_sets_are_numbered_in_order(spark):
@@ -186,9 +296,9 @@ def test_tags(spark):
 
 
 def test_pages_and_totals_of_empty_catalog(spark):
-    none = catalog(spark, *NAMES).filter("id < 0")
+    none = catalog(spark, *SOME).filter("id < 0")
     assert tuple(aggregates.totals(none).first()[:4]) == (0, 0, 0, 0) and browse.page(none, browse.sort_key("name", False)).count() == 0
-    assert browse.page(catalog(spark, *NAMES), browse.sort_key("name", False), 0, -3).count() == 1
+    assert browse.page(catalog(spark, *SOME), browse.sort_key("name", False), 0, -3).count() == 1
 
 
 def test_versions(spark, tmp_path):
