@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import extraction, index, scope, search
 from ..sources import catalog as c
 from ..sources.work import shared_dir, stored
-from ..streaming import changes
+from ..streaming import changes, live
 from .sql import sql
 
 Q: dict = {}
@@ -374,3 +374,64 @@ def _(s, d):
     e = streamed_events(s, d).filter("event_type = 'view'").select(F.col("user_id").alias("file_id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))
     rows = _drained(changes.open_counts(e), "update", "opens")
     return rows.groupBy("file_id").agg(F.max("open_count").alias("open_count"), F.max("last_opened_at").alias("last_opened_at"))
+
+
+# --- the current state of a catalog, over several micro-batches
+
+
+#: Second of each phase of the scripted events; the last two only let time pass.
+PHASES = {1: 10.0, 2: 20.0, 3: 25.0, 4: 30.0, 5: 30.5, 6: 40.0, 7: 60.0, 8: 90.0}
+FILES = 4
+
+
+def scripted_events(s: SparkSession, d: str) -> DataFrame:
+    """phase and events of every document, by its number's last digit: renamed, moved as a removal and a creation in either order and across phases, saved, removed, changed and new; of folders, renamed and removed ones; and the time."""
+    n = F.regexp_extract("dir", "([0-9]+)$", 1).cast("int")
+    cat = c.derived(s, d, annotated=False).select("id", "root", "name", "dir", "size", "modified_at", n.alias("n")).withColumn("at", F.when(F.col("n") % 3 == 0, F.concat("dir", F.lit(" moved"))).otherwise(F.col("dir")))
+    path = lambda folder, *more: F.concat(folder, F.lit("/"), *more, "name")
+    none = F.lit(None).cast("string")
+
+    def event(phase: int, step: int, kind: str, source: Column, target: Column = none, more: int = 0) -> Column:
+        return F.struct(F.lit(phase).alias("phase"), F.lit(step).alias("step"), F.lit(kind).alias("kind"), source.alias("path"), target.alias("path_to"), (F.col("size") + more).alias("size"))
+
+    sub = F.lit("sub/")
+    script = {
+        0: [event(1, 0, "rename_both", path("dir"), path("dir", F.lit("renamed ")))],
+        1: [event(1, 0, "remove", path("dir")), event(1, 1, "create", path("dir", sub))],
+        2: [event(2, 0, "create", path("dir", sub)), event(2, 1, "remove", path("dir"))],
+        3: [event(2, 0, "remove", path("dir"))],
+        4: [event(1, 0, "modify", path("dir"), more=1), event(4, 0, "rename_both", path("at"), path("at", F.lit("again ")), 1)],
+        5: [event(4, 0, "remove", path("at")), event(5, 0, "create", path("at", sub))],
+        6: [event(2, 0, "create", path("dir", F.lit("new ")), more=3)],
+        7: [event(4, 0, "remove", path("at")), event(5, 0, "create", path("at"), more=2)],
+    }
+    own = F.lit(None)
+    for digit, events in script.items():
+        own = F.when(F.col("id") % 10 == digit, F.array(*events)).otherwise(own)
+    docs = cat.filter("id % 10 < 8").select("root", (F.col("id") * 2).alias("number"), "modified_at", F.inline(own))
+    folders = cat.select("root", "dir", "at", "n").distinct().select("*", F.pmod(F.xxhash64("dir"), F.lit(10**10)).alias("number"), F.lit(None).cast("long").alias("size"), F.lit(None).cast("long").alias("modified_at"))
+    renamed = folders.filter("n % 3 = 0").select("root", "number", "modified_at", F.inline(F.array(event(3, 0, "rename_both", F.col("dir"), F.col("at")))))
+    removed = folders.filter("n % 4 = 1").select("root", "number", "modified_at", F.inline(F.array(event(6, 0, "remove", F.col("at")))))
+    time = folders.groupBy("root").agg(F.max("size").alias("size"), F.max("modified_at").alias("modified_at")).withColumn("number", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(4 * FILES).cast("long"))))
+    time = time.select("root", "number", "modified_at", F.inline(F.array(*[event(k, 0, "other", F.lit("")) for k in (7, 8)])))
+    each = docs.unionByName(renamed).unionByName(removed).unionByName(time)
+    seconds = F.create_map(*[F.lit(x) for p in PHASES.items() for x in p])[F.col("phase")] + F.col("step") * 0.1
+    return each.select("phase", "root", (F.col("phase") * F.lit(10**12) + F.col("number") + F.col("step")).alias("seq"), F.timestamp_millis((seconds * 1000 + F.lit(c.NOW_MS)).cast("long")).alias("ts"), "kind", "path", "path_to", "size", "modified_at")
+
+
+@query(
+    "str13_live_catalog",
+    """, f AS (SELECT *, CAST(regexp_extract(dir, '([0-9]+)$', 1) AS INT) AS n, id % 10 AS digit FROM cat), g AS (SELECT *, dir || CASE WHEN n % 3 = 0 THEN ' moved' ELSE '' END AS here FROM f),
+done AS (SELECT root, id, CASE digit WHEN 3 THEN dir || '/' || name WHEN 0 THEN here || '/renamed ' || name WHEN 4 THEN here || '/again ' || name ELSE here || CASE WHEN digit IN (1, 2, 5) THEN '/sub/' ELSE '/' END || name END AS path,
+  size + CASE digit WHEN 4 THEN 1 WHEN 7 THEN 2 ELSE 0 END AS size, digit = 3 OR n % 4 = 1 AS removed FROM g WHERE digit NOT IN (6, 8, 9) OR n % 3 = 0 OR n % 4 = 1
+UNION ALL SELECT root, -1 - (2000000000000 + 2 * id), here || '/new ' || name, size + 3, n % 4 = 1 FROM g WHERE digit = 6)
+SELECT * FROM done""",
+)
+def _(s, d):
+    at = f"{shared_dir(s)}/scripted-{uuid.uuid4().hex}"
+    events = stored(scripted_events(s, d), "scripted")
+    for phase in PHASES:  # files of a phase are older than those of the next
+        events.filter(F.col("phase") == phase).drop("phase").repartition(FILES).write.mode("append").parquet(at)
+    stream = s.readStream.schema(events.drop("phase").schema).option("maxFilesPerTrigger", FILES).parquet(at)
+    rows = _drained(live.live_changes(stream, c.derived(s, d, annotated=False), late="1 second"), "update", "live")
+    return live.settled(rows).select("root", "id", "path", "size", (F.col("change") == "removed").alias("removed"))
