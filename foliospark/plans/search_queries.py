@@ -11,7 +11,7 @@ from ..functions import text as t
 from ..operators import extraction, index, scope, search
 from ..sources import catalog as c
 from ..sources.work import shared_dir, stored
-from ..streaming import changes, live
+from ..streaming import bursts, changes, live
 from .sql import sql
 
 Q: dict = {}
@@ -280,10 +280,27 @@ def _(s, d):
     return changes.relevant(file_events(s, d), c.roots(s, d), scope.compile_exclusions(c.exclusions(s, d))).select("seq", "kind", "path")
 
 
-@query("str2_bursts", ", g AS (SELECT event_id, ts, sum(CASE WHEN prev IS NULL OR ts >= prev + INTERVAL 300 SECOND THEN 1 ELSE 0 END) OVER (ORDER BY ts, event_id) AS b FROM (SELECT event_id, ts, lag(ts) OVER (ORDER BY ts, event_id) AS prev FROM events)) SELECT epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us, count(*) AS n, min(event_id) AS first_seq, max(event_id) AS last_seq FROM g GROUP BY b")
+#: Bursts: quiet spells and the limit, in seconds; the given events are far apart.
+QUIET, LIMIT = 300, 1200
+
+
+def burst_sql(rows: str) -> str:
+    """Bursts of rows (root, ts, seq): from each event the next that begins a burst, followed from the quiet spells on."""
+    return f""", v AS ({rows}), e AS (SELECT *, epoch_us(ts) AS t, row_number() OVER w AS k, epoch_us(lag(ts) OVER w) AS prev FROM v WINDOW w AS (PARTITION BY root ORDER BY ts, seq)),
+q AS MATERIALIZED (SELECT root, k FROM e WHERE prev IS NULL OR t - prev >= {QUIET} * 1000000),
+full_at AS (SELECT a.root, a.k, b.k AS nxt FROM e a ASOF JOIN (SELECT root, prev, min(k) AS k FROM e WHERE prev IS NOT NULL GROUP BY root, prev) b ON a.root = b.root AND a.t + {LIMIT} * 1000000 <= b.prev),
+quiet_at AS (SELECT e.root, e.k, q.k AS nxt FROM e ASOF JOIN q ON e.root = q.root AND e.k < q.k),
+n AS MATERIALIZED (SELECT root, k, min(nxt) AS nxt FROM (SELECT * FROM full_at UNION ALL SELECT * FROM quiet_at) GROUP BY root, k),
+starts(root, k) AS (SELECT root, k FROM q UNION SELECT n.root, n.nxt FROM starts JOIN n ON n.root = starts.root AND n.k = starts.k),
+b AS (SELECT e.*, s.k AS b FROM e ASOF JOIN starts s ON e.root = s.root AND e.k >= s.k)
+SELECT root, min(t) AS first_us, max(t) AS last_us, count(*) AS n, min(seq) AS first_seq, max(seq) AS last_seq FROM b GROUP BY root, b"""
+
+
+@query("str2_bursts", burst_sql("SELECT 0 AS root, ts, event_id AS seq FROM events").replace("SELECT root, min(t)", "SELECT min(t)"))
 def _(s, d):
     e = c.table(s, d, "events").select(F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"))
-    return changes.bursts(e, "300 seconds").select(F.unix_micros("first_ts").alias("first_us"), F.unix_micros("last_ts").alias("last_us"), "n", "first_seq", "last_seq")
+    found = bursts.bursts(e, QUIET * 1000, LIMIT * 1000)
+    return found.select(F.unix_micros("first_ts").alias("first_us"), F.unix_micros("last_ts").alias("last_us"), "n", "first_seq", "last_seq")
 
 
 @query(
@@ -435,3 +452,21 @@ def _(s, d):
     stream = s.readStream.schema(events.drop("phase").schema).option("maxFilesPerTrigger", FILES).parquet(at)
     rows = _drained(live.live_changes(stream, c.derived(s, d, annotated=False), late="1 second"), "update", "live")
     return live.settled(rows).select("root", "id", "path", "size", (F.col("change") == "removed").alias("removed"))
+
+
+@query("str2_live_bursts", burst_sql("SELECT user_id % 8 AS root, ts, event_id AS seq FROM events"))
+def _(s, d):
+    """The events of eight watched places in four files by time, a file to a micro-batch, and a last event of each far behind them, which isn't shown."""
+    e = c.table(s, d, "events").select((F.col("user_id") % 8).cast("string").alias("root"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"))
+    bounds = e.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    quarter = F.least(F.floor((F.unix_micros("ts") - F.unix_micros("lo")) * 4 / (F.unix_micros("hi") - F.unix_micros("lo") + 1)), F.lit(3))
+    timed = stored(e.crossJoin(F.broadcast(bounds)).select("root", "seq", "ts", quarter.cast("int").alias("part"), "hi"), "timed")  # one row
+    at = f"{shared_dir(s)}/timed-{uuid.uuid4().hex}"
+    for k in range(4):
+        timed.filter(F.col("part") == k).select("root", "seq", "ts").repartition(FILES).write.mode("append").parquet(at)
+    for days in (1, 2):
+        last = timed.groupBy("root").agg((F.max("hi") + F.expr(f"INTERVAL {days} DAYS")).alias("ts")).select("root", F.lit(-1).cast("long").alias("seq"), "ts")
+        last.unionByName(last).repartition(FILES).write.mode("append").parquet(at)
+    stream = s.readStream.schema("root string, seq long, ts timestamp").option("maxFilesPerTrigger", FILES).parquet(at)
+    rows = _drained(bursts.live_bursts(stream, QUIET * 1000, LIMIT * 1000), "append", "bursts")
+    return rows.filter("first_seq <> -1").select(F.col("root").cast("long").alias("root"), "first_us", "last_us", "n", "first_seq", "last_seq")

@@ -29,13 +29,6 @@ def relevant(events: DataFrame, roots: DataFrame, rules: DataFrame) -> DataFrame
     return rows.join(hit, "seq", "left_semi")
 
 
-def bursts(events: DataFrame, quiet: str = "300 milliseconds", late: str = "10 seconds") -> DataFrame:
-    """For a stream or a table with ts: bursts that end after a quiet spell: first_ts, last_ts, n, first_seq, last_seq. (A stream's longest batch is its trigger's interval.)"""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
-    by = rows.groupBy(F.session_window("ts", quiet)).agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.max("ts").alias("last_ts"))
-    return by.select(F.col("session_window.start").alias("first_ts"), "last_ts", "n", "first_seq", "last_seq")
-
-
 def to_ops(events: DataFrame, batch: tuple[str, ...] = ()) -> DataFrame:
     """seq, op (upsert, remove, rename), path, path_to, size, modified_at. A rename_from pairs with the next rename event if that is a rename_to; alone it is a removal, and a lone rename_to an upsert. batch: columns that tell batches apart."""
     w = Window.partitionBy(*[F.col(c) for c in batch]).orderBy("seq") if batch else Window.partitionBy(F.lit(0)).orderBy("seq")
