@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import extraction, index, scope, search
+from ..operators import extraction, index, scope, search, versions
 from ..sources import catalog as c
 from ..sources.work import shared_dir, stored
-from ..streaming import bursts, changes, live
+from ..streaming import bursts, changes, live, reconcile
 from .sql import sql
 
 Q: dict = {}
@@ -337,7 +337,7 @@ def folder_batch(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     n = F.regexp_extract("dir", "([0-9]+)$", 1).cast("int") % 3
     e = c.derived(s, d, annotated=False).select("dir").distinct().select(F.xxhash64("dir").alias("seq"), F.when(n == 0, "remove").when(n == 1, "create").otherwise("rename_both").alias("kind"), F.col("dir").alias("path"), F.when(n == 2, F.concat("dir", F.lit(" moved"))).alias("path_to"))
     e = e.withColumns({"seq": F.abs("seq"), "size": F.lit(None).cast("long"), "modified_at": F.lit(None).cast("long")})
-    return changes.apply_batch(c.derived(s, d, annotated=False), changes.to_ops(e), c.observed(s, d).select("path", "size", "modified_at"))
+    return changes.apply_batch(c.derived(s, d, annotated=False), changes.to_ops(e.withColumn("batch", F.lit(1)), ("batch",)), c.observed(s, d).select("path", "size", "modified_at"))
 
 
 FOLDER_CHANGES = """, dirs AS (SELECT DISTINCT dir, CAST(regexp_extract(dir, '([0-9]+)$', 1) AS INT) % 3 AS n FROM cat), old AS (SELECT cat.*, n FROM cat JOIN dirs USING (dir)), listed AS (SELECT seen.* FROM seen JOIN dirs USING (dir) WHERE n = 1),
@@ -470,3 +470,30 @@ def _(s, d):
     stream = s.readStream.schema("root string, seq long, ts timestamp").option("maxFilesPerTrigger", FILES).parquet(at)
     rows = _drained(bursts.live_bursts(stream, QUIET * 1000, LIMIT * 1000), "append", "bursts")
     return rows.filter("first_seq <> -1").select(F.col("root").cast("long").alias("root"), "first_us", "last_us", "n", "first_seq", "last_seq")
+
+
+@query(
+    "str11_reconciled",
+    f""", flagged AS (SELECT id, path FROM roots WHERE enabled AND path IN (SELECT DISTINCT root FROM events e JOIN cat ON cat.id = e.user_id WHERE event_id % 97 = 0 AND lang <> 'es')),
+known AS (SELECT o.id, o.path, n.size, o.root_id, CASE WHEN o.size = n.size THEN o.content_status ELSE 0 END AS content_status, {NOW} AS last_seen_at FROM rooted o JOIN seen n ON lower(o.path) = lower(n.path) WHERE o.root_id IN (SELECT id FROM flagged)),
+new AS (SELECT (SELECT max(id) FROM cat) + row_number() OVER (ORDER BY lower(n.path), n.path) AS id, n.path, n.size, f.id AS root_id, 0 AS content_status, {NOW} AS last_seen_at FROM seen n JOIN flagged f ON n.root = f.path WHERE lower(n.path) NOT IN (SELECT lower(path) FROM cat))
+SELECT * FROM known UNION ALL SELECT * FROM new UNION ALL SELECT id, path, size, root_id, content_status, 0 FROM rooted WHERE root_id NOT IN (SELECT id FROM flagged)""",
+)
+def _(s, d):
+    """Lost events in one of several micro-batches, and that batch a second time."""
+    table, roots = f"{shared_dir(s)}/catalog-{uuid.uuid4().hex}", stored(c.roots(s, d), "roots")
+    cat = scope.owning_root(c.derived(s, d, annotated=False).drop("root"), roots.withColumn("enabled", F.lit(True))).drop("root")
+    versions.commit(cat.withColumns({"hash": F.lit(None).cast("string"), "last_seen_at": F.lit(0).cast("long")}), table, 0)
+    events = stored(file_events(s, d).withColumn("lost", (F.col("seq") % 97 == 0) & ~F.startswith("path", F.lit("/data/es/"))), "events")
+    at = f"{shared_dir(s)}/lost-{uuid.uuid4().hex}"
+    for lost in (False, True):  # a micro-batch without a lost event comes first
+        events.filter(F.col("lost") == lost).withColumn("kind", F.when(F.col("lost"), "lost").otherwise(F.col("kind"))).drop("lost").repartition(FILES).write.mode("append").parquet(at)
+    run = reconcile.on_batch(table, roots, lambda flagged: c.observed(s, d), NOW)
+
+    def twice(batch: DataFrame, number: int) -> None:
+        run(batch, number)
+        run(batch, number)
+
+    stream = s.readStream.schema(events.drop("lost").schema).option("maxFilesPerTrigger", FILES).parquet(at)
+    changes.run_stream(stream, f"{at}-state", twice)
+    return versions.current(s, table).select("id", "path", "size", "root_id", "content_status", "last_seen_at")

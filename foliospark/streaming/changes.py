@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.formats import extension, is_enabled, is_lock_file, is_other_file, kind_of
 from ..functions.paths import parent, with_ancestors
+from ..operators.numbering import numbered
 from ..operators.scope import in_scope
 from ..sources.work import stored
 
@@ -29,9 +30,9 @@ def relevant(events: DataFrame, roots: DataFrame, rules: DataFrame) -> DataFrame
     return rows.join(hit, "seq", "left_semi")
 
 
-def to_ops(events: DataFrame, batch: tuple[str, ...] = ()) -> DataFrame:
-    """seq, op (upsert, remove, rename), path, path_to, size, modified_at. A rename_from pairs with the next rename event if that is a rename_to; alone it is a removal, and a lone rename_to an upsert. batch: columns that tell batches apart."""
-    w = Window.partitionBy(*[F.col(c) for c in batch]).orderBy("seq") if batch else Window.partitionBy(F.lit(0)).orderBy("seq")
+def to_ops(events: DataFrame, batch: tuple[str, ...]) -> DataFrame:
+    """seq, op (upsert, remove, rename), path, path_to, size, modified_at. A rename_from pairs with the next rename event if that is a rename_to; alone it is a removal, and a lone rename_to an upsert. batch: columns that tell batches apart; halves pair within one."""
+    w = Window.partitionBy(*[F.col(c) for c in batch]).orderBy("seq")
     keep = [F.col(c) for c in batch]
     halves = events.filter(F.col("kind").isin("rename_from", "rename_to"))
     near = halves.select("*", F.lead(F.struct("kind", "path", "size", "modified_at")).over(w).alias("after"), F.lag("kind").over(w).alias("before"))
@@ -123,11 +124,11 @@ def apply_batch(catalog: DataFrame, ops: DataFrame, listing: DataFrame | None =
 
 
 def updated_catalog(catalog: DataFrame, changes: DataFrame) -> DataFrame:
-    """The catalog's listing columns after a batch. New documents are numbered after the largest id, by path within the (small) batch."""
+    """The catalog's listing columns after a batch. New documents are numbered after the largest id, by path."""
     cols = ["id", "path", "name", "ext", "kind", "dir", "size", "modified_at"]
     rest = catalog.select(*cols).join(changes.filter("id IS NOT NULL").select("id"), "id", "left_anti")
     last = catalog.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
-    new = changes.filter("change = 'added'").withColumn("nth", F.row_number().over(Window.orderBy("path"))).crossJoin(F.broadcast(last)).withColumn("id", F.col("last") + F.col("nth"))
+    new = numbered(changes.filter("change = 'added'"), F.col("path")).crossJoin(F.broadcast(last)).withColumn("id", F.col("last") + F.col("nth"))
     return rest.unionByName(changes.filter("change IN ('moved', 'updated')").select(*cols)).unionByName(new.select(*cols))
 
 

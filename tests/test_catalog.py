@@ -222,7 +222,7 @@ def test_change_events(spark):
     e = spark.createDataFrame([(k, kind, path, to, size, 0) for k, (kind, path, to, size) in enumerate(events)], "seq long, kind string, path string, path_to string, size long, modified_at long")
     files = spark.createDataFrame([("/r/11/In/a.pdf", 1, 1), ("/r/11/In/b/c.docx", 1, 1), ("/r/Other/d.pdf", 1, 1)], "path string, size long, modified_at long")
     cat = catalog(spark, *paths)
-    out, applied = changes.apply_batch(cat, changes.to_ops(e), files)
+    out, applied = changes.apply_batch(cat, changes.to_ops(e.withColumn("batch", F.lit(1)), ("batch",)), files)
     out = stored(out, "changes")
     assert {(r["id"], r["path"], r["change"]) for r in out.collect()} - {(3, "/r/3/Safe.xlsx", "moved")} == {
         (1, "/r/1/Plan B.xlsx", "moved"), (2, "/r/2/Whole.xlsx", "moved"), (4, "/r/4/in/Move.xlsx", "moved"), (5, "/r/5/in/Back.xlsx", "moved"), (6, "/r/6/New/Report.pdf", "moved"),
