@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.work import discard, shared_dir, small_batches, stored
 
-__all__ = ["ascii_lower", "discard", "fold", "shared_dir", "sized", "stored", "table", "text_of", "without"]
+__all__ = ["ascii_lower", "boxed", "discard", "fold", "shared_dir", "sized", "stored", "table", "text_of", "unboxed", "without"]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -39,3 +39,14 @@ def without(df: DataFrame, *names: str) -> list[Column]:
     """df's columns but those that an operator adds under the same name (any case)."""
     taken = {n.lower() for n in names}
     return [F.col(f"`{c}`") for c in df.columns if c.lower() not in taken]
+
+
+def boxed(df: DataFrame, *names: str) -> Column:
+    """df's columns but those that an operator adds, in one struct, so that none clashes with an operator's inner columns."""
+    return F.struct(F.lit(0).alias("c"), *[c.alias(f"c{k}") for k, c in enumerate(without(df, *names))])
+
+
+def unboxed(df: DataFrame, box: str, *names: str) -> list[Column]:
+    """The columns that boxed() put into the struct of that name."""
+    taken = {n.lower() for n in names}
+    return [F.col(f"{box}.c{k}").alias(c) for k, c in enumerate(c for c in df.columns if c.lower() not in taken)]

@@ -21,7 +21,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, text_of, without
+from .common import ascii_lower, boxed, text_of, unboxed
 from .license_signatures import FAINT, TEXTS
 
 ADDED = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections")
@@ -93,9 +93,16 @@ PLAIN_PHRASINGS = ((" under (?:the |an? )?{}(?: licen[cs]e)?", 30, 0.7, None), (
 BASE_RULES = tuple(Rule(label, phrase.split()[-1 if label == "cc-by-nc" else 0], f" {phrase}", 100, 1.0) for phrase, label in BASE)
 
 
+#: Names that also stand for a product, a place or a trade: after "under" they need the word license, another license's name or the end of the text.
+LONE = ("mit", "x11", "expat", "isc", "bsd", "apache", "zlib", "libpng", "artistic", "ruby", "openssl", "sleepycat", "postgresql", "ncsa", "vim", "beerware")
+OPEN, CLOSED = "{}(?: licen[cs]e)?", "{}(?: licen[cs]e|(?= $)|(?= (?:and|or) (?:the )?(?:mit|apache|bsd|isc|gpl|lgpl|mpl|gnu|mozilla) ))"
+
+
 def named(label: str, name: str, key: str) -> list[Rule]:
     """The rules for references to a license by its name."""
     every = PHRASINGS + PLAIN_PHRASINGS * label.startswith(PLAIN)
+    if label in LONE:
+        every = [(around.replace(OPEN, CLOSED), *rest) for around, *rest in every]
     return [Rule(label, (gate or HOLDS[label.partition("-")[0]]) if len(key) < 3 else key, around.format(name), priority, weight) for around, priority, weight, gate in every]
 
 
@@ -177,7 +184,7 @@ def scan(docs: DataFrame, text_col: str = "text", these: list[Rule] | None = Non
     for a in ANCHORS:
         gate = gate | F.contains(low, F.lit(a))
     words = F.concat(F.lit(" "), F.trim(F.regexp_replace(ascii_lower(text), NOT_WORD, " ")), F.lit(" "))
-    rows = docs.select(*without(docs, *ADDED), F.regexp_count(text, F.lit(WORD)).cast("long").alias("_n"), F.when(gate, words).alias("_words"))
+    rows = docs.select(boxed(docs, *ADDED).alias("doc"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("_n"), F.when(gate, words).alias("_words"))
     rows = rows.withColumn("_hits", F.when(F.col("_words").isNotNull(), detections(F.col("_words"), these or rules())))
     base, kept = F.filter("_hits", lambda h: h["base"]), suppressed(F.col("_hits"))
     rows = rows.withColumn("_base", base).withColumn("_kept", kept)
@@ -188,7 +195,7 @@ def scan(docs: DataFrame, text_col: str = "text", these: list[Rule] | None = Non
     base_labels = F.transform("_base", lambda h: h["label"])
     shown = F.transform("_kept", lambda h: F.struct(h["first"].alias("first"), h["last"].alias("last"), h["label"].alias("label"), h["weight"].alias("weight")))
     return rows.select(
-        *without(docs, *ADDED),
+        *unboxed(docs, "doc", *ADDED),
         F.col("_n").alias("n_words"),
         F.coalesce(F.size("_base"), F.lit(0)).cast("long").alias("n_base"),
         F.array_min(F.transform("_base", lambda h: h["first"])).cast("long").alias("first_word"),

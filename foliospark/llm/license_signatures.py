@@ -213,12 +213,10 @@ TEXTS = (
     ("hippocratic", "hippocratic license", " hippocratic license(?: version)?(?: [23] [01])?"),
     ("public-domain", "public domain", " (?:placed in|released into|dedicated to|released to|donated to|is in|are in) the public domain"),
     ("public-domain", "no copyright restrictions", " there are no copyright restrictions on this work|(?: with)? no copyright restrictions"),
-    ("proprietary", "rights reserved", " all rights reserved"),
     ("proprietary", "proprietary", " proprietary (?:and confidential )?licen[cs]e"),
     ("proprietary", "confidential", " (?:confidential and proprietary|proprietary and confidential) (?:information )?(?:of|property)"),
     ("proprietary", "unauthorized copying", " unauthorized copying of this file via any medium is strictly prohibited"),
     ("proprietary", "without the express", " without the express(?: prior)? written permission of"),
-    ("proprietary", "end user license agreement", " end user license agreement"),
     ("commercial", "commercial license", " a commercial license (?:is available|can be obtained|may be purchased)"),
     ("warranty-disclaimer", "warranty of any kind", " without warranty of any kind(?: express or implied)?"),
     ("warranty-disclaimer", "warranties", " any express or implied warranties including but not limited to the implied warranties of merchantability"),

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold, stored, text_of, without
+from .common import boxed, fold, stored, text_of, unboxed
 from .ri_quality import sampled
 
 WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
@@ -163,8 +163,8 @@ def grade(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         for texts in batches:
             yield pd.Series([sent.value.evidence(*hashed(t, hashes)) for t in texts], dtype="float64")
 
-    rows = docs.select(*without(docs, *ADDED), evidence(text_of(text_col)).alias("_evidence"))
-    p = [1 / (1 + F.exp(F.lit(float(t)) - F.col("_evidence"))) for t in model.thresholds]
+    rows = docs.select(boxed(docs, *ADDED).alias("doc"), evidence(text_of(text_col)).alias("evidence"))
+    p = [1 / (1 + F.exp(F.lit(float(t)) - F.col("evidence"))) for t in model.thresholds]
     exactly = [1 - p[0], *[a - b for a, b in zip(p, p[1:], strict=False)], p[-1]]
     likeliest = F.array_position(F.array(*exactly), F.array_max(F.array(*exactly))) - 1
-    return rows.select(*without(docs, *ADDED), sum(p[1:], p[0]).alias("severity"), likeliest.cast("int").alias("grade"), p[0].alias("p_toxic"), (p[0] >= 0.5).alias("toxic"))
+    return rows.select(*unboxed(docs, "doc", *ADDED), sum(p[1:], p[0]).alias("severity"), likeliest.cast("int").alias("grade"), p[0].alias("p_toxic"), (p[0] >= 0.5).alias("toxic"))

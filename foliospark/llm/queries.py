@@ -116,8 +116,8 @@ WITH p AS (SELECT page_id, html, translate(regexp_extract(coalesce(url, ''), '(?
 rules(rule, site, start, what) AS (VALUES ('org/', 'org', '/', 'allow'), ('example.org/es/', 'example.org', '/es/', 'block'), ('example.org/en/1', 'example.org', '/en/1', 'block'), ('com/fr/', 'com', '/fr/', 'allow'), ('com/de/', 'com', '/de/', 'block')),
 r AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(what, length(rule)) AS what FROM p JOIN rules ON (host = site OR ends_with(host, '.' || site)) AND starts_with(path, start) GROUP BY page_id),
 j AS (SELECT p.*, rule, what FROM p LEFT JOIN r USING (page_id)),
-listed AS (SELECT DISTINCT host || path AS key FROM j WHERE what = 'block' OR html IN (SELECT html FROM j WHERE what = 'block' AND html IS NOT NULL))
-SELECT page_id, host, path, rule, coalesce(what, CASE WHEN host || path IN (SELECT key FROM listed) THEN 'block' ELSE 'allow' END) AS verdict FROM j
+listed AS (SELECT DISTINCT host || path AS key FROM j WHERE what = 'block' OR html IN (SELECT html FROM j WHERE what = 'block' AND html <> ''))
+SELECT page_id, host, path, rule, coalesce(what, CASE WHEN host || path <> '' AND host || path IN (SELECT key FROM listed) THEN 'block' ELSE 'allow' END) AS verdict FROM j
 """,
     "op6_exact_dedup": r"""
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, discard, stored, without
+from .common import ascii_lower, boxed, discard, stored, unboxed, without
 
 BITS, PROBES, PIECE = 8, 5, 1 << 16
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -167,8 +167,10 @@ def with_rules(pages: DataFrame, rules: dict[str, str], url_col: str = "url") ->
 
 
 def mirrored(pages: DataFrame, rules: dict[str, str], url_col: str = "url", content_col: str = "html") -> DataFrame:
-    """key (host and path) of all urls that a rule blocks, and of those whose content is that of a blocked one, byte by byte."""
-    rows = with_rules(pages, rules, url_col).select(F.concat("host", "path").alias("key"), "verdict", F.sha2(F.col(f"`{content_col}`").cast("binary"), 256).alias("content"))
+    """key (host and path) of all urls that a rule blocks, and of those whose content is that of a blocked one, byte by byte. Pages without content, or with an empty one, are nobody's copies."""
+    content = F.col(f"`{content_col}`").cast("binary")
+    rows = pages.select(F.col(f"`{url_col}`").alias("url"), F.when(F.octet_length(content) > 0, F.sha2(content, 256)).alias("content"))
+    rows = with_rules(rows, rules).select(F.concat("host", "path").alias("key"), "verdict", "content")
     blocked = rows.filter("verdict = 'block'")
     same = rows.join(blocked.filter("content IS NOT NULL").select("content").distinct(), "content", "left_semi")
     return blocked.select("key").unionByName(same.select("key")).filter("key <> ''").distinct()  # pages without a url share the empty key
@@ -176,7 +178,8 @@ def mirrored(pages: DataFrame, rules: dict[str, str], url_col: str = "url", cont
 
 def judge(pages: DataFrame, rules: dict[str, str], listed: DataFrame, url_col: str = "url", max_bytes: int = 1 << 26) -> DataFrame:
     """pages with host, path, rule and verdict: the rule's, else block for keys (host and path) that are listed, else allow. listed: column key."""
-    rows = with_rules(pages, rules, url_col).withColumn("key", F.concat("host", "path"))
-    found = mark_listed(rows, listed, "key", "_is_listed", max_bytes)
-    verdict = F.coalesce("verdict", F.when(F.col("_is_listed") & (F.col("key") != ""), F.lit("block")).otherwise(F.lit("allow")))
-    return found.select(*[c for c in found.columns if c not in ("key", "_is_listed", "verdict")], verdict.alias("verdict"))
+    rows = pages.select(boxed(pages, *ADDED).alias("page"), F.col(f"`{url_col}`").alias("url"))
+    rows = with_rules(rows, rules).withColumn("key", F.concat("host", "path"))
+    found = mark_listed(rows, listed, "key", "is_listed", max_bytes)
+    verdict = F.coalesce("verdict", F.when(F.col("is_listed") & (F.col("key") != ""), F.lit("block")).otherwise(F.lit("allow")))
+    return found.select(*unboxed(pages, "page", *ADDED), "host", "path", "rule", verdict.alias("verdict"))
