@@ -81,6 +81,17 @@ def within_typos(term: Column, word: Column) -> Column:
     return F.when(distance <= allowed_typos(term), distance)
 
 
+def deletions(word: Column, most: int) -> Column:
+    """The word and what is left of it without up to most (0 to 2) characters. Two words within that many typos have one in common."""
+    fewer = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
+    out = F.array(word)
+    if most:
+        out = F.concat(out, fewer(word))
+    if most > 1:
+        out = F.concat(out, F.flatten(F.transform(fewer(word), fewer)))
+    return F.array_distinct(out)
+
+
 def edit_match(query_terms: Column, name: Column) -> Column:
     """15 - 4 * typos if each term is in the name or within its budget of one of its words, else null. name: lower case."""
     typos = F.transform(query_terms, lambda t: F.when(F.contains(name, t), 0).otherwise(F.array_min(F.filter(F.transform(words(name), lambda w: within_typos(t, w)), lambda d: d.isNotNull()))))

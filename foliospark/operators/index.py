@@ -36,6 +36,11 @@ def short_grams(catalog: DataFrame, text: Column) -> DataFrame:
     return catalog.select("id", F.explode(F.array_distinct(both)).alias("gram"))
 
 
+def name_words(catalog: DataFrame) -> DataFrame:
+    """word, id: each document's distinct words of its name, in lower case."""
+    return catalog.select("id", F.explode(F.array_distinct(words(F.lower("name")))).alias("word"))
+
+
 def refreshed(old: DataFrame, changed: DataFrame) -> DataFrame:
     """Postings after some documents' texts changed: theirs are replaced (or cleared, where body is null), the others are carried over. changed: id, body."""
     kept = old.join(changed.select("id").distinct(), "id", "left_anti")

@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.formats import stem
-from ..functions.text import DAY_MS, edit_match, folded, similarity, terms, trigrams, words
+from ..functions.text import DAY_MS, allowed_typos, deletions, edit_match, folded, similarity, terms, trigrams, within_typos, words
 from ..sources.work import stored
-from .index import corpus_stats, name_grams, short_grams
+from .index import corpus_stats, name_grams, name_words, short_grams
 
 EXACT_BASE, CONTENT_BASE, BOTH_BONUS = 50.0, 25.0, 10.0
 MAX_CONTENT, FUZZY_BELOW, FUZZY_CHARS, MIN_SIMILARITY = 300, 5, 4, 0.75
@@ -148,14 +148,48 @@ def needy(queries: DataFrame, hits: DataFrame) -> DataFrame:
     return queries.join(count, "query_id", "left").filter((F.coalesce("n_hits", F.lit(0)) < FUZZY_BELOW) & (F.length("phrase") >= FUZZY_CHARS)).drop("n_hits")
 
 
+def near_words(asked: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """term, word: the words (word, each once) within a term's typos. They meet in what is left of both without as many characters; only words of about a term's length are looked at. asked: column term, each once."""
+    budget = allowed_typos(F.col("term"))
+    out = None
+    for k in (1, 2):
+        own = asked.filter(budget == k)
+        lengths = own.select(F.explode(F.sequence(F.length("term") - k, F.length("term") + k)).alias("length")).distinct()
+        some = vocabulary.withColumn("length", F.length("word")).join(lengths, "length", "left_semi").select("word", F.explode(deletions(F.col("word"), k)).alias("rest"))
+        pairs = own.select("term", F.explode(deletions(F.col("term"), k)).alias("rest")).join(some, "rest").select("term", "word").distinct()
+        pairs = pairs.filter(within_typos(F.col("term"), F.col("word")).isNotNull())
+        out = pairs if out is None else out.unionByName(pairs)
+    return out
+
+
+def typo_candidates(queries: DataFrame, catalog: DataFrame) -> DataFrame:
+    """query_id, id of names that may match a query with typos. queries: with grams, the trigrams of the phrase without spaces.
+
+    A name that has three quarters of the trigrams has one of the rarest quarter (and one more). A name within the typos of all terms holds the longest term, and so its rarest trigram, or has
+    a word within its typos. Where no term has three characters, any trigram will do.
+    """
+    grams = stored(name_grams(catalog, F.lower("name")), "name-grams")
+    each = queries.withColumn("longest", F.array_max(F.transform("terms", lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"])
+    own = each.select("query_id", F.explode("grams").alias("gram"), F.lit(False).alias("of_term")).unionByName(each.select("query_id", F.explode(trigrams(F.col("longest"))).alias("gram"), F.lit(True).alias("of_term")))
+    counts = grams.join(own.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    listed = own.join(counts, "gram", "left").groupBy("query_id", "of_term").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))).alias("grams"))  # a query's trigrams
+    spare = F.size("grams") - F.ceil(F.size("grams") * MIN_SIMILARITY).cast("int") + 1
+    no_long = each.filter(F.length("longest") < 3).select("query_id")
+    rare = listed.join(no_long.withColumn("all", F.lit(True)), "query_id", "left").select("query_id", F.explode(F.slice("grams", 1, F.when(F.col("all"), F.size("grams")).when(F.col("of_term"), 1).otherwise(spare))).alias("x")).select("query_id", "x.gram").distinct()
+    by_gram = rare.join(grams, "gram").select("query_id", "id")
+    by_word = name_words(catalog)
+    near = near_words(each.select(F.col("longest").alias("term")).distinct(), by_word.select("word").distinct())
+    by_typo = each.select("query_id", F.col("longest").alias("term")).join(near, "term").join(by_word, "word").select("query_id", "id")
+    return by_gram.unionByName(by_typo).distinct()
+
+
 def fuzzy_hits(queries: DataFrame, catalog: DataFrame, now_ms: int) -> DataFrame:
     """query_id, id, score of names that share a trigram with a query and are within its typos, or alike."""
     q = queries.withColumn("grams", trigrams(F.replace("phrase", F.lit(" "), F.lit(""))))
-    pairs = q.select("query_id", F.explode("grams").alias("gram")).join(name_grams(catalog, F.lower("name")), "gram").select("query_id", "id").distinct()
-    rows = pairs.join(q, "query_id").join(catalog, "id").withColumn("lname", F.lower("name"))
+    rows = typo_candidates(q, catalog).join(q, "query_id").join(catalog, "id").withColumn("lname", F.lower("name"))
     alike = similarity(F.col("grams"), F.col("lname"))
     score = F.coalesce(edit_match(F.col("terms"), F.col("lname")), F.when(alike >= MIN_SIMILARITY, 12.0 * alike))
-    return rows.withColumn("base", score).filter("base IS NOT NULL").select("query_id", "id", (F.col("base") + boost(now_ms)).alias("score"))
+    return rows.filter(alike > 0).withColumn("base", score).filter("base IS NOT NULL").select("query_id", "id", (F.col("base") + boost(now_ms)).alias("score"))
 
 
 def all_hits(queries: DataFrame, catalog: DataFrame, post: DataFrame, stats: DataFrame, now_ms: int) -> DataFrame:

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from foliospark.functions import text
 from foliospark.operators import aggregates, annotations, browse, duplicates, extraction, index, scope, search, sync, versions
 from foliospark.sources import catalog as c
 from foliospark.sources.work import stored
@@ -140,6 +141,24 @@ def test_typo_hits_exist_in_the_random_trees():
     assert any(x in (7, 11) for x in found) and any(x is not None and x < 12 and x not in (7, 11) for x in found)
 
 
+def test_near_words_against_brute_force(spark):
+    """All pairs of words of two letters and many lengths; and what two words have in common that are within two typos."""
+    draw = random.Random(3)
+    words_ = sorted({"".join(draw.choice("abñ") for _ in range(draw.randint(1, 11))) for _ in range(260)})
+    terms_ = words_[::3]
+    allowed = lambda t: 0 if len(t) <= 4 else 1 if len(t) <= 8 else 2
+    got = search.near_words(spark.createDataFrame([(t,) for t in terms_], "term string"), spark.createDataFrame([(w,) for w in words_], "word string"))
+    assert {tuple(r) for r in got.collect()} == {(t, w) for t in terms_ for w in words_ if allowed(t) and osa(t, w) <= allowed(t)}
+
+
+def test_typo_candidates_are_few(spark):
+    """One word in all names: names that share its trigrams alone aren't looked at."""
+    cat = catalog(spark, *[f"/d/common {k:03d}lorries.pdf" for k in range(200)], "/d/common terrace.pdf")
+    q = search.parsed(spark.createDataFrame([(1, "common terrcae")], "query_id long, text string"))
+    q = q.withColumn("grams", text.trigrams(F.replace("phrase", F.lit(" "), F.lit(""))))
+    assert [r["id"] for r in search.typo_candidates(q, cat).collect()] == [201] == [r["id"] for r in search.fuzzy_hits(q, cat, 0).collect()]
+
+
 def test_phrases_and_passages(spark):
     body = spark.createDataFrame([(1, "the upper-lockgate leaks"), (2, "lockgate upper"), (3, "upper locks")], "id long, body string")
     cat = catalog(spark, "/p/one.pdf", "/p/two.pdf", "/p/three.pdf")
