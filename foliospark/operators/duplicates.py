@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..sources.work import stored
 
 HEAD = 64 * 1024
+#: Ids that are sent to a scan at most (8 MB).
+FEW = 1_000_000
 
 
 def _shared(rows: DataFrame, *keys: str) -> DataFrame:
@@ -21,23 +23,32 @@ def candidates(catalog: DataFrame) -> DataFrame:
     return _shared(catalog.filter("size > 0"), "size")
 
 
-def same_head(rows: DataFrame, content: Column, head: int = HEAD) -> DataFrame:
-    """Of candidates (with size): those that are small, or share size and head with another."""
-    marked = rows.withColumn("head_hash", F.when(F.col("size") > head, F.sha2(F.substring(content, 1, head), 256)).otherwise(""))
-    small, large = marked.filter("head_hash = ''"), marked.filter("head_hash <> ''")
-    return small.unionByName(_shared(large, "size", "head_hash")).drop("head_hash")
+def of_contents(contents: DataFrame, ids: DataFrame, value: Column, name: str) -> DataFrame:
+    """id and a hash of the content of the documents ids (id; stored). It is taken where contents are scanned, so no content is moved: few ids are sent there and nothing else is read; many ids meet the hashes."""
+    if ids.count() <= FEW:
+        return contents.join(F.broadcast(ids), "id", "left_semi").select("id", value.alias(name))
+    return contents.select("id", value.alias(name)).join(ids, "id", "left_semi")
+
+
+def head_survivors(rows: DataFrame, contents: DataFrame, head: int = HEAD) -> DataFrame:
+    """Of candidates (stored; with id and size): those that are small, or share size and head with another. Of the others the heads are read."""
+    small, large = rows.filter(F.col("size") <= head), rows.filter(F.col("size") > head)
+    heads = of_contents(contents, large.select("id"), F.sha2(F.substring(F.col("content"), 1, head), 256), "head_hash")
+    marked = stored(large.join(heads, "id"), "heads")
+    return small.unionByName(_shared(marked, "size", "head_hash").drop("head_hash"))
 
 
 def with_hashes(rows: DataFrame, contents: DataFrame, cache: DataFrame | None = None, head: int = HEAD) -> DataFrame:
-    """id, size, modified_at, hash of survivors of the funnel. contents: id, content. A cached hash (id, size, modified_at, hash) stands while size and time are the same; only the others are read."""
+    """id, size, modified_at, hash of survivors of the funnel. contents: id, content. A cached hash (id, size, modified_at, hash) stands while size and time are the same; only the others are read whole."""
     rows = candidates(rows.select("id", "size", "modified_at"))
     cached = rows.withColumn("hash", F.lit(None).cast("string"))
     if cache is not None:
         old = cache.select("id", F.col("size").alias("s"), F.col("modified_at").alias("m"), "hash")
         cached = rows.join(old, "id", "left").select("id", "size", "modified_at", F.when(F.col("size").eqNullSafe(F.col("s")) & F.col("modified_at").eqNullSafe(F.col("m")), F.col("hash")).alias("hash"))
-    read = cached.join(contents, "id")
-    survivors = same_head(read, F.col("content"), head)
-    return survivors.select("id", "size", "modified_at", F.coalesce("hash", F.sha2("content", 256)).alias("hash"))
+    survivors = stored(head_survivors(stored(cached, "candidates"), contents, head), "survivors")
+    todo = survivors.filter("hash IS NULL")
+    full = of_contents(contents, todo.select("id"), F.sha2("content", 256), "hash")
+    return survivors.filter("hash IS NOT NULL").unionByName(todo.drop("hash").join(full, "id"))
 
 
 def groups(hashed: DataFrame) -> DataFrame:

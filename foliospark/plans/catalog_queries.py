@@ -317,6 +317,7 @@ def _(s, d):
     return duplicates.candidates(c.derived(s, d, annotated=False).select("id", "size"))
 
 
+#: A parameter of the funnel: the derived documents are short.
 HEAD = 1000
 FUNNEL = f"""cand AS (SELECT id, size, text, CASE WHEN size > {HEAD} THEN sha256(encode(text)[1:{HEAD}]) ELSE '' END AS head FROM cat WHERE size > 0 AND size IN (SELECT size FROM cat GROUP BY size HAVING count(*) > 1)),
 heads AS (SELECT * FROM cand WHERE head = '' OR (size, head) IN (SELECT (size, head) FROM cand GROUP BY size, head HAVING count(*) > 1)),
@@ -325,8 +326,8 @@ full_hash AS (SELECT id, size, sha256(text) AS hash FROM heads), sets AS (SELECT
 
 @query("dup2_head_filter", f", {FUNNEL} SELECT id, size FROM heads")
 def _(s, d):
-    rows = duplicates.candidates(c.derived(s, d, annotated=False).select("id", "size")).join(contents(s, d), "id")
-    return duplicates.same_head(rows, F.col("content"), HEAD).select("id", "size")
+    rows = stored(duplicates.candidates(c.derived(s, d, annotated=False).select("id", "size")), "candidates")
+    return duplicates.head_survivors(rows, contents(s, d), HEAD).select("id", "size")
 
 
 @query("dup3_dup4_hashes", f", {FUNNEL} SELECT id, size, CASE WHEN id % 4 = 0 THEN 'cached' || id ELSE hash END AS hash FROM full_hash")

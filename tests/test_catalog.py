@@ -273,6 +273,30 @@ def test_duplicates_of_random_contents(spark, head):
     assert {r["id"] for r in hashed.collect()} == {k for k, x in data if x and sizes[len(x)] > 1 and (len(x) <= head or heads[len(x), x[:head]] > 1)}
 
 
+@pytest.mark.parametrize("few", [0, 1000])
+def test_contents_are_hashed_where_they_are_scanned(spark, tmp_path, monkeypatch, few):
+    """No exchange carries contents, whether ids are sent to the scan or meet the hashes; of cached documents no whole content is asked for."""
+    monkeypatch.setattr(duplicates, "FEW", few)
+    data = [(k, b"head" + bytes([k % 3])) for k in range(9)]
+    spark.createDataFrame([(k, bytearray(x)) for k, x in data], "id long, content binary").write.parquet(f"{tmp_path}/contents")
+    contents, asked = spark.read.parquet(f"{tmp_path}/contents"), []
+    hashed_of = duplicates.of_contents
+
+    def watched(contents, ids, value, name):
+        out = hashed_of(contents, ids, value, name)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        asked.append((name, {r["id"] for r in ids.collect()}))
+        moved = [x for part in plan.split("Exchange")[1:] for x in part.split("Scan")[:1] if "content#" in x.split("Project")[0]]
+        assert not moved, plan
+        return out
+
+    monkeypatch.setattr(duplicates, "of_contents", watched)
+    rows = spark.createDataFrame([(k, len(x), 1) for k, x in data], "id long, size long, modified_at long")
+    cache = rows.filter("id < 4").select("id", "size", "modified_at", F.concat(F.lit("cached"), F.col("id")).alias("hash"))
+    got = {r["id"]: r["hash"] for r in duplicates.with_hashes(rows, contents, cache, head=4).collect()}
+    assert set(got) == set(range(9)) and got[2] == "cached2" and got[5] == got[8] and dict(asked) == {"head_hash": set(range(9)), "hash": set(range(4, 9))}
+
+
 def test_many_duplicate_sets_are_numbered_in_order(spark):
     rows = spark.range(900).select("id", (F.col("id") % 300 % 40 + 1).alias("size"), F.sha2((F.col("id") % 300).cast("string"), 256).alias("hash"), F.lit(1).alias("modified_at"))
     got = sorted({(r["group_id"], -r["size"], r["hash"], r["n"]) for r in duplicates.groups(rows).collect()})
