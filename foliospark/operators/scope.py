@@ -42,11 +42,16 @@ def excluded(paths: DataFrame, rules: DataFrame, root_col: str = "root", path_co
 
 
 def owning_root(paths: DataFrame, roots: DataFrame, path_col: str = "path") -> DataFrame:
-    """paths with root_id and root of the deepest enabled root around each (null without one)."""
-    each = paths.select(F.col(path_col).alias("_p")).distinct().withColumn("_f", F.explode(F.array_prepend(with_ancestors(F.lower("_p")), F.lit(""))))  # "" is the bare root
-    known = roots.filter("enabled").select(F.col("id").alias("root_id"), F.col("path").alias("root"), F.lower(F.regexp_replace("path", "/+$", "")).alias("_f"))
-    best = each.join(known, "_f").groupBy("_p").agg(F.max_by(F.struct("root_id", "root"), F.length("_f")).alias("_r"))
-    return paths.join(best, F.col(path_col) == F.col("_p"), "left").select(paths["*"], "_r.root_id", "_r.root")
+    """paths with root_id and root of the deepest enabled root around each (null without one). Roots meet the distinct folders, and paths that are roots themselves."""
+    root = F.struct(F.col("id").alias("root_id"), F.col("path").alias("root"))
+    known = roots.filter("enabled").groupBy(F.lower(F.regexp_replace("path", "/+$", "")).alias("_f")).agg(F.max(root).alias("_r"))
+    dirs = paths.select(parent(F.col(path_col)).alias("_d")).distinct()
+    each = dirs.withColumn("_f", F.explode(F.array_prepend(with_ancestors(F.lower("_d")), F.lit(""))))  # "" is the bare root
+    around = each.join(known, "_f").groupBy("_d").agg(F.max_by("_r", F.length("_f")).alias("_around"))
+    itself = known.select(F.col("_f").alias("_self"), F.col("_r").alias("_own"))
+    met = paths.join(around, parent(F.col(path_col)) == F.col("_d"), "left").join(itself, F.lower(F.regexp_replace(path_col, "/+$", "")) == F.col("_self"), "left")
+    best = F.coalesce("_own", "_around")
+    return met.select(*[F.col(f"`{c}`") for c in paths.columns], best["root_id"].alias("root_id"), best["root"].alias("root"))
 
 
 def in_scope(paths: DataFrame, roots: DataFrame, rules: DataFrame, path_col: str = "path") -> DataFrame:

@@ -436,6 +436,17 @@ def scripted_events(s: SparkSession, d: str) -> DataFrame:
     return each.select("phase", "root", (F.col("phase") * F.lit(10**12) + F.col("number") + F.col("step")).alias("seq"), F.timestamp_millis((seconds * 1000 + F.lit(c.NOW_MS)).cast("long")).alias("ts"), "kind", "path", "path_to", "size", "modified_at")
 
 
+@query(
+    "str6_str8_str9_document_events",
+    """ SELECT id, dir || CASE id % 10 WHEN 0 THEN '/renamed ' WHEN 3 THEN '/' WHEN 4 THEN '/' ELSE '/sub/' END || name AS path, CASE WHEN id % 10 <> 3 THEN size + CASE WHEN id % 10 = 4 THEN 1 ELSE 0 END END AS size, CASE id % 10 WHEN 3 THEN 'removed' WHEN 4 THEN 'updated' ELSE 'moved' END AS change
+FROM cat WHERE id % 10 < 5 UNION ALL SELECT NULL, dir || '/new ' || name, size + 3, 'added' FROM cat WHERE id % 10 = 6""",
+)
+def _(s, d):
+    """Of the scripted events those of documents, in one batch: renames, moves by removal and creation in either order, removals, changes and new ones."""
+    ops = changes.to_ops(scripted_events(s, d).filter("phase <= 2"), ("root",))
+    return changes.apply_batch(c.derived(s, d, annotated=False), ops)[0].select("id", "path", "size", "change")
+
+
 @query(
     "str13_live_catalog",
     """, f AS (SELECT *, CAST(regexp_extract(dir, '([0-9]+)$', 1) AS INT) AS n, id % 10 AS digit FROM cat), g AS (SELECT *, dir || CASE WHEN n % 3 = 0 THEN ' moved' ELSE '' END AS here FROM f),
