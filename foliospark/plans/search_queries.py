@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import extraction, index, scope, search, versions
+from ..operators import extraction, index, scope, search, segments, versions
 from ..sources import catalog as c
 from ..sources.work import shared_dir, stored
 from ..streaming import bursts, changes, live, reconcile
@@ -202,6 +202,17 @@ def _(s, d):
     return index.refreshed(index.postings(body), changed).select("id", "token", "tf", F.element_at("positions", 1).alias("first"))
 
 
+@query("snk2_segments", r"SELECT id, token, count(*) AS tf, min(pos) AS first FROM (SELECT id, unnest(w) AS token, unnest(range(len(w))) AS pos FROM (SELECT doc_id AS id, list_filter(string_split_regex(translate(lower(CASE WHEN doc_id % 20 = 0 THEN 'Back ' || text WHEN doc_id % 5 = 1 THEN 'New ' || text ELSE text END), 'äçèéêíñóöü', 'aceeeinoou'), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id % 5 <> 0 OR doc_id % 20 = 0)) GROUP BY id, token")
+def _(s, d):
+    """The store after three batches: all texts, then a fifth cleared and a fifth set anew, then some of the cleared ones back."""
+    body, store = texts(s, d), f"{shared_dir(s)}/snk2-{uuid.uuid4().hex}"
+    second = body.filter("id % 5 < 2").select("id", F.when(F.col("id") % 5 == 1, F.concat(F.lit("New "), "body")).alias("body"))
+    third = body.filter("id % 20 = 0").select("id", F.concat(F.lit("Back "), "body").alias("body"))
+    for number, changed in enumerate((body, second, third)):
+        segments.apply(s, store, changed, number)
+    return segments.postings(s, store).select("id", "token", "tf", F.element_at("positions", 1).alias("first"))
+
+
 # --- texts
 
 
