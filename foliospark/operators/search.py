@@ -54,15 +54,18 @@ def candidates(queries: DataFrame, catalog: DataFrame) -> DataFrame:
     """query_id and id of documents that hold every term in name or folder. queries: of parsed()."""
     both = F.concat(F.lower("name"), F.lit("\n"), F.lower("dir"))
     rows = catalog.select("id", F.lower("name").alias("lname"), F.lower("dir").alias("ldir"))
-    grams = name_grams(catalog, both)
+    grams = stored(name_grams(catalog, both), "path-grams")
     long = F.filter("terms", lambda t: F.length(t) >= 3)
     wanted = queries.filter(F.size(long) > 0).select("query_id", F.explode(F.array_distinct(F.flatten(F.transform(long, trigrams)))).alias("gram"))
     counts = grams.join(F.broadcast(wanted.select("gram").distinct()), "gram").groupBy("gram").agg(F.count("*").alias("n"))
     rarest = wanted.join(counts, "gram", "left").groupBy("query_id").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
     every = F.forall("terms", lambda t: F.contains(F.col("lname"), t) | F.contains(F.col("ldir"), t))
     by_gram = queries.join(rarest, "query_id").join(grams, "gram").join(rows, "id").filter(every)
+    few = queries.filter(F.size(long) == 0)
+    if few.isEmpty():
+        return by_gram.select("query_id", "id")
     longest = F.array_max(F.transform("terms", lambda t: F.struct(F.length(t).alias("n"), t.alias("gram"))))["gram"]
-    short = queries.filter(F.size(long) == 0).withColumn("gram", longest).join(short_grams(catalog, both), "gram").join(rows, "id").filter(every)
+    short = few.withColumn("gram", longest).join(short_grams(catalog, both), "gram").join(rows, "id").filter(every)
     return by_gram.select("query_id", "id").unionByName(short.select("query_id", "id"))
 
 
@@ -220,14 +223,14 @@ def snippet(body: Column, query_terms: Column) -> Column:
 
     def found(p: Column) -> Column:
         hits = F.transform(p["kept"], lambda w: F.filter(p["wanted"], lambda t: F.startswith(folded(w), t)))
-        return _let(F.struct(p["kept"].alias("kept"), p["gaps"].alias("gaps"), hits.alias("hits"), F.size(p["kept"]).alias("n")), windows)
+        return let(F.struct(p["kept"].alias("kept"), p["gaps"].alias("gaps"), hits.alias("hits"), F.size(p["kept"]).alias("n")), windows)
 
     def windows(p: Column) -> Column:
         last = F.greatest(p["n"] - SNIPPET_TOKENS, F.lit(0))
         begins = F.array_distinct(F.filter(F.transform(p["hits"], lambda h, i: F.when(F.size(h) > 0, F.least(i, last))), lambda i: i.isNotNull()))
         inside = lambda i: F.slice(p["hits"], i + 1, SNIPPET_TOKENS)
         best = F.array_max(F.transform(begins, lambda i: F.struct(F.size(F.array_distinct(F.flatten(inside(i)))).alias("terms"), F.size(F.filter(inside(i), lambda h: F.size(h) > 0)).alias("hits"), (-i).alias("before"))))
-        return _let(F.struct(*[p[c].alias(c) for c in ("kept", "gaps", "hits", "n")], (-best["before"]).alias("start")), shown)
+        return let(F.struct(*[p[c].alias(c) for c in ("kept", "gaps", "hits", "n")], (-best["before"]).alias("start")), shown)
 
     def shown(p: Column) -> Column:
         stop = F.least(p["start"] + SNIPPET_TOKENS, p["n"])
@@ -235,10 +238,10 @@ def snippet(body: Column, query_terms: Column) -> Column:
         marked = F.transform(F.sequence(p["start"], stop - 1), lambda i: F.concat(word(i), F.when(i < stop - 1, F.get(p["gaps"], i + 1)).otherwise("")))
         return F.when(p["start"].isNotNull(), F.concat(F.when(p["start"] > 0, "…").otherwise(""), F.array_join(marked, ""), F.when(stop < p["n"], "…").otherwise("")))
 
-    return _let(parts, found)
+    return let(parts, found)
 
 
-def _let(value: Column, body) -> Column:
+def let(value: Column, body) -> Column:
     """body(value), with value computed once."""
     return F.get(F.transform(F.array(value), body), 0)
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import extraction, index, scope, search, segments, versions
+from ..operators import best, extraction, index, scope, search, segments, versions
 from ..sources import catalog as c
 from ..sources.work import shared_dir, stored
 from ..streaming import bursts, changes, live, reconcile
@@ -121,6 +121,31 @@ def _(s, d):
     return search.content_hits(queries(s, d), post, stats, cat).withColumn("bm25", F.round("bm25", 6))
 
 
+#: Two short queries of each passage: its first two characters, and the first three of its first two words.
+SHORT = r"""q AS (SELECT item_id * 2 AS query_id, [substr(w[1], 1, 2)] AS terms FROM firsts WHERE len(w) > 0 UNION ALL SELECT item_id * 2 + 1, list_transform(w, lambda x: substr(x, 1, 3)) FROM firsts WHERE len(w) > 0),
+qp AS"""
+FIRSTS = r"firsts AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')[1:2] AS w FROM benchmark), "
+
+
+def short_queries(s: SparkSession, d: str) -> DataFrame:
+    q = c.query_table(s, d)
+    one = q.select((F.col("query_id") * 2).alias("query_id"), F.substring("text", 1, 2).alias("text"))
+    two = q.select((F.col("query_id") * 2 + 1).alias("query_id"), F.array_join(F.transform(F.split("text", " "), lambda w: F.substring(w, 1, 3)), " ").alias("text"))
+    return search.parsed(one.unionByName(two))
+
+
+def best_of(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    cat, post, stats = tables(s, d)
+    body = texts(s, d)
+    entries, counts = stored(best.lists(body), "lists"), stored(best.prefix_counts(body), "prefixes")
+    return best.best(short_queries(s, d), entries, stored(best.maxima(entries), "maxima"), counts, stats, post, cat)
+
+
+@query("sea7_sea8_best_prefixes", STAGES[: STAGES.index("q AS (")] + FIRSTS + SHORT + STAGES[STAGES.index("qp AS (") + 5 :] + "SELECT query_id, id, round(bm25, 6) AS bm25, rank, n FROM ct")
+def _(s, d):
+    return best_of(s, d)[0].withColumn("bm25", F.round("bm25", 6))
+
+
 @query("sea9_merged", STAGES + "SELECT query_id, id, round(score, 6) AS score, in_text FROM found")
 def _(s, d):
     cat, post, stats = tables(s, d)
