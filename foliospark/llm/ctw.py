@@ -13,7 +13,8 @@ last two context bytes, and the nodes above (depth 0 and 1: at most 257 * 255, a
 code length once, and only the keys that a block has travel back to it. What is broadcast is counted first, and joined where it is too large.
 
 Memory. A block has at most ``block_bytes`` of text and ``block_grams`` distinct grams: where texts are so varied that a block has more, blocks are made
-smaller and counted again. A subtree below depth 3 has at most 2**24 grams, a bound of the method.
+smaller and counted again. A subtree below depth 3 that has more than ``hot_rows`` grams is cut again at depth 4, where one has at most 2**16 grams
+(contexts of six bytes: 2**24); its nodes at depth 4 are at most 2**16 as well, and meet what is above them by their nearest three bytes.
 
 Edge cases: a null text counts as empty (the end alone); a null id's fold is that of the empty text; repeated rows are scored and counted each;
 very long texts are scored in pieces that see the bytes before them, and words that run over a piece's end are counted whole; without training texts all counts are zero;
@@ -240,17 +241,20 @@ def subtree_roots(depth: int, cut: int):
     return run
 
 
-def second(t: pa.Table) -> tuple[Level, np.ndarray]:
-    """From nodes at depth 3: those at depth 2."""
+def raised(t: pa.Table, depth: int) -> tuple[Level, np.ndarray]:
+    """From nodes one deeper: those at depth, and the deeper ones' keys."""
     keys = t["keys"].to_numpy()
-    level = Level(keys & 0xFFFFFF, t["n0"].to_numpy(), t["n1"].to_numpy())
+    level = Level(keys & ((1 << 8 * depth + 8) - 1), t["n0"].to_numpy(), t["n1"].to_numpy())
     level.weighted = np.logaddexp(HALF + level.own, HALF + np.bincount(level.of, t["weighted"].to_numpy(), len(level.keys)))
     return level, keys
 
 
-def second_roots(t: pa.Table) -> pa.Table:
-    level, _ = second(t)
-    return pa.table({k: getattr(level, k) for k in ("keys", "n0", "n1", "weighted")})
+def raised_roots(depth: int):
+    def run(t: pa.Table) -> pa.Table:
+        level, _ = raised(t, depth)
+        return pa.table({k: getattr(level, k) for k in ("keys", "n0", "n1", "weighted")})
+
+    return run
 
 
 Top = tuple[np.ndarray, np.ndarray, np.ndarray]
@@ -276,7 +280,7 @@ def above(top: Top, cut: int):
         at = np.searchsorted(top[0], keys & 0xFFFF)
         base, rest = top[1][at], top[2][at]
         if cut == 3:
-            level, _ = second(t)
+            level, _ = raised(t, 2)
             stop = level.stop()[level.of]
             base, rest = base + rest * stop * level.ones()[level.of], rest * (1 - stop)
         return pa.table({"keys": keys, "base": base, "rest": rest})
@@ -284,6 +288,19 @@ def above(top: Top, cut: int):
     return run
 
 
+def below(cut: int):
+    """For nodes one deeper than cut: the same as ``above``, from that of the nodes at cut."""
+
+    def run(t: pa.Table, over: pa.Table) -> pa.Table:
+        level, keys = raised(t, cut)
+        order = np.argsort(over["keys"].to_numpy())
+        nodes, base, rest = (over[c].to_numpy()[order] for c in ("keys", "base", "rest"))
+        at, stop = np.searchsorted(nodes, level.keys)[level.of], level.stop()[level.of]
+        return pa.table({"keys": keys, "base": base[at] + rest[at] * stop * level.ones()[level.of], "rest": rest[at] * (1 - stop)})
+
+    return run
+
+
 def gram_scores(depth: int, cut: int):
     """log10 probability of each gram's byte after its context, from whole subtrees and what is above their roots."""
 
@@ -346,9 +363,14 @@ def block_scores(depth: int, ends: int, total: int, distinct: int):
             starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(every)), bool), every[1:] != every[:-1])))
             found = every[starts]
             place = np.minimum(np.searchsorted(code, found), max(0, len(code) - 1))
-            own_value = np.where(code[place] == found, value[place], 0.0) if len(code) else np.zeros(len(found))  # codes between two pieces have none and aren't summed
+            own_value = np.where(code[place] == found, value[place], 1.0) if len(code) else np.ones(len(found))  # codes between two pieces have none and aren't summed
             per = np.empty(len(every))
             per[mixed] = np.repeat(own_value, np.diff(np.append(starts, len(every))))
+            none = np.flatnonzero(per > 0)
+            of_none = np.searchsorted(at, none, "right") - 1
+            if (none < at[of_none] + size[of_none]).any():
+                raise ValueError("a gram of this block has no value")
+            per[none] = 0.0
             sums = np.concatenate(([0.0], np.cumsum(per)))
             score += (sums[at + size] - sums[at]).tolist()
         pa.default_memory_pool().release_unused()
@@ -395,7 +417,7 @@ def score(docs: DataFrame, held_out: Column, depth: int = 5, block_bytes: int =
         if most <= block_grams or size // blocks < 1 << 16:
             break
         discard(keys)
-        blocks *= 2
+        blocks *= max(2, -(-5 * most // (4 * block_grams)))  # where few grams repeat, their number falls with a block's size
 
     totals = keys.filter("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("total"))
     totals = stored(totals, "words")
@@ -424,22 +446,45 @@ def score(docs: DataFrame, held_out: Column, depth: int = 5, block_bytes: int =
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(sums["n"] + ends).cast("long").alias("train_tokens"), "base_score", "score", "n_bytes", (-F.col("score") * float(np.log2(10)) / (F.col("n_bytes") + 1)).alias("bits_per_byte"))
 
 
-def code_values(codes: DataFrame, depth: int, bucket_rows: int = 1 << 21) -> DataFrame:
+def code_values(codes: DataFrame, depth: int, bucket_rows: int = 1 << 21, hot_rows: int = 1 << 21) -> DataFrame:
     """code and value (log10 probability of its byte) for each of the corpus's grams (code, n; stored)."""
     cut = min(3, depth)
+    nodes_schema, over_schema, value_schema = "keys long, n0 double, n1 double, weighted double", "keys long, base double, rest double", "code long, value double"
+
+    def nearest(key: str, n: int) -> Column:
+        """The n context bytes nearest to the byte of a code or a node."""
+        return F.shiftright(key, 8).bitwiseAND(F.lit((1 << 8 * n) - 1).cast("long"))
+
+    def bucket(context: Column, rows: int) -> Column:
+        return F.pmod(F.xxhash64(context), F.lit(max(1, -(-rows // bucket_rows)))).cast("int").alias("bucket")
+
+    total = codes.count()
+    hot = stored(codes.groupBy(nearest("code", cut).alias("near")).count().filter(F.col("count") > hot_rows).select("near"), "hot") if depth > 4 else None
+    any_hot = hot is not None and not hot.isEmpty()
 
-    def bucket(context: Column, rows: DataFrame) -> Column:
-        return F.pmod(F.xxhash64(context), F.lit(max(1, -(-rows.count() // bucket_rows)))).cast("int").alias("bucket")
+    def part(rows: DataFrame, key: str, how: str) -> DataFrame:
+        return rows.withColumn("near", nearest(key, cut)).join(sized(hot), "near", how).drop("near") if any_hot else rows
 
-    context = F.shiftright("code", 8).bitwiseAND(F.lit((1 << 8 * cut) - 1).cast("long"))
-    of = bucket(context, codes)
-    nodes_schema = "keys long, n0 double, n1 double, weighted double"
-    grams = codes.select("code", "n", of)
+    grams = part(codes.select("code", "n"), "code", "left_anti").withColumn("bucket", bucket(nearest("code", cut), total))
     roots = stored(grams.groupBy("bucket").applyInArrow(subtree_roots(depth, cut), nodes_schema), "roots")
-    dealt = roots.select("*", bucket(F.shiftright("keys", 8).bitwiseAND(F.lit(0xFFFF).cast("long")), roots))
-    upper = dealt.groupBy("bucket").applyInArrow(second_roots, nodes_schema) if cut == 3 else roots
-    nearest = F.col("keys").bitwiseAND(F.lit(0xFFFF).cast("long")).alias("key")
-    top = top_nodes(upper.groupBy(nearest).agg(F.sum("n0"), F.sum("n1"), F.sum("weighted")).collect())  # at most 256 * 255 rows
-    over = dealt.groupBy("bucket").applyInArrow(above(top, cut), "keys long, base double, rest double")
-    over = over.select("*", F.pmod(F.xxhash64(F.shiftright("keys", 8)), F.lit(max(1, -(-codes.count() // bucket_rows)))).cast("int").alias("bucket"))
-    return grams.groupBy("bucket").cogroup(over.groupBy("bucket")).applyInArrow(gram_scores(depth, cut), "code long, value double")
+    if any_hot:
+        hot_grams = part(codes.select("code", "n"), "code", "left_semi").withColumn("bucket", bucket(nearest("code", cut + 1), total))
+        deep = stored(hot_grams.groupBy("bucket").applyInArrow(subtree_roots(depth, cut + 1), nodes_schema), "deep")
+        deep_by = deep.groupBy(bucket(nearest("keys", cut), deep.count()))
+        hot_roots = stored(deep_by.applyInArrow(raised_roots(cut), nodes_schema), "roots")
+        roots = roots.unionByName(hot_roots)
+    dealt = roots.select("*", bucket(nearest("keys", 2), roots.count()))
+    upper = dealt.groupBy("bucket").applyInArrow(raised_roots(2), nodes_schema) if cut == 3 else roots
+    key = F.col("keys").bitwiseAND(F.lit(0xFFFF).cast("long")).alias("key")
+    top = top_nodes(upper.groupBy(key).agg(F.sum("n0"), F.sum("n1"), F.sum("weighted")).collect())  # at most 256 * 255 rows
+    over = dealt.groupBy("bucket").applyInArrow(above(top, cut), over_schema)
+    if not any_hot:
+        over = over.select("*", bucket(F.shiftrightunsigned("keys", 8), total))
+        return grams.groupBy("bucket").cogroup(over.groupBy("bucket")).applyInArrow(gram_scores(depth, cut), value_schema)
+    over = stored(over, "over")
+    cold_over = part(over, "keys", "left_anti").withColumn("bucket", bucket(nearest("keys", cut), total))
+    values = grams.groupBy("bucket").cogroup(cold_over.groupBy("bucket")).applyInArrow(gram_scores(depth, cut), value_schema)
+    hot_over = part(over, "keys", "left_semi").groupBy(bucket(nearest("keys", cut), deep.count()))
+    hot_over = deep_by.cogroup(hot_over).applyInArrow(below(cut), over_schema).withColumn("bucket", bucket(nearest("keys", cut + 1), total))
+    hot_values = hot_grams.groupBy("bucket").cogroup(hot_over.groupBy("bucket")).applyInArrow(gram_scores(depth, cut + 1), value_schema)
+    return values.unionByName(hot_values)

@@ -118,6 +118,18 @@ def test_ctw_random_letters_in_one_row(spark):
     assert got[7]["n_tokens"] == 2 and got[7]["n_bytes"] == len(text) and got[7]["bits_per_byte"] < math.log2(26) + 0.2 and got[7]["train_tokens"] == 6
 
 
+def test_ctw_hot_subtrees_are_cut_again(spark):
+    rng = np.random.default_rng(5)
+    data = rng.choice(np.frombuffer(b"ab c", np.uint8), 4000, p=[0.6, 0.2, 0.1, 0.1]).astype(np.int64)
+    code = sum(data[j : len(data) - 5 + j] << 8 * (5 - j) for j in range(6))
+    grams, n = np.unique(code, return_counts=True)
+    rows = stored(spark.createDataFrame([(int(c), int(k)) for c, k in zip(grams, n, strict=True)], "code long, n long"), "codes")
+    whole, cut = ({r["code"]: r["value"] for r in ctw.code_values(rows, 5, 50, most).collect()} for most in (1 << 21, 20))
+    sizes = Counter((grams >> 8 & 0xFFFFFF).tolist()).values()
+    assert min(sizes) <= 20 < max(sizes) and set(whole) == set(cut) == set(grams.tolist())
+    assert all(cut[c] == pytest.approx(v, rel=1e-12) for c, v in whole.items())
+
+
 def test_ctw_edges(spark):
     assert ctw.score(docs(spark, []), F.lit(False)).count() == 0
     rows = ctw.score(docs(spark, ODD), F.lit(True), depth=2).collect()  # nothing to learn from
