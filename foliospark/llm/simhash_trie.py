@@ -6,14 +6,14 @@ pair is dropped once they exceed the error budget. A traversal is vectorised ove
 is cut into pieces of bounded size and walked depth first.
 
 ``mark`` takes 64 bits and links at a few differing ones. The trie is dealt out by the first levels: of ``budget`` + 1 blocks of bits, two fingerprints within
-the budget agree in one, so each fingerprint goes, once for each block, to the subtrie of those with like bits there: a fixed number of copies at any
-size of the corpus, and links are exact. A subtrie that holds too many is dealt again by blocks of its remaining bits. Small subtries share a task.
+the budget agree in one, so each fingerprint goes, once for each block, to the subtrie of those with like bits there, and links are exact. A subtrie that holds over ``HOT`` is dealt again by blocks of its remaining bits: four copies of a fingerprint
+while subtries of 16 bits aren't full (about 1e9 distinct fingerprints), 16 in full ones up to about 4e12, 64 beyond. Small subtries share a task.
 
 ``drop`` keeps one document of each group of near copies, where two texts are near copies if
 their sets of five-word shingles have a Jaccard likeness of 0.8 or more. Fingerprints of many words of 64 bits only propose pairs. Each word is a trie of its own, dealt by its first bits;
 two texts meet in it if these are equal, and are proposed if they differ in at most a budget of the word's other bits and of 192 more. At a likeness of 0.8 a bit differs with a chance
 of 0.15 to 0.16 (few shingles: up to 0.18); the number of words follows from the number of rows, so that a pair at 0.8 meets nowhere with a chance of ``MISSED`` at most. Budgets are 4.2 standard deviations above the mean.
-A unit emits a spanning forest of its proposed pairs. Each document's nearest one is checked, first on all bits and then on the texts themselves. Where a group of proposed pairs is not joined by these links,
+Texts of one set of shingles are one node. A unit emits a spanning forest of its proposed pairs. Each document's nearest one is checked, first on all bits and then on the texts themselves. Where a group of proposed pairs is not joined by these links,
 its documents meet again in the same units with the hashes of their shingles, and all pairs not joined yet are checked there, exactly: no failed pair hides another one, and only links leave a unit.
 A subtrie with over ``HOT`` rows is cut into parts, and each pair of parts is a unit: no task holds more than two parts.
 
@@ -233,20 +233,25 @@ def components(edges: DataFrame) -> DataFrame:
         hooks = stored(edges.groupBy("a").agg(F.min("b").alias("up")), "hooks")
         while True:
             further = hooks.select(F.col("a").alias("up"), F.col("up").alias("further"))
-            new = stored(hooks.join(further, "up", "left").select("a", F.coalesce("further", "up").alias("up"), F.col("further").isNotNull().alias("moved")), "hooks")
-            if new.filter("moved").isEmpty():
+            new = stored(hooks.select("a", "up").join(further, "up", "left").select("a", F.coalesce("further", "up").alias("up"), F.col("further").isNotNull().alias("moved")), "hooks")
+            still = new.filter("moved").isEmpty()
+            discard(hooks)
+            hooks = new
+            if still:
                 break
-            hooks = new.select("a", "up")
         to = hooks.select(F.col("a").alias("at"), "up")
-        labels = stored(labels.join(to, F.col("label") == F.col("at"), "left").select("node", F.coalesce("up", "label").alias("label")), "labels")
+        relabelled = stored(labels.join(to, F.col("label") == F.col("at"), "left").select("node", F.coalesce("up", "label").alias("label")), "labels")
         left = edges.join(to, F.col("a") == F.col("at")).select(F.col("up").alias("a"), "b")
-        edges = stored(ordered(left.join(to, F.col("b") == F.col("at"), "left").select("a", F.coalesce("up", "b").alias("b"))), "edges")
+        contracted = stored(ordered(left.join(to, F.col("b") == F.col("at"), "left").select("a", F.coalesce("up", "b").alias("b"))), "edges")
+        discard(hooks, labels, edges)
+        labels, edges = relabelled, contracted
+    discard(edges)
     return labels
 
 
 def classes(prints: DataFrame, budget: int = 3) -> DataFrame:
     """For each distinct fp of (id, fp): component_id, the smallest id of all texts reachable over links."""
-    reps = stored(prints.groupBy("fp").agg(F.min("id").alias("rep")), "reps")
+    reps = stored(prints.groupBy("fp").agg(F.min("id").alias("rep")), "reps")  # read by the result, as the labels are
     labels = components(links(reps.select("fp"), budget))
     named = reps.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("label", "fp").alias("label"))
     smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
@@ -283,24 +288,49 @@ def tries_for(n: int) -> tuple[int, int]:
     return bits, int(np.ceil(np.log(MISSED) / np.log1p(-((1 - DIFFERS) ** bits))))
 
 
+def text_hash(text_col: str) -> Column:
+    """128 bits of the text."""
+    return F.unhex(F.md5(text_of(text_col)))
+
+
+def set_hash(found: np.ndarray, words: list[bytes], shingle: int) -> bytes:
+    """128 bits of a text's set of shingles, of which found are the sorted hashes."""
+    from xxhash import xxh3_128_digest
+
+    return xxh3_128_digest(found.tobytes(), 1) if len(found) > 1 else xxh3_128_digest(b" ".join(words[:shingle]), 2)
+
+
 def _long_prints(docs: DataFrame, shingle: int, tries: int, text_col: str, id_col: str) -> DataFrame:
-    """id, th (a hash of the text), node (a hash of its words), keys (a long for each trie) and fp (LONGS * 8 bytes), of distinct shingles, for each row."""
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("text"), F.xxhash64(text_of(text_col)).alias("th"))
+    """id, th (128 bits of the text), node and more (128 bits of its set of shingles), keys (a long for each trie) and fp (LONGS * 8 bytes), of distinct shingles, for each row."""
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("text"), text_hash(text_col).alias("th"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
-
         for b in batches:
             nodes, keys, fps = [], [], []
             for t in b.column(1):
                 words = words_of(t.as_py())
-                nodes.append(xxh64_intdigest(b" ".join(words), 7))
-                found = print_of(np.unique(shingle_hashes(words, shingle)), LONGS + tries)
+                own = np.unique(shingle_hashes(words, shingle))
+                nodes.append(set_hash(own, words, shingle))
+                found = print_of(own, LONGS + tries)
                 fps.append(found[:LONGS].tobytes())
                 keys.append(found[LONGS:].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(fps, pa.binary())], ["id", "th", "node", "keys", "fp"])
+            halves = np.frombuffer(b"".join(nodes), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.array(keys, pa.list_(pa.int64())), pa.array(fps, pa.binary())], ["id", "th", "node", "more", "keys", "fp"])
+
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, th binary, node long, more long, keys array<long>, fp binary")
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, th long, node long, keys array<long>, fp binary")
+
+def set_nodes(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """prints (stored), and one node (node, rep, keys, fp; stored) for each of its sets of shingles. Sets that share the first 64 bits, of which few are to be expected in billions, get a node of their own from all 128."""
+    each = prints.groupBy("node").agg(F.min_by(F.struct("th", "keys", "fp"), F.struct("more", "th")).alias("x"), F.min("more").alias("first"), F.max("more").alias("last"))
+    nodes = stored(each.select("node", F.col("x.th").alias("rep"), "x.keys", "x.fp", "first", (F.col("first") != F.col("last")).alias("clash")), "nodes")
+    clashes = nodes.filter("clash").select("node", "first")
+    if clashes.isEmpty():
+        return prints, nodes
+    own = F.when(F.col("more") != F.col("first"), F.xxhash64("node", "more")).otherwise(F.col("node"))
+    apart = stored(prints.join(sized(clashes), "node", "left").withColumn("node", own).drop("first"), "prints")
+    discard(prints, nodes)
+    return set_nodes(apart)
 
 
 def near_pairs(nodes: DataFrame, bits: int, tries: int, least: float | None = None) -> DataFrame:
@@ -407,8 +437,8 @@ def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, lea
 
     pairs = stored(both.mapInArrow(likely, "a long, b long"), "likely")
     named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rep"), "node")
-    named = sized(stored(named, "named"))
-    texts = docs.select(F.xxhash64(text_of(text_col)).alias("rep"), text_of(text_col).alias("text")).join(named, "rep").groupBy("node").agg(F.first("text").alias("text"))
+    named = stored(named, "named")
+    texts = docs.select(text_hash(text_col).alias("rep"), text_of(text_col).alias("text")).join(sized(named), "rep").groupBy("node").agg(F.first("text").alias("text"))
     texts = stored(texts, "texts")
     left = texts.join(sized(pairs.select("a", "b")), F.col("node") == F.col("a")).select("a", "b", F.col("text").alias("one"))
     both = left.join(texts, F.col("node") == F.col("b")).select("a", "b", "one", F.col("text").alias("other"))
@@ -419,20 +449,20 @@ def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, lea
             yield b.select(["a", "b"]).filter(pa.array(like, pa.bool_()))
 
     out = stored(both.mapInArrow(run, "a long, b long"), "alike")
-    discard(texts)
+    discard(texts, named, pairs)
     return out
 
 
 def with_sets(nodes: DataFrame, docs: DataFrame, shingle: int, text_col: str) -> DataFrame:
     """nodes (with rep; stored) and the hashes of their shingles, as binary."""
     wanted = sized(nodes.select("rep"))
-    rows = docs.select(F.xxhash64(text_of(text_col)).alias("rep"), text_of(text_col).alias("text")).join(wanted, "rep", "left_semi").select("rep", "text")
+    rows = docs.select(text_hash(text_col).alias("rep"), text_of(text_col).alias("text")).join(wanted, "rep", "left_semi").select("rep", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(shingle_hashes(words_of(x.as_py()), shingle)).tobytes() for x in b.column(1)], pa.binary())], ["rep", "sets"])
 
-    sets = rows.mapInArrow(run, "rep long, sets binary").groupBy("rep").agg(F.min("sets").alias("sets"))
+    sets = rows.mapInArrow(run, "rep binary, sets binary").groupBy("rep").agg(F.min("sets").alias("sets"))
     return nodes.join(sets, "rep")
 
 
@@ -441,40 +471,50 @@ def near_copies(nodes: DataFrame, docs: DataFrame, shingle: int, least: float, b
     proposed = stored(near_pairs(nodes.withColumn("label", F.col("node")), bits, tries), "proposed")
     nearest = stored(proposed.groupBy("a").agg(F.min_by("b", F.struct("differ", "b")).alias("b")), "nearest")
     sure = alike(nearest, nodes, docs, shingle, least, text_col)
+    discard(nearest)
     labels = components(sure)
     of = [labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "ab"]
     apart = proposed.join(of[0], "a", "left").join(of[1], "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b"))
     apart = stored(apart.select(F.col("a").alias("node")).distinct(), "apart")
     if apart.isEmpty():
+        discard(proposed, sure, apart)
         return labels
     # All nodes of the groups of proposed pairs that aren't joined yet.
     groups = components(proposed.select("a", "b"))
     unjoined = groups.join(apart, "node", "left_semi").select("label").distinct()
     mixed = groups.join(unjoined, "label", "left_semi").select("node")
-    again = stored(nodes.join(mixed, "node", "left_semi").join(labels, "node", "left").select("node", "rep", "keys", "fp", F.coalesce("label", "node").alias("label")), "again")
-    again = stored(with_sets(again, docs, shingle, text_col), "again")
+    some = stored(nodes.join(mixed, "node", "left_semi").join(labels, "node", "left").select("node", "rep", "keys", "fp", F.coalesce("label", "node").alias("label")), "again")
+    discard(proposed, groups, apart)
+    again = stored(with_sets(some, docs, shingle, text_col), "again")
+    discard(some)
     more = stored(near_pairs(again, bits, tries, least).select("a", "b"), "more")
     discard(again)
-    return components(sure.unionByName(more)) if not more.isEmpty() else labels
+    if not more.isEmpty():
+        discard(labels)
+        labels = components(sure.unionByName(more))
+    discard(sure, more)
+    return labels
 
 
 def drop(docs: DataFrame, shingle: int = 5, least: float = 0.8, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """docs without all but one row of each group of near copies: that of the smallest id stays (a null id only where there is no other)."""
     bits, tries = tries_for(docs.count())
-    prints = stored(_long_prints(docs, shingle, tries, text_col, id_col), "prints")
-    nodes = stored(prints.groupBy("node").agg(F.min_by(F.struct("th", "keys", "fp"), "th").alias("x")).select("node", F.col("x.th").alias("rep"), "x.keys", "x.fp"), "nodes")
+    wide, nodes = set_nodes(stored(_long_prints(docs, shingle, tries, text_col, id_col), "prints"))
+    prints = stored(wide.select("id", "th", "node"), "narrow")
+    discard(wide)
     labels = near_copies(nodes, docs, shingle, least, bits, tries, text_col)
     groups = prints.join(labels, "node", "left").select(F.coalesce("label", "node").alias("label"), F.struct(F.col("id").isNull().alias("no_id"), "id", "th").alias("row"))
     one = groups.groupBy("label", "row").agg(F.count("*").alias("n")).groupBy("label").agg(F.min_by("n", "row").alias("n"), F.min("row").alias("stays"), F.sum("n").alias("all")).filter(F.col("all") > 1)
     one = stored(one, "stays")
     same = F.struct(F.col("stays.no_id"), "stays.id", "stays.th")
     gone = stored(groups.join(one, "label").filter(F.col("row") != same).select("row.*").distinct(), "gone")
-    again = sized(stored(one.filter("n > 1").select("stays.*"), "again"))
-    rows = docs.select(F.struct("*").alias("doc"), F.col(f"`{id_col}`").isNull().alias("no_id"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(text_of(text_col)).alias("th"))
+    again = stored(one.filter("n > 1").select("stays.*"), "again")
+    discard(prints, nodes, labels, one)
+    rows = docs.select(F.struct("*").alias("doc"), F.col(f"`{id_col}`").isNull().alias("no_id"), F.col(f"`{id_col}`").alias("id"), text_hash(text_col).alias("th"))
 
     def hit(other: DataFrame, how: str) -> DataFrame:
         o = other.select(*[F.col(c).alias(f"o_{c}") for c in ("no_id", "id", "th")])
         return rows.join(o, (F.col("th") == F.col("o_th")) & (F.col("no_id") == F.col("o_no_id")) & F.col("id").eqNullSafe(F.col("o_id")), how)
 
-    repeated = hit(again, "left_semi").groupBy("no_id", "id", "th").agg(F.first("doc").alias("doc")).select("doc.*")
+    repeated = hit(sized(again), "left_semi").groupBy("no_id", "id", "th").agg(F.first("doc").alias("doc")).select("doc.*")
     return hit(sized(stored(gone.unionByName(again), "out")), "left_anti").select("doc.*").unionByName(repeated)

@@ -630,6 +630,22 @@ def test_components(spark):
     assert got == {**{k: 0 for k in [*range(61), 7000]}, 100: 100, 150: 100, 200: 100}
 
 
+def test_sets_that_share_64_bits_stay_apart(spark):
+    rows = [(1, b"t1", 7, 5), (2, b"t2", 7, 9), (3, b"t3", 7, 9), (4, b"t4", 8, 5), (None, b"t1", 7, 5)]
+    table = spark.createDataFrame([(i, bytearray(t), n, m, [n], bytearray(24)) for i, t, n, m in rows], "id long, th binary, node long, more long, keys array<long>, fp binary")
+    prints, nodes = simhash_trie.set_nodes(stored(table, "prints"))
+    of = {r["id"]: r["node"] for r in prints.collect()}
+    assert of[1] == of[None] == 7 and of[2] == of[3] not in (7, 8) and of[4] == 8
+    assert {r["node"]: bytes(r["rep"]) for r in nodes.collect()} == {7: b"t1", of[2]: b"t2", 8: b"t4"}
+
+
+def test_equal_sets_of_shingles_are_one_node(spark):
+    cycle = "one two three four five six seven eight nine ten ".split()
+    texts = [" ".join((cycle * 4)[k : k + 20]) for k in range(3)] + [" ".join(cycle * 3), "a a a a a", "A a a a a a a", "a a a a", "", " \n", "NULL"]
+    kept = sorted(r["doc_id"] for r in simhash_trie.drop(docs(spark, texts)).select("doc_id").collect())
+    assert kept == [0, 4, 6, 7]
+
+
 def test_near_copies_are_dropped(spark):
     draw = random.Random(6)
     base = [" ".join(draw.choice([f"w{k}" for k in range(3000)]) for _ in range(300)) for _ in range(15)]
