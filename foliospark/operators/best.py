@@ -13,10 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import folded, words
+from ..functions.text import folded, let, words
 from ..sources.work import stored
 from .index import corpus_stats
-from .search import HEAD, K1, MAX_CONTENT, B, content_hits, let
+from .search import HEAD, K1, MAX_CONTENT, B, content_hits
 
 WORD, BEGUN, SUMMED = 0, 1, 2
 #: Levels of a query's bounds, and how many times the wanted number of documents the first pass should meet.

@@ -15,3 +15,32 @@ def test_a_launcher_without_terms_searches_nothing(spark, monkeypatch):
     blank = spark.createDataFrame([(-1, "  "), (-2, "")], "query_id long, text string")
     shown = search.launcher(blank, c.derived(spark, DATA), None, None, c.NOW_MS, 3).collect()
     assert sorted((r["query_id"], r["rank"]) for r in shown) == [(q, k) for q in (-2, -1) for k in (1, 2, 3)]
+
+
+def test_postings_are_made_where_texts_are_read(spark):
+    rows = [(i, "Tern  gull, TERN; é e " * (i % 3)) for i in range(20)]
+    made = index.postings(spark.createDataFrame(rows, "id long, body string"))
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    got = {(r["id"], r["token"]): (r["tf"], list(r["positions"])) for r in made.collect()}
+    want = defaultdict(list)
+    for i, body in rows:
+        for pos, w in enumerate(body.lower().replace("é", "e").replace(",", " ").replace(";", " ").split()):
+            want[i, w].append(pos)
+    assert got == {k: (len(v), v) for k, v in want.items()}
+
+
+def test_rows_of_one_id_are_one_document(spark):
+    rows = [(1, "tern gull"), (2, "tern"), (1, "gull auk"), (None, "auk"), (None, "auk tern"), (3, None), (4, "")]
+    got = {(r["id"], r["token"]): (r["tf"], list(r["positions"])) for r in index.postings(spark.createDataFrame(rows, "id long, body string")).collect()}
+    assert got == {(1, "tern"): (1, [0]), (1, "gull"): (2, [0, 1]), (1, "auk"): (1, [1]), (2, "tern"): (1, [0]), (None, "auk"): (2, [0, 0]), (None, "tern"): (1, [1])}
+
+
+def test_few_and_many_queries_find_the_same(spark, monkeypatch):
+    body = c.table(spark, DATA, "documents").selectExpr("doc_id AS id", "text AS body")
+    cat, post, q = c.derived(spark, DATA).cache(), index.postings(body).cache(), search.parsed(c.query_table(spark, DATA)).limit(20)
+    both = [search.content_matches, search.candidates]
+    few = [sorted(map(tuple, f(q, t).collect())) for f, t in zip(both, (post, cat))]
+    plan = search.content_matches(q, post)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and few[0]
+    monkeypatch.setattr("foliospark.sources.work.FEW", 0)
+    assert [sorted(map(tuple, f(q, t).collect())) for f, t in zip(both, (post, cat))] == few
