@@ -15,7 +15,7 @@ from ..functions.formats import extension, is_enabled, is_lock_file, is_other_fi
 from ..functions.paths import parent, with_ancestors
 from ..operators.numbering import numbered
 from ..operators.scope import in_scope
-from ..sources.work import stored
+from ..sources.work import few, stored
 
 WRITES, RENAMES = ("create", "modify"), ("rename_from", "rename_to", "rename_both")
 
@@ -60,7 +60,7 @@ def move_prefix(catalog: DataFrame, source: str, target: str) -> DataFrame:
 def follow_renames(rows: DataFrame, renames: DataFrame) -> DataFrame:
     """id, path, since: where each document (id, path) is after the renames (seq, path, path_to) of itself or a folder around it, and the last one's seq. One round per rename that a document goes through."""
     at = rows.select("id", "path", F.lit(-1).cast("long").alias("since"))
-    moves = renames.select(F.col("seq").alias("m_seq"), F.lower("path").alias("m_from"), "path", "path_to").withColumnRenamed("path", "m_path")
+    moves, _ = few(renames.select(F.col("seq").alias("m_seq"), F.lower("path").alias("m_from"), F.col("path").alias("m_path"), "path_to"), "moves")
     done: DataFrame | None = None
     while True:
         each = at.withColumn("m_from", F.explode(with_ancestors(F.lower("path"))))
@@ -82,17 +82,20 @@ def apply_batch(catalog: DataFrame, ops: DataFrame, listing: DataFrame | None =
     ops, known = stored(ops, "ops"), stored(catalog.select("id", "path", "name", "size", "modified_at"), "known")
     writes = ops.filter("op = 'upsert'").select("seq", "path", "size", "modified_at")
     renames, removes = ops.filter("op = 'rename'"), ops.filter("op = 'remove'").select("seq", "path")
+    renamed, _ = few(renames.select(F.lower("path").alias("key")).distinct(), "renamed")  # few paths are sent to the catalog, which is exploded to folders where it is read
     # A rename whose source isn't known is a write of its target.
-    sources = known.select(F.explode(with_ancestors(F.lower("path"))).alias("key")).distinct()
+    sources = known.select(F.explode(with_ancestors(F.lower("path"))).alias("key")).join(renamed, "key", "left_semi").distinct()
     unknown = renames.withColumn("key", F.lower("path")).join(sources, "key", "left_anti").select("seq", F.col("path_to").alias("path"), "size", "modified_at")
     writes = writes.unionByName(unknown)
     if listing is not None:
         below = listing.select(F.col("path").alias("l_path"), F.col("size").alias("l_size"), F.col("modified_at").alias("l_at"), F.explode(with_ancestors(F.lower("path"))).alias("key"))
-        writes = writes.unionByName(writes.withColumn("key", F.lower("path")).join(below, "key").select("seq", F.col("l_path").alias("path"), F.col("l_size").alias("size"), F.col("l_at").alias("modified_at")))
+        written, _ = few(writes.select("seq", F.lower("path").alias("key")), "written")
+        writes = writes.unionByName(written.join(below, "key").select("seq", F.col("l_path").alias("path"), F.col("l_size").alias("size"), F.col("l_at").alias("modified_at")))
     last_write = writes.filter(_is_document(F.col("path"))).groupBy(F.lower("path").alias("key")).agg(F.max("seq").alias("w_seq"), F.max_by(F.struct("path", "size", "modified_at"), "seq").alias("w"))
+    last_write = stored(last_write, "last-write")  # read by several joins; a listing is derived once
     now = follow_renames(known, renames)
     placed = known.select("id", F.col("path").alias("old_path"), F.col("name").alias("old_name"), F.col("size").alias("old_size"), F.col("modified_at").alias("old_at")).join(now, "id").withColumn("key", F.lower("path"))
-    gone_at = removes.groupBy(F.lower("path").alias("folder")).agg(F.max("seq").alias("r_seq"))
+    gone_at, _ = few(removes.groupBy(F.lower("path").alias("folder")).agg(F.max("seq").alias("r_seq")), "gone")
 
     def removal(rows: DataFrame) -> DataFrame:
         """key, r_seq: the last removal of the path or a folder around it."""

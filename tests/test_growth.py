@@ -6,6 +6,8 @@ from collections import defaultdict
 
 from foliospark.operators import index, search
 from foliospark.sources import catalog as c
+from foliospark.sources import work
+from foliospark.streaming import changes
 
 DATA = "/root/testdata/sf0.001"
 
@@ -44,3 +46,16 @@ def test_few_and_many_queries_find_the_same(spark, monkeypatch):
     assert "SortMergeJoin" not in plan and few[0]
     monkeypatch.setattr("foliospark.sources.work.FEW", 0)
     assert [sorted(map(tuple, f(q, t).collect())) for f, t in zip(both, (post, cat))] == few
+
+
+def test_a_listing_is_read_once_for_a_batch_of_folder_events(spark, monkeypatch):
+    rows = "id long, path string, name string, size long, modified_at long"
+    known = spark.createDataFrame([(k, f"/r/a/{k}.pdf", f"{k}.pdf", 5, 0) for k in range(6)], rows)
+    listing = spark.createDataFrame([(f"/r/a/{k}.pdf", 5 + k % 2, 0) for k in range(8)], "path string, size long, modified_at long")
+    ops = spark.createDataFrame([(1, "upsert", "/r/a", None, None, None)], "seq long, op string, path string, path_to string, size long, modified_at long")
+    kept = []
+    monkeypatch.setattr(changes, "stored", lambda df, name: (kept.append(name), work.stored(df, name))[1])
+    out, _ = changes.apply_batch(known, ops, listing)
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "LocalRelation" not in plan and "LogicalRDD" not in plan and "last-write" in kept
+    assert sorted((r["path"], r["size"], r["change"]) for r in out.collect()) == [(f"/r/a/{k}.pdf", 6, "updated") for k in (1, 3, 5)] + [("/r/a/6.pdf", 5, "added"), ("/r/a/7.pdf", 6, "added")]
