@@ -1,6 +1,6 @@
 """The current state of a catalog, kept up by a stream of change events.
 
-State is kept for each root, in a state store on disk (RocksDB): its documents by path, what vanished and what appeared of late. Events of a micro-batch are applied in the order of their numbers. A document keeps its id through renames of itself
+State is kept for each root, in a state store on disk (RocksDB): its documents by path, what vanished and what appeared of late, each in 1,024 buckets at most. Events of a micro-batch are applied in the order of their numbers. A document keeps its id through renames of itself
 and of folders around it. One that vanished stays known for ``hold_ms`` of event time: if a document of the same name and size appears in that time, before or after, it has moved, and if its own path is written
 again, it was saved. Only then is a removal or an arrival final and emitted, by a timer. All of this goes by the events' own times and numbers, so it doesn't matter where micro-batches end; two halves of a rename also
 meet across a border.
@@ -10,7 +10,10 @@ Rows for a root are as many as a micro-batch has for it; a folder's event reads
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+import zlib
+from bisect import bisect_left
+from collections.abc import Iterator, MutableMapping
 from typing import Any
 
 import pandas as pd
@@ -21,7 +24,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..functions.formats import extension, is_enabled, is_lock_file
 
 OUT = "root string, id long, path string, size long, modified_at long, change string, seq long"
-DOC = "id long, path string, size long, modified_at long"
+#: Values that a root's documents are kept in.
+BUCKETS = 1024
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -34,12 +38,53 @@ def _number(x: Any) -> int | None:
     return None if pd.isna(x) else int(x)
 
 
+def _alike(doc: tuple) -> tuple:
+    """What a document that moved keeps: its name (lower case) and size."""
+    return doc[1].rpartition("/")[2].lower(), doc[2]
+
+
+class Waiting(MutableMapping):
+    """Of rows (by key, (document, seq, ts); kept up to date) also those of a name and size, and of a seq, so that an event looks at those alone."""
+
+    def __init__(self, rows: dict):
+        self.rows = rows
+        self.alike: dict[tuple, set] = {}
+        self.by_seq: dict[int, set] = {}
+        for k, v in rows.items():
+            self._add(k, v)
+
+    def _add(self, key: str, value: tuple) -> None:
+        self.alike.setdefault(_alike(value[0]), set()).add(key)
+        self.by_seq.setdefault(value[1], set()).add(key)
+
+    def __getitem__(self, key: str) -> tuple:
+        return self.rows[key]
+
+    def __setitem__(self, key: str, value: tuple) -> None:
+        self.pop(key, None)
+        self.rows[key] = value
+        self._add(key, value)
+
+    def __delitem__(self, key: str) -> None:
+        doc, seq, _ = self.rows.pop(key)
+        for index, of in ((self.alike, _alike(doc)), (self.by_seq, seq)):
+            index[of].discard(key)
+            if not index[of]:
+                del index[of]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.rows)
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+
 class Batch:
     """One micro-batch of a root: an overlay over its stored documents, and the rows to emit."""
 
     def __init__(self, find, below, gone: dict, fresh: dict, hold_ms: int):
         """find(key): a stored document or None; below(folder): the stored keys inside. gone, fresh: by key, (document, seq, ts) of what vanished and what appeared."""
-        self.find, self.stored_below, self.gone, self.fresh, self.hold = find, below, gone, fresh, hold_ms
+        self.find, self.stored_below, self.gone, self.fresh, self.hold = find, below, Waiting(gone), Waiting(fresh), hold_ms
         self.docs: dict[str, tuple | None] = {}
         self.out: dict[int, tuple] = {}
         self.half: tuple[str, int] | None = None
@@ -57,9 +102,8 @@ class Batch:
     def emit(self, doc: tuple, change: str, seq: int) -> None:
         self.out[doc[0]] = (*doc, change, seq)
 
-    def _near(self, side: dict, doc: tuple, ts: int) -> str | None:
-        name = lambda d: d[1].rpartition("/")[2].lower()
-        return min((k for k, (d, _, at) in side.items() if abs(ts - at) <= self.hold and d[2] == doc[2] and name(d) == name(doc)), default=None)
+    def _near(self, side: Waiting, doc: tuple, ts: int) -> str | None:
+        return min((k for k in side.alike.get(_alike(doc), ()) if abs(ts - side[k][2]) <= self.hold), default=None)
 
     def write(self, path: str, size: int | None, modified_at: int | None, seq: int, ts: int) -> None:
         key, known = path.lower(), self.get(path.lower())
@@ -96,7 +140,7 @@ class Batch:
 
     def restore(self, of: int, ts: int) -> None:
         """What the event of that number took away is back, where nothing else has come since."""
-        for k in [k for k, (_, seq, at) in self.gone.items() if seq == of and ts - at <= self.hold]:
+        for k in [k for k in self.gone.by_seq.get(of, ()) if ts - self.gone[k][2] <= self.hold]:
             if self.get(k) is None:
                 self.docs[k] = self.gone.pop(k)[0]
 
@@ -146,54 +190,101 @@ class Batch:
                     self.write(path, size, at, seq, ts)
 
 
+class Buckets:
+    """Rows (lists) by key in a state of BUCKETS values at most, as JSON: each call of the state is a message to its server, so a micro-batch reads and writes a bucket once, not each row."""
+
+    def __init__(self, state):
+        self.state, self.read, self.changed = state, {}, set()
+
+    def _of(self, key: str) -> tuple[int, dict]:
+        n = zlib.crc32(key.encode("utf-8", "surrogatepass")) % BUCKETS
+        if n not in self.read:
+            self.read[n] = json.loads(self.state.getValue((n,))[0]) if self.state.containsKey((n,)) else {}
+        return n, self.read[n]
+
+    def get(self, key: str) -> list | None:
+        return self._of(key)[1].get(key)
+
+    def put(self, key: str, row: tuple) -> None:
+        n, rows = self._of(key)
+        rows[key] = list(row)
+        self.changed.add(n)
+
+    def remove(self, key: str) -> None:
+        n, rows = self._of(key)
+        if rows.pop(key, None) is not None:
+            self.changed.add(n)
+
+    def stored(self) -> Iterator[tuple[str, list]]:
+        """All rows as they are in the state, one bucket after another."""
+        for _, value in self.state.iterator():
+            yield from json.loads(value[0]).items()
+
+    def write(self) -> None:
+        for n in self.changed:
+            if self.read[n]:
+                self.state.updateValue((n,), (json.dumps(self.read[n]),))
+            elif self.state.containsKey((n,)):
+                self.state.removeKey((n,))
+        self.changed = set()
+
+
 class LiveCatalog(StatefulProcessor):
     def __init__(self, hold_ms: int):
         self.hold = hold_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.docs = handle.getMapState("docs", "key string", DOC)
-        self.gone = handle.getMapState("gone", "key string", f"{DOC}, seq long, ts long")
-        self.fresh = handle.getMapState("fresh", "key string", f"{DOC}, seq long, ts long")
+        self.docs = handle.getMapState("docs", "bucket int", "rows string")  # id, path, size, modified_at
+        self.gone = handle.getMapState("gone", "bucket int", "rows string")  # and seq, ts
+        self.fresh = handle.getMapState("fresh", "bucket int", "rows string")
         self.half = handle.getValueState("half", "path string, seq long")
 
     def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues) -> None:
+        docs = Buckets(self.docs)
         for r in initialState.itertuples(index=False):
-            self.docs.updateValue((r.path.lower(),), (int(r.id), r.path, _number(r.size), _number(r.modified_at)))
+            docs.put(r.path.lower(), (int(r.id), r.path, _number(r.size), _number(r.modified_at)))
+        docs.write()
 
     @staticmethod
     def _read(state) -> dict:
-        return {k[0]: ((v[0], v[1], v[2], v[3]), v[4], v[5]) for k, v in state.iterator()}
+        return {k: (tuple(v[:4]), v[4], v[5]) for k, v in Buckets(state).stored()}
 
     @staticmethod
     def _write(state, before: dict, after: dict) -> None:
+        rows = Buckets(state)
         for k in before.keys() - after.keys():
-            state.removeKey((k,))
+            rows.remove(k)
         for k, (doc, seq, ts) in after.items():
             if before.get(k) != (doc, seq, ts):
-                state.updateValue((k,), (*doc, seq, ts))
+                rows.put(k, (*doc, seq, ts))
+        rows.write()
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         events = pd.concat(list(rows)).sort_values("seq").to_dict("records")
         gone, fresh = self._read(self.gone), self._read(self.fresh)
         all_keys: list[str] = []
 
+        docs = Buckets(self.docs)
+
         def find(k: str) -> tuple | None:
-            return tuple(self.docs.getValue((k,))) if self.docs.containsKey((k,)) else None
+            doc = docs.get(k)
+            return None if doc is None else tuple(doc)
 
         def below(start: str) -> list[str]:
             if not all_keys:  # once for each micro-batch that has a folder's event
-                all_keys.extend(sorted(k[0] for k in self.docs.keys()))
-            return [k for k in all_keys if k.startswith(start)]
+                all_keys.extend(sorted(k for k, _ in docs.stored()))
+            return all_keys[bisect_left(all_keys, start) : bisect_left(all_keys, start[:-1] + chr(ord("/") + 1))]
 
         batch = Batch(find, below, dict(gone), dict(fresh), self.hold)
         batch.half = tuple(self.half.get()) if self.half.exists() else None
         batch.apply(events)
         for k, doc in batch.docs.items():
             if doc is not None:
-                self.docs.updateValue((k,), doc)
-            elif self.docs.containsKey((k,)):
-                self.docs.removeKey((k,))
+                docs.put(k, doc)
+            else:
+                docs.remove(k)
+        docs.write()
         self._write(self.gone, gone, batch.gone)
         self._write(self.fresh, fresh, batch.fresh)
         if batch.half is not None:
@@ -207,10 +298,10 @@ class LiveCatalog(StatefulProcessor):
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now, out = expiredTimerInfo.getExpiryTimeInMs(), []
         for state, change in ((self.gone, "removed"), (self.fresh, "added")):
-            for k, (doc, seq, ts) in self._read(state).items():
-                if ts + self.hold < now:
-                    out.append((*doc, change, seq))
-                    state.removeKey((k,))
+            before = self._read(state)
+            after = {k: v for k, v in before.items() if v[2] + self.hold >= now}
+            out += [(*doc, change, seq) for k, (doc, seq, _) in before.items() if k not in after]
+            self._write(state, before, after)
         yield self._frame(key, out)
 
     @staticmethod

@@ -98,3 +98,39 @@ def test_stream_goes_on_after_a_restart(spark, tmp_path):
     whole = play("whole", [range(5)])
     assert whole == {(1, "/R/new/one.pdf", 7, "updated"), (2, "/R/two.pdf", 6, "removed"), (3, "/S/deep/three.pdf", 7, "moved"), (-6, "/R/new/four.pdf", 7, "added")}
     assert play("parts", [[0], [1, 2], [3, 4]]) == whole
+
+
+def test_an_event_looks_at_documents_of_its_name_and_size_alone(monkeypatch):
+    looked = []
+    real = live.Waiting.__getitem__
+    monkeypatch.setattr(live.Waiting, "__getitem__", lambda self, key: (looked.append(key), real(self, key))[1])
+    docs = {f"/r/a/{k}.pdf": (k, f"/r/a/{k}.pdf", 5, 0) for k in range(500)}
+    event = lambda seq, kind, path: {"seq": seq, "ts_ms": seq, "kind": kind, "path": path, "path_to": None, "size": 5, "modified_at": 0, "is_doc": True, "is_doc_to": False}
+    events = [event(k, "remove", f"/r/a/{k}.pdf") for k in range(500)] + [event(500 + k, "create", f"/r/b/{k}.pdf") for k in range(500)]
+    batch = live.Batch(docs.get, lambda start: [], {}, {}, 2000)
+    batch.apply(events)
+    assert sorted(batch.out.values()) == [(k, f"/r/b/{k}.pdf", 5, 0, "moved", 500 + k) for k in range(500)] and not batch.gone and len(looked) < 5000
+
+
+def test_a_state_is_called_once_for_a_bucket_not_for_each_document():
+    class State(dict):
+        calls = 0
+
+        def counted(self, value=None):
+            self.calls += 1
+            return value
+
+        containsKey = lambda self, k: self.counted(k in self)
+        getValue = lambda self, k: self.counted(self[k])
+        updateValue = lambda self, k, v: self.counted(self.__setitem__(k, v))
+        removeKey = lambda self, k: self.counted(self.pop(k))
+        iterator = lambda self: iter(self.items())
+
+    state, want = State(), {f"/r/é{k}": [k, f"/r/É{k}", None, 5] for k in range(20000)}
+    for rows in (want, {k: want[k] for k in list(want)[::2]}):
+        docs = live.Buckets(state)
+        for k in want:
+            docs.put(k, rows[k]) if k in rows else docs.remove(k)
+        docs.write()
+        assert dict(live.Buckets(state).stored()) == rows and live.Buckets(state).get("/r/é4") == want["/r/é4"] and live.Buckets(state).get("/r/x") is None
+    assert state.calls <= 3 * 2 * live.BUCKETS + 6
