@@ -1,4 +1,4 @@
-"""Reading documents with a reader that may fail, kill its worker or never end: groups are jobs of their own with a time limit, and a group that fails is halved until one document is left.
+"""Reading documents with a reader that may fail, kill its worker or never end: groups are jobs of their own with a time limit, and a group that fails is cut in four until one document is left.
 
 Documents are dealt to groups by a hash of their id and written once; a job reads its group's folder alone. A document that fails by itself gets status 3 and no text, all others are read. Jobs overwrite
 their own output, so that a lost executor costs a retry. Ids are unique; rows that share one fail together. A null id is a document like others; without documents there are no rows.
@@ -36,31 +36,32 @@ def extract(files: DataFrame, reader: Callable[[DataFrame], DataFrame], seconds:
     dealt.repartition("_group").write.partitionBy("_group").parquet(f"{here}/files")
     kept = spark.read.schema(dealt.schema).parquet(f"{here}/files")
     cores, columns = spark.sparkContext.defaultParallelism, [c for c in dealt.columns if c not in ("_group", "_bits")]
+    alone: list[tuple[int, int]] = []  # group and bits of the documents that failed by themselves
 
-    def attempt(number: int, level: int, part: int) -> list[tuple[int, int, int]]:
-        """Runs a group; the halves to try where it failed."""
+    def attempt(number: int, level: int, part: int, n: int) -> list[tuple[int, int, int, int]]:
+        """Runs a group of n rows; the quarters to try where it failed, with their rows counted."""
         rows = kept.filter((F.col("_group") == number) & (F.col("_bits").bitwiseAND(F.lit((1 << level) - 1)) == part))
-        n = rows.select("id").count()
-        if not n:
-            return []
         to = f"{here}/read/group={number}/level={level}/part={part}"
         result = reader(rows.repartition(min(n, cores), "_bits").select(*columns)).select(F.col("id").cast("long"), F.col("status").cast("int"), "text")
         if _within(result, to, start + seconds * -(-n // cores)):
             return []
-        if level < 62 and rows.select("id").distinct().limit(2).count() > 1:
-            return [(number, level + 1, part), (number, level + 1, part + (1 << level))]
-        rows.select("id", F.lit(FAILED).alias("status"), F.lit(None).cast("string").alias("text")).write.mode("overwrite").parquet(to)
+        quarter = F.shiftrightunsigned("_bits", level).bitwiseAND(F.lit(3)).alias("quarter")
+        found = rows.groupBy(quarter).agg(F.count("*").alias("n"), F.min("_bits").alias("low"), F.max("_bits").alias("high")).collect()  # four rows
+        if level < 60 and (len(found) > 1 or found[0]["low"] != found[0]["high"]):
+            return [(number, level + 2, part + (q["quarter"] << level), q["n"]) for q in found]
+        alone.extend((number, bits) for bits in {q[c] for q in found for c in ("low", "high")})
         return []
 
-    waiting = [(g, 0, 0) for g in range(groups)]
+    waiting = [(r["_group"], 0, 0, r["n"]) for r in kept.groupBy("_group").agg(F.count("*").alias("n")).collect()]  # MOST_GROUPS rows
+    if not waiting:
+        return spark.createDataFrame([], RESULT)
     with ThreadPoolExecutor(at_once) as pool:
         while waiting:
-            waiting = [half for halves in pool.map(lambda w: attempt(*w), waiting) for half in halves]
-    return spark.read.schema(RESULT).option("recursiveFileLookup", "true").parquet(f"{here}/read") if groups and _any(kept) else spark.createDataFrame([], RESULT)
-
-
-def _any(rows: DataFrame) -> bool:
-    return not rows.select("_group").isEmpty()
+            waiting = [part for parts in pool.map(lambda w: attempt(*w), waiting) for part in parts]
+    failed = spark.createDataFrame(alone, "_group int, _bits long")  # few, as each costs jobs of its own
+    bad = kept.join(F.broadcast(failed), ["_group", "_bits"], "left_semi").select("id", F.lit(FAILED).alias("status"), F.lit(None).cast("string").alias("text"))
+    bad.write.mode("overwrite").parquet(f"{here}/read/failed")
+    return spark.read.schema(RESULT).option("recursiveFileLookup", "true").parquet(f"{here}/read")
 
 
 def _within(result: DataFrame, to: str, limit: float) -> bool:

@@ -32,3 +32,12 @@ def test_bad_documents_fail_alone(spark):
 def test_without_documents(spark):
     got = isolation.extract(spark.createDataFrame([], "id long, content binary"), careless)
     assert got.count() == 0 and got.columns == ["id", "status", "text"]
+
+
+def test_jobs_of_a_bad_document_are_few(spark, monkeypatch):
+    ran, real = [], isolation._within
+    monkeypatch.setattr(isolation, "_within", lambda result, to, limit: (ran.append((to, real(result, to, limit))), ran[-1][1])[1])
+    rows = [(i, b"breaks" if i == 77 else b"text") for i in range(300)] + [(77, b"text")]
+    got = isolation.extract(spark.createDataFrame(rows, "id long, content binary"), careless, group=400)
+    assert sorted(map(tuple, got.collect())) == sorted((i, 3, None) if i == 77 else (i, 1, "text") for i in [*range(300), 77])
+    assert sum(not ok for _, ok in ran) <= 7 and len(ran) <= 28
