@@ -59,3 +59,19 @@ def test_a_listing_is_read_once_for_a_batch_of_folder_events(spark, monkeypatch)
     plan = out._jdf.queryExecution().analyzed().toString()
     assert "LocalRelation" not in plan and "LogicalRDD" not in plan and "last-write" in kept
     assert sorted((r["path"], r["size"], r["change"]) for r in out.collect()) == [(f"/r/a/{k}.pdf", 6, "updated") for k in (1, 3, 5)] + [("/r/a/6.pdf", 5, "added"), ("/r/a/7.pdf", 6, "added")]
+
+
+def test_ids_of_changed_texts_are_sent_to_old_postings(spark):
+    body = spark.createDataFrame([(i, f"tern gull {i}") for i in range(20)] + [(None, "auk")], "id long, body string")
+    changed = body.selectExpr("id", "CASE WHEN id % 3 = 1 THEN 'New ' || body END AS body").filter("id % 3 < 2")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = index.refreshed(index.postings(body), changed)
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+        got = sorted((r["id"] if r["id"] is not None else -1, r["token"], r["tf"]) for r in made.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    texts = {-1: "auk"} | {i: f"{'new ' * (i % 3 == 1)}tern gull {i}" for i in range(20) if i % 3}
+    assert got == sorted((i, w, 1) for i, t in texts.items() for w in t.split())
