@@ -75,3 +75,15 @@ def test_ids_of_changed_texts_are_sent_to_old_postings(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     texts = {-1: "auk"} | {i: f"{'new ' * (i % 3 == 1)}tern gull {i}" for i in range(20) if i % 3}
     assert got == sorted((i, w, 1) for i, t in texts.items() for w in t.split())
+
+
+def test_equal_queries_are_looked_for_once(spark, monkeypatch):
+    monkeypatch.setattr(search, "DEALT", 7)
+    rows = [(i, ("wihch", "ohter", "Wihch")[i % 3]) for i in range(30)] + [(None, "wihch")]
+    asked = search.parsed(spark.createDataFrame(rows, "query_id long, text string"))
+    texts, same = search.each_once(asked)
+    assert sorted((r["query_id"], r["phrase"]) for r in texts.collect()) == [(0, "wihch"), (1, "ohter")]
+    hits = spark.createDataFrame([(0, id, float(id)) for id in range(5)] + [(1, 9, 2.0)], "query_id long, id long, score double")
+    got = sorted(map(tuple, search.for_each(hits, same).select("query_id", "id", "score").collect()))
+    assert got == sorted([(q, id, float(id)) for q in range(30) if q % 3 != 1 for id in range(5)] + [(q, 9, 2.0) for q in range(30) if q % 3 == 1])
+    assert search.for_each(hits.limit(0), same).count() == 0
