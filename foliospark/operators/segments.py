@@ -1,6 +1,6 @@
 """A text store that batches keep up to date: each writes a segment of its own texts and postings, and the files of other segments stay as they are.
 
-A segment is a folder with three tables: ``texts`` (id, body, n_tokens), ``postings`` (id, token, tf, positions; in token order) and ``touched`` (id: all that its batch set or cleared). A document is
+A segment is a folder with three tables: ``texts`` (id, body, n_tokens), ``postings`` (id, token, tf, positions; each file in token order) and ``touched`` (id: all that its batch set or cleared). A document is
 read from the newest segment that touched it; older ones' rows of it are dead. The table of segments is versioned by batch number, so a batch that is run again does nothing, and one
 that fails leaves the store as it was. Whenever the newer segments together are as large as the one before them, all of these become one segment: n documents lie in about log2(n) segments at
 most, and a posting is written again about as often.
@@ -15,13 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import folded, words
-from ..sources.work import file_system
+from ..sources.work import SENT_IDS, file_system
 from . import versions
 from .index import postings as postings_of
 
 MANIFEST = "segment string, first long, last long, docs long, touched long"
 #: Up to so many ids of newer segments are sent to the scan of the others; beyond, both are shuffled by id.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = SENT_IDS
 
 
 def manifest(spark: SparkSession, path: str) -> list[tuple]:
@@ -31,12 +31,12 @@ def manifest(spark: SparkSession, path: str) -> list[tuple]:
 
 
 def _write(spark: SparkSession, path: str, name: str, texts: DataFrame, touched: DataFrame, postings: DataFrame | None) -> tuple[int, int]:
-    """Writes a segment and counts its texts and ids. postings: None makes them from the texts."""
+    """Writes a segment and counts its texts and ids. postings: None makes them from the texts; they are dealt by token, as ranges would make them twice."""
     to = f"{path}/segments/{name}"
     texts.write.mode("overwrite").parquet(f"{to}/texts")
     touched.write.mode("overwrite").parquet(f"{to}/touched")
     made = postings_of(spark.read.parquet(f"{to}/texts")) if postings is None else postings
-    made.repartitionByRange("token").sortWithinPartitions("token", "id").write.mode("overwrite").parquet(f"{to}/postings")
+    made.repartition("token").sortWithinPartitions("token", "id").write.mode("overwrite").parquet(f"{to}/postings")
     return spark.read.parquet(f"{to}/texts").count(), spark.read.parquet(f"{to}/touched").count()
 
 

@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from foliospark.operators import segments
 
@@ -74,3 +75,21 @@ def test_tokens_reach_the_scan(spark, tmp_path):
     segments.apply(spark, path, spark.createDataFrame([(1, "one"), (2, "two")], SCHEMA), 0)
     plan = segments.postings(spark, path).filter("token = 'two'")._jdf.queryExecution().toString()
     assert "EqualTo(token,two)" in plan
+
+
+def test_a_batch_makes_its_postings_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(body):
+        seen.add(1)
+        return body
+
+    made = segments.postings_of
+    segments.postings_of = lambda texts: made(texts.withColumn("body", counted("body")))
+    try:
+        segments.apply(spark, f"{tmp_path}/store", spark.createDataFrame([(i, f"tern gull {i}") for i in range(12)], "id long, body string"), 0)
+    finally:
+        segments.postings_of = made
+    assert seen.value == 12
+    assert segments.postings(spark, f"{tmp_path}/store").filter("token = 'tern'").count() == 12
