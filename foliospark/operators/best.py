@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import folded, let, words
-from ..sources.work import stored
+from ..sources.work import few, stored
 from .index import corpus_stats
 from .search import HEAD, K1, MAX_CONTENT, B, content_hits
 
@@ -29,15 +29,25 @@ def _with_blocks(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"len_class": F.floor(F.log2("n_tokens") * 8).cast("int"), "tf_class": tf.cast("int")})
 
 
-def lists(texts: DataFrame) -> DataFrame:
+def prefixes_of(queries: DataFrame) -> DataFrame:
+    """prefix: the distinct first tokens of the queries' terms."""
+    return queries.select(F.explode(F.transform("terms", lambda t: F.get(words(folded(t)), 0))).alias("prefix")).filter("prefix IS NOT NULL").distinct()
+
+
+def lists(texts: DataFrame, prefixes: DataFrame | None = None) -> DataFrame:
     """kind, key, id, n_tokens, tf, len_class, tf_class of texts (id, body): a row for each document and token, and for each document and the first two or three characters of its tokens.
 
-    One shuffle counts (after a count where a document is read), one puts the rows in order, so that blocks skip files and row groups once stored.
+    One shuffle counts (after a count where a document is read), one puts the rows in order, so that blocks skip files and row groups once stored. prefixes (prefix, each once): only the lists that these need, for
+    a table of queries that is known beforehand.
     """
     counted = lambda tokens: F.transform(tokens, lambda w: F.struct(F.size(tokens).alias("n_tokens"), w.alias("token")))
     rows = texts.select("id", F.explode(let(words(folded(F.col("body"))), counted)).alias("x")).select("id", "x.*")
     keys = [F.struct(F.lit(WORD).alias("kind"), F.col("token").alias("key"))] + [F.when(F.length("token") >= k, F.struct(F.lit(BEGUN).alias("kind"), F.substring("token", 1, k).alias("key"))) for k in range(2, HEAD + 1)]
     each = rows.select("id", "n_tokens", F.explode(F.filter(F.array(*keys), lambda k: k.isNotNull())).alias("k")).select("k.*", "id", "n_tokens")
+    if prefixes is not None:
+        begun = F.length("prefix") <= HEAD
+        wanted = prefixes.select(F.when(begun, BEGUN).otherwise(WORD).alias("kind"), F.substring("prefix", 1, HEAD + 1).alias("head")).distinct()
+        each = each.withColumn("head", F.substring("key", 1, HEAD + 1)).join(few(wanted, "wanted-lists")[0], ["kind", "head"], "left_semi").drop("head")
     order = ["kind", "key", "len_class", "tf_class", "id"]
     return _with_blocks(each.groupBy("kind", "key", "id", "n_tokens").agg(F.count("*").alias("tf"))).repartitionByRange(*order).sortWithinPartitions(*order)
 
@@ -47,8 +57,15 @@ def maxima(entries: DataFrame) -> DataFrame:
     return entries.groupBy("kind", "key", "len_class", "tf_class").agg(F.count("*").alias("n"), F.max("tf").alias("most_tf"), F.min("n_tokens").alias("least_len"))
 
 
-def prefix_counts(texts: DataFrame) -> DataFrame:
-    """prefix, df: the documents that hold a token with the prefix, of two characters or more."""
+def prefix_counts(texts: DataFrame, prefixes: DataFrame | None = None) -> DataFrame:
+    """prefix, df: the documents that hold a token with the prefix, of two characters or more. prefixes (prefix, each once): only of these."""
+    if prefixes is not None:
+        asked = few(prefixes.filter(F.length("prefix") >= 2), "asked-prefixes")[0]
+        lengths = [r[0] for r in asked.select(F.length("prefix")).distinct().collect()]  # as many as there are lengths of a query's words
+        first = lambda k: F.transform(F.filter("tokens", lambda w: F.length(w) >= k), lambda w: F.substring(w, 1, k))
+        begun = F.flatten(F.array(*map(first, lengths))) if lengths else F.array().cast("array<string>")
+        rows = texts.select(words(folded(F.col("body"))).alias("tokens")).select(F.explode(F.array_distinct(begun)).alias("prefix"))
+        return rows.join(asked, "prefix", "left_semi").groupBy("prefix").agg(F.count("*").alias("df"))
     tokens = F.filter(F.array_distinct(words(folded(F.col("body")))), lambda w: F.length(w) >= 2)
     begun = F.transform(tokens, lambda w: F.transform(F.sequence(F.lit(2), F.length(w)), lambda k: F.substring(w, F.lit(1), k)))
     return texts.select(F.explode(F.array_distinct(F.flatten(begun))).alias("prefix")).groupBy("prefix").agg(F.count("*").alias("df"))
@@ -123,4 +140,5 @@ def best(queries: DataFrame, entries: DataFrame, blocks: DataFrame, counts: Data
     rows = _top(_scored(cells.filter("may"), entries, catalog), most)
     hits = rows.select("query_id", "id", "bm25", "rank", F.count("*").over(Window.partitionBy("query_id")).alias("n"))
     cost = cells.groupBy("query_id").agg(F.sum("n").alias("rows"), F.sum(F.when(F.col("may"), F.col("n")).otherwise(0)).alias("rows_read"))
-    return hits.unionByName(content_hits(queries.filter(plain), post, stats, catalog)), cost
+    others = queries.filter(plain & F.forall("terms", lambda t: F.length(t) >= 2))  # content_hits leaves out the rest
+    return (hits if others.isEmpty() else hits.unionByName(content_hits(others, post, stats, catalog))), cost

@@ -42,3 +42,13 @@ def test_few_rows_of_a_frequent_prefix_are_read(spark):
 
 def test_nothing(spark):
     assert compared(spark, [], [(1, "te")], [], 5)[0] == compared(spark, [(1, "tern")], [], [1], 5)[0] == set()
+
+
+def test_lists_and_counts_of_asked_prefixes_are_those_of_all(spark):
+    body = spark.createDataFrame([(i, "tern tarn gullery gull gu é étude t" * (i % 3)) for i in range(9)], "id long, body string")
+    asked = best.prefixes_of(search.parsed(spark.createDataFrame([(1, "ét gul"), (2, "gull t"), (3, "te")], "query_id long, text string")))
+    every, some = ({tuple(r) for r in f.collect()} for f in (best.lists(body), best.lists(body, asked)))
+    assert some < every and {r[:2] for r in some} == {(best.BEGUN, p) for p in ("et", "gul", "te")} | {(best.WORD, w) for w in ("gull", "gullery")}
+    assert some == {r for r in every if r[:2] in {x[:2] for x in some}}
+    every, some = (dict(map(tuple, f.collect())) for f in (best.prefix_counts(body), best.prefix_counts(body, asked)))
+    assert some == {p: every[p] for p in ("et", "gul", "gull", "te")}
