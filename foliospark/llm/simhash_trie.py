@@ -14,8 +14,9 @@ their sets of five-word shingles have a Jaccard likeness of 0.8 or more. Fingerp
 two texts meet in it if these are equal, and are proposed if they differ in at most a budget of the word's other bits and of 192 more. At a likeness of 0.8 a bit differs with a chance
 of 0.15 to 0.16 (few shingles: up to 0.18); the number of words follows from the number of rows, so that a pair at 0.8 meets nowhere with a chance of ``MISSED`` at most. Budgets are 4.2 standard deviations above the mean.
 Texts of one set of shingles are one node. A unit emits a spanning forest of its proposed pairs. Each document's nearest one is checked, first on all bits and then on the texts themselves. Where a group of proposed pairs is not joined by these links,
-its documents meet again in the same units with the hashes of their shingles, and all pairs not joined yet are checked there, exactly: no failed pair hides another one, and only links leave a unit.
-A subtrie with over ``HOT`` rows is cut into parts, and each pair of parts is a unit: no task holds more than two parts.
+its documents meet again, group by group, with the hashes of their shingles, and all pairs not joined yet that meet in some trie are checked there, exactly: no failed pair hides another one, and only links leave a unit.
+A subtrie with over ``HOT`` rows is cut into parts, and each pair of parts is a unit: no task holds more than two parts. Tries are dealt out ``ROUND`` at a time, and a group walks all of them where it is, so neither
+fingerprints nor sets of hashes are on disk once for each trie.
 
 A unit emits at most one row per fingerprint, never all pairs of a dense group, and
 the forests' union is resolved by distributed contraction of edges, on stored tables.
@@ -27,7 +28,8 @@ get equal results.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,8 @@ from .common import discard, sized, stored, text_of
 UNIT, HOT, STEP = 1 << 13, 1 << 14, 1 << 20
 #: Of shingles' hashes in one part.
 HOT_BYTES = 1 << 26
+#: Of long fingerprints' tries: those dealt out at once. Rows of a group that meet in one unit, about, and the parts that a larger one is cut into before they hold HOT rows or HOT_BYTES.
+ROUND, MEET, PARTS = 16, 1 << 8, 8
 #: Of long fingerprints: words that are compared wherever two texts meet; rows below the first bits of a word, about; the chance that a bit differs at a likeness of 0.8, and that such a pair meets nowhere.
 LONGS, BELOW, DIFFERS, MISSED = 3, 1 << 11, 0.16, 1e-4
 
@@ -333,57 +337,110 @@ def set_nodes(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
     return set_nodes(apart)
 
 
-def near_pairs(nodes: DataFrame, bits: int, tries: int, least: float | None = None) -> DataFrame:
-    """Proposed pairs (a, b) of nodes (node, label, keys, fp) of different labels: per unit a spanning forest of them, of pairs as near as possible.
+def _halves(rows: DataFrame, *columns: str) -> DataFrame:
+    """columns of rows, once for each pair of parts that the row's part (of parts; null: 1) is in: lo, hi and whether it is the second of two (right)."""
+    parts = F.coalesce("parts", F.lit(1))
+    cut = rows.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return cut.select(*columns, F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), (F.col("part") > F.col("other")).alias("right"))
 
-    With least, nodes also have sets (their shingles' hashes), and the pairs are a spanning forest of those with a likeness of least or more.
+
+def _unit(bits: int, least: float | None = None) -> Callable[[pa.Table], pa.Table]:
+    """Of a unit's rows (node, label, fp, lo, hi, right, and key or keys: the words of the tries to be walked): a spanning forest of the proposed pairs (a, b, differ) of different labels, of pairs as near as possible.
+
+    With least, rows also have sets (their shingles' hashes), and the pairs are a spanning forest of those with a likeness of least or more.
     """
     budget, total = over_mean(64 - bits), over_mean(64 - bits + 64 * LONGS)
-    kept = ["node", "label", "fp", *(["sets"] if least else [])]
-    each = nodes.select(*kept, F.posexplode("keys").alias("of", "key")).withColumn("subtrie", F.shiftrightunsigned("key", 64 - bits))
-    weight = F.count("*") / HOT if not least else F.greatest(F.count("*") / HOT, F.sum(F.octet_length("sets")) / HOT_BYTES)
-    hot = stored(each.groupBy("of", "subtrie").agg(F.ceil(weight).cast("int").alias("parts")).filter("parts > 1"), "hot")
-    if hot.isEmpty():
-        dealt = each.withColumn("lo", F.lit(0)).withColumn("hi", F.lit(0)).withColumn("right", F.lit(False))
-    else:
-        cut = each.join(sized(hot), ["of", "subtrie"], "left").withColumn("part", F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))).cast("int"))
-        dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
-        dealt = dealt.select(*kept, "of", "key", "subtrie", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), (F.col("part") > F.col("other")).alias("right"))
 
     def run(t: pa.Table) -> pa.Table:
-        key, is_right = t["key"].to_numpy().view(np.uint64), t["right"].to_numpy()
-        order = np.lexsort((key, is_right))
+        keys = (t["key"] if "key" in t.column_names else t["keys"].combine_chunks().flatten()).to_numpy().view(np.uint64).reshape(len(t), -1)
+        is_right = t["right"].to_numpy()
+        order = np.lexsort((keys[:, 0], is_right))
         fp = np.frombuffer(b"".join(t["fp"].to_pylist()), "<u8").reshape(-1, LONGS)[order]
-        node, label, key, n_left = t["node"].to_numpy()[order], t["label"].to_numpy()[order], key[order], int((~is_right).sum())
-        own = t["lo"][0].as_py() == t["hi"][0].as_py()
+        node, label, keys, is_right = t["node"].to_numpy()[order], t["label"].to_numpy()[order], keys[order], is_right[order]
+        n_left, own = int((~is_right).sum()), t["lo"][0].as_py() == t["hi"][0].as_py()
         forest = Forest(len(fp))
         firsts, at = np.unique(label, return_index=True)
         forest.link(np.arange(len(fp)), at[np.searchsorted(firsts, label)])
         exact = Likeness([t["sets"][int(k)].as_py() for k in order]) if least else None
         out = []
-        for a, b in trie_join(key[:n_left], None if own else key[n_left:], budget, bits):
-            b = b if own else b + n_left
-            apart = forest.root[a] != forest.root[b]
-            a, b = a[apart], b[apart]
-            differ = np.bitwise_count(fp[a] ^ fp[b]).sum(1) + np.bitwise_count(key[a] ^ key[b])
-            near = differ <= total
-            a, b, differ = a[near], b[near], differ[near]
-            if exact is not None:
-                out += exact.links(a, b, differ, forest, least)
-                continue
-            nearest = np.argsort(differ, kind="stable")
-            a, b, differ = a[nearest], b[nearest], differ[nearest]
-            while len(a):
-                _, first = np.unique(np.maximum(forest.root[a], forest.root[b]), return_index=True)  # each hooks onto a smaller one: no rings
-                out.append((a[first], b[first], differ[first]))
-                forest.link(a[first], b[first])
+        for key in keys.T:
+            by = np.lexsort((key, is_right))
+            left, right = by[:n_left], by[:n_left] if own else by[n_left:]
+            for a, b in trie_join(key[left], None if own else key[right], budget, bits):
+                a, b = left[a], right[b]
                 apart = forest.root[a] != forest.root[b]
-                a, b, differ = a[apart], b[apart], differ[apart]
+                a, b = a[apart], b[apart]
+                differ = np.bitwise_count(fp[a] ^ fp[b]).sum(1) + np.bitwise_count(key[a] ^ key[b])
+                near = differ <= total
+                a, b, differ = a[near], b[near], differ[near]
+                if exact is not None:
+                    out += exact.links(a, b, differ, forest, least)
+                    continue
+                nearest = np.argsort(differ, kind="stable")
+                a, b, differ = a[nearest], b[nearest], differ[nearest]
+                while len(a):
+                    _, first = np.unique(np.maximum(forest.root[a], forest.root[b]), return_index=True)  # each hooks onto a smaller one: no rings
+                    out.append((a[first], b[first], differ[first]))
+                    forest.link(a[first], b[first])
+                    apart = forest.root[a] != forest.root[b]
+                    a, b, differ = a[apart], b[apart], differ[apart]
         a, b, differ = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
         a, b = node[a], node[b]
         return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b), "differ": differ.astype(np.int32)})
 
-    return dealt.groupBy("of", "subtrie", "lo", "hi").applyInArrow(run, "a long, b long, differ int").groupBy("a", "b").agg(F.min("differ").alias("differ"))
+    return run
+
+
+def near_pairs(nodes: DataFrame, bits: int, least: float | None = None) -> DataFrame:
+    """Pairs (a, b, differ) of the nodes (node, label, keys, fp; with least also sets) that a unit of each trie finds: a row is sent once for each of its keys."""
+    kept = ["node", "label", "fp", *(["sets"] if least else [])]
+    each = nodes.select(*kept, F.posexplode("keys").alias("of", "key")).withColumn("subtrie", F.shiftrightunsigned("key", 64 - bits))
+    weight = F.count("*") / HOT if not least else F.greatest(F.count("*") / HOT, F.sum(F.octet_length("sets")) / HOT_BYTES)
+    hot = stored(each.groupBy("of", "subtrie").agg(F.ceil(weight).cast("int").alias("parts")).filter("parts > 1"), "hot")
+    if hot.isEmpty():
+        dealt = each.withColumn("lo", F.lit(0)).withColumn("hi", F.lit(0)).withColumn("right", F.lit(False))
+    else:
+        dealt = _halves(each.join(sized(hot), ["of", "subtrie"], "left"), *kept, "of", "key", "subtrie")
+    return dealt.groupBy("of", "subtrie", "lo", "hi").applyInArrow(_unit(bits, least), "a long, b long, differ int").groupBy("a", "b").agg(F.min("differ").alias("differ"))
+
+
+def proposals(nodes: DataFrame, bits: int, tries: int) -> DataFrame:
+    """near_pairs of the nodes (node, keys, fp; stored) in all tries, stored. Of each round of tries only the pairs stay on disk, so the copies that are there at once don't grow with the number of tries."""
+    rounds = -(-tries // ROUND)
+    each = -(-tries // rounds)
+    found = []
+    for k in range(0, tries, each):
+        some = nodes.select("node", F.col("node").alias("label"), F.slice("keys", k + 1, each).alias("keys"), "fp")
+        found.append(stored(near_pairs(some, bits), "proposed"))
+    if len(found) == 1:
+        return found[0]
+    out = stored(functools.reduce(DataFrame.unionByName, found).groupBy("a", "b").agg(F.min("differ").alias("differ")), "proposed")
+    discard(*found)
+    return out
+
+
+def group_pairs(nodes: DataFrame, bits: int, tries: int, least: float) -> DataFrame:
+    """Links (a, b) that join the nodes (node, label, group, keys, fp, sets; stored) of a group wherever two of different labels meet in a trie and have a likeness of least or more.
+
+    Pairs that meet are all of one group, which walks its tries in one unit: sets are sent once. A group of over MEET nodes is cut into PARTS parts at most, unless these hold more than HOT rows or
+    HOT_BYTES, and each pair of parts is a unit: sets are sent once for each part. Where that were oftener than once for each trie, they are sent for each trie.
+    """
+    size = nodes.groupBy("group").agg(F.count("*").alias("n"), F.sum(F.octet_length("sets")).alias("bytes"))
+    parts = F.greatest(F.ceil(F.col("n") / HOT), F.ceil(F.col("bytes") / HOT_BYTES), F.least(F.lit(PARTS), F.ceil(F.col("n") / MEET))).cast("int")
+    sizes = stored(size.select("group", "n", "bytes", parts.alias("parts")), "sizes")
+    small = sizes.filter("parts = 1").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).first()
+    units = max(1, -(-(small["n"] or 0) // (2 * MEET)), -(-(small["bytes"] or 0) * 4 // HOT_BYTES))
+    large = stored(sizes.filter("parts > 1").select("group", "parts"), "large")
+    discard(sizes)
+    whole = nodes.join(sized(large), "group", "left")
+    unit = F.when(F.col("parts").isNull(), F.pmod(F.xxhash64("group"), F.lit(units))).otherwise(F.col("group")).alias("unit")
+    dealt = _halves(whole.filter(F.coalesce("parts", F.lit(1)) <= tries).withColumn("unit", unit), "node", "label", "fp", "keys", "sets", "unit")
+    found = stored(dealt.groupBy("unit", "lo", "hi").applyInArrow(_unit(bits, least), "a long, b long, differ int").select("a", "b"), "more")
+    if not large.filter(F.col("parts") > tries).isEmpty():
+        more = stored(near_pairs(whole.filter(F.col("parts") > tries), bits, least).select("a", "b"), "more")
+        found = found.unionByName(more)
+    discard(large)
+    return found
 
 
 class Likeness:
@@ -468,7 +525,7 @@ def with_sets(nodes: DataFrame, docs: DataFrame, shingle: int, text_col: str) ->
 
 def near_copies(nodes: DataFrame, docs: DataFrame, shingle: int, least: float, bits: int, tries: int, text_col: str) -> DataFrame:
     """node and label (the smallest node of its group) for the nodes (node, rep, keys, fp; stored) that have near copies."""
-    proposed = stored(near_pairs(nodes.withColumn("label", F.col("node")), bits, tries), "proposed")
+    proposed = proposals(nodes, bits, tries)
     nearest = stored(proposed.groupBy("a").agg(F.min_by("b", F.struct("differ", "b")).alias("b")), "nearest")
     sure = alike(nearest, nodes, docs, shingle, least, text_col)
     discard(nearest)
@@ -482,12 +539,12 @@ def near_copies(nodes: DataFrame, docs: DataFrame, shingle: int, least: float, b
     # All nodes of the groups of proposed pairs that aren't joined yet.
     groups = components(proposed.select("a", "b"))
     unjoined = groups.join(apart, "node", "left_semi").select("label").distinct()
-    mixed = groups.join(unjoined, "label", "left_semi").select("node")
-    some = stored(nodes.join(mixed, "node", "left_semi").join(labels, "node", "left").select("node", "rep", "keys", "fp", F.coalesce("label", "node").alias("label")), "again")
+    mixed = groups.join(unjoined, "label", "left_semi").select("node", F.col("label").alias("group"))
+    some = stored(nodes.join(mixed, "node").join(labels, "node", "left").select("node", "rep", "keys", "fp", F.coalesce("label", "node").alias("label"), "group"), "again")
     discard(proposed, groups, apart)
     again = stored(with_sets(some, docs, shingle, text_col), "again")
     discard(some)
-    more = stored(near_pairs(again, bits, tries, least).select("a", "b"), "more")
+    more = group_pairs(again, bits, tries, least)
     discard(again)
     if not more.isEmpty():
         discard(labels)

@@ -696,6 +696,34 @@ def test_failed_pair_hides_no_other(spark):
     assert kept == {0, *range(1, 25, 2)}
 
 
+@pytest.mark.parametrize("limits", [{"MEET": 4}, {"HOT": 1}, {"ROUND": 3}])
+def test_near_copies_in_cut_groups(spark, monkeypatch, limits):
+    for k, v in limits.items():  # a group in parts, in more parts than there are tries, tries in rounds
+        monkeypatch.setattr(simhash_trie, k, v)
+    test_failed_pair_hides_no_other(spark)
+
+
+def shuffled(spark) -> int:
+    """Bytes that the session's stages have written to shuffles."""
+    sc = spark.sparkContext
+    many = sc._jvm.java.util.ArrayList
+    stages = sc._jsc.sc().statusStore().stageList(many(), False, False, sc._gateway.new_array(sc._jvm.double, 0), many())
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_sets_are_not_sent_for_each_trie(spark):
+    draw = random.Random(12)
+    word = lambda: f"{draw.randrange(36**3):x}"
+    texts = []
+    for _ in range(10):
+        base = [word() for _ in range(1200)]
+        texts += [" ".join(base), *(" ".join(base[:500] + [word() for _ in range(180)] + base[680:]) for _ in range(14))]  # all of them proposed, none alike
+    before, (_, tries) = shuffled(spark), simhash_trie.tries_for(len(texts))
+    assert simhash_trie.drop(docs(spark, texts)).count() == len(texts)
+    sets = 8 * sum(len(simhash_trie.shingles(t.encode().split(), 5)) for t in texts)
+    assert 2 * sets < shuffled(spark) - before < tries / 2 * sets
+
+
 # --- pipeline
 
 
