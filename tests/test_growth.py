@@ -87,3 +87,52 @@ def test_equal_queries_are_looked_for_once(spark, monkeypatch):
     got = sorted(map(tuple, search.for_each(hits, same).select("query_id", "id", "score").collect()))
     assert got == sorted([(q, id, float(id)) for q in range(30) if q % 3 != 1 for id in range(5)] + [(q, 9, 2.0) for q in range(30) if q % 3 == 1])
     assert search.for_each(hits.limit(0), same).count() == 0
+
+
+GROWING = {"catalog", "doc_stats", "postings", "begun", "name-grams", "path-grams"}
+
+
+def sent(df, growing=GROWING):
+    """Of the tables that grow with the documents those that df's plan reads below a broadcast, unless one row is made of them there."""
+    found, below, one_row = set(), None, None
+    for line in df._jdf.queryExecution().executedPlan().toString().split("\n"):
+        node = line.lstrip(" :+-")
+        depth = len(line) - len(node)
+        below, one_row = (None if at is not None and depth <= at else at for at in (below, one_row))
+        if below is None and node.startswith("BroadcastExchange"):
+            below = depth
+        if one_row is None and node.startswith("HashAggregate(keys=[],"):
+            one_row = depth
+        if below is not None and one_row is None:
+            found |= {name for name in growing if f"/{name}-" in node}
+    return found
+
+
+def searched(spark):
+    body = c.table(spark, DATA, "documents").selectExpr("doc_id AS id", "text AS body")
+    more = spark.createDataFrame([(-1, "  "), (-2, "th"), (-3, "e"), (-4, "wihch")], "query_id long, text string")  # of unknown size to Spark
+    asked = search.parsed(c.query_table(spark, DATA).unionByName(more))
+    return asked, work.stored(c.derived(spark, DATA), "catalog"), work.stored(index.postings(body), "postings"), work.stored(index.doc_stats(body), "doc_stats")
+
+
+def test_no_table_of_all_documents_goes_through_the_driver(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    try:
+        asked, cat, post, stats = searched(spark)
+        exact, content = search.exact_hits(asked, cat, c.NOW_MS), search.content_hits(asked, post, stats, cat)
+        assert not sent(search.candidates(asked, cat)) and not sent(exact) and not sent(content)
+        assert not sent(search.merged(exact, content, cat, c.NOW_MS)) and not sent(search.ranked(exact, cat)) and exact.count()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+
+
+def test_queries_with_typos_are_read_once_and_sent_instead_of_names(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    try:
+        asked, cat, _, _ = searched(spark)
+        found = work.stored(search.exact_hits(asked, cat, c.NOW_MS), "found")
+        hits = search.fuzzy_hits(search.needy(asked, found), cat, c.NOW_MS)
+        plan = hits._jdf.queryExecution().executedPlan().toString()
+        assert not sent(hits) and "/found-" not in plan and "/needy-" in plan and hits.count()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
