@@ -86,3 +86,24 @@ def test_normalized_query_keeps_whole_texts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["id"]: r["body"] for r in search_queries.Q["txt1_normalized"](spark, str(tmp_path)).collect()}
     assert got == {1: ("word " * 400).strip(), 2: "x" * 200_000}
+
+
+def test_distances_within_typos_are_those_of_all_pairs(spark):
+    import random
+
+    from foliospark.functions import text as t
+
+    rng, rows = random.Random(7), []
+    for _ in range(3000):
+        a = "".join(rng.choice("abé中") for _ in range(rng.choice((3, 4, 5, 8, 9, 12))))
+        b = list(a)
+        for _ in range(rng.randrange(4)):
+            i = rng.randrange(len(b) or 1)
+            b[i : i + 2] = rng.choice((b[i : i + 2][::-1], b[i : i + 1], [*b[i : i + 2], "é"], ["x", *b[i + 1 : i + 2]]))
+        rows.append((a, "".join(b)))
+    df = spark.createDataFrame([*rows, ("abcd", None), ("abcdefgh", ""), ("", "")], "a string, b string")
+    all_of = t.osa_distance(df.a, df.b)
+    got = df.select(t.within_typos(df.a, df.b).alias("x"), all_of.alias("d"), t.allowed_typos(df.a).alias("k")).collect()
+    assert all(r["x"] == (r["d"] if r["d"] is not None and r["d"] <= r["k"] else None) for r in got) and {r["x"] for r in got} == {None, 0, 1, 2}
+    plan = df.select(t.within_typos(df.a, df.b))._jdf.queryExecution().optimizedPlan().toString()
+    assert "levenshtein" in plan

@@ -136,3 +136,14 @@ def test_queries_with_typos_are_read_once_and_sent_instead_of_names(spark):
         assert not sent(hits) and "/found-" not in plan and "/needy-" in plan and hits.count()
     finally:
         spark.conf.unset("spark.sql.maxMetadataStringLength")
+
+
+def test_postings_are_met_by_whole_words(spark, monkeypatch):
+    """Queries that share a head don't each look at all postings of that head."""
+    plans, rows = {}, [(i, f"tern{i % 4} terns gull") for i in range(12)]
+    monkeypatch.setattr(search, "stored", lambda df, name: (plans.update({name: df._jdf.queryExecution().executedPlan().toString()}), work.stored(df, name))[1])
+    post = work.stored(index.postings(spark.createDataFrame(rows, "id long, body string")), "postings")
+    asked = spark.createDataFrame([(x,) for x in ("tern", "tern1", "te", "g", "gulls")], "begin string")
+    got = sorted(map(tuple, search.begun_by(asked, post).collect()))
+    assert got == sorted([(b, i, 2) for b in ("tern", "te") for i in range(12)] + [("tern1", i, 1) for i in range(12) if i % 4 == 1] + [("g", i, 1) for i in range(12)])
+    assert "Generate" not in plans["begun"] and "SortMergeJoin" not in plans["begun"]
