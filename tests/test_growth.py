@@ -141,6 +141,7 @@ def test_queries_with_typos_are_read_once_and_sent_instead_of_names(spark):
 def test_postings_are_met_by_whole_words(spark, monkeypatch):
     """Queries that share a head don't each look at all postings of that head."""
     plans, rows = {}, [(i, f"tern{i % 4} terns gull") for i in range(12)]
+    monkeypatch.setattr(search, "HEADS", 3)
     monkeypatch.setattr(search, "stored", lambda df, name: (plans.update({name: df._jdf.queryExecution().executedPlan().toString()}), work.stored(df, name))[1])
     post = work.stored(index.postings(spark.createDataFrame(rows, "id long, body string")), "postings")
     asked = spark.createDataFrame([(x,) for x in ("tern", "tern1", "te", "g", "gulls")], "begin string")
